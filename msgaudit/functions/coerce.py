@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PY_SPACE
+from .text import PY_SPACE, py_strip
 
 # Fixed values (must equal pandas' defaults, which the reference relies on when
 # it reads CSV): strings that read_csv turns into a missing value.
@@ -33,9 +33,11 @@ def to_numeric(col, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and isinstance(dtype, T.NumericType):
         return c.cast("double")
     s = c.cast("string")
-    stripped = F.regexp_replace(s, "^[" + PY_SPACE + "]+|[" + PY_SPACE + "]+\\z", "")
-    return (F.when(s.rlike(NUMERIC_PATTERN), stripped.try_cast("double"))
-             .when(s.rlike("(?i)" + SPECIAL_FLOATS), F.lower(stripped).try_cast("double")))
+    v = py_strip(s).try_cast("double")
+    # Spark's cast accepts everything pandas does (after the strip) and a
+    # little more ('1d', '1.5f'); the regexes only run when the cast worked.
+    ok = s.rlike(NUMERIC_PATTERN) | s.rlike("(?i)" + SPECIAL_FLOATS)
+    return F.when(v.isNotNull() & ok, v)
 
 
 def truncate_int(col) -> Column:

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 # Characters for which Python's str.isspace() is true.
 PY_SPACE = (r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# The same set as plain characters, for trim functions.
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
 
 # Fixed values (must equal the reference): Sinhala letters and vowel signs the
 # classifier cleaner keeps besides word characters, in the reference's order.
@@ -100,8 +103,8 @@ def is_nonblank(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """Python ``str.strip()`` with its full whitespace set."""
-    return F.regexp_replace(_c(col), "^[" + PY_SPACE + "]+|[" + PY_SPACE + "]+\\z", "")
+    """Python ``str.strip()`` with its full whitespace set (scans the ends only)."""
+    return F.btrim(_c(col), F.lit(PY_SPACE_CHARS))
 
 
 # --- X4, X5, X9: report sanitising -------------------------------------------
@@ -111,9 +114,12 @@ def strip_emojis(col) -> Column:
     return F.regexp_replace(F.coalesce(_c(col), F.lit("")), "[" + EMOJI_CLASS + "]", "")
 
 
+CONTROL_CHARS = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20)])
+
+
 def control_to_space(col) -> Column:
-    """X5."""
-    return F.regexp_replace(_c(col), "[" + CONTROL_CLASS + "]", " ")
+    """X5 (a character map, no regex)."""
+    return F.translate(_c(col), CONTROL_CHARS, " " * len(CONTROL_CHARS))
 
 
 def _collapse_blanks(s: Column) -> Column:
@@ -121,8 +127,11 @@ def _collapse_blanks(s: Column) -> Column:
 
 
 def sanitize_text(col) -> Column:
-    """Emojis and control characters out, keep-set only, blanks collapsed, stripped."""
-    s = control_to_space(strip_emojis(col))
+    """Emojis and control characters out, keep-set only, blanks collapsed, stripped.
+
+    Emojis lie outside the keep-set, so the keep-set filter removes them too.
+    """
+    s = control_to_space(F.coalesce(_c(col), F.lit("")))
     s = F.regexp_replace(s, "[^" + REPORT_KEEP_CLASS + "]", "")
     return py_strip(_collapse_blanks(s))
 
@@ -135,17 +144,30 @@ def sanitize_text(col) -> Column:
 PREFIX_NOISE = r"^[\s\S]*?((?:[\x{0D80}-\x{0DFF}]|[A-Za-z]{2})[\s\S]*)\z"
 
 
+PREFIX_CLEAN = r"^(?:[\x{0D80}-\x{0DFF}]|[A-Za-z]{2})"
+
+
 def strip_prefix_noise(col) -> Column:
-    """Drop everything before the first Sinhala character or 2+ Latin letters."""
-    return F.regexp_replace(_c(col), PREFIX_NOISE, "$1")
+    """Drop everything before the first Sinhala character or 2+ Latin letters.
+
+    Texts that already start that way (most) skip the rewrite.
+    """
+    s = _c(col)
+    return F.when(s.rlike(PREFIX_CLEAN), s).otherwise(F.regexp_replace(s, PREFIX_NOISE, "$1"))
+
+
+# Any junk pattern needs one of these literals; one scan decides whether the
+# eight ordered cuts have to run at all.
+SUFFIX_TRIGGER = r"(?iu)reverb_db|local_?message_?pe|direct\.db|fts\.db|crypto_db|omnistore_|enigma\.db|\(\("
 
 
 def strip_suffix_noise(col) -> Column:
     """For each junk pattern in order, cut at its first match and rstrip."""
     s = _c(col)
+    cut = s
     for pat in SUFFIX_JUNK:
-        s = F.regexp_replace(s, "(?iu)[" + PY_SPACE + "]*" + pat + r"[\s\S]*", "")
-    return s
+        cut = F.regexp_replace(cut, "(?iu)[" + PY_SPACE + "]*" + pat + r"[\s\S]*", "")
+    return F.when(s.rlike(SUFFIX_TRIGGER), cut).otherwise(s)
 
 
 # --- X6: bytes literals --------------------------------------------------------
@@ -158,37 +180,30 @@ def looks_like_bytes_literal(col) -> Column:
     return _c(col).rlike(BYTES_LITERAL)
 
 
-def _decode_bytes_literals(values):
-    import ast
-
-    out = []
-    for v in values:
-        if v is None:
-            out.append(None)
-            continue
-        try:
-            obj = ast.literal_eval(v)
-        except Exception:
-            out.append(v[2:].strip("\"'"))
-            continue
-        if isinstance(obj, (bytes, bytearray)):
-            out.append(obj.decode("utf-8", "ignore"))
-        else:
-            out.append(v)
-    return pd.Series(out, dtype=object)
-
-
 _bytes_udf = None
 
 
 def _get_bytes_udf():
+    """Arrow UDF; its body is self-contained so workers need no package import."""
     global _bytes_udf
     if _bytes_udf is None:
-        @F.pandas_udf("string")
         def decode_bytes_literal(s: pd.Series) -> pd.Series:
-            return _decode_bytes_literals(s)
-
-        _bytes_udf = decode_bytes_literal
+            import ast
+
+            def one(v):
+                if v is None:
+                    return None
+                try:
+                    obj = ast.literal_eval(v)
+                except Exception:
+                    return v[2:].strip("\"'")
+                if isinstance(obj, (bytes, bytearray)):
+                    return obj.decode("utf-8", "ignore")
+                return v
+
+            return s.map(one)
+
+        _bytes_udf = F.pandas_udf(decode_bytes_literal, "string")
     return _bytes_udf
 
 
@@ -221,7 +236,7 @@ def report_clean_plain(col) -> Column:
     s = strip_suffix_noise(s)
     s = F.translate(s, "_", " ")
     s = _collapse_blanks(s)
-    return F.regexp_replace(s, "^[ \n\r\t]+|[ \n\r\t]+\\z", "")
+    return F.btrim(s, F.lit(" \n\r\t"))
 
 
 # --- X11, X12: listing helpers ---------------------------------------------------

@@ -11,7 +11,7 @@ Free-text formats understood (pandas/dateutil results for these shapes):
 * ``YYYY-MM-DD`` or ``YYYY/MM/DD`` with optional ``[T ]HH:MM[:SS[.f]]`` and
   offset (the local date is kept, as pandas does);
 * ``A/B/YYYY``, ``A-B-YYYY``, ``A.B.YYYY`` (month first unless A > 12), with an
-  optional time;
+  optional time (separators are not required to agree);
 * ``YYYYMMDD`` and a bare ``YYYY`` (January 1st);
 * ``Mon[th] D[,] YYYY`` and ``D Mon[th] YYYY``.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .coerce import to_numeric
-from .text import PY_SPACE
+from .text import py_strip
 
 EPOCH_DAY = "1970-01-01"
 MS_PER_DAY = 86_400_000.0
@@ -51,7 +51,7 @@ REPORT_DATE_CANDIDATES = [
 
 _TIME = r"(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
 ISO_YMD = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME + r"\z"
-NUM_ABY = r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})" + _TIME + r"\z"
+NUM_ABY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME + r"\z"
 COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})\z"
 YEAR_ONLY = r"^([0-9]{4})\z"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -78,7 +78,7 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     y, m, d = y.cast("int"), m.cast("int"), d.cast("int")
     text = F.format_string("%04d-%02d-%02d", y, m, d)
     ok = (y >= 1677) & (y <= 2262)
-    return F.when(ok, F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(ok, F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def _month_no(name: Column) -> Column:
@@ -89,19 +89,42 @@ def _month_no(name: Column) -> Column:
     return expr
 
 
+# All shapes in one anchored alternation.  Groups: ISO y1 m2 d3 | A4 B5 y6 |
+# compact y7 m8 d9 | year y10 | Mon11 d12 y13 | d14 Mon15 y16.
+_MONS = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+DATE_SHAPES = (r"^(?:([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME
+               + r"|([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
+               + r"|([0-9]{4})([0-9]{2})([0-9]{2})"
+               + r"|([0-9]{4})"
+               + r"|(" + _MONS + r")(?i:[a-z]*)\.? ([0-9]{1,2}),? ([0-9]{4})"
+               + r"|([0-9]{1,2}) (" + _MONS + r")(?i:[a-z]*)\.?,? ([0-9]{4}))\z")
+SEP = "\u0001"
+# Canonical form: year | month | day | month name | A | B (empty when absent).
+DATE_CANON = "$1$6$7$10$13$16" + SEP + "$2$8" + SEP + "$3$9$12$14" + SEP + "$11$15" + SEP + "$4" + SEP + "$5"
+MAX_DATE_LEN = 64  # no understood shape is longer
+
+
+def _nz(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
 def text_to_date(col) -> Column:
-    """T4: free-text date (see module docstring) -> DateType or null."""
-    s = F.regexp_replace(_c(col), "^[" + PY_SPACE + "]+|[" + PY_SPACE + "]+\\z", "")
-    g = lambda pat, i: F.regexp_extract(s, pat, i)
-    a, b = g(NUM_ABY, 1).cast("int"), g(NUM_ABY, 3).cast("int")
-    month_first = a <= 12
-    return (F.when(s.rlike(ISO_YMD), _ymd(g(ISO_YMD, 1), g(ISO_YMD, 2), g(ISO_YMD, 3)))
-             .when(s.rlike(NUM_ABY), _ymd(g(NUM_ABY, 4), F.when(month_first, a).otherwise(b),
-                                          F.when(month_first, b).otherwise(a)))
-             .when(s.rlike(COMPACT), _ymd(g(COMPACT, 1), g(COMPACT, 2), g(COMPACT, 3)))
-             .when(s.rlike(YEAR_ONLY), _ymd(g(YEAR_ONLY, 1), F.lit(1), F.lit(1)))
-             .when(s.rlike(MON_D_Y), _ymd(g(MON_D_Y, 3), _month_no(g(MON_D_Y, 1)), g(MON_D_Y, 2)))
-             .when(s.rlike(D_MON_Y), _ymd(g(D_MON_Y, 3), _month_no(g(D_MON_Y, 2)), g(D_MON_Y, 1))))
+    """T4: free-text date (see module docstring) -> DateType or null.
+
+    One ``regexp_replace`` rewrites any understood shape into a canonical
+    ``y|m|d|mon|a|b`` string (unmatched groups are empty), so each value costs
+    one anchored regex pass whatever its shape.
+    """
+    s = py_strip(_c(col))
+    canon = F.regexp_replace(s, DATE_SHAPES, DATE_CANON)
+    parts = F.split(canon, SEP)
+    y, m, d, mon, a, b = (parts.getItem(i) for i in range(6))
+    ai, bi = a.try_cast("int"), b.try_cast("int")
+    month_first = ai <= 12
+    month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
+    day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
+    matched = (F.length(s) <= MAX_DATE_LEN) & (canon != s)
+    return F.when(matched, _ymd(y, month, day))
 
 
 def value_to_date(col, dtype: T.DataType | None = None) -> Column:
@@ -118,7 +141,7 @@ def _present(col, dtype, skip) -> Column:
     c = _c(col)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.isNotNull()
-    s = F.regexp_replace(c.cast("string"), "^[" + PY_SPACE + "]+|[" + PY_SPACE + "]+\\z", "")
+    s = py_strip(c.cast("string"))
     return c.isNotNull() & ~s.isin(*[F.lit(v) for v in skip])
 
 

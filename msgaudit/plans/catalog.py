@@ -14,8 +14,14 @@ from ..functions import text as X
 from ..functions.lexicon import keyword_hit
 from ..operators import rank as K
 from ..operators import stats as A
+from ..functions import timestamps as T
+from ..functions.coerce import fill_defaults, to_numeric, truncate_int
+from ..operators import columns as C
+from ..operators import dataset as M
 from ..operators.detect import detection_counts
-from .tables import platforms, read, scored_messages
+from ..session import spread
+from .tables import (event_log, labelled_sources, noisy_conversations, platforms, read,
+                     scored_messages)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -128,3 +134,274 @@ def q_keyword_flag(spark, sf):
 @query("content_hash")
 def q_content_hash(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256_hash"))
+
+
+@query("text_combine")
+def q_text_combine(spark, sf):
+    d = read(spark, sf, "documents").select(
+        F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"),
+        F.lit(None).cast("long").alias("turn"), X.combine_text(["text", "lang", "source"]).alias("combined"))
+    c = read(spark, sf, "conversations").select(
+        F.lit("conversations").alias("source_table"), F.col("conv_id").alias("row_id"), "turn",
+        X.combine_text(["role", "text"]).alias("combined"))
+    return d.unionByName(c).filter(F.col("combined") != "")
+
+
+@query("strip_emojis")
+def q_strip_emojis(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", X.strip_emojis("text").alias("stripped"))
+
+
+@query("control_chars")
+def q_control_chars(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.control_to_space(F.col("html")).alias("spaced"))
+
+
+@query("sanitize_text")
+def q_sanitize_text(spark, sf):
+    d = spread(read(spark, sf, "documents")).select(F.lit("documents").alias("source_table"),
+                                                    F.col("doc_id").alias("row_id"),
+                                                    X.sanitize_text("text").alias("sanitized"))
+    p = spread(read(spark, sf, "pages")).select(F.lit("pages").alias("source_table"), F.col("page_id").alias("row_id"),
+                                                X.sanitize_text("html").alias("sanitized"))
+    return d.unionByName(p)
+
+
+@query("prefix_noise")
+def q_prefix_noise(spark, sf):
+    return noisy_conversations(spark, sf).select("conv_id", "turn", X.strip_prefix_noise(F.col("noisy")).alias("result"))
+
+
+@query("suffix_noise")
+def q_suffix_noise(spark, sf):
+    return noisy_conversations(spark, sf).select("conv_id", "turn", X.strip_suffix_noise(F.col("noisy")).alias("result"))
+
+
+@query("report_clean")
+def q_report_clean(spark, sf):
+    n = spread(noisy_conversations(spark, sf))
+    return n.select("conv_id", "turn", X.report_clean(F.col("noisy")).alias("result"))
+
+
+@query("bytes_literal")
+def q_bytes_literal(spark, sf):
+    d = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    hexed = F.concat(F.lit("b'"), F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "\\\\x$1"), F.lit("'"))
+    mismatched = F.concat(F.lit('b"'), F.col("text"), F.lit("'"))
+    a = d.select("doc_id", F.lit("hex").alias("variant"), hexed.alias("payload"))
+    b = d.select("doc_id", F.lit("fallback").alias("variant"), mismatched.alias("payload"))
+    u = a.unionByName(b)
+    return u.select("doc_id", "variant", X.bytes_literal_to_text(F.col("payload")).alias("decoded"))
+
+
+@query("soft_wrap")
+def q_soft_wrap(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.soft_wrap("url").alias("wrapped"))
+
+
+@query("code_blobs")
+def q_code_blobs(spark, sf):
+    d = read(spark, sf, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"),
+                                            X.reduce_code_blobs("text").alias("reduced"))
+    p = read(spark, sf, "pages").select(F.lit("pages").alias("source_table"), F.col("page_id").alias("row_id"),
+                                        X.reduce_code_blobs("html").alias("reduced"))
+    return d.unionByName(p)
+
+
+@query("handle_normalise")
+def q_handle_normalise(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.normalise_handle(F.col("url")).alias("handle"))
+
+
+@query("name_from_path")
+def q_name_from_path(spark, sf):
+    p = read(spark, sf, "pages")
+    path = F.concat(F.regexp_replace("url", r"[?#][\s\S]*", ""), F.lit(".db"))
+    return p.select("page_id", X.name_from_path(path).alias("name"))
+
+
+# --- dates ---------------------------------------------------------------------------
+
+def _epoch_strings(e):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return e.select("event_id", "ts", us.alias("us"), secs.cast("string").alias("s_str"),
+                    F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ms_str"), us.cast("string").alias("us_str"),
+                    F.concat(secs.cast("string"), F.lit("."),
+                             F.lpad(F.pmod(us, F.lit(1000000)).cast("string"), 6, "0")).alias("frac_str"))
+
+
+@query("epoch_parse")
+def q_epoch_parse(spark, sf):
+    e = _epoch_strings(read(spark, sf, "events"))
+    fmt = lambda c: F.date_format(T.epoch_to_date(to_numeric(F.col(c))), "yyyy-MM-dd")
+    return e.select("event_id", fmt("s_str").alias("d_s"), fmt("ms_str").alias("d_ms"),
+                    fmt("us_str").alias("d_us"), fmt("frac_str").alias("d_frac"))
+
+
+@query("first_datetime")
+def q_first_datetime(spark, sf):
+    e = _epoch_strings(read(spark, sf, "events"))
+    k = F.pmod(F.col("event_id"), F.lit(8))
+    opts = [F.col("ms_str"), F.col("s_str"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+            F.date_format("ts", "MM/dd/yyyy"), F.date_format("ts", "dd/MM/yyyy"), F.lit("0"), F.lit("None"),
+            F.date_format("ts", "MMM d, yyyy")]
+    sent = None
+    for i, o in enumerate(opts):
+        sent = F.when(k == i, o) if sent is None else sent.when(k == i, o)
+    d = spread(e).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
+    return d.select("event_id", "sent", T.nice_date(["sent", "received"], d.schema).alias("date_time"))
+
+
+@query("msg_datetime")
+def q_msg_datetime(spark, sf):
+    o = read(spark, sf, "orders")
+    k = F.pmod(F.col("o_orderkey"), F.lit(3))
+    created = (F.when(k == 0, F.lit("-")).when(k == 1, F.date_format("o_orderdate", "dd MMM yyyy"))
+                .otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")))
+    d = spread(o).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
+    return d.select("o_orderkey", T.message_date(d.columns, d.schema).alias("msg_date"))
+
+
+@query("date_time_combo")
+def q_date_time_combo(spark, sf):
+    o = read(spark, sf, "orders")
+    day = F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, F.date_format("o_orderdate", "yyyy-MM-dd")) \
+           .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    d = o.select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
+    combo = T.first_date([], d.schema, combo=("date", "time"))
+    return d.select("o_orderkey", F.coalesce(F.date_format(combo, "yyyy-MM-dd"), F.lit("-")).alias("combo_date"))
+
+
+# --- coercion and defaults --------------------------------------------------------------
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, sf):
+    e = read(spark, sf, "events")
+    k = F.regexp_extract("props", '"k": ([^}]*)', 1)
+    m = F.pmod(F.col("event_id"), F.lit(6))
+    raw = (F.when(m == 0, F.concat(k, F.lit("x"))).when(m == 1, F.concat(F.lit(" "), k, F.lit(" ")))
+            .when(m == 2, F.concat(k, F.lit(".75"))).when(m == 3, F.concat(F.lit("-"), k, F.lit("e1")))
+            .when(m == 4, F.concat(k, F.lit("d"))).otherwise(k))
+    d = e.select("event_id", raw.alias("raw"))
+    num = to_numeric(F.col("raw"))
+    return d.select("event_id", "raw", num.alias("num"), truncate_int(num).alias("int_val"))
+
+
+@query("fill_defaults")
+def q_fill_defaults(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    j = d.join(read(spark, sf, "labels"), "doc_id", "left")
+    pred = j.select("doc_id", F.when(F.col("quality") == 0, F.lit(None)).otherwise(F.col("text")).alias("text"),
+                    F.col("toxic").cast("string").alias("predicted_label"),
+                    F.when(F.col("toxic").isNull(), F.lit(None)).otherwise(F.col("quality").cast("double"))
+                     .alias("confidence"),
+                    F.col("source").alias("source_database"), F.col("lang").alias("source_table"))
+    f = fill_defaults(pred)
+    return f.select("doc_id", F.length("text").alias("text_len"), "predicted_label", "confidence",
+                    "source_database", "source_table")
+
+
+# --- columns, union, flattening ------------------------------------------------------------
+
+def _evidence_tables(spark, sf):
+    names = ["documents", "conversations", "benchmark", "pages", "orders"]
+    out = [C.EvidenceTable(read(spark, sf, n), f"{n}.parquet", n) for n in names]
+    out.append(C.EvidenceTable(event_log(spark, sf), "events.parquet", "event_log"))
+    return out
+
+
+@query("role_projection")
+def q_role_projection(spark, sf):
+    t = C.extract_table(C.EvidenceTable(read(spark, sf, "orders"), "orders.parquet", "orders"))
+    return t.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query("union_by_name")
+def q_union_by_name(spark, sf):
+    return C.union_by_name([read(spark, sf, n) for n in ("documents", "conversations", "benchmark")])
+
+
+@query("extract_flatten")
+def q_extract_flatten(spark, sf):
+    return C.flatten_tables([C.extract_table(t) for t in _evidence_tables(spark, sf)])
+
+
+@query("first_present_column")
+def q_first_present_column(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("database"),
+                                            F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
+    db_col = C.first_present(d.columns, ["database_file", "file", "database", "db"], 0)
+    hash_col = C.first_present(d.columns, ["sha256_hash", "sha256", "hash", "sha_256"], 1)
+    return d.select("doc_id", X.soft_wrap(db_col).alias("database_cell"), X.soft_wrap(hash_col).alias("hash_cell"))
+
+
+# --- labelled dataset --------------------------------------------------------------------
+
+def _merged(spark, sf):
+    s1, s2, s3 = labelled_sources(spark, sf)
+    return M.merge_labelled([M.from_verdicts(s1, keep=["doc_id"]), M.from_numeric_labels(s2, keep=["doc_id"]),
+                             M.from_numeric_labels(s3, keep=["doc_id"])])
+
+
+@query("label_merge")
+def q_label_merge(spark, sf):
+    return _merged(spark, sf).select("doc_id", "text", "label")
+
+
+@query("class_balance")
+def q_class_balance(spark, sf):
+    return A.class_balance(_merged(spark, sf), "label")
+
+
+@query("split")
+def q_split(spark, sf):
+    return M.assign_fold(_merged(spark, sf), "text").select("doc_id", "label", "fold")
+
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    f = M.assign_fold(_merged(spark, sf), "text")
+    f = f.withColumn("pred", keyword_hit(F.col("text")).cast("int"))
+    return A.accuracy(f, "pred", "label", ["fold"])
+
+
+# --- modes and handles ---------------------------------------------------------------------
+
+@query("mode_nonempty")
+def q_mode_nonempty(spark, sf):
+    parts = [(read(spark, sf, "conversations"), "role"), (read(spark, sf, "documents"), "lang"),
+             (read(spark, sf, "events"), "event_type")]
+    out = None
+    for df, col in parts:
+        m = A.mode_nonempty(df, [col])
+        out = m if out is None else out.unionByName(m)
+    return out.select(F.col("column").alias("column_name"), "value", "n")
+
+
+# Fixed values (must equal the reference): columns that may hold the account
+# name, in the order they are tried.
+HANDLE_CANDIDATES = ["username", "user_name", "sender_username", "profile_username", "handle", "owner_username",
+                     "author", "author_name", "sender", "sender_name", "from", "from_name", "profile_name",
+                     "account_name", "screen_name", "name", "full_name"]
+
+
+def _handles(spark, sf):
+    d = read(spark, sf, "documents")
+    frame = d.select(F.col("source").alias("platform"),
+                     F.when(F.col("lang") == "de", F.concat(F.lit("@"), F.col("lang"))).otherwise(F.lit(""))
+                      .alias("username"),
+                     F.col("lang").alias("author"))
+    m = A.first_candidate_mode(frame, HANDLE_CANDIDATES, ["platform"])
+    return m.select("platform", F.col("column").alias("column_name"), X.normalise_handle(F.col("value")).alias("handle"))
+
+
+@query("infer_handle")
+def q_infer_handle(spark, sf):
+    return _handles(spark, sf)
+
+
+@query("platform_summary")
+def q_platform_summary(spark, sf):
+    stats = A.platform_stats(scored_messages(spark, sf), "platform")
+    return stats.join(_handles(spark, sf).select("platform", "handle"), "platform", "left")

@@ -230,3 +230,333 @@ def _():
 @oracle("content_hash")
 def _():
     return "SELECT doc_id, sha256(text) AS sha256_hash FROM documents"
+
+
+# --- more text operators ----------------------------------------------------------------
+
+NONBLANK = "[^" + X.PY_SPACE + "]"
+
+
+def combine(cols: list[str]) -> str:
+    return "concat_ws(' | ', " + ", ".join(f"CASE WHEN regexp_matches({c}, {lit(NONBLANK)}) THEN {c} END"
+                                          for c in cols) + ")"
+
+
+@oracle("text_combine")
+def _():
+    return (f"SELECT * FROM (SELECT 'documents' AS source_table, doc_id AS row_id, CAST(NULL AS BIGINT) AS turn, "
+            f"{combine(['text', 'lang', 'source'])} AS combined FROM documents UNION ALL "
+            f"SELECT 'conversations', conv_id, turn, {combine(['role', 'text'])} FROM conversations) "
+            f"WHERE combined <> ''")
+
+
+@oracle("strip_emojis")
+def _():
+    return f"SELECT doc_id, {strip_emojis('text')} AS stripped FROM documents"
+
+
+@oracle("control_chars")
+def _():
+    return f"SELECT page_id, {ctrl('html')} AS spaced FROM pages"
+
+
+@oracle("sanitize_text")
+def _():
+    return (f"SELECT 'documents' AS source_table, doc_id AS row_id, {sanitize('text')} AS sanitized FROM documents "
+            f"UNION ALL SELECT 'pages', page_id, {sanitize('html')} FROM pages")
+
+
+NOISY = """noisy AS (SELECT conv_id, turn,
+  CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(conv_id AS VARCHAR) || ' ' ELSE '* ' END || text ||
+  CASE (conv_id + turn) % 9 WHEN 0 THEN '' WHEN 1 THEN ' fts.db messages_content x' WHEN 2 THEN ' reverb_db_1'
+    WHEN 3 THEN ' local_message_pe' WHEN 4 THEN ' direct.db  messages' WHEN 5 THEN ' crypto_db9'
+    WHEN 6 THEN ' omnistore_x' WHEN 7 THEN ' enigma.db' ELSE chr(10) || '((0 B))' END AS noisy
+  FROM conversations)"""
+
+
+@oracle("prefix_noise")
+def _():
+    return f"WITH {NOISY} SELECT conv_id, turn, {prefix_noise('noisy')} AS result FROM noisy"
+
+
+@oracle("suffix_noise")
+def _():
+    return f"WITH {NOISY} SELECT conv_id, turn, {suffix_noise('noisy')} AS result FROM noisy"
+
+
+@oracle("report_clean")
+def _():
+    return f"WITH {NOISY} SELECT conv_id, turn, {report_clean('noisy')} AS result FROM noisy"
+
+
+@oracle("bytes_literal")
+def _():
+    # A hex-escaped literal decodes back to the text; a literal with
+    # mismatched quotes fails to parse and keeps s[2:] stripped of quotes.
+    return ("SELECT doc_id, 'hex' AS variant, text AS decoded FROM documents UNION ALL "
+            "SELECT doc_id, 'fallback', trim(text || '''', '\"''') FROM documents")
+
+
+@oracle("soft_wrap")
+def _():
+    return f"SELECT page_id, {rr('coalesce(url, ' + lit('') + ')', r'([\\/_-])', chr(92) + '1' + chr(0x200B))} AS wrapped FROM pages"
+
+
+@oracle("code_blobs")
+def _():
+    return (f"SELECT 'documents' AS source_table, doc_id AS row_id, {code_blobs('text')} AS reduced FROM documents "
+            f"UNION ALL SELECT 'pages', page_id, {code_blobs('html')} FROM pages")
+
+
+def py_strip_sql(e: str) -> str:
+    return py_strip(e)
+
+
+def handle(e: str) -> str:
+    u = py_strip_sql(e)
+    u = rr(u, '^"+|"+\\z', "")
+    u = rr(u, "^'+|'+\\z", "")
+    u = f"regexp_replace({u}, '^@', '')"
+    return (f"(CASE WHEN contains({u}, '/') THEN regexp_extract({rr(u, '/+' + chr(92) + 'z', '')}, "
+            f"'[^/]*\\z', 0) ELSE {u} END)")
+
+
+@oracle("handle_normalise")
+def _():
+    return f"SELECT page_id, {handle('url')} AS handle FROM pages"
+
+
+@oracle("name_from_path")
+def _():
+    path = f"({rr('url', r'[?#][\s\S]*', '')} || '.db')"
+    return f"SELECT page_id, regexp_extract({path}, {lit(X.NAME_FROM_PATH)}, 1) AS name FROM pages"
+
+
+# --- dates ---------------------------------------------------------------------------------
+
+from ..functions import coerce as D  # noqa: E402
+from ..functions import timestamps as T  # noqa: E402
+
+
+def numeric(e: str) -> str:
+    s = py_strip(e)
+    return (f"(CASE WHEN regexp_matches({e}, {lit(D.NUMERIC_PATTERN)}) THEN TRY_CAST({s} AS DOUBLE) "
+            f"WHEN regexp_matches({e}, {lit('(?i)' + D.SPECIAL_FLOATS)}) THEN TRY_CAST(lower({s}) AS DOUBLE) END)")
+
+
+def epoch_date(x: str) -> str:
+    return (f"(CASE WHEN ({x}) >= 1e12 AND ({x}) <= {T.MS_MAX!r} THEN DATE '1970-01-01' + "
+            f"CAST(floor(({x}) / 86400000.0) AS INTEGER) "
+            f"WHEN ({x}) >= 1e9 AND ({x}) <= {T.S_MAX!r} THEN DATE '1970-01-01' + "
+            f"CAST(floor(({x}) / 86400.0) AS INTEGER) END)")
+
+
+def ymd(y: str, m: str, d: str) -> str:
+    y, m, d = (f"TRY_CAST({v} AS INTEGER)" for v in (y, m, d))
+    return (f"(CASE WHEN {y} BETWEEN 1677 AND 2262 THEN "
+            f"CAST(try_strptime(printf('%04d-%02d-%02d', {y}, {m}, {d}), '%Y-%m-%d') AS DATE) END)")
+
+
+def month_no(e: str) -> str:
+    return "(CASE lower(" + e + ") " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(T.MONTHS, 1)) + " END)"
+
+
+def text_date(e: str) -> str:
+    s = py_strip(e)
+    g = lambda pat, i: f"regexp_extract({s}, {lit(pat)}, {i})"
+    m = lambda pat: f"regexp_matches({s}, {lit(pat)})"
+    a, b = f"TRY_CAST({g(T.NUM_ABY, 1)} AS INTEGER)", f"TRY_CAST({g(T.NUM_ABY, 2)} AS INTEGER)"
+    return (f"(CASE WHEN {m(T.ISO_YMD)} THEN {ymd(g(T.ISO_YMD, 1), g(T.ISO_YMD, 2), g(T.ISO_YMD, 3))} "
+            f"WHEN {m(T.NUM_ABY)} THEN {ymd(g(T.NUM_ABY, 3), f'CASE WHEN {a} <= 12 THEN {a} ELSE {b} END', f'CASE WHEN {a} <= 12 THEN {b} ELSE {a} END')} "
+            f"WHEN {m(T.COMPACT)} THEN {ymd(g(T.COMPACT, 1), g(T.COMPACT, 2), g(T.COMPACT, 3))} "
+            f"WHEN {m(T.YEAR_ONLY)} THEN {ymd(g(T.YEAR_ONLY, 1), '1', '1')} "
+            f"WHEN {m(T.MON_D_Y)} THEN {ymd(g(T.MON_D_Y, 3), month_no(g(T.MON_D_Y, 1)), g(T.MON_D_Y, 2))} "
+            f"WHEN {m(T.D_MON_Y)} THEN {ymd(g(T.D_MON_Y, 3), month_no(g(T.D_MON_Y, 2)), g(T.D_MON_Y, 1))} END)")
+
+
+def value_date(e: str) -> str:
+    return f"coalesce({epoch_date(numeric(e))}, {text_date(e)})"
+
+
+def present(e: str, skip: list[str]) -> str:
+    return f"({e} IS NOT NULL AND {py_strip(e)} NOT IN ({', '.join(lit(v) for v in skip)}))"
+
+
+def first_date(cols: list[str], skip: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {present(c, skip)} THEN {value_date(c)} END" for c in cols) + ")"
+
+
+EPOCHS = """ep AS (SELECT event_id, ts, epoch_us(ts) AS us, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS s_str,
+  CAST(epoch_us(ts) // 1000 AS VARCHAR) AS ms_str, CAST(epoch_us(ts) AS VARCHAR) AS us_str,
+  CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') AS frac_str
+  FROM events)"""
+
+
+@oracle("epoch_parse")
+def _():
+    f = lambda c: f"strftime({epoch_date(numeric(c))}, '%Y-%m-%d')"
+    return (f"WITH {EPOCHS} SELECT event_id, {f('s_str')} AS d_s, {f('ms_str')} AS d_ms, {f('us_str')} AS d_us, "
+            f"{f('frac_str')} AS d_frac FROM ep")
+
+
+@oracle("first_datetime")
+def _():
+    return (f"WITH {EPOCHS}, d AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN ms_str WHEN 1 THEN s_str "
+            f"WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(ts, '%m/%d/%Y') "
+            f"WHEN 4 THEN strftime(ts, '%d/%m/%Y') WHEN 5 THEN '0' WHEN 6 THEN 'None' "
+            f"ELSE strftime(ts, '%b %-d, %Y') END AS sent, strftime(ts, '%Y%m%d') AS received FROM ep) "
+            f"SELECT event_id, sent, coalesce(strftime({first_date(['sent', 'received'], T.SKIP_VALUES)}, '%Y-%m-%d'), '-') "
+            f"AS date_time FROM d")
+
+
+@oracle("msg_datetime")
+def _():
+    return ("WITH d AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '-' WHEN 1 THEN strftime(o_orderdate, "
+            "'%d %b %Y') ELSE CAST(epoch_us(o_orderdate) // 1000 AS VARCHAR) END AS created_at, "
+            "strftime(o_orderdate, '%Y/%m/%d') AS date FROM orders) "
+            f"SELECT o_orderkey, coalesce(strftime({first_date(['created_at', 'date'], T.SKIP_VALUES_REPORT)}, "
+            f"'%d/%m/%Y'), '-') AS msg_date FROM d")
+
+
+@oracle("date_time_combo")
+def _():
+    return ("WITH d AS (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') "
+            "ELSE strftime(o_orderdate, '%m/%d/%Y') END AS date, strftime(o_orderdate, '%H:%M:%S') AS time "
+            "FROM orders) "
+            f"SELECT o_orderkey, coalesce(strftime({text_date(chr(39) + chr(39) + ' || concat_ws(' + chr(39) + ' ' + chr(39) + ', date, time)')}, '%Y-%m-%d'), '-') "
+            "AS combo_date FROM d")
+
+
+# --- coercion and defaults -------------------------------------------------------------------
+
+@oracle("coerce_numeric")
+def _():
+    return ("""WITH d AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN k || 'x' WHEN 1 THEN ' ' || k || ' '
+      WHEN 2 THEN k || '.75' WHEN 3 THEN '-' || k || 'e1' WHEN 4 THEN k || 'd' ELSE k END AS raw
+      FROM (SELECT event_id, regexp_extract(props, '"k": ([^}]*)', 1) AS k FROM events)),
+    n AS (SELECT event_id, raw, """ + numeric("raw") + """ AS num FROM d)
+    SELECT event_id, raw, num, TRY_CAST(trunc(num) AS INTEGER) AS int_val FROM n""")
+
+
+@oracle("fill_defaults")
+def _():
+    return ("WITH j AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN NULL ELSE d.text END AS text, "
+            "CAST(l.toxic AS VARCHAR) AS predicted_label, "
+            "CASE WHEN l.toxic IS NULL THEN NULL ELSE CAST(l.quality AS DOUBLE) END AS confidence, "
+            "d.source AS source_database, d.lang AS source_table FROM documents d LEFT JOIN labels l "
+            "ON d.doc_id = l.doc_id) "
+            f"SELECT doc_id, length(coalesce(text, '')) AS text_len, "
+            f"coalesce(TRY_CAST(trunc({numeric('predicted_label')}) AS INTEGER), 0) AS predicted_label, "
+            f"coalesce(confidence, CAST(0 AS DOUBLE)) AS confidence, coalesce(source_database, '') AS source_database, "
+            f"coalesce(source_table, '') AS source_table FROM j")
+
+
+# --- columns, union, flattening ---------------------------------------------------------------
+
+@oracle("role_projection")
+def _():
+    return ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
+            "o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS date_time, 'orders.parquet' AS source_database, "
+            "'orders' AS source_table FROM orders")
+
+
+@oracle("union_by_name")
+def _():
+    return ("SELECT * FROM documents UNION ALL BY NAME SELECT * FROM conversations "
+            "UNION ALL BY NAME SELECT * FROM benchmark")
+
+
+@oracle("extract_flatten")
+def _():
+    def part(tbl, src, pieces, dt):
+        return (f"SELECT {combine(pieces) if pieces else chr(39) * 2} AS text, {dt} AS date_time, "
+                f"'{src}.parquet' AS source_database, '{tbl}' AS source_table FROM {src}")
+    ev = ("(SELECT event_id, props AS content, epoch_us(ts) // 1000 AS timestamp_ms, event_type AS kind FROM events) AS events")
+    ev_dt = f"coalesce(strftime({first_date(['CAST(timestamp_ms AS VARCHAR)'], T.SKIP_VALUES)}, '%Y-%m-%d'), '-')"
+    parts = [part("documents", "documents", ["text"], "'-'"), part("conversations", "conversations", ["text"], "'-'"),
+             part("benchmark", "benchmark", ["text"], "'-'"), part("pages", "pages", [], "'-'"),
+             part("orders", "orders", [], "strftime(o_orderdate, '%Y-%m-%d')"),
+             part("event_log", ev, ["content"], ev_dt).replace(f"'{ev}.parquet'", "'events.parquet'")]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE text <> ''"
+
+
+@oracle("first_present_column")
+def _():
+    wrap = lambda e: rr(f"coalesce({e}, '')", r"([\\/_-])", chr(92) + "1" + chr(0x200B))
+    return (f"SELECT doc_id, {wrap('source')} AS database_cell, {wrap('sha256(text)')} AS hash_cell FROM documents")
+
+
+# --- labelled dataset ----------------------------------------------------------------------
+
+MERGED = f"""j AS (SELECT d.doc_id, d.text, d.lang, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+s1 AS (SELECT doc_id, text AS Sentence, CASE WHEN toxic = 1 THEN 'Offensive' WHEN quality = 1 THEN 'Not offensive'
+        ELSE 'Unsure' END AS Hate_speech FROM j WHERE lang = 'en'),
+s2 AS (SELECT doc_id, text AS comment, CASE WHEN quality = 0 THEN 'n/a' ELSE CAST(toxic AS VARCHAR) END AS label
+        FROM j WHERE lang IN ('fr', 'de')),
+s3 AS (SELECT doc_id, text AS comment, CAST(toxic AS VARCHAR) || '.0' AS label FROM j WHERE lang = 'es'),
+merged AS (
+  SELECT doc_id, Sentence AS text, CASE Hate_speech WHEN 'Offensive' THEN 1 ELSE 0 END AS label FROM s1
+    WHERE Hate_speech IN ('Offensive', 'Not offensive')
+  UNION ALL SELECT doc_id, comment, TRY_CAST(trunc({numeric('label')}) AS INTEGER) FROM s2 WHERE {numeric('label')} IS NOT NULL
+  UNION ALL SELECT doc_id, comment, TRY_CAST(trunc({numeric('label')}) AS INTEGER) FROM s3 WHERE {numeric('label')} IS NOT NULL),
+clean AS (SELECT * FROM merged WHERE doc_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL),
+folded AS (SELECT *, CASE WHEN CAST('0x' || substr(md5('42:' || text), 1, 8) AS BIGINT) % 100 < 20
+           THEN 'validation' ELSE 'train' END AS fold FROM clean)"""
+
+
+@oracle("label_merge")
+def _():
+    return f"WITH {MERGED} SELECT doc_id, text, label FROM clean"
+
+
+@oracle("class_balance")
+def _():
+    return f"WITH {MERGED} SELECT label, count(*) AS count FROM clean GROUP BY label"
+
+
+@oracle("split")
+def _():
+    return f"WITH {MERGED} SELECT doc_id, label, fold FROM folded"
+
+
+@oracle("accuracy")
+def _():
+    return (f"WITH {MERGED} SELECT fold, count(*) AS n, avg(CASE WHEN CAST({kw_hit('text')} AS INTEGER) = label "
+            f"THEN 1.0 ELSE 0.0 END) AS accuracy FROM folded GROUP BY fold")
+
+
+# --- modes and handles ------------------------------------------------------------------------
+
+def mode_sql(tbl: str, col: str) -> str:
+    v = py_strip(col)
+    return (f"(SELECT '{col}' AS column_name, value, n FROM (SELECT {v} AS value, count(*) AS n FROM {tbl} "
+            f"WHERE {col} IS NOT NULL AND {v} <> '' GROUP BY 1) ORDER BY n DESC, value LIMIT 1)")
+
+
+@oracle("mode_nonempty")
+def _():
+    return " UNION ALL ".join([mode_sql("conversations", "role"), mode_sql("documents", "lang"),
+                               mode_sql("events", "event_type")])
+
+
+HANDLES = f"""f AS (SELECT source AS platform, CASE WHEN lang = 'de' THEN '@' || lang ELSE '' END AS username,
+    lang AS author FROM documents),
+st AS (SELECT platform, 'username' AS column_name, 0 AS prio, {py_strip('username')} AS value FROM f
+       UNION ALL SELECT platform, 'author', 1, {py_strip('author')} FROM f),
+c AS (SELECT platform, column_name, prio, value, count(*) AS n FROM st WHERE value IS NOT NULL AND value <> ''
+      GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY platform, column_name ORDER BY n DESC, value) AS rn FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY prio) AS r2 FROM m WHERE rn = 1),
+h AS (SELECT platform, column_name, {handle('value')} AS handle FROM b WHERE r2 = 1)"""
+
+
+@oracle("infer_handle")
+def _():
+    return f"WITH {HANDLES} SELECT platform, column_name, handle FROM h"
+
+
+@oracle("platform_summary")
+def _():
+    return (f"WITH {SCORED}, {HANDLES}, cnt AS (SELECT platform, count(*) AS total, "
+            f"count(*) FILTER (WHERE predicted_label = 1) AS hate FROM pred GROUP BY platform), "
+            f"s AS ({finish_stats('cnt')}) SELECT s.*, h.handle FROM s LEFT JOIN h ON s.platform = h.platform")

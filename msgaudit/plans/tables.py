@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import hybrid_label, label_table_scorer
-from ..session import table_path
+from ..session import spread, table_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as evidence messages: (doc_id, platform, text, lang)."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("platform"), "text", "lang")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("platform"), "text", "lang")
+    return spread(docs, "doc_id")
 
 
 def scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +33,56 @@ def scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The platform dimension: every source that has messages."""
     return read(spark, sf_dir, "documents").select(F.col("source").alias("platform")).distinct()
+
+
+# --- derived inputs (deterministic decorations of the driver tables) ------------------
+
+# Junk fragments appended to conversation turns so the report's
+# prefix/suffix rules have work to do (one per rule, plus none).
+NOISE_SUFFIXES = ["", " fts.db messages_content x", " reverb_db_1", " local_message_pe", " direct.db  messages",
+                  " crypto_db9", " omnistore_x", " enigma.db", "\n((0 B))"]
+
+
+def _pick(idx, options):
+    expr = None
+    for i, o in enumerate(options):
+        v = o if not isinstance(o, str) else F.lit(o)
+        expr = F.when(idx == i, v) if expr is None else expr.when(idx == i, v)
+    return expr
+
+
+def noisy_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations with evidence-style noise around every turn's text."""
+    c = read(spark, sf_dir, "conversations")
+    prefix = _pick(F.pmod(F.col("turn"), F.lit(3)), ["", F.concat(F.col("conv_id").cast("string"), F.lit(" ")), "* "])
+    suffix = _pick(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(NOISE_SUFFIXES))), NOISE_SUFFIXES)
+    return c.select("conv_id", "turn", F.concat(prefix, F.col("text"), suffix).alias("noisy"))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a message table: ``content`` text role, ``timestamp_ms`` time role."""
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", F.col("props").alias("content"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
+                    F.col("event_type").alias("kind"))
+
+
+def labelled_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three labelled sources in the reference's three shapes, from documents ⋈ labels.
+
+    The documents are split by language (every document lands in exactly one
+    source): English carries text verdicts, French/German numeric labels with
+    unusable values, Spanish numeric labels written as decimals.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lab = read(spark, sf_dir, "labels")
+    j = docs.join(lab, "doc_id", "inner")
+    verdict = (F.when(F.col("toxic") == 1, F.lit("Offensive"))
+                .when(F.col("quality") == 1, F.lit("Not offensive")).otherwise(F.lit("Unsure")))
+    s1 = j.filter(F.col("lang") == "en").select("doc_id", F.col("text").alias("Sentence"),
+                                                 verdict.alias("Hate_speech"))
+    s2 = j.filter(F.col("lang").isin("fr", "de")).select(
+        "doc_id", F.col("text").alias("comment"),
+        F.when(F.col("quality") == 0, F.lit("n/a")).otherwise(F.col("toxic").cast("string")).alias("label"))
+    s3 = j.filter(F.col("lang") == "es").select(
+        "doc_id", F.col("text").alias("comment"), F.concat(F.col("toxic").cast("string"), F.lit(".0")).alias("label"))
+    return [s1, s2, s3]

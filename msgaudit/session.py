@@ -84,3 +84,18 @@ def local_path(uri: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df, *keys):
+    """Give a CPU-heavy stage all cores when the scan yields too few splits.
+
+    A single-row-group parquet file is one task however large it is.  When the
+    input has fewer partitions than the cluster has cores, hash- (on ``keys``)
+    or round-robin-partition it to that many; a real multi-split input is
+    left alone, so at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
