@@ -175,3 +175,82 @@ def message_date(columns: list[str], schema: T.StructType | None = None) -> Colu
 def format_report_date(col) -> Column:
     """T6 ``format_ts``: ``DD/MM/YYYY`` or ``-``."""
     return F.coalesce(F.date_format(_c(col), "dd/MM/yyyy"), F.lit("-"))
+
+
+# --- DataFrame-level forms (each regex runs once per value) -----------------------------
+#
+# Spark does not share a subexpression that sits inside a conditional branch
+# (``when``/``coalesce``), so a Column-level parser re-runs its regex for each
+# part it reads.  These helpers first project the stripped value and its
+# canonical form as columns, then read the parts in the next projection;
+# Spark does not inline an expensive column that has several consumers.
+
+def _parts_date(canon: Column, stripped: Column) -> Column:
+    parts = F.split(canon, SEP)
+    y, m, d, mon, a, b = (F.try_element_at(parts, F.lit(i + 1)) for i in range(6))
+    ai, bi = a.try_cast("int"), b.try_cast("int")
+    month_first = ai <= 12
+    month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
+    day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
+    yi = y.try_cast("int")
+    ok = (canon != stripped) & (F.length(stripped) <= MAX_DATE_LEN) & (yi >= 1677) & (yi <= 2262)
+    return F.when(ok, F.to_date(F.try_make_timestamp(yi, month, day, F.lit(0), F.lit(0), F.lit(0))))
+
+
+def with_first_date(df, out: str, cols: list[str], skip=None, combo: tuple[str, str] | None = None,
+                    fmt: str | None = None, missing: str | None = None):
+    """T2/T3/T5 as a DataFrame transform: ``out`` = date of the first usable column.
+
+    ``fmt`` renders the date (``yyyy-MM-dd`` for the extractor, ``dd/MM/yyyy``
+    for the report) and ``missing`` replaces "no date" (``-``).
+    """
+    skip = SKIP_VALUES if skip is None else skip
+    types = {f.name: f.dataType for f in df.schema.fields}
+    strs, plain = [], []
+    for i, c in enumerate(cols):
+        dt = types.get(c)
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            plain.append((i, c, dt))
+        else:
+            strs.append((i, c, dt))
+    stage1 = {f"__s{i}": py_strip(F.col(f"`{c}`").cast("string")) for i, c, _ in strs}
+    if combo is not None:
+        d, t = combo
+        stage1["__sx"] = py_strip(F.concat_ws(" ", F.col(f"`{d}`").cast("string"), F.col(f"`{t}`").cast("string")))
+    tmp = list(stage1)
+    df = df.withColumns(stage1)
+    stage2 = {f"__c{i}": F.regexp_replace(F.col(f"__s{i}"), DATE_SHAPES, DATE_CANON) for i, _, _ in strs}
+    if combo is not None:
+        stage2["__cx"] = F.regexp_replace(F.col("__sx"), DATE_SHAPES, DATE_CANON)
+    tmp += list(stage2)
+    df = df.withColumns(stage2)
+    tries = {}
+    for i, c, dt in plain:
+        tries[i] = F.to_date(F.col(f"`{c}`")) if not isinstance(dt, T.DateType) else F.col(f"`{c}`")
+    for i, c, dt in strs:
+        st = F.col(f"__s{i}")
+        present = F.col(f"`{c}`").isNotNull() & ~st.isin(*[F.lit(v) for v in skip])
+        num = to_numeric(F.col(f"`{c}`"), dt) if isinstance(dt, T.NumericType) else to_numeric(st)
+        tries[i] = F.when(present, F.coalesce(epoch_to_date(num), _parts_date(F.col(f"__c{i}"), st)))
+    ordered = [tries[i] for i in range(len(cols))]
+    if combo is not None:
+        ordered.append(_parts_date(F.col("__cx"), F.col("__sx")))
+    res = F.coalesce(*ordered) if ordered else F.lit(None).cast("date")
+    if fmt is not None:
+        res = F.date_format(res, fmt)
+    if missing is not None:
+        res = F.coalesce(res, F.lit(missing))
+    return df.withColumn(out, res).drop(*tmp)
+
+
+def with_nice_date(df, out: str, cols: list[str]):
+    """The extractor's ``date_time`` (``YYYY-MM-DD`` or ``-``)."""
+    combo = ("date", "time") if ("date" in cols and "time" in cols) else None
+    return with_first_date(df, out, cols, combo=combo, fmt="yyyy-MM-dd", missing="-")
+
+
+def with_message_date(df, out: str):
+    """T5: the report's date over the fixed candidate columns (``DD/MM/YYYY`` or ``-``)."""
+    present = [c for c in REPORT_DATE_CANDIDATES if c in df.columns]
+    combo = ("date", "time") if ("date" in df.columns and "time" in df.columns) else None
+    return with_first_date(df, out, present, skip=SKIP_VALUES_REPORT, combo=combo, fmt="dd/MM/yyyy", missing="-")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import combine_text
-from ..functions.timestamps import nice_date
+from ..functions.timestamps import nice_date, with_nice_date
 
 # Fixed values (must equal the reference): a column is a text column when its
 # lower-cased name contains one of these words, a time column likewise.
@@ -75,9 +75,9 @@ def extract_table(t: EvidenceTable) -> DataFrame:
     df = t.df
     _, time, selected = role_columns(df.columns)
     proj = df.select(*[F.col(f"`{c}`") for c in selected])
-    dt = nice_date(time, proj.schema) if time else F.lit("-")
-    return proj.withColumns({"date_time": dt, "source_database": F.lit(t.source_database),
-                             "source_table": F.lit(t.source_table)})
+    # The reference overwrites any source column named date_time.
+    proj = with_nice_date(proj, "date_time", time) if time else proj.withColumn("date_time", F.lit("-"))
+    return proj.withColumns({"source_database": F.lit(t.source_database), "source_table": F.lit(t.source_table)})
 
 
 def union_by_name(dfs: list[DataFrame]) -> DataFrame:

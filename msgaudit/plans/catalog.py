@@ -233,7 +233,7 @@ def _epoch_strings(e):
 
 @query("epoch_parse")
 def q_epoch_parse(spark, sf):
-    e = _epoch_strings(read(spark, sf, "events"))
+    e = _epoch_strings(spread(read(spark, sf, "events")))
     fmt = lambda c: F.date_format(T.epoch_to_date(to_numeric(F.col(c))), "yyyy-MM-dd")
     return e.select("event_id", fmt("s_str").alias("d_s"), fmt("ms_str").alias("d_ms"),
                     fmt("us_str").alias("d_us"), fmt("frac_str").alias("d_frac"))
@@ -250,7 +250,7 @@ def q_first_datetime(spark, sf):
     for i, o in enumerate(opts):
         sent = F.when(k == i, o) if sent is None else sent.when(k == i, o)
     d = spread(e).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
-    return d.select("event_id", "sent", T.nice_date(["sent", "received"], d.schema).alias("date_time"))
+    return T.with_nice_date(d, "date_time", ["sent", "received"]).select("event_id", "sent", "date_time")
 
 
 @query("msg_datetime")
@@ -260,7 +260,7 @@ def q_msg_datetime(spark, sf):
     created = (F.when(k == 0, F.lit("-")).when(k == 1, F.date_format("o_orderdate", "dd MMM yyyy"))
                 .otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")))
     d = spread(o).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
-    return d.select("o_orderkey", T.message_date(d.columns, d.schema).alias("msg_date"))
+    return T.with_message_date(d, "msg_date").select("o_orderkey", "msg_date")
 
 
 @query("date_time_combo")
@@ -268,9 +268,9 @@ def q_date_time_combo(spark, sf):
     o = read(spark, sf, "orders")
     day = F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, F.date_format("o_orderdate", "yyyy-MM-dd")) \
            .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
-    d = o.select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
-    combo = T.first_date([], d.schema, combo=("date", "time"))
-    return d.select("o_orderkey", F.coalesce(F.date_format(combo, "yyyy-MM-dd"), F.lit("-")).alias("combo_date"))
+    d = spread(o).select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
+    d = T.with_first_date(d, "combo_date", [], combo=("date", "time"), fmt="yyyy-MM-dd", missing="-")
+    return d.select("o_orderkey", "combo_date")
 
 
 # --- coercion and defaults --------------------------------------------------------------
