@@ -405,3 +405,59 @@ def q_infer_handle(spark, sf):
 def q_platform_summary(spark, sf):
     stats = A.platform_stats(scored_messages(spark, sf), "platform")
     return stats.join(_handles(spark, sf).select("platform", "handle"), "platform", "left")
+
+
+# --- evidence files: fingerprints, archives, SQLite databases ---------------------------
+
+@query("binary_hash")
+def q_binary_hash(spark, sf):
+    from ..sources.files import hash_inventory, scan_files
+    from .evidence import build_databases
+
+    root, _ = build_databases(spark, sf)
+    return hash_inventory(scan_files(spark, root)).select("database_file", "sha256_hash", "platform", "length")
+
+
+@query("tar_members")
+def q_tar_members(spark, sf):
+    from ..sources.archive import database_listing, list_archives
+    from ..sources.files import basename
+    from .evidence import build_archives, build_databases
+
+    _, written = build_databases(spark, sf)
+    tars = build_archives(spark, written)
+    listing = database_listing(list_archives(spark, tars))
+    return listing.select(basename(F.col("archive")).alias("archive"), "member", "length")
+
+
+@query("sqlite_scan")
+def q_sqlite_scan(spark, sf):
+    from ..sources.files import scan_files
+    from ..sources.sqlite import scan_databases
+    from .evidence import build_databases
+
+    root, _ = build_databases(spark, sf)
+    scan = scan_databases(scan_files(spark, root))
+    return scan.filter(F.col("kind") == "catalog").select("source_database", "source_table", "n_rows")
+
+
+@query("parse_all")
+def q_parse_all(spark, sf):
+    from ..sources.sqlite import parse_all
+    from .evidence import build_databases
+
+    root, _ = build_databases(spark, sf)
+    return parse_all(spark, root).select("text", "date_time", "source_database", "source_table")
+
+
+@query("archive_parse")
+def q_archive_parse(spark, sf):
+    from ..sources.archive import list_archives, members_as_files, tar_members
+    from ..sources.sqlite import flatten_scan, scan_databases
+    from .evidence import build_archives, build_databases
+
+    _, written = build_databases(spark, sf)
+    tars = build_archives(spark, written)
+    members = members_as_files(tar_members(list_archives(spark, tars)))
+    flat = flatten_scan(scan_databases(members))
+    return flat.select("text", "date_time", "source_database", "source_table")

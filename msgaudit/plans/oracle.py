@@ -560,3 +560,35 @@ def _():
     return (f"WITH {SCORED}, {HANDLES}, cnt AS (SELECT platform, count(*) AS total, "
             f"count(*) FILTER (WHERE predicted_label = 1) AS hate FROM pred GROUP BY platform), "
             f"s AS ({finish_stats('cnt')}) SELECT s.*, h.handle FROM s LEFT JOIN h ON s.platform = h.platform")
+
+
+# --- evidence files ----------------------------------------------------------------------
+
+SHARDS = """sh AS (SELECT source, greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS k FROM documents GROUP BY source),
+dbs AS (SELECT d.doc_id, d.text, d.source || '_' || CAST(d.doc_id % sh.k AS VARCHAR) || '.db' AS source_database
+        FROM documents d JOIN sh ON d.source = sh.source)"""
+
+
+@oracle("sqlite_scan")
+def _():
+    return (f"WITH {SHARDS} SELECT source_database, 'messages' AS source_table, count(*) AS n_rows FROM dbs GROUP BY 1 "
+            f"UNION ALL SELECT source_database, 'counters', count(*) FROM dbs GROUP BY 1")
+
+
+def _parsed():
+    na = ", ".join(lit(v) for v in D.NA_LITERALS)
+    text = f"CASE WHEN text IN ({na}) THEN NULL ELSE text END"
+    return (f"WITH {SHARDS}, p AS (SELECT {combine([text])} AS text, "
+            f"strftime(DATE '1970-01-01' + CAST(floor((1700000000000 + doc_id * 60000) / 86400000.0) AS INTEGER), "
+            f"'%Y-%m-%d') AS date_time, source_database, 'messages' AS source_table FROM dbs) "
+            f"SELECT * FROM p WHERE text <> ''")
+
+
+@oracle("parse_all")
+def _():
+    return _parsed()
+
+
+@oracle("archive_parse")
+def _():
+    return _parsed()
