@@ -461,3 +461,37 @@ def q_archive_parse(spark, sf):
     members = members_as_files(tar_members(list_archives(spark, tars)))
     flat = flatten_scan(scan_databases(members))
     return flat.select("text", "date_time", "source_database", "source_table")
+
+
+# --- CSV round trip and the report's reload ------------------------------------------------
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources.csv import write_csv
+    from .report import load_predictions
+
+    pred = scored_messages(spark, sf).select(
+        "text", "predicted_label", "confidence", F.lit("-").alias("date_time"),
+        F.col("platform").alias("source_database"), F.lit("documents").alias("source_table"))
+    path = scratch_path(spark, "predictions-csv")
+    write_csv(pred, path)
+    return load_predictions(spark, path)
+
+
+# --- training and scoring -------------------------------------------------------------------
+
+@query("train_score")
+def q_train_score(spark, sf):
+    from ..operators import train as ML
+    from ..operators.detect import hybrid_label
+    from ..session import scratch_path
+    from .tables import messages
+
+    data = ML.prepare(M.assign_fold(_merged(spark, sf), "text"))
+    fitted = ML.fit_select(data.filter(F.col("fold") == "train"), data.filter(F.col("fold") == "validation"))
+    path = scratch_path(spark, "model")
+    ML.save(fitted.model, path)
+    scorer = ML.model_scorer(ML.load(path))
+    pred = hybrid_label(messages(spark, sf), scorer)
+    return pred.select("doc_id", "platform", "keyword_hit", "predicted_label", "confidence")

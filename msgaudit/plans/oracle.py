@@ -592,3 +592,11 @@ def _():
 @oracle("archive_parse")
 def _():
     return _parsed()
+
+
+@oracle("csv_roundtrip")
+def _():
+    na = ", ".join(lit(v) for v in D.NA_LITERALS)
+    return (f"WITH {SCORED} SELECT {report_clean(f'CASE WHEN text IN ({na}) THEN NULL ELSE text END')} AS text, "
+            f"predicted_label, confidence, '-' AS date_time, platform AS source_database, "
+            f"'documents' AS source_table FROM pred")
