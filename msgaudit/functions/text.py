@@ -42,7 +42,9 @@ CONTROL_CLASS = r"\x00-\x08\x0B\x0C\x0E-\x1F"
 
 # Characters a report keeps (tab, newline, CR, ASCII printable,
 # general punctuation block, Sinhala block); everything else is dropped.
-REPORT_KEEP_CLASS = r"\t\n\r A-Za-z\x{2000}-\x{206F}\x20-\x7E\x{0D80}-\x{0DFF}"
+REPORT_KEEP_CLASS = r"\x20-\x7E\t\n\r\x{2000}-\x{206F}\x{0D80}-\x{0DFF}"
+# (The reference also lists " " and A-Za-z, which lie inside \x20-\x7E; the
+# printable ASCII range comes first so most characters need one range test.)
 
 # Fixed values (must equal the reference): junk fragments that end a message
 # in the report, tried in this order, case-insensitively.  The text is cut at
@@ -111,7 +113,7 @@ def py_strip(col) -> Column:
 
 def strip_emojis(col) -> Column:
     """X4 (null -> '')."""
-    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), "[" + EMOJI_CLASS + "]", "")
+    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), "[" + EMOJI_CLASS + "]+", "")
 
 
 CONTROL_CHARS = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20)])
@@ -132,7 +134,7 @@ def sanitize_text(col) -> Column:
     Emojis lie outside the keep-set, so the keep-set filter removes them too.
     """
     s = control_to_space(F.coalesce(_c(col), F.lit("")))
-    s = F.regexp_replace(s, "[^" + REPORT_KEEP_CLASS + "]", "")
+    s = F.regexp_replace(s, "[^" + REPORT_KEEP_CLASS + "]+", "")
     return py_strip(_collapse_blanks(s))
 
 
@@ -180,19 +182,27 @@ def looks_like_bytes_literal(col) -> Column:
     return _c(col).rlike(BYTES_LITERAL)
 
 
-_bytes_udf = None
+_bytes_udfs: dict = {}
 
 
-def _get_bytes_udf():
-    """Arrow UDF; its body is self-contained so workers need no package import."""
-    global _bytes_udf
-    if _bytes_udf is None:
+def _get_bytes_udf(passthrough: bool = False):
+    """Arrow UDF; its body is self-contained so workers need no package import.
+
+    ``passthrough`` returns non-literals unchanged (used when the input is an
+    expression: it is then evaluated once, as the UDF argument).
+    """
+    if passthrough not in _bytes_udfs:
         def decode_bytes_literal(s: pd.Series) -> pd.Series:
             import ast
+            import re
+
+            lit_re = re.compile(r"b(?:['\"]|['\"].*['\"])", re.S)
 
             def one(v):
                 if v is None:
                     return None
+                if passthrough and not lit_re.fullmatch(v):
+                    return v
                 try:
                     obj = ast.literal_eval(v)
                 except Exception:
@@ -203,28 +213,33 @@ def _get_bytes_udf():
 
             return s.map(one)
 
-        _bytes_udf = F.pandas_udf(decode_bytes_literal, "string")
-    return _bytes_udf
+        _bytes_udfs[passthrough] = F.pandas_udf(decode_bytes_literal, "string")
+    return _bytes_udfs[passthrough]
 
 
-def bytes_literal_to_text(col) -> Column:
+def bytes_literal_to_text(col, gated: bool = True) -> Column:
     """``b'...'`` text (a SQLite BLOB printed by Python) back to UTF-8.
 
-    Parsed with ``ast.literal_eval`` (never ``eval``) in an Arrow UDF.  Only
-    rows that look like a literal are sent: everything else reaches the
-    worker as null, which costs a bit per row in the Arrow batch.
+    Parsed with ``ast.literal_eval`` (never ``eval``) in an Arrow UDF.  For a
+    plain column (``gated``) only rows that look like a literal are sent (the
+    others reach the worker as nulls); for a computed input (``gated=False``)
+    the value is sent once and returned unchanged unless it is a literal, so
+    the input expression is not evaluated again around the UDF.
     """
     s = _c(col)
-    decoded = _get_bytes_udf()(F.when(looks_like_bytes_literal(s), s))
-    return F.coalesce(decoded, s)
+    if gated:
+        decoded = _get_bytes_udf()(F.when(looks_like_bytes_literal(s), s))
+        return F.coalesce(decoded, s)
+    return _get_bytes_udf(passthrough=True)(s)
 
 
 # --- X10: the report's clean_text ----------------------------------------------
 
-def report_clean(col) -> Column:
+def report_clean(col, gated: bool = True) -> Column:
     """Bytes literal, emojis, controls, prefix noise, keep-set, suffix noise,
     underscores to spaces, blanks collapsed, stripped of `` \\n\\r\\t``."""
-    s = bytes_literal_to_text(F.coalesce(_c(col), F.lit("")))
+    c = _c(col)
+    s = F.coalesce(bytes_literal_to_text(c, gated), F.lit(""))
     return report_clean_plain(s)
 
 
@@ -232,7 +247,7 @@ def report_clean_plain(col) -> Column:
     """X10 for text known not to hold bytes literals (no Python worker)."""
     s = control_to_space(strip_emojis(col))
     s = strip_prefix_noise(s)
-    s = F.regexp_replace(s, "[^" + REPORT_KEEP_CLASS + "]", "")
+    s = F.regexp_replace(s, "[^" + REPORT_KEEP_CLASS + "]+", "")
     s = strip_suffix_noise(s)
     s = F.translate(s, "_", " ")
     s = _collapse_blanks(s)
@@ -287,3 +302,14 @@ def confidence_percent(conf: Column) -> Column:
     """``f"{conf*100:.1f}%"``; '-' when the value is missing."""
     v = F.bround(conf.cast("double") * F.lit(100.0), 1)
     return F.when(conf.isNull(), F.lit("-")).otherwise(F.concat(F.format_string("%.1f", v), F.lit("%")))
+
+
+def with_report_clean_twice(df, col: str, out: str):
+    """X10 applied on load and again on rendering, as the report does.
+
+    The first pass is projected as its own column so the second pass (whose
+    bytes-literal gate reads its input twice) does not recompute it.
+    """
+    tmp = f"__{out}_pass1"
+    return (df.withColumn(tmp, report_clean(F.col(col)))
+              .withColumn(out, report_clean(F.col(tmp), gated=False)).drop(tmp))

@@ -42,6 +42,7 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order: list, n: int,
 
 
 LOW_BITS = (1 << 33) - 1
+MAX_BROADCAST_SPANS = 1_000_000
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
@@ -67,7 +68,13 @@ def number_rows(df: DataFrame, group_cols: list[str], order: list, rank_col: str
     spans = local.groupBy("_part", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                     F.min("_idx").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    out = (local.join(spans.drop("_cnt"), ["_part", *group_cols], "inner")
+    spans = spans.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    # The span table has at most (tasks + groups) rows; broadcast it when that
+    # is checked to be small, so the numbered rows are not shuffled again.
+    if checkpoint:
+        spans = spans.checkpoint(eager=True)
+        if spans.count() <= MAX_BROADCAST_SPANS:
+            spans = F.broadcast(spans)
+    out = (local.join(spans, ["_part", *group_cols], "inner")
                 .withColumn(rank_col, (F.col("_idx") - F.col("_first") + F.col("_offset") + 1).cast("long")))
     return out.drop("_mid", "_part", "_idx", "_first", "_offset")

@@ -72,19 +72,15 @@ def q_chart_series(spark, sf):
 
 # --- ranked listings ---------------------------------------------------------------
 
-def _listing_text(col):
-    # The report cleans on load and again when it renders, then hides blobs.
-    return X.reduce_code_blobs(X.report_clean(X.report_clean(col)))
-
-
 @query("flagged_topn")
 def q_flagged_topn(spark, sf):
     flagged = scored_messages(spark, sf).filter(F.col("predicted_label") == 1)
     top = K.top_n(flagged, TOP_N, [F.desc("confidence"), F.asc("doc_id")])
     w = Window.orderBy(F.desc("confidence"), F.asc("doc_id"))  # over the n kept rows only
+    top = X.with_report_clean_twice(top, "text", "listing_text")
     return top.select(F.row_number().over(w).cast("long").alias("rank"), "doc_id", "platform",
                       X.confidence_percent(F.col("confidence")).alias("confidence_cell"),
-                      _listing_text(F.col("text")).alias("listing_text"))
+                      X.reduce_code_blobs(F.col("listing_text")).alias("listing_text"))
 
 
 @query("flagged_topn_platform")
@@ -106,11 +102,12 @@ def q_longest_texts(spark, sf):
 @query("all_texts")
 def q_all_texts(spark, sf):
     s = scored_messages(spark, sf).select("doc_id", "platform", "predicted_label", "text")
-    numbered = K.number_rows(s, ["platform"], [F.asc("doc_id")], "rank")
+    numbered = X.with_report_clean_twice(K.number_rows(s, ["platform"], [F.asc("doc_id")], "rank"),
+                                         "text", "listing_text")
     return numbered.select(
         "platform", "rank", "doc_id",
         F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"),
-        X.report_clean(X.report_clean(F.col("text"))).alias("listing_text"))
+        "listing_text")
 
 
 # --- scalar text operators -------------------------------------------------------------

@@ -14,14 +14,19 @@ from ..operators.detect import hybrid_label, label_table_scorer
 from ..session import spread, table_path
 
 
+# Tables whose rows carry long text: regex work on them is CPU-bound, so a scan
+# with fewer splits than cores is spread first (no-op on a multi-split input).
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as evidence messages: (doc_id, platform, text, lang)."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("platform"), "text", "lang")
-    return spread(docs, "doc_id")
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("platform"), "text", "lang")
 
 
 def scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
