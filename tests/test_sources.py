@@ -91,3 +91,23 @@ def test_tar_members(spark, tmp_path):
     assert listing == ["data/x/B.DB", "data/x/a.db"]
     flat = flatten_scan(scan_databases(members_as_files(tar_members(list_archives(spark, str(tar.parent))))))
     assert flat.filter(F.col("source_table") == "order").count() == 1
+
+
+def test_extract_and_detect_end_to_end(spark, tmp_path):
+    from msgaudit.operators.detect import label_table_scorer
+    from msgaudit.plans.jobs import extract_and_detect, report_relations
+
+    root = build(tmp_path)
+    labels = spark.createDataFrame([(0,)], "row_id long").withColumn("toxic", F.lit(0))
+    res = extract_and_detect(spark, root, label_table_scorer(labels, "row_id"), out_dir=str(tmp_path / "pred"),
+                             csv_dir=str(tmp_path / "csv"))
+    rows = {r.text: r for r in res.predictions.collect()}
+    assert rows["hello gon"].predicted_label == 1 and rows["hello gon"].confidence == 0.99
+    assert rows["plain"].predicted_label == 0
+    assert {r.platform for r in res.counts.collect()} == {"Facebook"}
+    plats = spark.createDataFrame([("Facebook",), ("Instagram",), ("Messenger",)], "platform string")
+    handles = spark.createDataFrame([("Facebook", "kim")], "platform string, handle string")
+    rel = report_relations(res.predictions, res.hashes, plats, handles)
+    summary = {r.platform: r for r in rel["summary"].collect()}
+    assert summary["Instagram"].total == 0 and summary["Facebook"].total == len(rows)
+    assert rel["flagged"].count() >= 1 and rel["all_texts"].count() == len(rows)
