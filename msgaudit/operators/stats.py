@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_pct_string, tenths_str
+from ..functions.text import count_pct_string, py_strip, tenths_str
 
 STAT_COLUMNS = ["total", "hate", "safe", "hate_pct", "safe_pct"]
 
@@ -113,7 +113,7 @@ def mode_nonempty(df: DataFrame, cols: list[str], group_cols: list[str] | None =
     stacked = None
     for c in cols:
         part = df.select(*group_cols, F.lit(c).alias("column"),
-                         F.trim(F.col(c).cast("string")).alias("value"))
+                         py_strip(F.col(c).cast("string")).alias("value"))
         stacked = part if stacked is None else stacked.unionByName(part)
     counts = (stacked.filter(F.col("value").isNotNull() & (F.col("value") != ""))
                      .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
@@ -141,3 +141,21 @@ def accuracy(df: DataFrame, pred_col: str, label_col: str, group_cols: list[str]
     return (df.groupBy(*(group_cols or []))
               .agg(F.count(F.lit(1)).alias("n"),
                    F.avg((F.col(pred_col) == F.col(label_col)).cast("double")).alias("accuracy")))
+
+
+def first_candidate_mode_frames(dfs: list[DataFrame], candidates: list[str]) -> DataFrame:
+    """A7 ``infer_device_from_dfs``: frames in order, candidates in order; the
+    first (frame, column) whose mode is non-empty wins.  One row (or none)."""
+    parts = []
+    for i, df in enumerate(dfs):
+        for j, c in enumerate(candidates):
+            if c in df.columns:
+                m = mode_nonempty(df, [c]).withColumn("prio", F.lit(i * len(candidates) + j))
+                parts.append(m)
+    if not parts:
+        raise ValueError("no candidate column in any frame")
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.agg(F.min_by(F.struct("column", "value"), "prio").alias("m")).select(
+        F.col("m.column").alias("column"), F.col("m.value").alias("value")).filter(F.col("value").isNotNull())

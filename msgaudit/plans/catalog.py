@@ -376,11 +376,7 @@ def q_mode_nonempty(spark, sf):
     return out.select(F.col("column").alias("column_name"), "value", "n")
 
 
-# Fixed values (must equal the reference): columns that may hold the account
-# name, in the order they are tried.
-HANDLE_CANDIDATES = ["username", "user_name", "sender_username", "profile_username", "handle", "owner_username",
-                     "author", "author_name", "sender", "sender_name", "from", "from_name", "profile_name",
-                     "account_name", "screen_name", "name", "full_name"]
+from .report import HANDLE_CANDIDATES  # noqa: E402
 
 
 def _handles(spark, sf):

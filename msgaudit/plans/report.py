@@ -17,6 +17,17 @@ from ..operators import stats as A
 from ..operators.columns import first_present
 from ..sources.csv import read_csv
 
+# Fixed values (must equal the reference): the report's platforms, in order.
+REPORT_PLATFORMS = ["Facebook", "Instagram", "Messenger"]
+
+# Fixed values (must equal the reference): columns that may hold the account
+# name, in the order they are tried; then columns that may name the device.
+HANDLE_CANDIDATES = ["username", "user_name", "sender_username", "profile_username", "handle", "owner_username",
+                     "author", "author_name", "sender", "sender_name", "from", "from_name", "profile_name",
+                     "account_name", "screen_name", "name", "full_name"]
+DEVICE_CANDIDATES = ["device_model", "device", "model", "phone_model", "product_model",
+                     "ro_product_model", "ro_product_name", "manufacturer", "device_name"]
+
 PREDICTION_SCHEMA = ("text string, predicted_label string, confidence string, date_time string, "
                      "source_database string, source_table string")
 
@@ -80,3 +91,30 @@ def chart_series(pred: DataFrame) -> DataFrame:
 def console_summary(pred: DataFrame) -> DataFrame:
     """Total / hate / safe per platform."""
     return A.hate_counts(pred, ["platform"]).withColumn("safe", F.col("total") - F.col("hate"))
+
+
+def report_platforms(spark: SparkSession) -> DataFrame:
+    """The fixed three-platform dimension of the summary table (R2)."""
+    return spark.createDataFrame([(p,) for p in REPORT_PLATFORMS], "platform string")
+
+
+def infer_handles(messages: DataFrame, group_cols: list[str] | None = None,
+                  order_col: str = "row_id") -> DataFrame:
+    """A7 ``infer_username`` per platform: the normalised mode of the first
+    candidate column that has one (X13); otherwise a database name found in
+    ``source_database`` (X14), first in row order."""
+    group_cols = list(group_cols or ["platform"])
+    named = A.first_candidate_mode(messages, HANDLE_CANDIDATES, group_cols)
+    named = named.select(*group_cols, X.normalise_handle(F.col("value")).alias("handle"))
+    if "source_database" not in messages.columns:
+        return named
+    name = X.name_from_path(F.col("source_database"))
+    by_path = (messages.select(*group_cols, name.alias("n"), F.col(order_col).alias("o")).filter(F.col("n") != "")
+                       .groupBy(*group_cols).agg(F.min_by("n", "o").alias("path_handle")))
+    return (by_path.join(named, group_cols, "full")
+                   .select(*group_cols, F.coalesce(F.col("handle"), F.col("path_handle")).alias("handle")))
+
+
+def infer_device(frames: list[DataFrame]) -> DataFrame:
+    """A7 ``infer_device_from_dfs``: at most one row (column, value)."""
+    return A.first_candidate_mode_frames(frames, DEVICE_CANDIDATES)

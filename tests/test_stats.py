@@ -48,3 +48,21 @@ def test_first_candidate_mode(spark):
     df = spark.createDataFrame([("p", "", "a"), ("p", "", "a"), ("q", "@z", "b")], "platform string, username string, author string")
     got = {r.platform: (r.column, r.value) for r in A.first_candidate_mode(df, ["username", "author"], ["platform"]).collect()}
     assert got == {"p": ("author", "a"), "q": ("username", "@z")}
+
+
+def test_infer_handles_with_path_fallback(spark):
+    from msgaudit.plans.report import infer_device, infer_handles
+    df = spark.createDataFrame([
+        ("p", "@joe", "x.db", 1), ("p", "@joe", "x.db", 2), ("q", None, "/data/q/msg_store.db", 1),
+        ("q", None, "/data/q/other_one.db", 0)], "platform string, username string, source_database string, row_id long")
+    got = {r.platform: r.handle for r in infer_handles(df).collect()}
+    assert got == {"p": "joe", "q": "other_one"}
+    d1 = spark.createDataFrame([("",)], "device string")
+    d2 = spark.createDataFrame([("Pixel",), ("Pixel",), ("X",)], "model string")
+    assert [tuple(r) for r in infer_device([d1, d2]).collect()] == [("model", "Pixel")]
+
+
+def test_mode_strips_unicode_whitespace(spark):
+    df = spark.createDataFrame([("　x\t",), ("x",), ("y",)], "v string")
+    r = A.mode_nonempty(df, ["v"]).collect()[0]
+    assert (r.value, r.n) == ("x", 2)
