@@ -102,11 +102,12 @@ def class_balance(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def mode_nonempty(df: DataFrame, cols: list[str], group_cols: list[str] | None = None) -> DataFrame:
-    """Most common trimmed non-empty value of each column (per group).
+    """Most common stripped non-empty value of each column (per group).
 
-    Ties go to the smallest value.  Two aggregations and a join on the
-    (small) per-column maxima; no window over a whole column, so a column with
-    billions of distinct values never lands in one task.
+    Ties go to the smallest value.  Counts per value are a partial-aggregated
+    ``groupBy``; the winner per column is one ``min_by`` over the key
+    ``(-count, value)``, so the input is read once and no column's distinct
+    values are ever gathered in one task.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + ["column"]
@@ -117,9 +118,8 @@ def mode_nonempty(df: DataFrame, cols: list[str], group_cols: list[str] | None =
         stacked = part if stacked is None else stacked.unionByName(part)
     counts = (stacked.filter(F.col("value").isNotNull() & (F.col("value") != ""))
                      .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
-    best = counts.groupBy(*keys).agg(F.max("n").alias("n"))
-    return (counts.join(best, keys + ["n"], "inner")
-                  .groupBy(*keys).agg(F.min("value").alias("value"), F.first("n").alias("n")))
+    order = F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))
+    return counts.groupBy(*keys).agg(F.min_by("value", order).alias("value"), F.max("n").alias("n"))
 
 
 def first_candidate_mode(df: DataFrame, candidates: list[str], group_cols: list[str] | None = None) -> DataFrame:

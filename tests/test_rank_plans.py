@@ -43,3 +43,25 @@ def test_python_only_where_expected(spark):
     p = plan(d)
     # the only Python node is the lexicon automaton (ArrowEvalPython)
     assert p.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in p
+
+
+def test_hot_platform_numbering_is_split(spark):
+    """One platform holds a third of the rows: numbering stays exact and the hot
+    platform is spread over several range partitions (no single hot task)."""
+    d = messages(spark, "/root/testdata/sf0.01").select(
+        "doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("hot")).otherwise(F.col("platform")).alias("platform"))
+    ours = {(r.platform, r.doc_id): r.rank for r in K.number_rows(d, ["platform"], [F.asc("doc_id")], num_partitions=8).collect()}
+    w = Window.partitionBy("platform").orderBy("doc_id")
+    ref = {(r.platform, r.doc_id): r.rn for r in d.withColumn("rn", F.row_number().over(w)).collect()}
+    assert ours == ref
+    parts = (d.repartitionByRange(8, "platform", "doc_id").filter(F.col("platform") == "hot")
+              .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts >= 2
+
+
+def test_spread_is_noop_on_many_splits(spark):
+    from msgaudit.session import spread
+    many = spark.range(0, 1000, numPartitions=64).toDF("x")
+    assert spread(many) is many
+    one = spark.range(0, 1000, numPartitions=1).toDF("x")
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
