@@ -29,9 +29,16 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def top_n(df: DataFrame, n: int, order: list) -> DataFrame:
-    """K1/K2: the n first rows in ``order`` (a top-n report; the limit is the feature)."""
-    return df.orderBy(*_cols(order)).limit(n)
+def top_n(df: DataFrame, n: int, order: list, barrier: bool = False) -> DataFrame:
+    """K1/K2: the n first rows in ``order`` (a top-n report; the limit is the feature).
+
+    ``barrier`` puts the n rows in one partition before anything else runs on
+    them.  Needed when the next step calls Python: otherwise Spark moves the
+    Python evaluation between the sort and the limit and plans a full sort of
+    the input instead of ``TakeOrderedAndProject``.
+    """
+    out = df.orderBy(*_cols(order)).limit(n)
+    return out.repartition(1) if barrier else out
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list, n: int,

@@ -75,7 +75,7 @@ def q_chart_series(spark, sf):
 @query("flagged_topn")
 def q_flagged_topn(spark, sf):
     flagged = scored_messages(spark, sf).filter(F.col("predicted_label") == 1)
-    top = K.top_n(flagged, TOP_N, [F.desc("confidence"), F.asc("doc_id")])
+    top = K.top_n(flagged, TOP_N, [F.desc("confidence"), F.asc("doc_id")], barrier=True)
     w = Window.orderBy(F.desc("confidence"), F.asc("doc_id"))  # over the n kept rows only
     top = X.with_report_clean_twice(top, "text", "listing_text")
     return top.select(F.row_number().over(w).cast("long").alias("rank"), "doc_id", "platform",

@@ -65,3 +65,9 @@ def test_spread_is_noop_on_many_splits(spark):
     assert spread(many) is many
     one = spark.range(0, 1000, numPartitions=1).toDF("x")
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_flagged_topn_keeps_take_ordered(spark):
+    import __spark_entry__ as E
+    p = plan(E.queries()["flagged_topn"](spark, SF))
+    assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p
