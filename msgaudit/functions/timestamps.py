@@ -254,3 +254,9 @@ def with_message_date(df, out: str):
     present = [c for c in REPORT_DATE_CANDIDATES if c in df.columns]
     combo = ("date", "time") if ("date" in df.columns and "time" in df.columns) else None
     return with_first_date(df, out, present, skip=SKIP_VALUES_REPORT, combo=combo, fmt="dd/MM/yyyy", missing="-")
+
+
+def nice_datetime(col) -> Column:
+    """T6 ``nice_datetime``: ``DD/MM/YYYY`` when the text parses, else the text itself."""
+    c = _c(col)
+    return F.coalesce(F.date_format(text_to_date(c), "dd/MM/yyyy"), F.coalesce(c.cast("string"), F.lit("")))

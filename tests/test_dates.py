@@ -34,3 +34,8 @@ def test_order_and_combo(spark):
     assert out == ["21/08/2025", "21/08/2025"]
     combo = T.with_first_date(df.select("date", "time"), "c", [], combo=("date", "time"), fmt="yyyy-MM-dd", missing="-")
     assert [r["c"] for r in combo.collect()] == ["-", "2025-08-21"]
+
+
+def test_nice_datetime_keeps_unparsable(spark):
+    df = spark.createDataFrame([("2025-08-21",), ("soon",), (None,)], "s string")
+    assert [r["o"] for r in df.select(T.nice_datetime("s").alias("o")).collect()] == ["21/08/2025", "soon", ""]
