@@ -53,7 +53,64 @@ MAX_BROADCAST_SPANS = 1_000_000
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
-                num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                num_partitions: int | None = None, checkpoint: bool = True,
+                bucket_key: str | None = None, bucket_desc: bool = False) -> DataFrame:
+    """K4: 1..n per group in ``order`` without a single-task window.
+
+    When ``order`` leads with a numeric column, pass it as ``bucket_key``
+    (``bucket_desc`` for descending): ``number_rows_bucketed`` is used, which
+    is deterministic and materialises nothing.  Otherwise the
+    range-partition + checkpoint method is used.
+    """
+    from pyspark.sql import types as T
+
+    if bucket_key is not None and isinstance(df.schema[bucket_key].dataType, T.NumericType):
+        return number_rows_bucketed(df, group_cols, order, (bucket_key, bucket_desc), rank_col, num_partitions)
+    return number_rows_ranged(df, group_cols, order, rank_col, num_partitions, checkpoint)
+
+
+def number_rows_bucketed(df: DataFrame, group_cols: list[str], order: list, lead, rank_col: str = "rank",
+                         num_buckets: int | None = None, rel_err: float = 0.001) -> DataFrame:
+    """K4 by quantile buckets of the leading order key.
+
+    1. Approximate quantiles of the key (one pass over that column; at most
+       ``num_buckets`` numbers reach the driver) cut it into buckets, so every
+       group - also one holding a third of all rows - is split over many tasks.
+    2. Rows are numbered inside each (group, bucket) window.
+    3. Offsets come from the (group, bucket) counts: a small table, summed
+       over earlier buckets and broadcast after its size is checked.
+    Bucket membership is an expression of the key, so both passes see the same
+    rows; nothing is checkpointed.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    spark = df.sparkSession
+    name, desc = lead
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / n for i in range(1, n)]
+    bounds = sorted(set(df.approxQuantile(name, probs, rel_err))) if n > 1 else []
+    splits = [float("-inf"), *bounds, float("inf")]
+    with_key = df.withColumn("_key", F.col(name).cast("double"))
+    if len(splits) > 2:
+        bucketed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(with_key)
+    else:
+        bucketed = with_key.withColumn("_b", F.lit(0.0))
+    last = float(len(splits) - 2)
+    bucketed = bucketed.withColumn("_b", (F.lit(last) - F.col("_b")) if desc else F.col("_b")).drop("_key")
+    counts = bucketed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0))).drop("_cnt")
+    if offsets.count() <= MAX_BROADCAST_SPANS:
+        offsets = F.broadcast(offsets)
+    w = Window.partitionBy(*group_cols, "_b").orderBy(*_cols(order))
+    local = bucketed.withColumn("_rn", F.row_number().over(w))
+    out = local.join(offsets, [*group_cols, "_b"], "inner").withColumn(
+        rank_col, (F.col("_rn") + F.col("_offset")).cast("long"))
+    return out.drop("_b", "_rn", "_offset")
+
+
+def number_rows_ranged(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
+                       num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """K4: 1..n per group in ``order`` without a single-task window.
 
     ``order`` must be a total order (unique tie-breaker last).  The sorted,

@@ -102,7 +102,8 @@ def q_longest_texts(spark, sf):
 @query("all_texts")
 def q_all_texts(spark, sf):
     s = scored_messages(spark, sf).select("doc_id", "platform", "predicted_label", "text")
-    numbered = X.with_report_clean_twice(K.number_rows(s, ["platform"], [F.asc("doc_id")], "rank"),
+    numbered = X.with_report_clean_twice(K.number_rows(s, ["platform"], [F.asc("doc_id")], "rank",
+                                                       bucket_key="doc_id"),
                                          "text", "listing_text")
     return numbered.select(
         "platform", "rank", "doc_id",

@@ -56,7 +56,7 @@ def platform_summary(pred: DataFrame, handles: DataFrame) -> DataFrame:
 def all_texts_listing(pred: DataFrame, order_col: str = "row_id") -> DataFrame:
     """Every message, numbered per platform in source order."""
     dated = with_message_date(pred, "date")
-    numbered = K.number_rows(dated, ["platform"], [F.asc(order_col)], "rank")
+    numbered = K.number_rows(dated, ["platform"], [F.asc(order_col)], "rank", bucket_key=order_col)
     return numbered.select(
         "platform", "rank",
         F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"),

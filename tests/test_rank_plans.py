@@ -71,3 +71,18 @@ def test_flagged_topn_keeps_take_ordered(spark):
     import __spark_entry__ as E
     p = plan(E.queries()["flagged_topn"](spark, SF))
     assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p
+
+
+def test_bucketed_numbering_matches_window(spark):
+    d = messages(spark, "/root/testdata/sf0.01").select(
+        "doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("hot")).otherwise(F.col("platform")).alias("platform"))
+    w = Window.partitionBy("platform").orderBy("doc_id")
+    ref = {(r.platform, r.doc_id): r.rn for r in d.withColumn("rn", F.row_number().over(w)).collect()}
+    asc = K.number_rows(d, ["platform"], [F.asc("doc_id")], bucket_key="doc_id", num_partitions=7)
+    assert {(r.platform, r.doc_id): r.rank for r in asc.collect()} == ref
+    wd = Window.partitionBy("platform").orderBy(F.desc("doc_id"))
+    refd = {(r.platform, r.doc_id): r.rn for r in d.withColumn("rn", F.row_number().over(wd)).collect()}
+    desc = K.number_rows(d, ["platform"], [F.desc("doc_id")], bucket_key="doc_id", bucket_desc=True, num_partitions=5)
+    assert {(r.platform, r.doc_id): r.rank for r in desc.collect()} == refd
+    p = plan(asc)
+    assert "Window" in p and "ExistingRDD" not in p  # nothing checkpointed
