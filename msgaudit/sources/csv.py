@@ -24,11 +24,8 @@ WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+def _empty(spark: SparkSession, schema) -> DataFrame:
+    return spark.createDataFrame([], schema if schema is not None else T.StructType([]))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -38,15 +35,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     With a ``schema`` columns are typed by Spark (a field that does not parse
     becomes null); without one every column is a string and typing is left to
     the caller (``to_numeric``), since Spark's inference differs from pandas'.
+    A missing path gives an empty relation instead of an error.
     """
-    if not path_exists(spark, path):
-        if schema is None:
-            return spark.createDataFrame([], T.StructType([]))
-        return spark.createDataFrame([], schema)
+    from pyspark.errors import AnalysisException
+
     reader = spark.read.options(**READ_OPTIONS)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(path)
+    try:
+        df = reader.csv(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return _empty(spark, schema)
+        raise
     return na_literals_to_null(df) if na_rule else df
 
 
