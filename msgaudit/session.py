@@ -27,6 +27,8 @@ BASE_CONF = {
     # Bounded Arrow batches: long messages must not blow a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    # Reliable checkpoints are deleted once their dataset is garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -32,3 +32,23 @@ def test_python_scorer_only_sees_non_hits(spark):
 
     got = {r.id: (r.predicted_label, r.confidence) for r in hybrid_label(df, scorer, python_scorer=True).collect()}
     assert got == {1: (1, 0.99), 2: (1, 0.7), 3: (0, 0.7)}
+
+
+def test_build_and_train_flow(spark, tmp_path):
+    from msgaudit.operators.train import load, model_scorer
+    from msgaudit.plans.jobs import build_and_train
+
+    words = ["you idiot fool", "lovely day", "stupid idiot", "nice work", "idiot again", "good morning"] * 20
+    verdicts = spark.createDataFrame(
+        [(w + f" {i}", "Offensive" if "idiot" in w else ("Not offensive" if i % 7 else "Unsure"))
+         for i, w in enumerate(words)], "Sentence string, Hate_speech string")
+    numeric = spark.createDataFrame([(w + f" n{i}", "1" if "idiot" in w else ("0.0" if i % 5 else "bad"))
+                                     for i, w in enumerate(words)], "comment string, label string")
+    res = build_and_train([verdicts], [numeric], model_path=str(tmp_path / "model"))
+    assert res.merged.filter("label NOT IN (0, 1)").count() == 0
+    assert res.merged.count() == len(words) * 2 - sum(1 for i in range(len(words)) if i % 7 == 0 and "idiot" not in words[i]) \
+        - sum(1 for i in range(len(words)) if i % 5 == 0 and "idiot" not in words[i])
+    assert res.val_accuracy >= 0.9
+    scorer = model_scorer(load(str(tmp_path / "model")))
+    probe = spark.createDataFrame([("stupid idiot friend",)], "clean_text string")
+    assert scorer(probe).first().model_label == 1
