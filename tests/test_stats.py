@@ -66,3 +66,13 @@ def test_mode_strips_unicode_whitespace(spark):
     df = spark.createDataFrame([("　x\t",), ("x",), ("y",)], "v string")
     r = A.mode_nonempty(df, ["v"]).collect()[0]
     assert (r.value, r.n) == ("x", 2)
+
+
+def test_split_is_stable_disjoint_complete(spark):
+    from msgaudit.operators.dataset import assign_fold
+    df = spark.range(0, 2000).select(F.col("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    a = {r.id: r.fold for r in assign_fold(df, "text").collect()}
+    b = {r.id: r.fold for r in assign_fold(df.repartition(7), "text").collect()}
+    assert a == b and len(a) == 2000 and set(a.values()) == {"train", "validation"}
+    share = sum(1 for v in a.values() if v == "validation") / len(a)
+    assert 0.15 < share < 0.25
