@@ -186,17 +186,58 @@ def format_report_date(col) -> Column:
 # Spark does not inline an expensive column that has several consumers.
 
 def _parts_date(canon: Column, stripped: Column) -> Column:
+    """Date from a canonical ``y|m|d|mon|a|b`` string (Column form; re-reads the parts)."""
     parts = F.split(canon, SEP)
     y, m, d, mon, a, b = (F.try_element_at(parts, F.lit(i + 1)) for i in range(6))
-    ai, bi = a.try_cast("int"), b.try_cast("int")
+    return _date_from_parts(canon, stripped, y.try_cast("int"), m, d, mon, a.try_cast("int"), b.try_cast("int"))
+
+
+def _date_from_parts(canon, stripped, yi, m, d, mon, ai, bi) -> Column:
     month_first = ai <= 12
     month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
     day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
-    yi = y.try_cast("int")
     ok = (canon != stripped) & (F.length(stripped) <= MAX_DATE_LEN) & (yi >= 1677) & (yi <= 2262)
     return F.when(ok, F.to_date(F.try_make_timestamp(yi, month, day, F.lit(0), F.lit(0), F.lit(0))))
 
 
+def _staged_dates(df, sources: dict, numeric: dict):
+    """Add ``__dt{k}`` (parsed date) for each ``k -> stripped-value expression``.
+
+    Every expensive step is its own projected column, so each runs once per
+    value: strip -> canonical form + number -> parts -> integers -> date.
+    ``numeric`` maps ``k`` to a number expression to try as an epoch first
+    (None: text only).
+    """
+    tmp = []
+
+    def add(cols: dict):
+        nonlocal df
+        df = df.withColumns(cols)
+        tmp.extend(cols)
+
+    add({f"__s{k}": e for k, e in sources.items()})
+    stage = {f"__c{k}": F.regexp_replace(F.col(f"__s{k}"), DATE_SHAPES, DATE_CANON) for k in sources}
+    stage.update({f"__n{k}": (e if e is not None else F.lit(None).cast("double")) for k, e in numeric.items()})
+    add(stage)
+    add({f"__p{k}": F.split(F.col(f"__c{k}"), SEP) for k in sources})
+    parts = {}
+    for k in sources:
+        p = F.col(f"__p{k}")
+        parts.update({f"__y{k}": F.try_element_at(p, F.lit(1)).try_cast("int"), f"__m{k}": F.try_element_at(p, F.lit(2)),
+                      f"__d{k}": F.try_element_at(p, F.lit(3)), f"__o{k}": F.try_element_at(p, F.lit(4)),
+                      f"__a{k}": F.try_element_at(p, F.lit(5)).try_cast("int"),
+                      f"__b{k}": F.try_element_at(p, F.lit(6)).try_cast("int")})
+    add(parts)
+    dates = {}
+    for k in sources:
+        text_date = _date_from_parts(F.col(f"__c{k}"), F.col(f"__s{k}"), F.col(f"__y{k}"), F.col(f"__m{k}"),
+                                     F.col(f"__d{k}"), F.col(f"__o{k}"), F.col(f"__a{k}"), F.col(f"__b{k}"))
+        epoch = epoch_to_date(F.col(f"__n{k}")) if k in numeric else None
+        dates[f"__dt{k}"] = F.coalesce(epoch, text_date) if epoch is not None else text_date
+    add(dates)
+    return df, tmp
+
+
 def with_first_date(df, out: str, cols: list[str], skip=None, combo: tuple[str, str] | None = None,
                     fmt: str | None = None, missing: str | None = None):
     """T2/T3/T5 as a DataFrame transform: ``out`` = date of the first usable column.
@@ -206,36 +247,31 @@ def with_first_date(df, out: str, cols: list[str], skip=None, combo: tuple[str,
     """
     skip = SKIP_VALUES if skip is None else skip
     types = {f.name: f.dataType for f in df.schema.fields}
-    strs, plain = [], []
+    sources, numeric, plain = {}, {}, {}
     for i, c in enumerate(cols):
         dt = types.get(c)
-        if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            plain.append((i, c, dt))
+        col = F.col(f"`{c}`")
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            plain[i] = F.to_date(col)
+        elif isinstance(dt, T.DateType):
+            plain[i] = col
         else:
-            strs.append((i, c, dt))
-    stage1 = {f"__s{i}": py_strip(F.col(f"`{c}`").cast("string")) for i, c, _ in strs}
+            sources[i] = py_strip(col.cast("string"))
+            numeric[i] = to_numeric(col, dt) if isinstance(dt, T.NumericType) else to_numeric(F.col(f"__s{i}"))
     if combo is not None:
         d, t = combo
-        stage1["__sx"] = py_strip(F.concat_ws(" ", F.col(f"`{d}`").cast("string"), F.col(f"`{t}`").cast("string")))
-    tmp = list(stage1)
-    df = df.withColumns(stage1)
-    stage2 = {f"__c{i}": F.regexp_replace(F.col(f"__s{i}"), DATE_SHAPES, DATE_CANON) for i, _, _ in strs}
-    if combo is not None:
-        stage2["__cx"] = F.regexp_replace(F.col("__sx"), DATE_SHAPES, DATE_CANON)
-    tmp += list(stage2)
-    df = df.withColumns(stage2)
-    tries = {}
-    for i, c, dt in plain:
-        tries[i] = F.to_date(F.col(f"`{c}`")) if not isinstance(dt, T.DateType) else F.col(f"`{c}`")
-    for i, c, dt in strs:
-        st = F.col(f"__s{i}")
-        present = F.col(f"`{c}`").isNotNull() & ~st.isin(*[F.lit(v) for v in skip])
-        num = to_numeric(F.col(f"`{c}`"), dt) if isinstance(dt, T.NumericType) else to_numeric(st)
-        tries[i] = F.when(present, F.coalesce(epoch_to_date(num), _parts_date(F.col(f"__c{i}"), st)))
-    ordered = [tries[i] for i in range(len(cols))]
+        sources["x"] = py_strip(F.concat_ws(" ", F.col(f"`{d}`").cast("string"), F.col(f"`{t}`").cast("string")))
+    df, tmp = _staged_dates(df, sources, numeric)
+    tries = []
+    for i, c in enumerate(cols):
+        if i in plain:
+            tries.append(plain[i])
+        else:
+            present = F.col(f"`{c}`").isNotNull() & ~F.col(f"__s{i}").isin(*[F.lit(v) for v in skip])
+            tries.append(F.when(present, F.col(f"__dt{i}")))
     if combo is not None:
-        ordered.append(_parts_date(F.col("__cx"), F.col("__sx")))
-    res = F.coalesce(*ordered) if ordered else F.lit(None).cast("date")
+        tries.append(F.col("__dtx"))
+    res = F.coalesce(*tries) if tries else F.lit(None).cast("date")
     if fmt is not None:
         res = F.date_format(res, fmt)
     if missing is not None:
