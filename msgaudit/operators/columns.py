@@ -121,6 +121,8 @@ def flatten_tables(extracted: list[DataFrame], keep: list[str] | None = None) ->
     for d in extracted:
         types = {f.name: f.dataType for f in d.schema.fields}
         mine = [F.col(f"`{c}`") for c in order if c in types and isinstance(types[c], T.StringType)]
+        if not mine:
+            continue  # every row of this table would be dropped by F2: not read at all
         combined = combine_text(mine)
         if "date_time" in types:
             dt = F.coalesce(F.col("date_time").cast("string"), F.lit("-"))
@@ -130,6 +132,9 @@ def flatten_tables(extracted: list[DataFrame], keep: list[str] | None = None) ->
         src_tb = F.col("source_table").cast("string") if "source_table" in types else F.lit("")
         parts.append(d.select(combined.alias("text"), dt.alias("date_time"), src_db.alias("source_database"),
                               src_tb.alias("source_table"), *[F.col(k) for k in keep]))
+    if not parts:
+        spark = extracted[0].sparkSession
+        return spark.createDataFrame([], FLAT_SCHEMA + "".join(f", {k} string" for k in keep))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -19,7 +19,7 @@ from ..functions.coerce import fill_defaults, to_numeric, truncate_int
 from ..operators import columns as C
 from ..operators import dataset as M
 from ..operators.detect import detection_counts
-from ..session import spread
+from ..session import spread, table_path
 from .tables import (event_log, labelled_sources, noisy_conversations, platforms, read,
                      scored_messages)
 
@@ -157,10 +157,10 @@ def q_control_chars(spark, sf):
 
 @query("sanitize_text")
 def q_sanitize_text(spark, sf):
-    d = spread(read(spark, sf, "documents")).select(F.lit("documents").alias("source_table"),
+    d = read(spark, sf, "documents").select(F.lit("documents").alias("source_table"),
                                                     F.col("doc_id").alias("row_id"),
                                                     X.sanitize_text("text").alias("sanitized"))
-    p = spread(read(spark, sf, "pages")).select(F.lit("pages").alias("source_table"), F.col("page_id").alias("row_id"),
+    p = read(spark, sf, "pages").select(F.lit("pages").alias("source_table"), F.col("page_id").alias("row_id"),
                                                 X.sanitize_text("html").alias("sanitized"))
     return d.unionByName(p)
 
@@ -177,13 +177,13 @@ def q_suffix_noise(spark, sf):
 
 @query("report_clean")
 def q_report_clean(spark, sf):
-    n = spread(noisy_conversations(spark, sf))
+    n = noisy_conversations(spark, sf)
     return n.select("conv_id", "turn", X.report_clean(F.col("noisy")).alias("result"))
 
 
 @query("bytes_literal")
 def q_bytes_literal(spark, sf):
-    d = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    d = read(spark, sf, "documents").select("doc_id", "text")
     hexed = F.concat(F.lit("b'"), F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "\\\\x$1"), F.lit("'"))
     mismatched = F.concat(F.lit('b"'), F.col("text"), F.lit("'"))
     a = d.select("doc_id", F.lit("hex").alias("variant"), hexed.alias("payload"))
@@ -231,7 +231,7 @@ def _epoch_strings(e):
 
 @query("epoch_parse")
 def q_epoch_parse(spark, sf):
-    e = _epoch_strings(spread(read(spark, sf, "events")))
+    e = _epoch_strings(spread(read(spark, sf, "events"), path=table_path(sf, "events")))
     fmt = lambda c: F.date_format(T.epoch_to_date(to_numeric(F.col(c))), "yyyy-MM-dd")
     return e.select("event_id", fmt("s_str").alias("d_s"), fmt("ms_str").alias("d_ms"),
                     fmt("us_str").alias("d_us"), fmt("frac_str").alias("d_frac"))
@@ -247,7 +247,7 @@ def q_first_datetime(spark, sf):
     sent = None
     for i, o in enumerate(opts):
         sent = F.when(k == i, o) if sent is None else sent.when(k == i, o)
-    d = spread(e).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
+    d = spread(e, path=table_path(sf, "events")).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
     return T.with_nice_date(d, "date_time", ["sent", "received"]).select("event_id", "sent", "date_time")
 
 
@@ -257,7 +257,7 @@ def q_msg_datetime(spark, sf):
     k = F.pmod(F.col("o_orderkey"), F.lit(3))
     created = (F.when(k == 0, F.lit("-")).when(k == 1, F.date_format("o_orderdate", "dd MMM yyyy"))
                 .otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")))
-    d = spread(o).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
+    d = spread(o, path=table_path(sf, "orders")).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
     return T.with_message_date(d, "msg_date").select("o_orderkey", "msg_date")
 
 
@@ -266,7 +266,7 @@ def q_date_time_combo(spark, sf):
     o = read(spark, sf, "orders")
     day = F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, F.date_format("o_orderdate", "yyyy-MM-dd")) \
            .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
-    d = spread(o).select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
+    d = spread(o, path=table_path(sf, "orders")).select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
     d = T.with_first_date(d, "combo_date", [], combo=("date", "time"), fmt="yyyy-MM-dd", missing="-")
     return d.select("o_orderkey", "combo_date")
 

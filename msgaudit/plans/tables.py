@@ -19,9 +19,18 @@ from ..session import spread, table_path
 TEXT_TABLES = {"documents", "conversations", "pages"}
 
 
+_schemas: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if name in TEXT_TABLES else df
+    """A driver table; its schema is inferred once per path and then given to
+    the reader, so building a query does not re-read parquet footers."""
+    path = table_path(sf_dir, name)
+    key = (id(spark), path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[key]).parquet(path)
+    return spread(df, path=path) if name in TEXT_TABLES else df
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

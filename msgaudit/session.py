@@ -88,7 +88,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df, *keys):
+_split_counts: dict = {}
+
+
+def scan_partitions(spark: SparkSession, path: str, df) -> int:
+    """Partitions Spark makes for a file scan (planned once per path and session)."""
+    key = (id(spark), path)
+    if key not in _split_counts:
+        _split_counts[key] = df.rdd.getNumPartitions()
+    return _split_counts[key]
+
+
+def spread(df, *keys, path: str | None = None):
     """Give a CPU-heavy stage all cores when the scan yields too few splits.
 
     A single-row-group parquet file is one task however large it is.  When the
@@ -98,6 +109,7 @@ def spread(df, *keys):
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    n = scan_partitions(spark, path, df) if path else df.rdd.getNumPartitions()
+    if n >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
