@@ -93,7 +93,7 @@ def q_flagged_topn_platform(spark, sf):
 
 @query("longest_texts")
 def q_longest_texts(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("text_length"))
+    docs = read(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("text_length"))
     top = K.top_n(docs, TOP_N, [F.desc("text_length"), F.asc("doc_id")])
     w = Window.orderBy(F.desc("text_length"), F.asc("doc_id"))
     return top.select(F.row_number().over(w).cast("long").alias("rank"), "doc_id", "source", "text_length")
@@ -296,7 +296,7 @@ def q_fill_defaults(spark, sf):
                      .alias("confidence"),
                     F.col("source").alias("source_database"), F.col("lang").alias("source_table"))
     f = fill_defaults(pred)
-    return f.select("doc_id", F.length("text").alias("text_len"), "predicted_label", "confidence",
+    return f.select("doc_id", F.length("text").cast("long").alias("text_len"), "predicted_label", "confidence",
                     "source_database", "source_table")
 
 

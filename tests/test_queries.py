@@ -54,3 +54,15 @@ def test_query_matches_oracle(spark, duck, name):
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert digest(srows, df.columns) == digest(drows, dcols)
+
+
+DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_query_types_match_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF)
+    rel = duck.sql(E.oracle_sql()[name])
+    ours = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert ours == theirs
