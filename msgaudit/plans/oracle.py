@@ -600,3 +600,12 @@ def _():
     return (f"WITH {SCORED} SELECT {report_clean(f'CASE WHEN text IN ({na}) THEN NULL ELSE text END')} AS text, "
             f"predicted_label, confidence, '-' AS date_time, platform AS source_database, "
             f"'documents' AS source_table FROM pred")
+
+
+@oracle("tar_members")
+def _():
+    return (f"WITH {SHARDS}, s AS (SELECT DISTINCT d.source, d.doc_id % sh.k AS shard FROM documents d "
+            f"JOIN sh ON d.source = sh.source) "
+            f"SELECT source || '_data_' || CAST(shard // 16 AS VARCHAR) || '.tar' AS archive, "
+            f"'data/data/' || source || '/databases/' || source || '_' || CAST(shard AS VARCHAR) || '.db' AS member "
+            f"FROM s")

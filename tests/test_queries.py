@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"binary_hash", "tar_members", "train_score"}
+ROWS_ONLY = {"binary_hash", "train_score"}
 
 
 def norm(v):
