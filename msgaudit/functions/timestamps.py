@@ -216,9 +216,16 @@ def _staged_dates(df, sources: dict, numeric: dict):
         tmp.extend(cols)
 
     add({f"__s{k}": e for k, e in sources.items()})
-    stage = {f"__c{k}": F.regexp_replace(F.col(f"__s{k}"), DATE_SHAPES, DATE_CANON) for k in sources}
-    stage.update({f"__n{k}": (e if e is not None else F.lit(None).cast("double")) for k, e in numeric.items()})
-    add(stage)
+    # Epoch first: a value that is a usable epoch never reaches the text regex.
+    nums = {k: e for k, e in numeric.items() if k in sources and e is not None}
+    if nums:
+        add({f"__n{k}": e for k, e in nums.items()})
+        add({f"__e{k}": epoch_to_date(F.col(f"__n{k}")) for k in nums})
+    canon = {}
+    for k in sources:
+        rewrite = F.regexp_replace(F.col(f"__s{k}"), DATE_SHAPES, DATE_CANON)
+        canon[f"__c{k}"] = F.when(F.col(f"__e{k}").isNull(), rewrite) if k in nums else rewrite
+    add(canon)
     add({f"__p{k}": F.split(F.col(f"__c{k}"), SEP) for k in sources})
     parts = {}
     for k in sources:
@@ -232,8 +239,7 @@ def _staged_dates(df, sources: dict, numeric: dict):
     for k in sources:
         text_date = _date_from_parts(F.col(f"__c{k}"), F.col(f"__s{k}"), F.col(f"__y{k}"), F.col(f"__m{k}"),
                                      F.col(f"__d{k}"), F.col(f"__o{k}"), F.col(f"__a{k}"), F.col(f"__b{k}"))
-        epoch = epoch_to_date(F.col(f"__n{k}")) if k in numeric else None
-        dates[f"__dt{k}"] = F.coalesce(epoch, text_date) if epoch is not None else text_date
+        dates[f"__dt{k}"] = F.coalesce(F.col(f"__e{k}"), text_date) if k in nums else text_date
     add(dates)
     return df, tmp
 
