@@ -200,15 +200,18 @@ def _date_from_parts(canon, stripped, yi, m, d, mon, ai, bi) -> Column:
     return F.when(ok, F.to_date(F.try_make_timestamp(yi, month, day, F.lit(0), F.lit(0), F.lit(0))))
 
 
-def _staged_dates(df, sources: dict, numeric: dict):
+def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None):
     """Add ``__dt{k}`` (parsed date) for each ``k -> stripped-value expression``.
 
     Every expensive step is its own projected column, so each runs once per
-    value: strip -> canonical form + number -> parts -> integers -> date.
-    ``numeric`` maps ``k`` to a number expression to try as an epoch first
-    (None: text only).
+    value: strip -> number -> epoch date -> canonical form -> parts -> date.
+    ``numeric`` maps ``k`` to a number expression to try as an epoch first.
+    Sources are taken in order and a later one is only parsed for rows where
+    every earlier one gave no date (``present`` gives each source's usability
+    test), as in the reference's first-usable-column rule.
     """
     tmp = []
+    present = present or {}
 
     def add(cols: dict):
         nonlocal df
@@ -216,31 +219,34 @@ def _staged_dates(df, sources: dict, numeric: dict):
         tmp.extend(cols)
 
     add({f"__s{k}": e for k, e in sources.items()})
-    # Epoch first: a value that is a usable epoch never reaches the text regex.
-    nums = {k: e for k, e in numeric.items() if k in sources and e is not None}
-    if nums:
-        add({f"__n{k}": e for k, e in nums.items()})
-        add({f"__e{k}": epoch_to_date(F.col(f"__n{k}")) for k in nums})
-    canon = {}
-    for k in sources:
-        rewrite = F.regexp_replace(F.col(f"__s{k}"), DATE_SHAPES, DATE_CANON)
-        canon[f"__c{k}"] = F.when(F.col(f"__e{k}").isNull(), rewrite) if k in nums else rewrite
-    add(canon)
-    add({f"__p{k}": F.split(F.col(f"__c{k}"), SEP) for k in sources})
-    parts = {}
+    found = None  # rows that already have a date from an earlier source
     for k in sources:
+        need = F.lit(True) if found is None else F.col(found).isNull()
+        usable = need & present[k] if k in present else need
+        st = F.col(f"__s{k}")
+        num = numeric.get(k)
+        stage = {}
+        if num is not None:
+            stage[f"__n{k}"] = F.when(usable, num)
+            add(stage)
+            add({f"__e{k}": epoch_to_date(F.col(f"__n{k}"))})
+            gate = usable & F.col(f"__e{k}").isNull()
+        else:
+            gate = usable
+        add({f"__c{k}": F.when(gate, F.regexp_replace(st, DATE_SHAPES, DATE_CANON))})
+        add({f"__p{k}": F.split(F.col(f"__c{k}"), SEP)})
         p = F.col(f"__p{k}")
-        parts.update({f"__y{k}": F.try_element_at(p, F.lit(1)).try_cast("int"), f"__m{k}": F.try_element_at(p, F.lit(2)),
-                      f"__d{k}": F.try_element_at(p, F.lit(3)), f"__o{k}": F.try_element_at(p, F.lit(4)),
-                      f"__a{k}": F.try_element_at(p, F.lit(5)).try_cast("int"),
-                      f"__b{k}": F.try_element_at(p, F.lit(6)).try_cast("int")})
-    add(parts)
-    dates = {}
-    for k in sources:
-        text_date = _date_from_parts(F.col(f"__c{k}"), F.col(f"__s{k}"), F.col(f"__y{k}"), F.col(f"__m{k}"),
-                                     F.col(f"__d{k}"), F.col(f"__o{k}"), F.col(f"__a{k}"), F.col(f"__b{k}"))
-        dates[f"__dt{k}"] = F.coalesce(F.col(f"__e{k}"), text_date) if k in nums else text_date
-    add(dates)
+        add({f"__y{k}": F.try_element_at(p, F.lit(1)).try_cast("int"), f"__m{k}": F.try_element_at(p, F.lit(2)),
+             f"__d{k}": F.try_element_at(p, F.lit(3)), f"__o{k}": F.try_element_at(p, F.lit(4)),
+             f"__a{k}": F.try_element_at(p, F.lit(5)).try_cast("int"),
+             f"__b{k}": F.try_element_at(p, F.lit(6)).try_cast("int")})
+        text_date = _date_from_parts(F.col(f"__c{k}"), st, F.col(f"__y{k}"), F.col(f"__m{k}"), F.col(f"__d{k}"),
+                                     F.col(f"__o{k}"), F.col(f"__a{k}"), F.col(f"__b{k}"))
+        date = F.coalesce(F.col(f"__e{k}"), text_date) if num is not None else text_date
+        add({f"__dt{k}": F.when(usable, date)})
+        acc = f"__acc{k}"
+        add({acc: F.col(f"__dt{k}") if found is None else F.coalesce(F.col(found), F.col(f"__dt{k}"))})
+        found = acc
     return df, tmp
 
 
@@ -253,31 +259,46 @@ def with_first_date(df, out: str, cols: list[str], skip=None, combo: tuple[str,
     """
     skip = SKIP_VALUES if skip is None else skip
     types = {f.name: f.dataType for f in df.schema.fields}
-    sources, numeric, plain = {}, {}, {}
+    plain = {}
     for i, c in enumerate(cols):
         dt = types.get(c)
-        col = F.col(f"`{c}`")
         if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            plain[i] = F.to_date(col)
+            plain[i] = F.to_date(F.col(f"`{c}`"))
         elif isinstance(dt, T.DateType):
-            plain[i] = col
-        else:
+            plain[i] = F.col(f"`{c}`")
+    res = None
+    tmp = []
+    if plain and len(plain) == len(cols) and combo is None:
+        res = F.coalesce(*[plain[i] for i in range(len(cols))])
+    else:
+        sources, numeric, present = {}, {}, {}
+        for i, c in enumerate(cols):
+            col = F.col(f"`{c}`")
+            if i in plain:
+                # a date/timestamp column is a source that needs no parsing
+                sources[i] = F.lit(None).cast("string")
+                continue
+            dt = types.get(c)
             sources[i] = py_strip(col.cast("string"))
             numeric[i] = to_numeric(col, dt) if isinstance(dt, T.NumericType) else to_numeric(F.col(f"__s{i}"))
-    if combo is not None:
-        d, t = combo
-        sources["x"] = py_strip(F.concat_ws(" ", F.col(f"`{d}`").cast("string"), F.col(f"`{t}`").cast("string")))
-    df, tmp = _staged_dates(df, sources, numeric)
-    tries = []
-    for i, c in enumerate(cols):
-        if i in plain:
-            tries.append(plain[i])
-        else:
-            present = F.col(f"`{c}`").isNotNull() & ~F.col(f"__s{i}").isin(*[F.lit(v) for v in skip])
-            tries.append(F.when(present, F.col(f"__dt{i}")))
-    if combo is not None:
-        tries.append(F.col("__dtx"))
-    res = F.coalesce(*tries) if tries else F.lit(None).cast("date")
+            present[i] = col.isNotNull() & ~F.col(f"__s{i}").isin(*[F.lit(v) for v in skip])
+        if combo is not None:
+            d, t = combo
+            sources["x"] = py_strip(F.concat_ws(" ", F.col(f"`{d}`").cast("string"), F.col(f"`{t}`").cast("string")))
+        if plain:
+            # keep the column order: a plain date column answers before later sources
+            df = df.withColumns({f"__pl{i}": e for i, e in plain.items()})
+            tmp.extend(f"__pl{i}" for i in plain)
+            for i in plain:
+                present[i] = F.lit(False)
+        df, staged = _staged_dates(df, sources, numeric, present)
+        tmp.extend(staged)
+        tries = []
+        for i in range(len(cols)):
+            tries.append(F.col(f"__pl{i}") if i in plain else F.col(f"__dt{i}"))
+        if combo is not None:
+            tries.append(F.col("__dtx"))
+        res = F.coalesce(*tries) if tries else F.lit(None).cast("date")
     if fmt is not None:
         res = F.date_format(res, fmt)
     if missing is not None:
