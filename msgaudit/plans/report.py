@@ -118,3 +118,14 @@ def infer_handles(messages: DataFrame, group_cols: list[str] | None = None,
 def infer_device(frames: list[DataFrame]) -> DataFrame:
     """A7 ``infer_device_from_dfs``: at most one row (column, value)."""
     return A.first_candidate_mode_frames(frames, DEVICE_CANDIDATES)
+
+
+def flagged_rows(pred: DataFrame, top_n: int = 20, tiebreak: str = "row_id") -> DataFrame:
+    """K1: label-1 rows, highest confidence first, the first ``top_n`` (a report limit)."""
+    flagged = pred.filter(F.col("predicted_label") == 1)
+    return K.top_n(flagged, top_n, [F.desc("confidence"), F.asc(tiebreak)])
+
+
+def all_rows_sample(pred: DataFrame, top_n: int = 25, tiebreak: str = "row_id") -> DataFrame:
+    """K2: the ``top_n`` longest texts (a report limit)."""
+    return K.top_n(pred, top_n, [F.desc(F.length("text")), F.asc(tiebreak)])

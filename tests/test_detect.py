@@ -52,3 +52,13 @@ def test_build_and_train_flow(spark, tmp_path):
     scorer = model_scorer(load(str(tmp_path / "model")))
     probe = spark.createDataFrame([("stupid idiot friend",)], "clean_text string")
     assert scorer(probe).first().model_label == 1
+
+
+def test_report_listing_helpers(spark):
+    from msgaudit.plans.report import all_rows_sample, flagged_rows
+    df = spark.createDataFrame([(i, "x" * i, 1 if i % 2 else 0, 0.5 + i / 100) for i in range(1, 41)],
+                               "row_id long, text string, predicted_label int, confidence double")
+    top = [r.row_id for r in flagged_rows(df).collect()]
+    assert len(top) == 20 and top[0] == 39 and all(i % 2 for i in top)
+    longest = [r.row_id for r in all_rows_sample(df).collect()]
+    assert longest[:3] == [40, 39, 38] and len(longest) == 25
