@@ -43,16 +43,23 @@ def platform_of(path_col) -> F.Column:
     return expr.otherwise(parent)
 
 
-def hash_inventory(files: DataFrame) -> DataFrame:
+def hash_inventory(files: DataFrame, max_inline_bytes: int = MAX_INLINE_BYTES) -> DataFrame:
     """(database_file, sha256_hash) plus full path, platform and size.
 
     ``sha2`` runs in the JVM on the file bytes.  Files above the inline limit
-    are hashed by ``stream_hashes`` instead of being loaded into one row.
+    are hashed by ``stream_hashes`` from their paths (their bytes are never
+    put into a row) and unioned in, so every file is in the inventory.
     """
-    small = files.filter(F.col("length") <= MAX_INLINE_BYTES)
-    return small.select(basename(F.col("path")).alias("database_file"),
-                        F.sha2(F.col("content"), 256).alias("sha256_hash"),
-                        F.col("path"), platform_of(F.col("path")).alias("platform"), F.col("length"))
+    def shape(df, digest):
+        return df.select(basename(F.col("path")).alias("database_file"), digest.alias("sha256_hash"),
+                         F.col("path"), platform_of(F.col("path")).alias("platform"), F.col("length"))
+
+    small = shape(files.filter(F.col("length") <= max_inline_bytes), F.sha2(F.col("content"), 256))
+    big_paths = files.filter(F.col("length") > max_inline_bytes).select("path", "length")
+    if "!/" in (files.select("path").first() or {"path": ""})["path"]:
+        return small  # archive members are always inline (bounded by the member reader)
+    big = stream_hashes(files.sparkSession, big_paths).join(big_paths, "path")
+    return small.unionByName(shape(big, F.col("sha256_hash")))
 
 
 def stream_hashes(spark: SparkSession, paths: DataFrame) -> DataFrame:

@@ -111,3 +111,12 @@ def test_extract_and_detect_end_to_end(spark, tmp_path):
     summary = {r.platform: r for r in rel["summary"].collect()}
     assert summary["Instagram"].total == 0 and summary["Facebook"].total == len(rows)
     assert rel["flagged"].count() >= 1 and rel["all_texts"].count() == len(rows)
+
+
+def test_large_files_are_streamed_into_inventory(spark, tmp_path):
+    import hashlib
+    root = build(tmp_path)
+    inv = {r.database_file: r.sha256_hash for r in hash_inventory(scan_files(spark, root), max_inline_bytes=10).collect()}
+    p = os.path.join(root, "com.facebook.katana", "databases", "a.db")
+    assert inv["a.db"] == hashlib.sha256(open(p, "rb").read()).hexdigest()
+    assert set(inv) == {"a.db", "b.db", "broken.db"}
