@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding
 from .common import read
 
 
@@ -57,6 +57,11 @@ FROM r
 """
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
     out = sharding.shard(read(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_pack": op5_pack,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
