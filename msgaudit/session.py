@@ -54,6 +54,10 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings that are safe to change on an existing session."""
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         spark.conf.set(k, BASE_CONF[k])
+    # Python workers import this package from where the driver did, whatever their working directory.
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
