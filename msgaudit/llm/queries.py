@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, lm, mixing, packing, sharding
 from .common import read
 
 
@@ -62,6 +62,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log10 probability, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    return lm.train(docs).score(docs).withColumnRenamed("id", "doc_id")
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
     out = sharding.shard(read(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
+    "op8_kneser_ney": op8_kneser_ney,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
