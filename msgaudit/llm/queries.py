@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, mixing, packing, sharding
+from . import exact_dedup, lm, mixing, near_dup, packing, sharding
 from .common import read
 
 
@@ -24,6 +24,12 @@ FROM d
 """
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and its text's number of links."""
+    out = near_dup.near_dedup(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     out = mixing.mix(read(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_order_minhash": op3_order_minhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
     "op8_kneser_ney": op8_kneser_ney,
