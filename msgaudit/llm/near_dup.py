@@ -65,20 +65,25 @@ class WordHasher:
         return np.array([known[w] for w in words], np.uint32)
 
 
-def labelled_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit labelled k-mers of concatenated texts, and where each text's begin.
+def kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit k-mers of concatenated texts, the text each belongs to and its first word's place.
 
     Texts shorter than k words have none.
     """
-    ends = np.append(starts[1:], len(words))
     if len(words) < k:
-        return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(words))
     code = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
         code = _mix(code + words[j:len(words) - k + 1 + j].astype(np.uint64) + np.uint64(1))
     owner = np.repeat(np.arange(len(starts)), ends - starts)[:len(code)]
-    inside = np.arange(len(code)) + k <= ends[owner]
-    code, owner = code[inside], owner[inside]
+    place = np.flatnonzero(np.arange(len(code)) + k <= ends[owner])
+    return code[place], owner[place], place
+
+
+def labelled_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled k-mers of concatenated texts, and where each text's begin."""
+    code, owner, _ = kmers(words, starts, k)
     # the label: how many equal k-mers of the same text stand before
     own = _mix(code ^ _mix(owner.astype(np.uint64) + np.uint64(SEED)))
     order = np.argsort(own, kind="stable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, mixing, near_dup, packing, sharding
+from . import exact_dedup, lm, mixing, near_dup, packing, sharding, substring
 from .common import read
 
 
@@ -68,6 +68,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages of every document: those to remove, and the first occurrences."""
+    out = substring.merged_spans(substring.repeats(read(spark, sf_dir, "documents")))
+    return out.withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log10 probability, learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
@@ -86,6 +92,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
+    "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_kneser_ney": op8_kneser_ney,
     "op10_feistel_shards": op10_feistel_shards,
 }
