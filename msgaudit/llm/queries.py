@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, mixing, near_dup, packing, sharding, substring
+from . import exact_dedup, iblt, lm, mixing, near_dup, packing, sharding, substring
 from .common import read
 
 
@@ -24,6 +24,12 @@ FROM d
 """
 
 
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    out = iblt.fingerprints(read(spark, sf_dir, "documents"))
+    return out.drop("lost", "gained").withColumnRenamed("id", "doc_id")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies and its text's number of links."""
     out = near_dup.near_dedup(read(spark, sf_dir, "documents"))
@@ -89,6 +95,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_iblt_fingerprints": op2_iblt_fingerprints,
     "op3_order_minhash": op3_order_minhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
