@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, iblt, lm, mixing, near_dup, packing, sharding, substring
+from . import exact_dedup, iblt, lm, mixing, near_dup, packing, sharding, substring, toxicity
 from .common import read
 
 
@@ -86,6 +86,14 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train(docs).score(docs).withColumnRenamed("id", "doc_id")
 
 
+def op9_toxic_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
     out = sharding.shard(read(spark, sf_dir, "documents"))
@@ -101,6 +109,7 @@ QUERIES = {
     "op5_pack": op5_pack,
     "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_kneser_ney": op8_kneser_ney,
+    "op9_toxic_gru": op9_toxic_gru,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
