@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, iblt, lm, mixing, near_dup, packing, sharding, substring, toxicity
+from . import exact_dedup, iblt, lm, mixing, near_dup, packing, pii, sharding, substring, toxicity
 from .common import read
 
 
@@ -74,6 +74,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_char_lstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated passages of every document: those to remove, and the first occurrences."""
     out = substring.merged_spans(substring.repeats(read(spark, sf_dir, "documents")))
@@ -107,6 +113,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
+    "op6_char_lstm_pii": op6_char_lstm_pii,
     "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_toxic_gru": op9_toxic_gru,
