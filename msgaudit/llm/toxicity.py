@@ -345,3 +345,19 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 "score": pa.array(scorer(b.column(1).to_pylist()) if len(ids) else [], pa.float64())})
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(
         run, "id long, held_out boolean, score double")
+
+
+def keep_clean(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; nothing is shuffled."""
+    bound_batches(docs.sparkSession)
+    weights = docs.sparkSession.sparkContext.broadcast(net.p)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = Network()
+        model.p = weights.value
+        scorer = Scorer(model)
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
+    return docs.mapInArrow(run, docs.schema)
