@@ -129,30 +129,29 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of the links (a, b): one row (id, root), root the smallest id.
 
     Alternates large-star and small-star steps; each round is written to the
-    shared folder, and only the number of changed links comes to the driver.
+    shared folder; only the links' number and a checksum come to the driver.
     """
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     links = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                               .filter("u <> v").distinct(), f"{name}-0")
-    last, step = f"{name}-0", 0
-    while True:
+    last, step, before = f"{name}-0", 0, state(links)
+    while before[0]:
         step += 1
         # large star: every larger neighbour of u links to u's smallest neighbour (or u)
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour of u, and u, link to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.explode(F.array(
                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                      F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").filter("u <> v").distinct())
-        now = f"{name}-{step}"
-        fresh = scratch.keep(small, now)
-        changed = fresh.join(links, ["u", "v"], "left_anti").limit(1).count() \
-            or links.join(fresh, ["u", "v"], "left_anti").limit(1).count()
+        links = scratch.keep(small, f"{name}-{step}")
         scratch.drop(last)
-        links, last = fresh, now
-        if not changed:
+        last, now = f"{name}-{step}", state(links)
+        if now == before:
             break
+        before = now
     return links.select(F.col("u").alias("id"), F.col("v").alias("root")) \
                 .union(links.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -1,18 +1,22 @@
 """Links between items whose sketches collide, without all pairs of a bucket.
 
 An item has one key per band; items with the same key of a band share a bucket.
+What is linked forms components, at first every item its own.  The outsiders of
+a bucket are its items outside its largest component.
 
-* In a bucket of at most ``small`` items every pair is verified.
-* In a larger one every item is verified against the bucket's leader, its
-  smallest id.  Items very like the leader are done with this bucket: what is
-  linked to them is linked to the leader, or found in another band.  The others
-  go on to buckets refined by their key of the next band, and so on; where all
-  bands agree the leaders are taken off one after the other until none is left.
+* In a bucket of at most ``small`` outsiders (of any number, once there are few
+  enough pairs altogether to be linear in the input) every outsider is verified against
+  every item of another component; then the bucket is done.
+* In any other bucket the outsiders are verified against one item of the
+  largest component, the leader.  Then components are formed, buckets that lie
+  within one are done, and the items of the others go on to buckets refined by
+  their key of the next band.  Where all bands agree the leaders are taken off
+  one after the other until none is left.
 
-So a bucket of copies of one text costs one pair an item, a bucket of items
-that share one frequent passage falls apart, and nothing is capped.  A pair is
-verified once.  A pair that only collides in refined buckets may be missed with
-the (small) chance that no two neighbouring bands agree on it.
+So a bucket of near copies of one text costs a few pairs an item, a bucket of
+items that share one frequent passage falls apart, and nothing is capped.  Two
+items that collide only in buckets of many outsiders are missed if no two
+neighbouring bands agree on them, which is rare at the likeness looked for.
 """
 
 from __future__ import annotations
@@ -23,11 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, components
 
-SMALL = 12
-#: From this likeness to the leader on an item leaves a large bucket.
-SETTLED = 0.9
+SMALL = 16
+PAIRS_PER_ITEM = 4
 
 
 def buckets(items: DataFrame) -> DataFrame:
@@ -50,38 +53,48 @@ def verify_pairs(pairs: DataFrame, payload: DataFrame, likeness: Callable[[bytes
 
 
 def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float],
-          least: float, scratch: Scratch, small: int = SMALL) -> DataFrame:
-    """Verified links (a, b, like) of at least ``least``.
+          least: float, scratch: Scratch, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, like) of at least ``least``, and (id, root) of the components.
 
     ``items`` are (id, keys), ``members`` their :func:`buckets`, ``payload``
     (id, data) what ``likeness`` compares; all three are written tables.
     """
-    current, done, step = members, None, 0
+    current, found, roots, step = members.withColumn("root", F.col("id")), None, None, 0
+    number = items.count()
     while True:
-        sizes = current.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
-        sized = scratch.keep(current.join(sizes, "key"), f"sized-{step}")
-        little = sized.filter(F.col("n") <= small).select("key", "id")
-        every = (little.select("key", F.col("id").alias("a")).join(little.select("key", F.col("id").alias("b")), "key")
-                       .filter("a < b").select("a", "b"))
-        star = sized.filter((F.col("n") > small) & (F.col("id") != F.col("leader"))).select(
-            F.col("leader").alias("a"), F.col("id").alias("b"))
-        fresh = every.union(star).distinct()
-        if done is not None:
-            fresh = fresh.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = scratch.keep(verify_pairs(fresh, payload, likeness), f"pairs-{step}")
-        done = found if done is None else done.union(found)
-        settled = done.filter(F.col("like") >= max(least, SETTLED)).select(F.col("a").alias("leader"), F.col("b").alias("id"))
-        rest = (sized.filter((F.col("n") > small) & (F.col("id") != F.col("leader")))
-                     .join(settled, ["leader", "id"], "left_anti").select("key", "id", "band"))
-        refined = (rest.join(items, "id")
-                       .withColumn("next", (F.col("band") + 1 + step))
-                       .select(F.when(F.lit(step) < F.size("keys") - 1,
-                                      F.xxhash64("key", F.element_at("keys", (F.col("next") % F.size("keys") + 1).cast("int"))))
-                                .otherwise(F.col("key")).alias("key"), "id", "band"))
-        nxt = scratch.keep(refined, f"rest-{step}")
-        if step:
-            scratch.drop(f"rest-{step - 1}")
-        if not nxt.limit(1).count():
+        parts = current.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        main = parts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"),
+                                        F.max_by(F.struct("root", "low"), F.struct("n", "root")).alias("main")).filter("outside > 0")
+        sized = scratch.keep(current.join(main, "key").withColumn("out", F.col("root") != F.col("main.root")), f"sized-{step}")
+        # once all pairs of outsiders are no more than a few per item of the input, none need be put off
+        least_out = small if (sized.agg(F.sum("outside")).first()[0] or 0) > PAIRS_PER_ITEM * number else 1 << 62
+        few = sized.filter(F.col("outside") <= least_out)
+        side = lambda df, c: df.select("key", F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+        every = side(few.filter("out"), "o").join(side(few, "m"), "key").filter("root_o <> root_m").select(
+            F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b"))
+        many = sized.filter(F.col("outside") > least_out)
+        star = many.filter("out").select(F.least("main.low", "id").alias("a"), F.greatest("main.low", "id").alias("b"))
+        pairs = scratch.keep(every.union(star).distinct(), f"pairs-{step}")
+        linked = scratch.keep(verify_pairs(pairs, payload, likeness).filter(F.col("like") >= least), f"links-{step}")
+        scratch.drop(f"pairs-{step}")
+        fresh = step and linked.limit(1).count()
+        if roots is None:
+            found, roots = linked, scratch.keep(components(linked, scratch, "components"), "roots-0")
+        elif fresh:
+            found = found.union(linked)
+        rest = many.filter(F.lit(step < 1) | (F.col("id") != F.col("main.low"))).select("key", "id", "band")
+        rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        after = (F.col("band") + 1 + step) % F.size("keys") + 1
+        refined = rest.join(items, "id").select(
+            F.when(F.lit(step) < F.size("keys") - 1, F.xxhash64("key", F.element_at("keys", after.cast("int"))))
+             .otherwise(F.col("key")).alias("key"), "id", "band", "root")
+        current = scratch.keep(refined, f"rest-{step}")
+        scratch.drop(f"sized-{step}", *[f"rest-{step - 1}"] * bool(step))
+        step += 1
+        if not current.limit(1).count():
             break
-        current, step = nxt, step + 1
-    return done.filter(F.col("like") >= least)
+    if step > 1:  # later links join components
+        found = scratch.keep(found.groupBy("a", "b").agg(F.first("like").alias("like")), "links")
+        edges = found.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = scratch.keep(components(edges, scratch, "components-all"), "roots")
+    return found, roots

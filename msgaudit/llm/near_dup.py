@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh
-from .common import Scratch, bound_batches, components, deal_out, hash_bitmap, in_bitmap, row_keys
+from .common import Scratch, bound_batches, deal_out, hash_bitmap, in_bitmap, row_keys
 from .exact_dedup import normalise
 
 K = 5
@@ -243,9 +243,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = spark.sparkContext.broadcast(hash_bitmap(members.select("id").distinct(), "id"))
     payload = scratch.keep(docs.select(text.alias("text")).mapInArrow(_payload(wanted), "id long, data binary")
                                .groupBy("id").agg(F.first("data").alias("data")), "payload")
-    found = scratch.keep(lsh.links(keyed, members, payload, likeness, LEAST, scratch), "links")
+    found, roots = lsh.links(keyed, members, payload, likeness, LEAST, scratch)
     scratch.drop("payload", "members")
-    roots = scratch.keep(components(found, scratch, "components"), "roots")
     ends = found.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
     classed = (items.join(roots.withColumnRenamed("id", "digest"), "digest", "left").join(ends, "digest", "left")
                     .select("digest", "low", "copies", F.coalesce("root", "digest").alias("root"),

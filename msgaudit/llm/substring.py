@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lsh
-from .common import Scratch, bound_batches, components, hash_bitmap, in_bitmap
+from .common import Scratch, bound_batches, hash_bitmap, in_bitmap
 from .exact_dedup import normalise
 from .near_dup import WordHasher, _mix, kmers
 
@@ -204,8 +204,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                               .agg(F.first("keys").alias("keys"), F.first("data").alias("data")), "items")
     keyed = items.select("id", "keys")
     members = scratch.keep(lsh.buckets(keyed), "members")
-    linked = scratch.keep(lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch), "links")
-    roots = scratch.keep(components(linked, scratch, "components"), "roots")
+    _, roots = lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch)
     lines = (found.filter("kind = 'line'").join(roots.withColumnRenamed("id", "key"), "key", "left")
                   .select("kind", F.coalesce("root", "key").alias("class"), "id", "start", "end"))
     spans = found.filter("kind = 'span'").select("kind", F.col("key").alias("class"), "id", "start", "end")
