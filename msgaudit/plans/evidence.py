@@ -13,12 +13,11 @@ Each database holds ``messages(text, sender_name, timestamp_ms)`` and
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_path, scratch_path
+from ..session import scratch_path
+from ..sources.streams import open_bytes, put_bytes
 from .tables import read
 
 ROWS_PER_DB = 2000      # messages per database file
@@ -27,28 +26,20 @@ EPOCH_MS_BASE = 1_700_000_000_000
 MS_PER_DOC = 60_000
 
 
-def shard_counts(spark: SparkSession, sf_dir: str, rows_per_db: int = ROWS_PER_DB) -> dict[str, int]:
-    """Shards per platform (one row per platform is collected)."""
-    counts = read(spark, sf_dir, "documents").groupBy("source").count().collect()
-    return {r["source"]: max(1, math.ceil(r["count"] / rows_per_db)) for r in counts}
+def shard_counts(docs: DataFrame, rows_per_db: int = ROWS_PER_DB) -> DataFrame:
+    """(source, shards): databases per platform."""
+    return docs.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_db)).cast("long").alias("shards"))
 
 
 def _db_writer(root: str):
     def write(pdf):
-        import os
         import sqlite3
 
         import pandas as pd
 
-        platform = str(pdf["source"].iloc[0])
-        shard = int(pdf["shard"].iloc[0])
-        folder = os.path.join(root, platform)
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"{platform}_{shard}.db")
-        tmp = path + ".tmp"
-        if os.path.exists(tmp):
-            os.remove(tmp)
-        conn = sqlite3.connect(tmp)
+        platform, shard = str(pdf["source"].iloc[0]), int(pdf["shard"].iloc[0])
+        path = f"{root}/{platform}/{platform}_{shard}.db"
+        conn = sqlite3.connect(":memory:")
         conn.execute("CREATE TABLE messages (text TEXT, sender_name TEXT, timestamp_ms INTEGER)")
         conn.execute("CREATE TABLE counters (id INTEGER, n INTEGER)")
         pdf = pdf.sort_values("doc_id")
@@ -57,8 +48,8 @@ def _db_writer(root: str):
         conn.executemany("INSERT INTO counters VALUES (?, ?)",
                          zip(pdf["doc_id"].astype("int64").tolist(), pdf["n_chars"].astype("int64").tolist()))
         conn.commit()
+        put_bytes(path, conn.serialize())
         conn.close()
-        os.replace(tmp, path)  # a retried task overwrites, never half-writes
         return pd.DataFrame({"path": [path], "platform": [platform], "rows": [len(pdf)]})
 
     return write
@@ -68,36 +59,45 @@ def build_databases(spark: SparkSession, sf_dir: str, rows_per_db: int = ROWS_PE
                     root: str | None = None) -> tuple[str, DataFrame]:
     """Write the sharded databases; returns (root, written files) after the job ran."""
     root = root or scratch_path(spark, "evidence")
-    local_root = local_path(root)
-    shards = shard_counts(spark, sf_dir, rows_per_db)
-    n_shards = F.create_map(*[x for k, v in shards.items() for x in (F.lit(k), F.lit(v))])
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.join(shard_counts(docs, rows_per_db), "source")
     docs = docs.withColumns({
-        "shard": F.pmod(F.col("doc_id"), n_shards[F.col("source")]),
+        "shard": F.pmod(F.col("doc_id"), F.col("shards")),
         "timestamp_ms": F.lit(EPOCH_MS_BASE) + F.col("doc_id") * F.lit(MS_PER_DOC),
     })
     written = (docs.groupBy("source", "shard")
-                   .applyInPandas(_db_writer(local_root), "path string, platform string, rows long"))
-    written = written.checkpoint(eager=True)
-    return root, written
+                   .applyInPandas(_db_writer(root), "path string, platform string, rows long"))
+    done = scratch_path(spark, "evidence-done")
+    written.write.parquet(done)
+    return root, spark.read.parquet(done)
+
+
+def _tar_of(entries) -> bytes:
+    """A tar archive of (name, bytes) entries."""
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, data in entries:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
 
 
 def _tar_writer(root: str):
     def write(pdf):
-        import os
-        import tarfile
-
         import pandas as pd
 
-        platform = str(pdf["platform"].iloc[0])
-        part = int(pdf["tar_part"].iloc[0])
-        os.makedirs(root, exist_ok=True)
-        path = os.path.join(root, f"{platform}_data_{part}.tar")
-        tmp = path + ".tmp"
-        with tarfile.open(tmp, "w") as tar:
+        platform, part = str(pdf["platform"].iloc[0]), int(pdf["tar_part"].iloc[0])
+        path = f"{root}/{platform}_data_{part}.tar"
+
+        def entries():
             for p in sorted(pdf["path"]):
-                tar.add(p, arcname=f"data/data/{platform}/databases/{os.path.basename(p)}")
-        os.replace(tmp, path)
+                with open_bytes(p, None) as stream:
+                    yield f"data/data/{platform}/databases/{p.rsplit('/', 1)[-1]}", stream.read()
+        put_bytes(path, _tar_of(entries()))
         return pd.DataFrame({"path": [path], "files": [len(pdf)]})
 
     return write
@@ -109,7 +109,23 @@ def build_archives(spark: SparkSession, written: DataFrame, dbs_per_tar: int = D
     root = root or scratch_path(spark, "archives")
     parts = written.select("path", "platform", F.floor(
         F.regexp_extract("path", r"_([0-9]+)\.db\z", 1).cast("long") / F.lit(dbs_per_tar)).alias("tar_part"))
-    done = parts.groupBy("platform", "tar_part").applyInPandas(_tar_writer(local_path(root)),
-                                                                 "path string, files long")
-    done.checkpoint(eager=True)
+    parts.groupBy("platform", "tar_part").applyInPandas(_tar_writer(root), "path string, files long").write.parquet(
+        scratch_path(spark, "archives-done"))
+    return root
+
+
+def build_text_archives(spark: SparkSession, sf_dir: str, per_tar: int = ROWS_PER_DB) -> str:
+    """Archives whose members ``doc_<id>.db`` hold the bytes of the documents' texts: known content for fingerprints."""
+    root = scratch_path(spark, "text-archives")
+
+    def write(pdf):
+        import pandas as pd
+
+        path = f"{root}/texts_{int(pdf['part'].iloc[0])}.tar"
+        put_bytes(path, _tar_of((f"d/doc_{i}.db", (t or "").encode()) for i, t in zip(pdf["doc_id"], pdf["text"])))
+        return pd.DataFrame({"path": [path]})
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("part", F.floor(F.col("doc_id") / per_tar))
+    docs.groupBy("part").applyInPandas(write, "path string").write.parquet(scratch_path(spark, "text-archives-done"))
     return root

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ..operators import dataset as M
 from ..operators import train as ML
 from ..operators.detect import PREDICTION_COLUMNS, Scorer, detection_counts, hybrid_label
-from ..sources.archive import list_archives, members_as_files, tar_members
+from ..sources.archive import list_archives, member_hashes, members_as_files, tar_members
 from ..sources.csv import write_csv
-from ..sources.files import hash_inventory, platform_of, scan_files
+from ..sources.files import basename, hash_inventory, platform_of, scan_files
 from ..sources.sqlite import flatten_scan, scan_databases
 from . import report as R
 
@@ -41,15 +41,23 @@ def evidence_files(spark: SparkSession, root: str, from_archives: bool = False)
     return scan_files(spark, root).select("path", "length", "content")
 
 
+def archive_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """A9 over the databases inside archives, in the shape of ``hash_inventory``."""
+    found = member_hashes(list_archives(spark, root)).filter(F.col("error").isNull())
+    path = F.concat(F.col("archive"), F.lit("!/"), F.col("member"))
+    return found.select(basename(path).alias("database_file"), "sha256_hash", path.alias("path"),
+                        platform_of(path).alias("platform"), "length")
+
+
 def extract_and_detect(spark: SparkSession, root: str, scorer: Scorer, out_dir: str | None = None,
                        csv_dir: str | None = None, from_archives: bool = False,
                        python_scorer: bool = False) -> DetectionResult:
     """Fingerprint, flatten and label every message found under ``root``."""
     files = evidence_files(spark, root, from_archives)
-    hashes = hash_inventory(files)
+    hashes = archive_inventory(spark, root) if from_archives else hash_inventory(files)
     flat = flatten_scan(scan_databases(files)).withColumn("platform", platform_of(F.col("path")))
     pred = hybrid_label(flat, scorer, python_scorer=python_scorer)
-    pred = pred.select(*PREDICTION_COLUMNS, "platform", "path", "row_id")
+    pred = pred.select(*PREDICTION_COLUMNS, "platform", "path", "table_pos", "row_id")
     if out_dir:
         pred.write.mode("overwrite").partitionBy("platform").parquet(out_dir)
         pred = spark.read.parquet(out_dir)

@@ -1,9 +1,10 @@
 """Database members of tar archives, as a Spark job.
 
-Archive paths are listed by Spark; each task streams its archive with
-``tarfile`` in sequential mode, so memory holds one member at a time, never
-the whole archive.  A tar file has no index, so one archive is read by one
-task; many archives are read in parallel.
+Archives come as ``binaryFile`` rows, so they are read from any store that
+Spark reads; one that exceeds a row is streamed.  A tar file has no index: one
+archive is read by one task, member after member, many archives in parallel.
+Rows leave in batches of bounded bytes.  What cannot be read is a row with its
+error, never silence.
 """
 
 from __future__ import annotations
@@ -11,68 +12,95 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMBER_SCHEMA = "archive string, member string, length long, content binary"
-LISTING_SCHEMA = "archive string, member string, length long"
+from .files import DB_GLOB
+from .streams import open_bytes, with_content
+
+_COLUMNS = "archive string, member string, length long, {what}error string"
+#: Bytes of members that a task holds before it passes them on.
+BATCH_BYTES = 32 << 20
 
 
 def list_archives(spark: SparkSession, root: str, glob: str = "*.tar") -> DataFrame:
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob).load(root).select("path", "length"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root))
+    return with_content(files)
 
 
-def _member_reader(with_content: bool, max_rows: int = 64):
-    def read(batches):
+def _read_members(take, field: str | None):
+    """One row per database member; ``take`` turns its stream into the extra field."""
+    names = ["archive", "member", "length", *([field] if field else []), "error"]
+
+    def wanted(entry) -> bool:
+        from fnmatch import fnmatchcase
+
+        return entry.isreg() and fnmatchcase(entry.name.rsplit("/", 1)[-1], DB_GLOB)
+
+    def rows_of(path, content):
         import tarfile
 
+        blank = [None] * bool(field)
+        try:
+            with open_bytes(path, content) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
+                for entry in filter(wanted, tar):
+                    value = []
+                    if field:
+                        try:
+                            value = [take(tar.extractfile(entry))]
+                        except (tarfile.TarError, OSError, EOFError) as e:
+                            yield [path, entry.name, entry.size, *blank, f"member: {e}"]
+                            continue
+                    yield [path, entry.name, entry.size, *value, None]
+        except (tarfile.TarError, OSError, EOFError) as e:
+            yield [path, None, None, *blank, f"archive: {e}"]
+
+    def read(batches):
         import pandas as pd
 
-        cols = ["archive", "member", "length"] + (["content"] if with_content else [])
         for pdf in batches:
-            for p in pdf["path"]:
-                local = p[len("file:"):] if p.startswith("file:") else p
-                while local.startswith("//"):
-                    local = local[1:]
-                rows = []
-                try:
-                    with tarfile.open(local, "r|*") as tar:
-                        for m in tar:
-                            if not (m.isfile() and m.name.lower().endswith(".db")):
-                                continue
-                            row = [p, m.name, int(m.size)]
-                            if with_content:
-                                try:
-                                    fh = tar.extractfile(m)
-                                    if fh is None:
-                                        continue
-                                    row.append(fh.read())
-                                except Exception:  # unreadable member: skipped, as the reference does
-                                    continue
-                            rows.append(row)
-                            if len(rows) >= max_rows:
-                                yield pd.DataFrame(rows, columns=cols)
-                                rows = []
-                except (tarfile.TarError, OSError):
-                    pass  # unreadable archive: nothing extracted
-                if rows:
-                    yield pd.DataFrame(rows, columns=cols)
+            for path, content in zip(pdf["path"], pdf["content"]):
+                held, size = [], 0
+                for row in rows_of(path, content):
+                    held.append(row)
+                    size += 200 + (len(row[3]) if field and row[3] is not None else 0)
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=names)
     return read
 
 
+def _sha256(stream) -> str:
+    import hashlib
+
+    digest = hashlib.sha256()
+    while block := stream.read(1 << 20):
+        digest.update(block)
+    return digest.hexdigest()
+
+
 def tar_members(archives: DataFrame, with_content: bool = True) -> DataFrame:
-    """S5 ``extract_databases_from_tar``: regular members whose name ends in .db (any case)."""
-    schema = MEMBER_SCHEMA if with_content else LISTING_SCHEMA
-    # One archive per task: spread the (small) path list over all cores first.
-    n = max(1, archives.sparkSession.sparkContext.defaultParallelism)
-    paths = archives.select("path").repartition(n)
-    return paths.mapInPandas(_member_reader(with_content), schema)
+    """S5 ``extract_databases_from_tar``: regular members whose name ends in .db (any case), and error rows."""
+    reader = _read_members(lambda stream: stream.read(), "content") if with_content else _read_members(None, None)
+    return archives.select("path", "content").mapInPandas(reader, _COLUMNS.format(what="content binary, " * with_content))
+
+
+def member_hashes(archives: DataFrame) -> DataFrame:
+    """A9 inside archives: (archive, member, length, sha256_hash, error), digested while the member streams by."""
+    return archives.select("path", "content").mapInPandas(_read_members(_sha256, "sha256_hash"),
+                                                          _COLUMNS.format(what="sha256_hash string, "))
+
+
+def archive_errors(members: DataFrame) -> DataFrame:
+    return members.filter(F.col("error").isNotNull()).select("archive", "member", "error")
 
 
 def database_listing(archives: DataFrame) -> DataFrame:
     """S5/K5 ``list_databases_in_tar``: member names per archive, sorted."""
-    return tar_members(archives, with_content=False).orderBy("archive", "member")
+    found = tar_members(archives, with_content=False).filter(F.col("error").isNull())
+    return found.select("archive", "member", "length").orderBy("archive", "member")
 
 
 def members_as_files(members: DataFrame) -> DataFrame:
-    """Archive members in the shape of a ``binaryFile`` row (for S6 and A9)."""
-    return members.select(F.concat(F.col("archive"), F.lit("!/"), F.col("member")).alias("path"),
-                          F.col("length"), F.col("content"))
+    """Archive members in the shape of a ``binaryFile`` row (for S6)."""
+    return members.filter(F.col("error").isNull()).select(
+        F.concat(F.col("archive"), F.lit("!/"), F.col("member")).alias("path"), F.col("length"), F.col("content"))

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import na_literals_to_null
@@ -32,23 +33,28 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
              na_rule: bool = True) -> DataFrame:
     """S1 (+S3): a CSV file or directory the way pandas reads it.
 
-    With a ``schema`` columns are typed by Spark (a field that does not parse
-    becomes null); without one every column is a string and typing is left to
-    the caller (``to_numeric``), since Spark's inference differs from pandas'.
+    Columns go by their name in the header.  With a ``schema`` its columns come
+    first, typed (a field that does not parse, or a column that is absent, is
+    null), and other columns follow as text; without one every column is text
+    and typing is left to the caller (``to_numeric``), since Spark's inference
+    differs from pandas'.
     A missing path gives an empty relation instead of an error.
     """
     from pyspark.errors import AnalysisException
 
-    reader = spark.read.options(**READ_OPTIONS)
-    if schema is not None:
-        reader = reader.schema(schema)
     try:
-        df = reader.csv(path)
+        df = spark.read.options(**READ_OPTIONS).csv(path)  # every column is text, named by the header
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return _empty(spark, schema)
         raise
-    return na_literals_to_null(df) if na_rule else df
+    df = na_literals_to_null(df) if na_rule else df
+    if schema is None:
+        return df
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    known = {f.name for f in wanted.fields}
+    typed = [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted.fields]
+    return df.select(*typed, *[F.col(f"`{c}`") for c in df.columns if c not in known])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

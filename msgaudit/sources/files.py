@@ -3,6 +3,8 @@
 Files are listed and read by Spark's ``binaryFile`` source (one row per file:
 path, modificationTime, length, content), so listing, reading and hashing are
 spread over the cluster.  The platform of a file is taken from its path.
+Members of archives are fingerprinted while their archive is read
+(``archive.member_hashes``).
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .streams import ROW_BYTES, open_bytes
+
 # Fixed values (must equal the reference): the app packages whose data is
 # examined, and the platform each stands for.
 PLATFORM_PACKAGES = {
@@ -19,8 +23,6 @@ PLATFORM_PACKAGES = {
 }
 
 DB_GLOB = "*.[dD][bB]"
-# binaryFile keeps a file in one row; beyond this a file is hashed by streaming.
-MAX_INLINE_BYTES = 1 << 30
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = DB_GLOB) -> DataFrame:
@@ -43,47 +45,34 @@ def platform_of(path_col) -> F.Column:
     return expr.otherwise(parent)
 
 
-def hash_inventory(files: DataFrame, max_inline_bytes: int = MAX_INLINE_BYTES) -> DataFrame:
+def hash_inventory(files: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     """(database_file, sha256_hash) plus full path, platform and size.
 
-    ``sha2`` runs in the JVM on the file bytes.  Files above the inline limit
-    are hashed by ``stream_hashes`` from their paths (their bytes are never
-    put into a row) and unioned in, so every file is in the inventory.
+    Every file is in the inventory: those that fit a row are hashed in the JVM,
+    larger ones are streamed through the digest on an executor.
     """
-    def shape(df, digest):
+    def shape(df: DataFrame, digest) -> DataFrame:
         return df.select(basename(F.col("path")).alias("database_file"), digest.alias("sha256_hash"),
-                         F.col("path"), platform_of(F.col("path")).alias("platform"), F.col("length"))
-
-    small = shape(files.filter(F.col("length") <= max_inline_bytes), F.sha2(F.col("content"), 256))
-    big_paths = files.filter(F.col("length") > max_inline_bytes).select("path", "length")
-    if "!/" in (files.select("path").first() or {"path": ""})["path"]:
-        return small  # archive members are always inline (bounded by the member reader)
-    big = stream_hashes(files.sparkSession, big_paths).join(big_paths, "path")
-    return small.unionByName(shape(big, F.col("sha256_hash")))
+                         "path", platform_of(F.col("path")).alias("platform"), "length")
 
+    small = files.filter(F.col("length") <= row_bytes)
+    large = stream_hashes(files.filter(F.col("length") > row_bytes))
+    return shape(small, F.sha2(F.col("content"), 256)).unionByName(shape(large, F.col("sha256_hash")))
 
-def stream_hashes(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """A10 for files of any size: SHA-256 read in 4 KiB chunks, one task per file batch.
 
-    ``paths`` needs a ``path`` column of files on a filesystem the executors
-    mount.  Only path strings travel; the bytes are streamed on the executor.
-    """
-    def hash_batches(batches):
+def stream_hashes(files: DataFrame) -> DataFrame:
+    """A10 for files of any size: (path, length, sha256_hash), read from their store on the executors."""
+    def digests(batches):
         import hashlib
 
-        import pandas as pd
-
         for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                local = p[len("file:"):] if p.startswith("file:") else p
-                while local.startswith("//"):
-                    local = local[1:]
-                h = hashlib.sha256()
-                with open(local, "rb") as fh:
-                    for chunk in iter(lambda: fh.read(4096), b""):
-                        h.update(chunk)
-                out.append(h.hexdigest())
-            yield pd.DataFrame({"path": pdf["path"], "sha256_hash": out})
-
-    return paths.select("path").mapInPandas(hash_batches, "path string, sha256_hash string")
+            found = []
+            for path in pdf["path"]:
+                digest = hashlib.sha256()
+                with open_bytes(path, None) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                found.append(digest.hexdigest())
+            yield pdf.assign(sha256_hash=found)
+
+    return files.select("path", "length").mapInPandas(digests, "path string, length long, sha256_hash string")

@@ -5,7 +5,8 @@ import tarfile
 
 from pyspark.sql import functions as F
 
-from msgaudit.sources.archive import database_listing, list_archives, members_as_files, tar_members
+from msgaudit.sources.archive import (archive_errors, database_listing, list_archives, member_hashes, members_as_files,
+                                      tar_members)
 from msgaudit.sources.files import hash_inventory, scan_files, stream_hashes
 from msgaudit.sources.sqlite import catalog, flatten_scan, scan_databases, scan_errors
 
@@ -74,7 +75,7 @@ def test_hashes_match_hashlib(spark, tmp_path):
         p = os.path.join(root, "com.facebook.katana", "databases", name)
         assert inv[name].sha256_hash == hashlib.sha256(open(p, "rb").read()).hexdigest()
         assert inv[name].platform == "Facebook"
-    streamed = {os.path.basename(r.path): r.sha256_hash for r in stream_hashes(spark, scan_files(spark, root)).collect()}
+    streamed = {os.path.basename(r.path): r.sha256_hash for r in stream_hashes(scan_files(spark, root)).collect()}
     assert streamed["a.db"] == inv["a.db"].sha256_hash
 
 
@@ -116,7 +117,46 @@ def test_extract_and_detect_end_to_end(spark, tmp_path):
 def test_large_files_are_streamed_into_inventory(spark, tmp_path):
     import hashlib
     root = build(tmp_path)
-    inv = {r.database_file: r.sha256_hash for r in hash_inventory(scan_files(spark, root), max_inline_bytes=10).collect()}
+    inv = {r.database_file: r.sha256_hash for r in hash_inventory(scan_files(spark, root), row_bytes=10).collect()}
     p = os.path.join(root, "com.facebook.katana", "databases", "a.db")
     assert inv["a.db"] == hashlib.sha256(open(p, "rb").read()).hexdigest()
     assert set(inv) == {"a.db", "b.db", "broken.db"}
+
+
+def test_archives_lose_nothing_silently(spark, tmp_path):
+    import hashlib
+    import io
+
+    data = bytes(range(256)) * 40
+    folder = tmp_path / "tars"
+    folder.mkdir()
+    with tarfile.open(folder / "good.tar", "w") as t:
+        for name in ("x/one.db", "x/two.DB", "x/three.txt"):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    (folder / "bad.tar").write_bytes(b"no archive" * 100)
+    cut = (folder / "good.tar").read_bytes()[:15_000]
+    (folder / "cut.tar").write_bytes(cut)
+    archives = list_archives(spark, str(folder))
+    errors = {os.path.basename(r.archive) for r in archive_errors(tar_members(archives)).collect()}
+    assert errors == {"bad.tar", "cut.tar"}
+    found = [r for r in member_hashes(archives).collect() if r.error is None and r.archive.endswith("good.tar")]
+    assert {r.member: (r.length, r.sha256_hash) for r in found} == dict.fromkeys(
+        ("x/one.db", "x/two.DB"), (len(data), hashlib.sha256(data).hexdigest()))
+
+
+def test_a_bad_table_is_an_error_row_and_bad_bytes_keep_their_rows(spark, tmp_path):
+    path = str(tmp_path / "t.db")
+    conn = sqlite3.connect(path)
+    conn.execute("CREATE TABLE notes (body TEXT)")
+    conn.executemany("INSERT INTO notes VALUES (?)", [(f"n{k}",) for k in range(3000)])
+    conn.execute("INSERT INTO notes VALUES (CAST(x'ff41' AS TEXT))")
+    conn.execute("PRAGMA writable_schema = ON")
+    conn.execute("INSERT INTO sqlite_master VALUES ('table', 'broken', 'broken', 0, 'CREATE VIRTUAL TABLE broken USING nosuch(message)')")
+    conn.commit()
+    conn.close()
+    scan = scan_databases(scan_files(spark, str(tmp_path)))
+    assert [r.source_table for r in scan_errors(scan).collect()] == ["broken"]
+    assert scan.filter("kind = 'row'").groupBy("source_table").count().collect()[0]["count"] == 3001
+    assert flatten_scan(scan).filter(F.col("text").endswith("A")).count() == 1
