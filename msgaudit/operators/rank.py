@@ -13,8 +13,8 @@
   (task, group).
 
 The reference sorts with an unstable sort and many ties (every lexicon hit has
-confidence 0.99); callers always pass a unique tie-breaker so results are
-reproducible.
+confidence 0.99); callers pass a unique tie-breaker, source order at best, so
+that results are reproducible.  Null keys are groups and places like any other.
 """
 
 from __future__ import annotations
@@ -49,7 +49,19 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order: list, n: int,
 
 
 LOW_BITS = (1 << 33) - 1
-MAX_BROADCAST_SPANS = 1_000_000
+
+
+def _join_spans(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the offsets of their span; null keys are a group like any other.
+
+    Spark picks the join by the measured size of the (small) span table.
+    """
+    renamed = spans.select(*[F.col(k).alias(f"_span_{k}") for k in keys], *[c for c in spans.columns if c not in keys])
+    same = None
+    for k in keys:
+        eq = rows[k].eqNullSafe(renamed[f"_span_{k}"])
+        same = eq if same is None else same & eq
+    return rows.join(renamed, same, "inner").drop(*[f"_span_{k}" for k in keys])
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
@@ -78,7 +90,7 @@ def number_rows_bucketed(df: DataFrame, group_cols: list[str], order: list, lead
        group - also one holding a third of all rows - is split over many tasks.
     2. Rows are numbered inside each (group, bucket) window.
     3. Offsets come from the (group, bucket) counts: a small table, summed
-       over earlier buckets and broadcast after its size is checked.
+       over earlier buckets.
     Bucket membership is an expression of the key, so both passes see the same
     rows; nothing is checkpointed.
     """
@@ -95,16 +107,16 @@ def number_rows_bucketed(df: DataFrame, group_cols: list[str], order: list, lead
         bucketed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(with_key)
     else:
         bucketed = with_key.withColumn("_b", F.lit(0.0))
-    last = float(len(splits) - 2)
-    bucketed = bucketed.withColumn("_b", (F.lit(last) - F.col("_b")) if desc else F.col("_b")).drop("_key")
+    # rows without a key come first in ascending and last in descending order, NaN counts as the largest key
+    last = len(splits) - 2
+    place = (F.when(F.col("_key").isNull(), F.lit(-1.0)).when(F.isnan("_key"), F.lit(last + 1.0)).otherwise(F.col("_b")))
+    bucketed = bucketed.withColumn("_b", (F.lit(float(last)) - place) if desc else place).drop("_key")
     counts = bucketed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w_off = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0))).drop("_cnt")
-    if offsets.count() <= MAX_BROADCAST_SPANS:
-        offsets = F.broadcast(offsets)
     w = Window.partitionBy(*group_cols, "_b").orderBy(*_cols(order))
     local = bucketed.withColumn("_rn", F.row_number().over(w))
-    out = local.join(offsets, [*group_cols, "_b"], "inner").withColumn(
+    out = _join_spans(local, offsets, [*group_cols, "_b"]).withColumn(
         rank_col, (F.col("_rn") + F.col("_offset")).cast("long"))
     return out.drop("_b", "_rn", "_offset")
 
@@ -133,12 +145,6 @@ def number_rows_ranged(df: DataFrame, group_cols: list[str], order: list, rank_c
                                                     F.min("_idx").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    # The span table has at most (tasks + groups) rows; broadcast it when that
-    # is checked to be small, so the numbered rows are not shuffled again.
-    if checkpoint:
-        spans = spans.checkpoint(eager=True)
-        if spans.count() <= MAX_BROADCAST_SPANS:
-            spans = F.broadcast(spans)
-    out = (local.join(spans, ["_part", *group_cols], "inner")
+    out = (_join_spans(local, spans, ["_part", *group_cols])
                 .withColumn(rank_col, (F.col("_idx") - F.col("_first") + F.col("_offset") + 1).cast("long")))
     return out.drop("_mid", "_part", "_idx", "_first", "_offset")
