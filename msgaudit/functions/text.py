@@ -40,10 +40,10 @@ EMOJI_CLASS = r"\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{1F900}-\x{1F9FF}"
 # Control characters replaced by a space in reports.
 CONTROL_CLASS = r"\x00-\x08\x0B\x0C\x0E-\x1F"
 
-# Characters a report keeps (tab, newline, CR, ASCII printable,
-# general punctuation block, Sinhala block); everything else is dropped.  (The
-# reference also lists " " and A-Za-z, which lie inside the printable range.)
-REPORT_KEEP_RANGES = [(0x20, 0x7E), (0x09, 0x09), (0x0A, 0x0A), (0x0D, 0x0D), (0x2000, 0x206F), (0x0D80, 0x0DFF)]
+# Fixed values (must equal the reference): characters a report keeps, in the
+# reference's order; everything else is dropped.
+REPORT_KEEP_RANGES = [(0x09, 0x09), (0x0A, 0x0A), (0x0D, 0x0D), (0x20, 0x20), (0x41, 0x5A), (0x61, 0x7A),
+                      (0x2000, 0x206F), (0x20, 0x7E), (0x0D80, 0x0DFF)]
 
 
 def _class_body(ranges) -> str:
@@ -67,21 +67,17 @@ REPORT_KEEP_CLASS = _class_body(REPORT_KEEP_RANGES)
 REPORT_DROP_CLASS = _class_body(_complement(REPORT_KEEP_RANGES))
 
 # Fixed values (must equal the reference): junk fragments that end a message
-# in the report, tried in this order, case-insensitively.  The text is cut at
-# the first match of each.  ``\s`` is Python's whitespace; the last pattern
-# only matches on the final line (Python ``.*$``).
+# in the report, tried in this order, case-insensitively; Python patterns.
 SUFFIX_JUNK = [
-    r"reverb_db",
+    r"reverb_db[^\s]*",
     r"local_?message_?pe",
-    r"direct\.db[" + PY_SPACE + r"]+messages",
-    r"fts\.db[" + PY_SPACE + r"]+messages",
-    r"crypto_db",
-    r"omnistore_",
+    r"direct\.db\s+messages(?:_content)?",
+    r"fts\.db\s+messages(?:_content)?",
+    r"crypto_db[^\s]*",
+    r"omnistore_[^\s]*",
     r"enigma\.db",
-    r"\(\([" + PY_SPACE + r"]*0[" + PY_SPACE + r"]*B[^\n]*\n?\z",
+    r"\(\(\s*0\s*B.*$",
 ]
-# (The reference's trailing ``[^\s]*`` / ``(?:_content)?`` parts cannot move
-# the cut point, so they are left out: the remainder is dropped either way.)
 
 NONBLANK = "[^" + PY_SPACE + "]"
 
@@ -183,12 +179,23 @@ def strip_prefix_noise(col) -> Column:
 SUFFIX_TRIGGER = r"(?iu)reverb_db|local_?message_?pe|direct\.db|fts\.db|crypto_db|omnistore_|enigma\.db|\(\("
 
 
+def _cut_pattern(python_pattern: str) -> str:
+    """What a junk fragment removes: blanks before it, itself, and all that follows.
+
+    The blanks start at the beginning of their run, so a run is looked at once
+    however long it is.  ``\\s`` is Python's class, ``.`` stops at a newline only.
+    """
+    java = (python_pattern.replace(r"[^\s]", "[^" + PY_SPACE + "]").replace(r"\s", "[" + PY_SPACE + "]")
+            .replace(".*$", r"[^\n]*\n?\z"))
+    return "(?iu)(?<![" + PY_SPACE + "])[" + PY_SPACE + "]*+" + java + r"[\s\S]*"
+
+
 def strip_suffix_noise(col) -> Column:
-    """For each junk pattern in order, cut at its first match and rstrip."""
+    """For each junk fragment in order, cut at its first match and strip the blanks before it."""
     s = _c(col)
     cut = s
     for pat in SUFFIX_JUNK:
-        cut = F.regexp_replace(cut, "(?iu)[" + PY_SPACE + "]*" + pat + r"[\s\S]*", "")
+        cut = F.regexp_replace(cut, _cut_pattern(pat), "")
     return F.when(s.rlike(SUFFIX_TRIGGER), cut).otherwise(s)
 
 

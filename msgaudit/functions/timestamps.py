@@ -89,19 +89,28 @@ def _month_no(name: Column) -> Column:
     return expr
 
 
-# All shapes in one anchored alternation.  Groups: ISO y1 m2 d3 | A4 B5 y6 |
-# compact y7 m8 d9 | year y10 | Mon11 d12 y13 | d14 Mon15 y16.
+# All shapes in one anchored alternation.  A name must be a whole month or
+# weekday name, times must be times of day.
 _MONS = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-DATE_SHAPES = (r"^(?:([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME
-               + r"|([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
-               + r"|([0-9]{4})([0-9]{2})([0-9]{2})"
+_WHOLE = (r"(?=(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+          r"|nov(?:ember)?|dec(?:ember)?)(?![A-Za-z]))")
+_NAME = _WHOLE + "(" + _MONS + r")(?i:[a-z]{0,6})\.?"
+_WEEKDAY = r"(?:(?i:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),? )?"
+_CLOCK = r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?(?: ?(?i:[ap]m))?"
+_ZONE = r"(?: ?(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}))?"
+_AT = r"(?:[T ]" + _CLOCK + _ZONE + r")?"
+# Groups: y1 m2 d3 | A4 B5 y6 | compact y7 m8 d9 | year y10 | Mon11 d12 y13 | d14 Mon15 y16 | ctime Mon17 d18 y19 | y20 m21.
+DATE_SHAPES = (r"^(?:([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _AT
+               + r"|([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _AT
+               + r"|([0-9]{4})([0-9]{2})([0-9]{2})(?:T(?:[01][0-9]|2[0-3])[0-5][0-9](?:[0-5][0-9])?" + _ZONE + r")?"
                + r"|([0-9]{4})"
-               + r"|(" + _MONS + r")(?i:[a-z]*)\.? ([0-9]{1,2}),? ([0-9]{4})"
-               + r"|([0-9]{1,2}) (" + _MONS + r")(?i:[a-z]*)\.?,? ([0-9]{4}))\z")
+               + r"|" + _WEEKDAY + _NAME + r"[ -]([0-9]{1,2})(?:,? |-)([0-9]{4})" + _AT
+               + r"|" + _WEEKDAY + r"([0-9]{1,2})[ -]" + _NAME + r"(?:,? |-)([0-9]{4})" + _AT
+               + r"|" + _WEEKDAY + _NAME + r" {1,2}([0-9]{1,2}) " + _CLOCK + r" ([0-9]{4})"
+               + r"|([0-9]{4})[-/]([0-9]{1,2}))\z")
 SEP = "\u0001"
 # Canonical form: year | month | day | month name | A | B (empty when absent).
-DATE_CANON = "$1$6$7$10$13$16" + SEP + "$2$8" + SEP + "$3$9$12$14" + SEP + "$11$15" + SEP + "$4" + SEP + "$5"
-MAX_DATE_LEN = 64  # no understood shape is longer
+DATE_CANON = ("$1$6$7$10$13$16$19$20" + SEP + "$2$8$21" + SEP + "$3$9$12$14$18" + SEP + "$11$15$17" + SEP + "$4" + SEP + "$5")
 
 
 def _nz(c: Column) -> Column:
@@ -123,7 +132,7 @@ def text_to_date(col) -> Column:
     month_first = ai <= 12
     month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
     day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
-    matched = (F.length(s) <= MAX_DATE_LEN) & (canon != s)
+    matched = canon != s
     return F.when(matched, _ymd(y, month, day))
 
 
@@ -196,7 +205,7 @@ def _date_from_parts(canon, stripped, yi, m, d, mon, ai, bi) -> Column:
     month_first = ai <= 12
     month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
     day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
-    ok = (canon != stripped) & (F.length(stripped) <= MAX_DATE_LEN) & (yi >= 1677) & (yi <= 2262)
+    ok = (canon != stripped) & (yi >= 1677) & (yi <= 2262)
     return F.when(ok, F.to_date(F.try_make_timestamp(yi, month, day, F.lit(0), F.lit(0), F.lit(0))))
 
 

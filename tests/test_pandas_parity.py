@@ -32,6 +32,9 @@ def _shapes(d: dt.date):
     m = d.strftime("%b")
     out = [d.isoformat(), d.strftime("%Y/%m/%d"), d.strftime("%Y-%m-%d 10:30:15"), d.strftime("%Y-%m-%dT23:00-05:00"),
            d.strftime("%Y%m%d"), f"{m} {d.day}, {d.year}", f"{d.day} {m} {d.year}", d.strftime("%B %d %Y")]
+    out += [d.strftime("%d-%b-%Y"), d.strftime("%d %B %Y 14:05"), d.strftime("%a, %d %b %Y 10:30:00 +0000"), d.strftime("%a %b %d 10:30:15 %Y"),
+            d.strftime("%Y.%m.%d"), d.strftime("%Y%m%dT103015"), d.strftime("%Y-%m-%d 02:05 PM"), d.strftime("%Y-%m-%d 10:30:00 UTC"),
+            d.strftime("%Y-%m-%d 10:30:00 +05:30"), d.strftime("%b %d, %Y 11:59:59 PM"), d.strftime("%A, %B %d, %Y"), d.strftime("%A %d %B %Y")]
     if d.day > 12:
         out += [d.strftime("%m/%d/%Y"), d.strftime("%d/%m/%Y"), d.strftime("%d-%m-%Y"), d.strftime("%d.%m.%Y")]
     else:
@@ -52,6 +55,17 @@ def test_text_dates_match_pandas(spark, dates):
         assert g == w.strftime("%Y-%m-%d"), (v, g, w)
 
 
+def test_months_and_refusals_match_pandas(spark):
+    values = ["2025-08", "2025/08", "2025-08-21 99:99", "Janxxxx 1, 2020", "2025-08-21 10:61", "32 Aug 2025", "Foo, 21 Aug 2025",
+              "2025-13", "21-August-2025", "June 5 2020", "Sept 5, 2020", "5 Sept 2020"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = [r.o for r in T.with_first_date(df, "o", ["s"], fmt="yyyy-MM-dd").orderBy("i").collect()]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = [pd.to_datetime(v, errors="coerce") for v in values]
+    assert got == [None if pd.isna(w) else w.strftime("%Y-%m-%d") for w in want]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(min_value=1_000_000_000, max_value=9_000_000_000), min_size=1, max_size=8))
 def test_epochs_match_pandas(spark, secs):
