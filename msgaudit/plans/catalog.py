@@ -19,7 +19,7 @@ from ..functions.coerce import fill_defaults, to_numeric, truncate_int
 from ..operators import columns as C
 from ..operators import dataset as M
 from ..operators.detect import detection_counts
-from ..session import spread, table_path
+from ..session import spread
 from .tables import (event_log, labelled_sources, noisy_conversations, platforms, read,
                      scored_messages)
 
@@ -111,6 +111,19 @@ def q_all_texts(spark, sf):
         "listing_text")
 
 
+@query("flagged_listing")
+def q_flagged_listing(spark, sf):
+    from .evidence import EPOCH_MS_BASE, MS_PER_DOC
+    from .report import flagged_listing
+
+    s = scored_messages(spark, sf)
+    pred = s.select("doc_id", "platform", "predicted_label", "confidence", "text",
+                    (F.lit(EPOCH_MS_BASE) + F.col("doc_id") * MS_PER_DOC).cast("string").alias("created_at"),
+                    F.concat("platform", F.lit("_data/a-b.db")).alias("source_database"),
+                    F.lit("messages_1").alias("source_table"))
+    return flagged_listing(pred, TOP_N, ["doc_id"])
+
+
 # --- scalar text operators -------------------------------------------------------------
 
 @query("model_clean")
@@ -231,7 +244,7 @@ def _epoch_strings(e):
 
 @query("epoch_parse")
 def q_epoch_parse(spark, sf):
-    e = _epoch_strings(spread(read(spark, sf, "events"), path=table_path(sf, "events")))
+    e = _epoch_strings(spread(read(spark, sf, "events")))
     fmt = lambda c: F.date_format(T.epoch_to_date(to_numeric(F.col(c))), "yyyy-MM-dd")
     return e.select("event_id", fmt("s_str").alias("d_s"), fmt("ms_str").alias("d_ms"),
                     fmt("us_str").alias("d_us"), fmt("frac_str").alias("d_frac"))
@@ -247,17 +260,34 @@ def q_first_datetime(spark, sf):
     sent = None
     for i, o in enumerate(opts):
         sent = F.when(k == i, o) if sent is None else sent.when(k == i, o)
-    d = spread(e, path=table_path(sf, "events")).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
+    d = spread(e).select("event_id", sent.alias("sent"), F.date_format("ts", "yyyyMMdd").alias("received"))
     return T.with_nice_date(d, "date_time", ["sent", "received"]).select("event_id", "sent", "date_time")
 
 
+#: Renderings of a time stamp that the date parser understands.
+DATE_RENDERINGS = ["dd-MMM-yyyy", "EEE, dd MMM yyyy HH:mm:ss '+0000'", "yyyy.MM.dd", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd hh:mm a",
+                   "MMMM d, yyyy", "EEE MMM d HH:mm:ss yyyy", "d MMMM yyyy HH:mm", "yyyy-MM-dd HH:mm:ss 'UTC'", "MMM d, yyyy h:mm:ss a",
+                   "yyyy-MM-dd 99:99", "MMM'xxxx' d, yyyy"]
+
+
+@query("date_shapes")
+def q_date_shapes(spark, sf):
+    e = spread(read(spark, sf, "events"))
+    k = F.pmod(F.col("event_id"), F.lit(len(DATE_RENDERINGS)))
+    shown = None
+    for i, pattern in enumerate(DATE_RENDERINGS):
+        text = F.date_format("ts", pattern)
+        shown = F.when(k == i, text) if shown is None else shown.when(k == i, text)
+    return T.with_nice_date(e.select("event_id", shown.alias("sent")), "date_time", ["sent"]).select("event_id", "date_time")
+
+
 @query("msg_datetime")
 def q_msg_datetime(spark, sf):
     o = read(spark, sf, "orders")
     k = F.pmod(F.col("o_orderkey"), F.lit(3))
     created = (F.when(k == 0, F.lit("-")).when(k == 1, F.date_format("o_orderdate", "dd MMM yyyy"))
                 .otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")))
-    d = spread(o, path=table_path(sf, "orders")).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
+    d = spread(o).select("o_orderkey", created.alias("created_at"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date"))
     return T.with_message_date(d, "msg_date").select("o_orderkey", "msg_date")
 
 
@@ -266,7 +296,7 @@ def q_date_time_combo(spark, sf):
     o = read(spark, sf, "orders")
     day = F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, F.date_format("o_orderdate", "yyyy-MM-dd")) \
            .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
-    d = spread(o, path=table_path(sf, "orders")).select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
+    d = spread(o).select("o_orderkey", day.alias("date"), F.date_format("o_orderdate", "HH:mm:ss").alias("time"))
     d = T.with_first_date(d, "combo_date", [], combo=("date", "time"), fmt="yyyy-MM-dd", missing="-")
     return d.select("o_orderkey", "combo_date")
 
@@ -425,6 +455,15 @@ def q_tar_members(spark, sf):
     return listing.select(basename(F.col("archive")).alias("archive"), "member")
 
 
+@query("member_hash")
+def q_member_hash(spark, sf):
+    from ..sources.archive import list_archives, member_hashes
+    from .evidence import build_text_archives
+
+    found = member_hashes(list_archives(spark, build_text_archives(spark, sf)))
+    return found.select("member", "length", "sha256_hash", "error")
+
+
 @query("sqlite_scan")
 def q_sqlite_scan(spark, sf):
     from ..sources.files import scan_files

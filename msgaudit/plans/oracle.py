@@ -64,9 +64,10 @@ def prefix_noise(e: str) -> str:
 
 
 def suffix_noise(e: str) -> str:
-    s = e
-    for pat in X.SUFFIX_JUNK:
-        s = rr(s, "(?i)[" + X.PY_SPACE + "]*" + pat + r"[\s\S]*", "")
+    s, blanks, gap = e, "[" + X.PY_SPACE + "]*", "[" + X.PY_SPACE + "]+"
+    for pat in ["reverb_db", "local_?message_?pe", "direct\\.db" + gap + "messages", "fts\\.db" + gap + "messages", "crypto_db",
+                "omnistore_", "enigma\\.db", "\\(\\(" + blanks + "0" + blanks + r"B[^\n]*\n?\z"]:
+        s = rr(s, "(?i)" + blanks + pat + r"[\s\S]*", "")
     return s
 
 
@@ -493,7 +494,7 @@ s1 AS (SELECT doc_id, text AS Sentence, CASE WHEN toxic = 1 THEN 'Offensive' WHE
         ELSE 'Unsure' END AS Hate_speech FROM j WHERE lang = 'en'),
 s2 AS (SELECT doc_id, text AS comment, CASE WHEN quality = 0 THEN 'n/a' ELSE CAST(toxic AS VARCHAR) END AS label
         FROM j WHERE lang IN ('fr', 'de')),
-s3 AS (SELECT doc_id, text AS comment, CAST(toxic AS VARCHAR) || '.0' AS label FROM j WHERE lang = 'es'),
+s3 AS (SELECT doc_id, text AS comment, CAST(toxic AS VARCHAR) || '.0' AS label FROM j WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de')),
 merged AS (
   SELECT doc_id, Sentence AS text, CASE Hate_speech WHEN 'Offensive' THEN 1 ELSE 0 END AS label FROM s1
     WHERE Hate_speech IN ('Offensive', 'Not offensive')
@@ -609,3 +610,27 @@ def _():
             f"SELECT source || '_data_' || CAST(shard // 16 AS VARCHAR) || '.tar' AS archive, "
             f"'data/data/' || source || '/databases/' || source || '_' || CAST(shard AS VARCHAR) || '.db' AS member "
             f"FROM s")
+
+
+@oracle("member_hash")
+def _():
+    return ("SELECT 'd/doc_' || CAST(doc_id AS VARCHAR) || '.db' AS member, CAST(strlen(text) AS BIGINT) AS length, "
+            "sha256(text) AS sha256_hash, CAST(NULL AS VARCHAR) AS error FROM documents")
+
+
+@oracle("flagged_listing")
+def _():
+    soft = lambda e: rr(e, r"([\\/_-])", "\\1\u200b")
+    day = "DATE '1970-01-01' + CAST(floor((1700000000000 + doc_id * 60000) / 86400000.0) AS INTEGER)"
+    return (f"WITH {SCORED}, r AS (SELECT platform, row_number() OVER (PARTITION BY platform ORDER BY confidence DESC, doc_id) "
+            f"AS rank, doc_id, confidence, text FROM pred WHERE predicted_label = 1) "
+            f"SELECT platform, rank, {conf_cell('confidence')} AS confidence, {code_blobs(report_clean('text'))} AS text, "
+            f"strftime({day}, '%d/%m/%Y') AS date, "
+            f"{soft('(platform || ' + lit('_data/a-b.db') + ')')} AS source_database, {soft(lit('messages_1'))} AS source_table "
+            f"FROM r WHERE rank <= 25")
+
+
+@oracle("date_shapes")
+def _():
+    # the last two renderings are no dates
+    return "SELECT event_id, CASE WHEN event_id % 12 >= 10 THEN '-' ELSE strftime(ts, '%Y-%m-%d') END AS date_time FROM events"

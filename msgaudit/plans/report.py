@@ -53,10 +53,16 @@ def platform_summary(pred: DataFrame, handles: DataFrame) -> DataFrame:
     return A.platform_stats(pred, "platform").join(handles.select("platform", "handle"), "platform", "left")
 
 
-def all_texts_listing(pred: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """Every message, numbered per platform in source order."""
+def source_order(pred: DataFrame) -> list[str]:
+    """Columns that give the order in which messages were read: file, table, row."""
+    return [c for c in ("path", "table_pos", "row_id") if c in pred.columns]
+
+
+def all_texts_listing(pred: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Every message, numbered per platform in source order (table by table)."""
+    order = order or source_order(pred)
     dated = with_message_date(pred, "date")
-    numbered = K.number_rows(dated, ["platform"], [F.asc(order_col)], "rank", bucket_key=order_col)
+    numbered = K.number_rows(dated, ["platform"], [F.asc(c) for c in order], "rank", bucket_key=order[0])
     return numbered.select(
         "platform", "rank",
         F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"),
@@ -64,10 +70,10 @@ def all_texts_listing(pred: DataFrame, order_col: str = "row_id") -> DataFrame:
         X.soft_wrap("source_database").alias("source_database"), X.soft_wrap("source_table").alias("source_table"))
 
 
-def flagged_listing(pred: DataFrame, top_n: int = 25, tiebreak: str = "row_id") -> DataFrame:
-    """Per platform, the top-N hate messages by confidence."""
+def flagged_listing(pred: DataFrame, top_n: int = 25, tiebreak: list[str] | None = None) -> DataFrame:
+    """Per platform, the top-N hate messages by confidence, ties in source order."""
     flagged = pred.filter(F.col("predicted_label") == 1)
-    top = K.top_n_per_group(flagged, ["platform"], [F.desc("confidence"), F.asc(tiebreak)], top_n)
+    top = K.top_n_per_group(flagged, ["platform"], [F.desc("confidence"), *map(F.asc, tiebreak or source_order(pred))], top_n)
     top = with_message_date(top, "date")
     return top.select(
         "platform", "rank", X.confidence_percent(F.col("confidence")).alias("confidence"),
@@ -120,12 +126,12 @@ def infer_device(frames: list[DataFrame]) -> DataFrame:
     return A.first_candidate_mode_frames(frames, DEVICE_CANDIDATES)
 
 
-def flagged_rows(pred: DataFrame, top_n: int = 20, tiebreak: str = "row_id") -> DataFrame:
+def flagged_rows(pred: DataFrame, top_n: int = 20, tiebreak: list[str] | None = None) -> DataFrame:
     """K1: label-1 rows, highest confidence first, the first ``top_n`` (a report limit)."""
     flagged = pred.filter(F.col("predicted_label") == 1)
-    return K.top_n(flagged, top_n, [F.desc("confidence"), F.asc(tiebreak)])
+    return K.top_n(flagged, top_n, [F.desc("confidence"), *map(F.asc, tiebreak or source_order(pred))])
 
 
-def all_rows_sample(pred: DataFrame, top_n: int = 25, tiebreak: str = "row_id") -> DataFrame:
+def all_rows_sample(pred: DataFrame, top_n: int = 25, tiebreak: list[str] | None = None) -> DataFrame:
     """K2: the ``top_n`` longest texts (a report limit)."""
-    return K.top_n(pred, top_n, [F.desc(F.length("text")), F.asc(tiebreak)])
+    return K.top_n(pred, top_n, [F.desc(F.length("text")), *map(F.asc, tiebreak or source_order(pred))])

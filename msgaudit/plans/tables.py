@@ -14,23 +14,15 @@ from ..operators.detect import hybrid_label, label_table_scorer
 from ..session import spread, table_path
 
 
-# Tables whose rows carry long text: regex work on them is CPU-bound, so a scan
-# with fewer splits than cores is spread first (no-op on a multi-split input).
+# Tables whose rows carry long text: regex work on them is CPU-bound, so a
+# session may ask for them to be dealt out first (``msgaudit.spread``).
 TEXT_TABLES = {"documents", "conversations", "pages"}
 
 
-_schemas: dict = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its schema is inferred once per path and then given to
-    the reader, so building a query does not re-read parquet footers."""
-    path = table_path(sf_dir, name)
-    key = (id(spark), path)
-    if key not in _schemas:
-        _schemas[key] = spark.read.parquet(path).schema
-    df = spark.read.schema(_schemas[key]).parquet(path)
-    return spread(df, path=path) if name in TEXT_TABLES else df
+    """A driver table."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +77,7 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
     The documents are split by language (every document lands in exactly one
     source): English carries text verdicts, French/German numeric labels with
-    unusable values, Spanish numeric labels written as decimals.
+    unusable values, all others (and no language) numeric labels written as decimals.
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     lab = read(spark, sf_dir, "labels")
@@ -97,6 +89,6 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     s2 = j.filter(F.col("lang").isin("fr", "de")).select(
         "doc_id", F.col("text").alias("comment"),
         F.when(F.col("quality") == 0, F.lit("n/a")).otherwise(F.col("toxic").cast("string")).alias("label"))
-    s3 = j.filter(F.col("lang") == "es").select(
+    s3 = j.filter(~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False))).select(
         "doc_id", F.col("text").alias("comment"), F.concat(F.col("toxic").cast("string"), F.lit(".0")).alias("label"))
     return [s1, s2, s3]

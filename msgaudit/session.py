@@ -52,7 +52,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings that are safe to change on an existing session."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set(k, BASE_CONF[k])
     # Python workers import this package from where the driver did, whatever their working directory.
     env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -66,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="msgaudit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -79,41 +81,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/msgaudit/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme so Python code on a task can open the path."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_split_counts: dict = {}
-
-
-def scan_partitions(spark: SparkSession, path: str, df) -> int:
-    """Partitions Spark makes for a file scan (planned once per path and session)."""
-    key = (id(spark), path)
-    if key not in _split_counts:
-        _split_counts[key] = df.rdd.getNumPartitions()
-    return _split_counts[key]
-
+#: Whether ``spread`` deals a table's rows out before CPU-heavy steps.  For tables that lie in a few
+#: large row groups, each of which Spark reads in one task; off unless asked for.
+SPREAD_CONF = "msgaudit.spread"
 
-def spread(df, *keys, path: str | None = None):
-    """Give a CPU-heavy stage all cores when the scan yields too few splits.
 
-    A single-row-group parquet file is one task however large it is.  When the
-    input has fewer partitions than the cluster has cores, hash- (on ``keys``)
-    or round-robin-partition it to that many; a real multi-split input is
-    left alone, so at scale this adds no shuffle.
-    """
+def spread(df):
+    """The rows dealt over all cores if the session's ``msgaudit.spread`` asks for it."""
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    n = scan_partitions(spark, path, df) if path else df.rdd.getNumPartitions()
-    if n >= target:
+    if spark.conf.get(SPREAD_CONF, "false") != "true":
         return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    return df.repartition(spark.sparkContext.defaultParallelism)
