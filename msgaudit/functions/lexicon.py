@@ -10,6 +10,7 @@ every other row reaches that worker as a null.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -146,31 +147,21 @@ def keyword_hit_jvm(col, variant: str = "reference", normalise: bool = True) ->
 def _automaton_udf(words: list[str]):
     """Arrow UDF: Python lower + NFC + one Aho-Corasick pass for all entries.
 
-    Self-contained (pickled by value); falls back to plain ``in`` tests when
-    pyahocorasick is not installed on the workers.
+    Self-contained (pickled by value); needs pyahocorasick on the workers.
     """
     words = list(dict.fromkeys(words))
 
-    def hit(s: pd.Series) -> pd.Series:
-        import unicodedata as ud
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from unicodedata import normalize
 
-        try:
-            import ahocorasick
+        import ahocorasick
 
-            auto = ahocorasick.Automaton()
-            for w in words:
-                auto.add_word(w, w)
-            auto.make_automaton()
-
-            def found(n):
-                for _ in auto.iter(n):
-                    return True
-                return False
-        except ImportError:  # pragma: no cover - optional dependency
-            def found(n):
-                return any(w in n for w in words)
-
-        return s.map(lambda v: False if v is None else found(ud.normalize("NFC", v.lower())))
+        automaton = ahocorasick.Automaton()  # once per task
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for s in batches:
+            yield s.map(lambda v: v is not None and next(automaton.iter(normalize("NFC", v.lower())), None) is not None)
 
     return F.pandas_udf(hit, "boolean")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coerce import NA_LITERALS
 from ..functions.text import combine_text
 from ..functions.timestamps import nice_date, with_nice_date
 
@@ -26,6 +27,10 @@ TIME_KEYWORDS = [
     "client_time", "server_time", "message_time", "modified", "updated", "executed_time",
 ]
 
+#: Text that reads back as a number or a boolean.
+NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
+BOOLEAN_TEXT = ["True", "False", "true", "false", "TRUE", "FALSE"]
+
 FLAT_SCHEMA = "text string, date_time string, source_database string, source_table string"
 
 
@@ -102,6 +107,31 @@ def merged_text_columns(extracted: list[DataFrame]) -> list[str]:
     return text
 
 
+def text_facts(extracted: list[DataFrame], names: list[str]) -> DataFrame:
+    """One row: whether each named column holds text over all tables.
+
+    A column whose values all read back as numbers, or all as booleans, is not
+    text; NA literals are no values.  One aggregation per table, pre-aggregated
+    in its tasks.
+    """
+    na = [F.lit(v) for v in NA_LITERALS]
+    merged = None
+    for d in extracted:
+        types = {f.name: f.dataType for f in d.schema.fields}
+        facts = []
+        for i, c in enumerate(names):
+            if c in types and isinstance(types[c], T.StringType):
+                v = F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`"))
+                facts += [F.min(v.rlike(NUMBER_TEXT)).alias(f"n{i}"), F.min(v.isin(*BOOLEAN_TEXT)).alias(f"b{i}")]
+            else:
+                facts += [F.lit(None).cast("boolean").alias(f"n{i}"), F.lit(None).cast("boolean").alias(f"b{i}")]
+        row = d.agg(F.count(F.lit(1)).alias("_rows"), *facts)
+        merged = row if merged is None else merged.unionByName(row)
+    every = merged.agg(*[F.min(f"{k}{i}").alias(f"{k}{i}") for i in range(len(names)) for k in "nb"])
+    return every.select(*[(~(F.coalesce(F.col(f"n{i}"), F.lit(False)) | F.coalesce(F.col(f"b{i}"), F.lit(False)))).alias(f"t{i}")
+                          for i in range(len(names))])
+
+
 def flatten(merged: DataFrame) -> DataFrame:
     """M1 on an already merged relation."""
     return flatten_tables([merged])
@@ -111,16 +141,19 @@ def flatten_tables(extracted: list[DataFrame], keep: list[str] | None = None) ->
     """M1 over U1 without building the wide union.
 
     Each extracted table contributes its text columns in the *merged* order;
-    non-string values never count (the reference only joins ``str`` values).
+    non-string values never count (the reference only joins ``str`` values),
+    nor do string columns whose values are all numbers or all booleans.
     Rows with no non-blank piece are dropped (F2).  ``keep`` passes extra
     provenance columns through when every table has them.
     """
     order = merged_text_columns(extracted)
     keep = list(keep or [])
+    facts = text_facts(extracted, order) if order and extracted else None
+    is_text = {c: facts.select(f"t{i}").scalar() for i, c in enumerate(order)}
     parts = []
     for d in extracted:
         types = {f.name: f.dataType for f in d.schema.fields}
-        mine = [F.col(f"`{c}`") for c in order if c in types and isinstance(types[c], T.StringType)]
+        mine = [F.when(is_text[c], F.col(f"`{c}`")) for c in order if c in types and isinstance(types[c], T.StringType)]
         if not mine:
             continue  # every row of this table would be dropped by F2: not read at all
         combined = combine_text(mine)

@@ -111,11 +111,9 @@ def mode_nonempty(df: DataFrame, cols: list[str], group_cols: list[str] | None =
     """
     group_cols = list(group_cols or [])
     keys = group_cols + ["column"]
-    stacked = None
-    for c in cols:
-        part = df.select(*group_cols, F.lit(c).alias("column"),
-                         py_strip(F.col(c).cast("string")).alias("value"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    stacked = (df.select(*group_cols, F.explode(named).alias("_v"))
+                 .select(*group_cols, "_v.column", py_strip(F.col("_v.value")).alias("value")))
     counts = (stacked.filter(F.col("value").isNotNull() & (F.col("value") != ""))
                      .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))
@@ -146,16 +144,14 @@ def accuracy(df: DataFrame, pred_col: str, label_col: str, group_cols: list[str]
 def first_candidate_mode_frames(dfs: list[DataFrame], candidates: list[str]) -> DataFrame:
     """A7 ``infer_device_from_dfs``: frames in order, candidates in order; the
     first (frame, column) whose mode is non-empty wins.  One row (or none)."""
-    parts = []
+    u = None
     for i, df in enumerate(dfs):
-        for j, c in enumerate(candidates):
-            if c in df.columns:
-                m = mode_nonempty(df, [c]).withColumn("prio", F.lit(i * len(candidates) + j))
-                parts.append(m)
-    if not parts:
+        present = [c for c in candidates if c in df.columns]
+        if present:
+            place = F.create_map(*[x for c in present for x in (F.lit(c), F.lit(i * len(candidates) + candidates.index(c)))])
+            part = mode_nonempty(df, present).withColumn("prio", place[F.col("column")])
+            u = part if u is None else u.unionByName(part)
+    if u is None:
         raise ValueError("no candidate column in any frame")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
     return u.agg(F.min_by(F.struct("column", "value"), "prio").alias("m")).select(
         F.col("m.column").alias("column"), F.col("m.value").alias("value")).filter(F.col("value").isNotNull())

@@ -355,6 +355,21 @@ def q_extract_flatten(spark, sf):
     return C.flatten_tables([C.extract_table(t) for t in _evidence_tables(spark, sf)])
 
 
+@query("flatten_numeric")
+def q_flatten_numeric(spark, sf):
+    """Text-like names over numbers and booleans: only ``body`` is text."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("message_no"), F.col("text").alias("body"),
+                                            (F.col("doc_id") % 2 == 0).cast("string").alias("comment_flag"))
+    return C.flatten_tables([C.extract_table(C.EvidenceTable(d, "documents.parquet", "documents"))])
+
+
+@query("string_fallback")
+def q_string_fallback(spark, sf):
+    """No text-like name: every string column that holds text takes part."""
+    d = read(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("k"), "source")
+    return C.flatten_tables([C.extract_table(C.EvidenceTable(d, "documents.parquet", "documents"))])
+
+
 @query("first_present_column")
 def q_first_present_column(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("database"),
@@ -425,6 +440,15 @@ def q_infer_handle(spark, sf):
     return _handles(spark, sf)
 
 
+@query("infer_device")
+def q_infer_device(spark, sf):
+    from .report import infer_device
+
+    frames = [read(spark, sf, "documents").select(F.lit(" ").alias("device_model"), F.col("lang").alias("device")),
+              read(spark, sf, "events").select(F.col("event_type").alias("model"))]
+    return infer_device(frames).select(F.col("column").alias("column_name"), "value")
+
+
 @query("platform_summary")
 def q_platform_summary(spark, sf):
     stats = A.platform_stats(scored_messages(spark, sf), "platform")

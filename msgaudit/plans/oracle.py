@@ -634,3 +634,24 @@ def _():
 def _():
     # the last two renderings are no dates
     return "SELECT event_id, CASE WHEN event_id % 12 >= 10 THEN '-' ELSE strftime(ts, '%Y-%m-%d') END AS date_time FROM events"
+
+
+def _flat(cols: list[str]) -> str:
+    return (f"SELECT {combine(cols)} AS text, '-' AS date_time, 'documents.parquet' AS source_database, "
+            f"'documents' AS source_table FROM documents WHERE {combine(cols)} <> ''")
+
+
+@oracle("flatten_numeric")
+def _():
+    return _flat(["text"])
+
+
+@oracle("string_fallback")
+def _():
+    return _flat(["lang", "source", "'-'", "'documents.parquet'", "'documents'"])
+
+
+@oracle("infer_device")
+def _():
+    return ("SELECT 'device' AS column_name, lang AS value FROM documents WHERE trim(lang) <> '' "
+            "GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1")

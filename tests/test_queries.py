@@ -68,3 +68,13 @@ def test_query_types_match_oracle(spark, duck, name):
     ours = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert ours == theirs
+
+
+def test_ordered_relations_keep_their_order(spark):
+    q = E.queries()
+    balance = [r["count"] for r in q["class_balance"](spark, SF).collect()]
+    assert balance == sorted(balance, reverse=True)
+    listing = [(r["archive"], r["member"]) for r in q["tar_members"](spark, SF).collect()]
+    assert listing == sorted(listing) and len(listing) > 1
+    ranks = [r["rank"] for r in q["flagged_topn"](spark, SF).collect()]
+    assert ranks and ranks == list(range(1, len(ranks) + 1))
