@@ -9,8 +9,8 @@ one of the four kinds).  To find spans, every text is read in windows of
 ``WINDOW`` characters that start every ``STRIDE``; each window is decoded by
 Viterbi, where two windows overlap each decides the half that lies further from
 its edge, and spans are then read off the whole text's tags, so a span across a
-border is one span.  A decoded span is added if it overlaps no base span, holds
-``LEAST_CHARS`` characters or more, and a digit or an at sign.
+border is one span.  A decoded span is added if it overlaps no base span and has
+the ``SHAPE`` of its kind.
 
 Windows whose emissions cannot beat the empty tagging by any path (a bound over
 all transitions) are decoded without the search, with the same result.
@@ -34,7 +34,8 @@ from .neural import Adam, init, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 320, 256
-LEAST_CHARS = 6
+#: What a decoded span must look like at least: an at sign; four groups of digits; 13 digits; 9 digits.
+SHAPE = {"email": r".@.", "ip": r"[0-9]+(\D{1,3}[0-9]+){3}", "card": r"([0-9]\D{0,2}){13}", "phone": r"([0-9]\D{0,3}){9}"}
 #: Texts sampled for training (those with digits or at signs, and any), windows of each, and their size.
 SAMPLE, SAMPLE_ANY, PER_TEXT, TRAIN_WINDOW = 1500, 300, 6, 96
 STATE, CHAR_DIM, CLASSES, TAGS = 8, 8, 131, len(KINDS) + 1
@@ -301,9 +302,9 @@ def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, str]]) -
             continue
         piece = text[a:b]
         start, end = int(a) + len(piece) - len(piece.lstrip()), int(b) - (len(piece) - len(piece.rstrip()))
-        if (end - start >= LEAST_CHARS and re.search(r"[0-9@]", piece)
-                and not any(s < end and start < e for s, e in taken)):
-            out.append((start, end, KINDS[tags[a] - 1]))
+        kind = KINDS[tags[a] - 1]
+        if re.search(SHAPE[kind], piece) and not any(s < end and start < e for s, e in taken):
+            out.append((start, end, kind))
     return out
 
 
