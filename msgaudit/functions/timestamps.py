@@ -49,15 +49,7 @@ REPORT_DATE_CANDIDATES = [
     "date_sent", "time", "date",
 ]
 
-_TIME = r"(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
-ISO_YMD = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + _TIME + r"\z"
-NUM_ABY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME + r"\z"
-COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})\z"
-YEAR_ONLY = r"^([0-9]{4})\z"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-_MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-MON_D_Y = r"(?i)^" + _MON + r" ([0-9]{1,2}),? ([0-9]{4})\z"
-D_MON_Y = r"(?i)^([0-9]{1,2}) " + _MON + r",? ([0-9]{4})\z"
 
 
 def _c(col) -> Column:

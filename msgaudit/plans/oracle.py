@@ -1,17 +1,56 @@
 """DuckDB SQL oracle for every registered query.
 
 Each statement restates the operator's semantics in plain SQL over the same
-parquet tables (views ``documents``, ``labels``, ...).  Only the fixed
-values (regex classes, word lists) are shared with the Spark side; the logic
-is written out again here.  DuckDB's regex engine is RE2: no ``(?u)`` flag,
+parquet tables (views ``documents``, ``labels``, ...).  Nothing but the word
+list is shared with the Spark side: patterns and values are written out here,
+so that a wrong constant there shows.  DuckDB's regex engine is RE2: no ``(?u)`` flag,
 ``(?i)`` is already Unicode-aware, replacement groups are ``\\1``.
 """
 
 from __future__ import annotations
 
-from ..functions import text as X
 from ..functions.lexicon import lexicon
 
+
+class X:
+    """Patterns of the text rules, for RE2."""
+
+    PY_SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    URL_PATTERN = "http[^" + PY_SPACE + "]+"
+    MODEL_DROP_PATTERN = r"[^\p{L}\p{N}_අ-ෆාැෑුූිීෙේෛොෝෘෲෟාං ]+"
+    EMOJI_CLASS = r"\x{2700}-\x{27BF}\x{1F300}-\x{1FAFF}"
+    CONTROL_CLASS = r"\x00-\x08\x0B\x0C\x0E-\x1F"
+    REPORT_KEEP_CLASS = r"\t\n\r -~\x{0D80}-\x{0DFF}\x{2000}-\x{206F}"
+    PREFIX_NOISE = r"^[\s\S]*?((?:[\x{0D80}-\x{0DFF}]|[A-Za-z]{2})[\s\S]*)\z"
+    NAME_FROM_PATH = r"(?i)[\\/]+([A-Za-z0-9._-]{3,})\.(?:db|sqlite3?)\n?\z"
+
+
+class T:
+    """Limits, placeholders and shapes of the date rules."""
+
+    MS_MAX, S_MAX = 9223372036854.775, 9223372036.854774
+    SKIP_VALUES = ["", "0", "None", "nan", "NaN"]
+    SKIP_VALUES_REPORT = ["", "-", "0", "None", "nan", "NaN"]
+    MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+    TIME = r"(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
+    ISO_YMD = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})" + TIME + r"\z"
+    NUM_ABY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + TIME + r"\z"
+    COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})\z"
+    YEAR_ONLY = r"^([0-9]{4})\z"
+    MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+    MON_D_Y = r"(?i)^" + MON + r" ([0-9]{1,2}),? ([0-9]{4})\z"
+    D_MON_Y = r"(?i)^([0-9]{1,2}) " + MON + r",? ([0-9]{4})\z"
+
+
+class D:
+    """What reads back as missing, and as a number."""
+
+    NA_LITERALS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                   "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+    NUMERIC_PATTERN = r"^[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*\z"
+    SPECIAL_FLOATS = r"^[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*[+-]?(?:inf|infinity|nan)[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*\z"
+
+
 ORACLE: dict[str, str] = {}
 
 
@@ -335,10 +374,6 @@ def _():
 
 # --- dates ---------------------------------------------------------------------------------
 
-from ..functions import coerce as D  # noqa: E402
-from ..functions import timestamps as T  # noqa: E402
-
-
 def numeric(e: str) -> str:
     s = py_strip(e)
     return (f"(CASE WHEN regexp_matches({e}, {lit(D.NUMERIC_PATTERN)}) THEN TRY_CAST({s} AS DOUBLE) "
