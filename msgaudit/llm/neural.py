@@ -17,6 +17,17 @@ def init(rng: np.random.Generator, *shape: int) -> np.ndarray:
     return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
 
+def sum_by(size: int, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows added up by id: out[i] is the sum of the rows whose id is i."""
+    flat, rows = ids.reshape(-1), rows.reshape(-1, rows.shape[-1])
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(flat):
+        order = np.argsort(flat, kind="stable")
+        found, first = np.unique(flat[order], return_index=True)
+        out[found] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Adam:
     """Adam with a step size that falls linearly to zero."""
 

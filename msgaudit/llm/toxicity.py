@@ -14,7 +14,8 @@ Training uses at most ``SAMPLE`` labelled rows of either class, the smallest by
 hash of their text, of at most ``TRAIN_WORDS`` words each.  A row's label says
 nothing about which window is toxic: the first round learns from random windows
 of the rows, every later one scores all windows and learns from the highest of
-each row, so also from the clean windows that look most toxic.  Only the text is an input.  Null texts
+each row, so also from the clean windows that look most toxic, until hardly a row is
+on the wrong side.  Only the text is an input.  Null texts
 are empty; null labels and labels of unknown ids are not trained on.  Without
 labelled rows of both classes the untrained network's scores are those of its
 bias, the share of toxic rows.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 from .exact_dedup import normalise
-from .neural import Adam, gru, gru_back, gru_states, half_gates, init, sigmoid
+from .neural import Adam, gru, gru_back, gru_states, half_gates, init, sigmoid, sum_by
 
 #: Rows with crc32(id) mod FOLDS equal to HELD_OUT give no labels.
 FOLDS, HELD_OUT = 4, 2
@@ -41,7 +42,9 @@ WORD_CHARS = 32
 BUCKETS, WORD_DIM, CHAR_DIM, CHAR_STATE, STATE = 4096, 8, 8, 12, 8
 CHARS = 512
 SAMPLE, TRAIN_WORDS = {1: 1500, 0: 4000}, 1500
-ROUNDS, STEPS, RATE = 8, 110, 0.01
+ROUNDS, STEPS, RATE = 8, 70, 0.015
+#: Training ends when, after a round, so small a share of the sampled rows is on the wrong side of the threshold.
+DONE = 0.002
 #: Windows of toxic and clean rows in a step.
 TOXIC, CLEAN = 16, 32
 SEED = 11
@@ -216,12 +219,11 @@ class Network:
             if d == "b":
                 dproj = dproj[::-1]
             dproj = dproj * mask[..., None]
-            dtable = np.zeros((len(vocabulary), 3 * STATE), np.float32)
-            np.add.at(dtable, ids, dproj)
+            dtable = sum_by(len(vocabulary), ids, dproj)
             g[f"ww{d}"] = x.T @ dtable
             g[f"wb{d}"] = dtable.sum(0)
             dx += dtable @ p[f"ww{d}"].T
-        np.add.at(g["words"], buckets, dx[:, :WORD_DIM])
+        g["words"] += sum_by(BUCKETS, buckets, dx[:, :WORD_DIM])
         dtables = {d: np.zeros((CHARS, 3 * CHAR_STATE), np.float32) for d in "fb"}
         for k, d, at, kept, m, read in saved_chars:
             last = np.zeros((len(read), len(at), CHAR_STATE), np.float32)
@@ -229,7 +231,7 @@ class Network:
             dproj, du, dc = gru_back(last, kept, m, p[f"cu{d}"])
             g[f"cu{d}"] += du
             g[f"cc{d}"] += dc
-            np.add.at(dtables[d], read, dproj)
+            dtables[d] += sum_by(CHARS, read, dproj)
         for d, dtable in dtables.items():
             g[f"cw{d}"] = p["chars"].T @ dtable
             g[f"cb{d}"] = dtable.sum(0)
@@ -257,6 +259,8 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, steps: int = S
         if k:
             logit = net.logits(ids, net.project(words), first, size)
             best = np.array([lo + logit[lo:hi].argmax() for lo, hi in zip(of, of[1:])])
+            if k > 2 and np.mean((sigmoid(logit[best]) >= THRESHOLD) != labels) <= DONE:
+                break
         for _ in range(steps):
             bad, good = rng.choice(toxic, TOXIC), rng.choice(clean, CLEAN)
             any_of = lambda d: rng.integers(of[d], of[d + 1])
