@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, global_index
+from .exact_dedup import normalise
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 # Python splits at these four, the tokenizer doesn't count them as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -53,12 +56,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_STOPS = ".,;:!?"
+
+
 class WordEncoder:
-    """Token ids of texts for a tokenizer that drops white space.
+    """Token ids of texts for a tokenizer that lower-cases and drops white space.
 
     Such a tokenizer's normaliser and splitter never look across white space,
     so the ids of a text are those of its words one after the other; words
-    recur, so their ids are remembered.
+    recur, so their ids are remembered.  Nor do tokens reach from a letter or
+    digit into the stops behind it, so a word with stops is its stem and them.
     """
 
     def __init__(self, path: str):
@@ -67,21 +74,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _learn(self, fresh: set[str]) -> None:
+        known, whole, cut = self.known, set(), []
+        for w in fresh:
+            stem = w.rstrip(_STOPS)
+            if stem and stem != w and stem[-1].isalnum():
+                cut.append((w, stem, w[len(stem):]))
+                whole.add(stem)
+                whole.add(w[len(stem):])
+            else:
+                whole.add(w)
+        words = list(whole.difference(known))
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w, stem, stops in cut:
+            known[w] = known[stem] + known[stops]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in _SEPARATORS):
-            return self._bytes(text)
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        # lower-casing A-Z first makes words recur more; it commutes with composing where nothing is left to compose
+        low = text.lower() if text.isascii() else normalise(text).decode("utf-8", "surrogatepass")
+        if low.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            text = low
         words = text.split()
-        fresh = [w for w in set(words) if w not in self.known]
+        fresh = set(words).difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
+            if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
                 self.known.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                fresh = set(words)
+            self._learn(fresh)
         return b"".join(map(self.known.__getitem__, words))
 
 
