@@ -34,6 +34,8 @@ from .common import Scratch, bound_batches, deal_out, hash_bitmap, in_bitmap, ro
 
 #: Bytes of a text that the second step hashes.
 PREFIX_BYTES = 64
+#: log2 of the bits of the survivors' bitmaps (2 MB each); fuller ones only let more rows be hashed.
+BITS = 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -50,11 +52,9 @@ def _prefix_keys(lengths):
     """Second step: the (length, prefix) key of rows whose length is shared."""
     def run(batches):
         for b in batches:
-            keys = []
-            for t in b.column(0).to_pylist():
-                raw = normalise(t)
-                if in_bitmap(lengths.value, np.array([len(raw)], np.int64))[0]:
-                    keys.append(_prefix_key(raw))
+            raws = [normalise(t) for t in b.column(0).to_pylist()]
+            shared = in_bitmap(lengths.value, np.array([len(r) for r in raws], np.int64))
+            keys = [_prefix_key(r) for r, s in zip(raws, shared) if s]
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64())})
     return run
 
@@ -94,18 +94,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # lower-casing A-Z keeps the number of bytes, so the length needs no copy of the text
     lengths = (rows.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("key"))
                    .groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared_lengths = spark.sparkContext.broadcast(hash_bitmap(lengths, "key"))
+    shared_lengths = spark.sparkContext.broadcast(hash_bitmap(lengths, "key", BITS))
     prefixes = (rows.select("text").mapInArrow(_prefix_keys(shared_lengths), "key long")
                     .groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared_prefixes = spark.sparkContext.broadcast(hash_bitmap(prefixes, "key"))
+    shared_prefixes = spark.sparkContext.broadcast(hash_bitmap(prefixes, "key", BITS))
     keyed = docs.select(doc_id.alias("id"), text.alias("text"), *row_keys(doc_id, text))
     slim = scratch.keep(keyed.mapInArrow(_digests(shared_prefixes, every_digest),
                                          "id long, _k1 long, _k2 long, row long, length long, shared boolean, digest string"),
                         "rows")
 
     survivors = slim.filter("shared")
-    groups = (survivors.groupBy("length", "digest")
-                       .agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size")))
+    # written, so that the join below is one of two shuffles and a hot group can be split
+    groups = scratch.keep(survivors.groupBy("length", "digest")
+                          .agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size")), "groups")
     grouped = (survivors.join(groups, ["length", "digest"])
                         .select("id", F.col("top.id").alias("keep_id"), "group_size",
                                 (F.col("row") == F.col("top.row")).alias("kept"), "digest", "_k1", "_k2"))
