@@ -131,10 +131,15 @@ class Words:
         self.low = np.array([low for *_, low in parts], np.int64)
         self.first = np.concatenate([[0], np.cumsum([n for _, n, *_ in parts])]).astype(np.int64)
         self.size, self.tokens = int(self.first[-1]), sum(t for _, _, t, _ in parts)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the worker's own numbering of words anew."""
         self.known: dict[bytes, int] = {}
+        self.ids, self.epoch = np.empty(0, np.int64), getattr(self, "epoch", 0) + 1
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "ids": np.empty(0, np.int64)}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the hashes, -1 for unseen words."""
@@ -156,21 +161,31 @@ class Words:
             out[mine] = self.files.map(f"counts-{self.parts[k]}", np.int64)[ids[mine] - self.first[k]]
         return out
 
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the tokens of all texts, and where each text starts."""
-        fresh = [w for w in {w for t in texts for w in t} | {END} if w not in self.known]
+    def locate(self, tokens: list[bytes]) -> np.ndarray:
+        """The worker's own numbers of the tokens; ``ids`` holds these words' ids (-1: unseen)."""
+        fresh = set(tokens).difference(self.known)
         if len(self.known) + len(fresh) > FLUSH_WORDS:
-            self.known.clear()
-            fresh = list({w for t in texts for w in t} | {END})
-        hashes = word_hashes(fresh)
-        order = np.argsort(hashes)
-        found = np.empty(len(fresh), np.int64)
-        found[order] = self.find(hashes[order])
-        self.known.update(zip(fresh, found.tolist()))
-        get, end = self.known.__getitem__, [self.known[END]]
-        flat = [i for t in texts for part in (map(get, t), end) for i in part]
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        return np.array(flat, np.int64), starts[:-1]
+            self.forget()
+            fresh = set(tokens)
+        if fresh:
+            fresh = list(fresh)
+            hashes = word_hashes(fresh)
+            order = np.argsort(hashes)
+            found = np.empty(len(fresh), np.int64)
+            found[order] = self.find(hashes[order])
+            self.known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
+            self.ids = np.concatenate([self.ids, found])
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+
+def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """Tokens of all texts, each text's end included, and where each text starts."""
+    tokens, starts = [], []
+    for text in texts:
+        starts.append(len(tokens))
+        tokens += normalise(text).split()
+        tokens.append(END)
+    return tokens, np.array(starts, np.int64)
 
 
 def _pairs(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -216,12 +231,13 @@ def _count_pairs(words: Words, parts: Parts):
     def run(batches):
         history, word, held = [], [], 0
         for b in batches:
-            texts = [normalise(t).split() for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                     if not held_out(d)]
+            texts = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not held_out(d)]
             if not texts:
                 continue
-            ids, starts = words.ids(texts)
-            history.append(_pairs(ids, starts, words.known[END]))
+            tokens, starts = tokens_of(texts)
+            at = words.locate(tokens)
+            ids = words.ids[at]
+            history.append(_pairs(ids, starts, ids[-1]))
             word.append(ids)
             held += len(ids)
             if held >= FLUSH_PAIRS:
@@ -243,7 +259,7 @@ def _merge_pairs(files: ArrayFiles, parts: int, span: int):
             blobs = [_narrow(v[lo:hi]) for v in values]
             yield (kind, int(owner), int(hi - lo), _narrow(ids[lo:hi] - owner * span), *blobs, *[b""] * (4 - len(blobs)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         history, word, n = (np.concatenate([_wide(x, s) for x, s in zip(pdf[c], pdf["size"])]) for c in ("h", "w", "n"))
         keys, at, inverse = np.unique(pair_keys(history, word), return_index=True, return_inverse=True)
@@ -267,7 +283,7 @@ _BY_ID = ("tokens", "once", "twice", "more", "histories")
 
 def _merge_ids(files: ArrayFiles, span: int):
     """Arrays by id of one range of ids, from the blocks of all parts."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         out = {name: np.zeros(span, np.int64) for name in _BY_ID}
         for kind, n, ids, *values in pdf[["kind", "n", "ids", "a", "b", "c", "d"]].itertuples(index=False):
@@ -299,6 +315,7 @@ class Model:
 
     def __init__(self, files, words, parts, span, meta, ids):
         self.files, self.words, self.parts, self.span = files, words, parts, span
+        self._epoch, self._rows = -1, np.empty((4, 0))
         self.owners = {p: f"u{wide}" for p, wide, _ in meta}
         self.pair_discount = discounts(*np.sum([c for *_, c in meta], axis=0).tolist()) if meta else np.zeros(4)
         self.types = sum(n for n, _ in ids)
@@ -321,51 +338,58 @@ class Model:
         known = np.flatnonzero((history >= 0) & (word >= 0))
         keys = pair_keys(history[known], word[known])
         owner = self.parts.of(history[known], keys)
-        for p in np.unique(owner):
-            if int(p) not in self.owners:
+        order = np.lexsort((keys, owner))  # sorted lookups walk through the arrays
+        known, keys = known[order], keys[order]
+        owners, cut = np.unique(owner[order], return_index=True)
+        for p, lo, hi in zip(owners.tolist(), cut, np.append(cut[1:], len(keys))):
+            if p not in self.owners:
                 continue
-            mine = np.flatnonzero(owner == p)
             array = self.files.map(f"pairs-{p}", np.uint64)
-            at = np.minimum(np.searchsorted(array, keys[mine]), len(array) - 1)
-            hit = array[at] == keys[mine]
-            out[known[mine[hit]]] = self.files.map(f"pair-counts-{p}", self.owners[int(p)])[at[hit]]
+            at = np.minimum(np.searchsorted(array, keys[lo:hi]), len(array) - 1)
+            hit = array[at] == keys[lo:hi]
+            out[known[lo:hi][hit]] = self.files.map(f"pair-counts-{p}", self.owners[p])[at[hit]]
         return out
 
-    def probabilities(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """p(word | history) of pairs of ids (-1: unseen)."""
-        words, back = np.unique(word, return_inverse=True)
-        seen = self._by_id("histories", words)
-        low = ((np.maximum(seen - self.word_discount[np.minimum(seen, 3).astype(int)], 0) / max(self.types, 1))
-               + self.unseen)[back]
-        # one lookup per distinct pair
-        code = (history + 1) * (self.words.size + 1) + word + 1
-        _, first, again = np.unique(code, return_index=True, return_inverse=True)
-        c = self._pair_counts(history[first], word[first])[again]
-        histories, back = np.unique(history, return_inverse=True)
-        tokens, once, twice, more = (self._by_id(n, histories) for n in _BY_ID[:4])
-        d = self.pair_discount
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.where(tokens > 0, (d[1] * once + d[2] * twice + d[3] * more) / tokens, 1.0)[back]
-            high = np.where(tokens[back] > 0, np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / tokens[back], 0.0)
-        return high + left * low
+    def _about(self) -> np.ndarray:
+        """Per word that the worker knows: count, p(w), g(w), C(w)."""
+        words, d = self.words, self.pair_discount
+        if self._epoch != words.epoch:
+            self._epoch, self._rows = words.epoch, np.empty((4, 0))
+        ids = words.ids[self._rows.shape[1]:]
+        if len(ids):
+            seen = self._by_id("histories", ids)
+            low = np.maximum(seen - self.word_discount[np.minimum(seen, 3).astype(int)], 0) / max(self.types, 1) + self.unseen
+            tokens, once, twice, more = (self._by_id(n, ids) for n in _BY_ID[:4])
+            left = np.where(tokens > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(tokens, 1), 1.0)
+            self._rows = np.concatenate([self._rows, [words.counts(ids), low, left, tokens]], axis=1)
+        return self._rows
+
+    def probabilities(self, tokens: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the tokens, and p(token | history); the last token must be an end."""
+        at = self.words.locate(tokens)
+        counts, low, left, total = self._about()
+        history, ids = _pairs(at, starts, at[-1]), self.words.ids
+        c = self._pair_counts(ids[history], ids[at])
+        high = np.maximum(c - self.pair_discount[np.minimum(c, 3).astype(int)], 0) / np.maximum(total[history], 1)
+        return counts[at], high + left[history] * low[at]
 
     def score_batches(self):
         def run(batches):
             words = self.words
             for b in batches:
-                texts = [normalise(t).split() for t in b.column(1).to_pylist()]
-                if not texts:
+                if not b.num_rows:
                     continue
-                ids, starts = words.ids(texts)
-                counts = words.counts(ids)
+                tokens, starts = tokens_of(b.column(1).to_pylist())
+                counts, p = self.probabilities(tokens, starts)
                 base = np.log10((counts + 1) / (words.tokens + words.size + 1))
-                p = np.log10(self.probabilities(_pairs(ids, starts, words.known[END]), ids))
+                p = np.log10(p)
+                sizes = np.diff(np.append(starts, len(tokens)))
                 docs = b.column(0)
                 yield pa.RecordBatch.from_pydict({
                     "id": docs, "held_out": pa.array([held_out(d) for d in docs.to_pylist()], pa.bool_()),
-                    "n_tokens": pa.array([len(t) + 1 for t in texts], pa.int64()),
+                    "n_tokens": pa.array(sizes, pa.int64()),
                     "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                    "train_tokens": pa.array([words.tokens] * len(texts), pa.int64()),
+                    "train_tokens": pa.array([words.tokens] * len(sizes), pa.int64()),
                     "base_score": pa.array(np.add.reduceat(base, starts)),
                     "score": pa.array(np.add.reduceat(p, starts))})
         return run
