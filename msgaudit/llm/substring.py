@@ -12,7 +12,8 @@ A text's paragraphs are
 
 Lines are compared by MinHash over shingles of K words in bands tuned for
 recall (see :func:`tune`), colliding lines are joined, verified by the exact
-Jaccard likeness of their shingle sets, and linked lines form components.  An
+Jaccard likeness of their shingle sets, and linked lines form components; equal
+lines share a digest and are one line, wherever they stand.  An
 aligned paragraph is one shingle, so equal digests decide it.  A class of
 paragraphs found in at least two documents is a repeat: its first occurrence
 (smallest id, then place) stays, the others are to be removed.
@@ -132,13 +133,13 @@ def _ids(batch) -> np.ndarray:
 
 
 def _hashes(batches):
-    """First scan: span digests with their document, band keys with their line."""
+    """First scan: digests of spans and lines with their document, band keys with their line."""
     cut = Cutter()
     for batch in batches:
         cut(batch.column("text").to_pylist())
         ids = _ids(batch)
-        keys = np.concatenate([cut.span_digest, cut.keys.ravel()])
-        vals = np.concatenate([ids[cut.span_doc], np.repeat(cut.digests, cut.bands)])
+        keys = np.concatenate([cut.span_digest, cut.digests, cut.keys.ravel()])
+        vals = np.concatenate([ids[cut.span_doc], ids[cut.line_doc], np.repeat(cut.digests, cut.bands)])
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "val": pa.array(vals)})
 
 
@@ -153,7 +154,8 @@ def _found(repeated):
             texts, ids = batch.column("text").to_pylist(), _ids(batch)
             cut(texts)
             spans = np.flatnonzero(in_bitmap(repeated.value, cut.span_digest))
-            lines = np.flatnonzero(in_bitmap(repeated.value, cut.keys.ravel()).reshape(cut.keys.shape).any(axis=1))
+            like = in_bitmap(repeated.value, cut.keys.ravel()).reshape(cut.keys.shape).any(axis=1)
+            lines = np.flatnonzero(like | in_bitmap(repeated.value, cut.digests))
             places: dict[int, list] = {}
             rows = []
 
@@ -168,7 +170,7 @@ def _found(repeated):
             for i in lines:
                 digest = int(cut.digests[i])
                 add("line", digest, int(cut.line_doc[i]), int(cut.line_at[i]), int(cut.line_n[i]))
-                if digest not in sent:
+                if like[i] and digest not in sent:  # a line that only recurs as it is has none to be compared with
                     sent.add(digest)
                     rows.append(("item", digest, None, None, None, cut.keys[i].tolist(), cut.shingle_set(i)))
             cols = list(zip(*rows)) if rows else [[]] * 7

@@ -50,6 +50,20 @@ def test_near_lines_are_linked(spark):
     assert [r["removed"] for r in sorted(out, key=lambda r: r["id"])] == [False, True]
 
 
+def test_equal_lines_are_found_in_different_texts(spark):
+    """Lines too short for an aligned paragraph, and as the whole text."""
+    rnd = random.Random(8)
+    lines = [words(rnd, n, 99999) for n in (26, 40) for _ in range(10)]
+    rows = [(100 * k + i, "\n".join((words(rnd, 30, 99999), line, words(rnd, 30, 99999))))
+            for k, line in enumerate(lines) for i in range(2)]
+    rows += [(5000 + i, text) for i, text in enumerate([words(rnd, 40, 99999)] * 2)]
+    out = [r for r in substring.repeats(small(spark, rows)).collect() if r["kind"] == "line"]
+    texts = dict(rows)
+    got = {(r["id"], texts[r["id"]][r["start"]:r["end"]]) for r in out}
+    assert got == {(i, t if i >= 5000 else lines[i // 100]) for i, t in rows}
+    assert {r["id"] for r in out if r["removed"]} == {i for i, _ in rows if i % 100 == 1}
+
+
 def test_awkward_rows(spark):
     df = frame(spark)
     out = substring.merged_spans(substring.repeats(df)).collect()
