@@ -1,36 +1,40 @@
 """Links between items whose sketches collide, without all pairs of a bucket.
 
 An item has one key per band; items with the same key of a band share a bucket.
-What is linked forms components, at first every item its own.  The outsiders of
-a bucket are its items outside its largest component.
-
-* In a bucket of at most ``small`` outsiders (of any number, once there are few
-  enough pairs altogether to be linear in the input) every outsider is verified against
-  every item of another component; then the bucket is done.
-* In any other bucket the outsiders are verified against one item of the
-  largest component, the leader.  Then components are formed, buckets that lie
-  within one are done, and the items of the others go on to buckets refined by
-  their key of the next band.  Where all bands agree the leaders are taken off
-  one after the other until none is left.
-
-So a bucket of near copies of one text costs a few pairs an item, a bucket of
-items that share one frequent passage falls apart, and nothing is capped.  Two
-items that collide only in buckets of many outsiders are missed if no two
-neighbouring bands agree on them, which is rare at the likeness looked for.
+What is linked forms components.  Any two items that share a bucket and are
+like each other end up in one component, whatever the size of the bucket:
+
+* In a bucket of at most ``small`` + 1 items every pair is verified.
+* In a larger one every item is verified against one of them, the leader.  Then
+  components are formed, and buckets that lie within one are done.
+* The items of the other large buckets are joined by their rarest tokens.  The
+  payloads are multisets of 32-bit numbers, and the likeness must be such that
+  items that are like share ``least`` of the larger multiset.  So, with all
+  tokens in one order, they share one among their first n - least * n + 1; the
+  order is by frequency, so that what many texts have in common comes last.
+  Pairs with such a token, a bucket in common and different components are
+  verified.
+
+So a bucket of near copies of one text costs a pair an item, a bucket of items
+around one frequent passage costs the pairs with a rare token in common, and
+nothing is capped or left to chance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
 SMALL = 16
-PAIRS_PER_ITEM = 4
+#: Tokens are ordered by counts in so many cells (a power of two); any order gives the same links.
+CELLS = 1 << 18
 
 
 def buckets(items: DataFrame) -> DataFrame:
@@ -52,6 +56,65 @@ def verify_pairs(pairs: DataFrame, payload: DataFrame, likeness: Callable[[bytes
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, like double")
 
 
+def labelled(data: bytes) -> np.ndarray:
+    """The numbers of a packed multiset as 64-bit tokens, equal ones told apart by their occurrence."""
+    values = np.sort(np.frombuffer(data, np.uint32)).astype(np.uint64)
+    at = np.arange(len(values))
+    run = np.maximum.accumulate(np.where(np.r_[True, values[1:] != values[:-1]], at, 0)) if len(values) else at
+    token = (values + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (at - run).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    token = (token ^ (token >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return token ^ (token >> np.uint64(29))
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _count(batches):
+    seen = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            np.add.at(seen, _cell(labelled(data)), 1)
+    cells = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(seen[cells])})
+
+
+def _rarest(counts, least: float):
+    """The first tokens of every item, one of which all that are like it share."""
+    def run(batches):
+        for batch in batches:
+            for i, data in enumerate(batch.column("data").to_pylist()):
+                tokens = labelled(data)
+                first = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1
+                tokens = tokens[np.lexsort((tokens, counts.value[_cell(tokens)]))[:first]].view(np.int64)
+                row = batch.slice(i, 1).select(["id", "root", "out"]).to_pydict()
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(row["id"] * len(tokens), pa.int64()), "root": pa.array(row["root"] * len(tokens), pa.int64()),
+                    "out": pa.array(row["out"] * len(tokens), pa.bool_()),
+                    "size": pa.array(np.full(len(tokens), len(data) // 4, np.int64)), "token": pa.array(tokens)})
+    return run
+
+
+def rare_pairs(items: DataFrame, left: DataFrame, payload: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of all items of ``left`` (id, root, out) that may be like each other: of different
+    components, at least one of them ``out``, with a band's key and one of the rarest tokens in common."""
+    people = scratch.keep(left.join(payload, "id").join(items, "id"), "people")
+    cells = people.select("data").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = people.sparkSession.sparkContext.broadcast(counts)
+    rare = scratch.keep(people.select("id", "root", "out", "data").mapInArrow(
+        _rarest(shared, least), "id long, root long, out boolean, size long, token long"), "rare")
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "out", "size")])
+    met = side(rare.filter("out"), "a").join(side(rare, "b"), "token").filter(
+        (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b")))
+        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6))
+    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    keys = lambda c: people.select(F.col("id").alias(c), F.col("keys").alias(f"keys_{c}"))
+    return (met.join(keys("a"), "a").join(keys("b"), "b")
+               .filter(F.exists(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same)).select("a", "b"))
+
+
 def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float],
           least: float, scratch: Scratch, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, like) of at least ``least``, and (id, root) of the components.
@@ -59,42 +122,30 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     ``items`` are (id, keys), ``members`` their :func:`buckets`, ``payload``
     (id, data) what ``likeness`` compares; all three are written tables.
     """
-    current, found, roots, step = members.withColumn("root", F.col("id")), None, None, 0
-    number = items.count()
-    while True:
-        parts = current.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-        main = parts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"),
-                                        F.max_by(F.struct("root", "low"), F.struct("n", "root")).alias("main")).filter("outside > 0")
-        sized = scratch.keep(current.join(main, "key").withColumn("out", F.col("root") != F.col("main.root")), f"sized-{step}")
-        # once all pairs of outsiders are no more than a few per item of the input, none need be put off
-        least_out = small if (sized.agg(F.sum("outside")).first()[0] or 0) > PAIRS_PER_ITEM * number else 1 << 62
-        few = sized.filter(F.col("outside") <= least_out)
-        side = lambda df, c: df.select("key", F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-        every = side(few.filter("out"), "o").join(side(few, "m"), "key").filter("root_o <> root_m").select(
-            F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b"))
-        many = sized.filter(F.col("outside") > least_out)
-        star = many.filter("out").select(F.least("main.low", "id").alias("a"), F.greatest("main.low", "id").alias("b"))
-        pairs = scratch.keep(every.union(star).distinct(), f"pairs-{step}")
-        linked = scratch.keep(verify_pairs(pairs, payload, likeness).filter(F.col("like") >= least), f"links-{step}")
-        scratch.drop(f"pairs-{step}")
-        fresh = step and linked.limit(1).count()
-        if roots is None:
-            found, roots = linked, scratch.keep(components(linked, scratch, "components"), "roots-0")
-        elif fresh:
-            found = found.union(linked)
-        rest = many.filter(F.lit(step < 1) | (F.col("id") != F.col("main.low"))).select("key", "id", "band")
-        rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        after = (F.col("band") + 1 + step) % F.size("keys") + 1
-        refined = rest.join(items, "id").select(
-            F.when(F.lit(step) < F.size("keys") - 1, F.xxhash64("key", F.element_at("keys", after.cast("int"))))
-             .otherwise(F.col("key")).alias("key"), "id", "band", "root")
-        current = scratch.keep(refined, f"rest-{step}")
-        scratch.drop(f"sized-{step}", *[f"rest-{step - 1}"] * bool(step))
-        step += 1
-        if not current.limit(1).count():
-            break
-    if step > 1:  # later links join components
-        found = scratch.keep(found.groupBy("a", "b").agg(F.first("like").alias("like")), "links")
-        edges = found.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = scratch.keep(components(edges, scratch, "components-all"), "roots")
+    def verified(pairs, name):
+        kept = scratch.keep(pairs, f"pairs-{name}")
+        out = scratch.keep(verify_pairs(kept, payload, likeness).filter(F.col("like") >= least), f"links-{name}")
+        scratch.drop(f"pairs-{name}")
+        return out
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("lead"))
+    sized = scratch.keep(members.select("key", "id").join(sizes, "key"), "sized")
+    few, many = sized.filter(F.col("n") <= small + 1), sized.filter(F.col("n") > small + 1)
+    every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b")
+    star = many.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    found = verified(every.select("a", "b").union(star).distinct(), "first")
+    roots = scratch.keep(components(found, scratch, "components"), "roots-first")
+
+    rest = many.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    main = (rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+                .agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1"))
+    left = scratch.keep(rest.join(main, "key").groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("out")), "left")
+    scratch.drop("sized")
+    if left.limit(1).count():
+        more = verified(rare_pairs(items, left, payload, least, scratch), "rest")
+        scratch.drop("people", "rare")
+        if more.limit(1).count():
+            found = found.union(more)  # of different components, so no link is there twice
+            edges = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            roots = scratch.keep(components(edges, scratch, "components-all"), "roots")
     return found, roots

@@ -4,7 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from msgaudit.llm import near_dup
+from msgaudit.llm import lsh, near_dup, substring
+from msgaudit.llm.common import Scratch
 
 from .helpers import documents, frame, small, words
 
@@ -85,6 +86,46 @@ def test_hot_groups_stay_linear_and_whole(spark):
     assert all(out[i]["class_id"] == i for i, _ in shared)
 
 
+def test_near_copies_among_texts_with_one_passage(spark):
+    """Every pair that shares a bucket is decided, however large the bucket and the table."""
+    rnd = random.Random(6)
+    passage, rows = words(rnd, 40, 99999), []
+    for k in range(400):
+        w = words(rnd, 40, 99999).split()
+        rows.append((k, passage + " " + " ".join(w)))
+        if k % 10 == 0:
+            for i in rnd.sample(range(40), 12):
+                w[i] = f"x{k}x{i}"
+            rows.append((1000 + k, passage + " " + " ".join(w)))
+    packed = {i: near_dup.WordHasher()(near_dup.normalise(t).split()).tobytes() for i, t in rows}
+    out = {r["id"]: r["class_id"] for r in near_dup.near_dedup(small(spark, rows)).collect()}
+    assert all(near_dup.likeness(packed[k], packed[1000 + k]) >= 0.8 for k in range(0, 400, 10))
+    assert out == {i: i % 1000 for i, _ in rows}
+
+
+def test_large_buckets_are_exact(spark):
+    """One bucket that holds all items: the components are those of all pairs."""
+    rnd = random.Random(7)
+    sets = [set(rnd.sample(range(1000), 40)) for _ in range(20)]
+    sets += [set(rnd.sample(sorted(s), len(s) - 3)) | {2000 + 7 * k, 3000 + k} for k, s in enumerate(sets) for _ in range(4)]
+    common = set(range(5000, 5000 + 60))
+    packed = [np.array(sorted(s | common), np.uint32).tobytes() for s in sets]
+    rows = [(i, [1]) for i in range(len(packed))]
+    scratch = Scratch(spark, "test-lsh")
+    items = scratch.keep(spark.createDataFrame(rows, "id long, keys array<long>"), "items")
+    payload = scratch.keep(spark.createDataFrame(list(enumerate(packed)), "id long, data binary"), "payload")
+    members = scratch.keep(lsh.buckets(items), "members")
+    _, roots = lsh.links(items, members, payload, substring.jaccard, 0.8, scratch)
+    got = {r["id"]: r["root"] for r in roots.collect()}
+    want = {i: i for i, _ in rows}
+    for a in want:
+        for b in range(a):
+            if substring.jaccard(packed[a], packed[b]) >= 0.8 and want[a] != want[b]:
+                high, low = max(want[a], want[b]), min(want[a], want[b])
+                want = {i: low if r == high else r for i, r in want.items()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) > 1
+
+
 def test_awkward_rows(spark):
     df = frame(spark)
     out = near_dup.near_dedup(df).collect()
