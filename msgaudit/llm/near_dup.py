@@ -1,11 +1,13 @@
 """Near-dedup by Order MinHash, verified by banded alignment.
 
 Words are runs of anything but ASCII blanks, A-Z lower-cased.  Every k-mer of
-``K`` = 5 words is labelled with its occurrence (first, second, ... of equal
-k-mers); each of ``BANDS`` hash functions samples the ``PICK`` = 2 smallest
-labelled k-mers, which, in the order in which they stand in the text, are the
-key of one band.  Texts that are close in edit distance agree in some band;
-texts of the same words in another order do not.
+``SKETCH_K`` = 2 words is labelled with its occurrence (first, second, ... of
+equal k-mers); each of ``BANDS`` hash functions samples the 2 smallest labelled
+k-mers, which, in the order in which they stand in the text, are the key of one
+band.  The bands are tuned to the alignment's threshold (see :func:`tune`):
+texts at likeness 0.8 agree in some band with a chance of 0.999, however the
+edits lie; texts of fewer than ``SURE_WORDS`` = 20 words with 0.99 or more.
+Texts of the same words in another order agree in fewer.
 
 Texts that collide are verified by alignment: the edit distance of the two word
 sequences in a band around the diagonal, widened step by step up to the largest
@@ -35,12 +37,34 @@ from .common import Scratch, bound_batches, deal_out, hash_bitmap, in_bitmap, ro
 from .exact_dedup import normalise
 
 K = 5
-#: With 20 bands of 2, texts whose k-mers agree to 0.8 (0.45) collide with 1 - 2e-9 (0.989).
-BANDS, PICK = 20, 2
+#: Words of a k-mer of the sketches: an edit spoils at most so many k-mers.
+SKETCH_K = 2
 LEAST = 0.8
+#: Chance with which two texts at LEAST, the longer of SURE_WORDS words or more, share a band's key.
+RECALL, SURE_WORDS = 0.999, 20
 SEED = 7
 
 
+def agreement(n: int, least: float = LEAST) -> float:
+    """The least chance that texts at ``least``, the longer of n words, agree in one band.
+
+    Every edit is a changed word and spoils SKETCH_K k-mers of either text,
+    the worst case; both picked k-mers must be among those in common.
+    """
+    size = n - SKETCH_K + 1
+    common = max(size - SKETCH_K * int((1 - least) * n + 1e-9), 0)
+    union = 2 * size - common
+    return common * (common - 1) / (union * (union - 1))
+
+
+def tune(n: int = SURE_WORDS, recall: float = RECALL) -> int:
+    """Bands with which texts of n words at LEAST share a key with the chance ``recall``."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - agreement(n))))
+
+
+BANDS = tune()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -200,7 +224,7 @@ def _sketch(batches):
         if long:
             words = [hasher(texts[i]) for i in long]
             starts = np.cumsum([0] + [len(w) for w in words])[:-1]
-            for i, row in zip(long, order_minhash(*labelled_kmers(np.concatenate(words), starts, K)).tolist()):
+            for i, row in zip(long, order_minhash(*labelled_kmers(np.concatenate(words), starts, SKETCH_K)).tolist()):
                 keys[i] = row
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "_k1": batch.column("_k1"), "_k2": batch.column("_k2"),
                                           "digest": pa.array(digests), "keys": pa.array(keys, pa.list_(pa.int64()))})

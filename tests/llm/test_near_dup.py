@@ -39,6 +39,33 @@ def test_order_minhash_keeps_the_order():
     assert 0.2 < (keys[0] == keys[1]).mean() < 0.8  # the same k-mers, but half of the pairs change sides
 
 
+def test_bands_reach_the_recall():
+    """Texts with 10, 15 and 20 % of their words changed collide, all likenesses that are verified."""
+    rnd = np.random.default_rng(3)
+    assert all(1 - (1 - near_dup.agreement(n)) ** near_dup.BANDS >= 0.999 for n in range(near_dup.SURE_WORDS, 2000))
+    assert all(1 - (1 - near_dup.agreement(n)) ** near_dup.BANDS >= 0.99 for n in range(near_dup.K + 1, 2000))
+    for n, pairs in ((60, 1000), (300, 300)):
+        for share in (0.10, 0.15, 0.20):
+            texts = []
+            for k in range(pairs):
+                text = rnd.integers(0, 2 ** 31, n).astype(np.uint32)
+                other = text.copy()
+                other[rnd.choice(n, int(n * share), replace=False)] += np.uint32(2 ** 31)
+                assert near_dup.likeness(text.tobytes(), other.tobytes()) >= 0.8
+                texts.append((text, other))
+            met = sum(bool(set(a) & set(b)) for a, b in zip(*(
+                [dict(enumerate(r)).items() for r in _sketches([t[side] for t in texts])] for side in (0, 1))))
+            assert met >= 0.995 * pairs, (n, share, met)
+
+
+def _sketches(texts):
+    """The bands' keys, as the operator makes them of texts of these words."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "_k1": [0] * len(texts), "_k2": [0] * len(texts),
+                                        "text": [" ".join(map(str, t)) for t in texts]})
+    return next(near_dup._sketch([batch])).column("keys").to_pylist()
+
+
 def test_classes_against_brute_force(spark):
     docs = [(d["doc_id"], d["text"]) for d in documents()]
     rnd = random.Random(5)
