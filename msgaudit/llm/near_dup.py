@@ -250,7 +250,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: id, class_id, class_size, n_links, kept (and the row's keys).
 
     ``class_id`` is the smallest id of its class, ``n_links`` the number of
-    other word sequences that its own was found to be like.
+    verified links that built the class and end at the row's word sequence: in a
+    large group it is fewer than the sequences that it is like, as pairs that
+    are in one class already are not verified.
     """
     spark = docs.sparkSession
     bound_batches(spark)

@@ -31,7 +31,7 @@ def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its class of near copies and its text's number of links."""
+    """Every document with its class of near copies and the number of its text's links that built the class."""
     out = near_dup.near_dedup(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
 
