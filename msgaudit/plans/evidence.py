@@ -22,6 +22,7 @@ from .tables import read
 
 ROWS_PER_DB = 2000      # messages per database file
 DBS_PER_TAR = 16        # database files per archive
+NO_PLATFORM = "unknown"  # platform of the documents whose source is null
 EPOCH_MS_BASE = 1_700_000_000_000
 MS_PER_DOC = 60_000
 
@@ -60,6 +61,7 @@ def build_databases(spark: SparkSession, sf_dir: str, rows_per_db: int = ROWS_PE
     """Write the sharded databases; returns (root, written files) after the job ran."""
     root = root or scratch_path(spark, "evidence")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumn("source", F.coalesce("source", F.lit(NO_PLATFORM)))  # a join by source would drop null
     docs = docs.join(shard_counts(docs, rows_per_db), "source")
     docs = docs.withColumns({
         "shard": F.pmod(F.col("doc_id"), F.col("shards")),
