@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, iblt, lm, mixing, near_dup, negatives, packing, pii, sharding, substring, toxicity
+from . import conversations, exact_dedup, iblt, lm, mixing, near_dup, negatives, packing, pii, sharding, substring, toxicity
 from .common import read
 
 
@@ -114,6 +114,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged conversation with its faults and its cheapest repair."""
+    out = conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 OP12_SQL = """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -146,6 +152,7 @@ QUERIES = {
     "op9_toxic_gru": op9_toxic_gru,
     "op10_feistel_shards": op10_feistel_shards,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
