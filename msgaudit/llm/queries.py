@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, iblt, lm, mixing, near_dup, negatives, packing, pii, sharding, substring, toxicity
+from . import conversations, exact_dedup, iblt, licences, lm, mixing, near_dup, negatives, packing, pii, sharding, substring, toxicity
 from .common import read
 
 
@@ -107,6 +107,17 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licence phrases, labels and score."""
+    out = licences.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["exact"])
+    labels = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["start"])
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"),
+                      F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"), "score")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first negatives in the window of each positive of every anchor."""
     rows = read(spark, sf_dir, "embeddings")
@@ -151,6 +162,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_toxic_gru": op9_toxic_gru,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_licence_index": op11_licence_index,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
