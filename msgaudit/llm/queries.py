@@ -151,6 +151,75 @@ QUALIFY rank <= 3
 """
 
 
+# CRC-32 by its table; then rows one by one, the best way to each state (0 nothing yet, 1 after s, 2 after u, 3 after a).
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce(list_concat([4294967295::UBIGINT],
+                         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                        lambda x: ascii(x)::UBIGINT)),
+                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 20 AS damage
+          FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE damage WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM keyed WHERE damage <> 0),
+placed AS (SELECT conv_id, turn, role, text, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn,
+                  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+           FROM damaged),
+rows_ AS (SELECT *, CASE WHEN solid = '' THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                        WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+          FROM placed),
+facts AS (SELECT conv_id, count(*) AS n,
+                 CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM rows_ GROUP BY conv_id),
+convs AS (SELECT c.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+                 coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+          FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON c.conv_id IS NOT DISTINCT FROM f.conv_id),
+moves(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+                                      (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+edits AS (SELECT p, p AS q, 'D' AS edit, 4 AS cost, NULL::VARCHAR AS initial FROM (SELECT unnest([0, 1, 2, 3]) AS p)
+          UNION ALL SELECT p, q, 'R', 3, NULL FROM moves WHERE initial <> 's'
+          UNION ALL SELECT p, q, 'K', 0, initial FROM moves),
+steps AS MATERIALIZED (SELECT i.p, e.q, e.edit, e.initial, i.cost + e.cost AS cost, i.audit || e.edit AS audit
+                       FROM inserts i JOIN edits e ON i.q = e.p),
+ways(conv_id, n, state, cost, audit) AS (
+    SELECT conv_id, 0::BIGINT, 0, 0, '' FROM convs
+    UNION ALL
+    SELECT conv_id, n, q, cost, audit
+    FROM (SELECT w.conv_id, r.rn AS n, s.q, w.cost + s.cost + CASE WHEN r.fault = 'truncated' AND s.edit <> 'D' THEN 3 ELSE 0 END AS cost,
+                 w.audit || s.audit AS audit
+          FROM ways w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.rn = w.n + 1
+          JOIN steps s ON s.p = w.state AND (s.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+                      AND (s.initial IS NULL OR s.initial = left(r.role, 1)))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+best AS (SELECT c.*, w.cost + i.cost AS cost, w.audit || i.audit AS audit
+         FROM convs c JOIN ways w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n
+         JOIN inserts i ON i.p = w.state AND i.q IN (0, 3)
+         QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY w.cost + i.cost, w.audit || i.audit) = 1),
+letters AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS place
+            FROM best WHERE audit <> ''),
+numbered AS (SELECT conv_id, edit, place, count(*) FILTER (edit <> 'I') OVER w AS rn, count(*) FILTER (edit <> 'D') OVER w - 1 AS nth,
+                    count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) % 2 AS system
+             FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+texts AS (SELECT n.conv_id, string_agg(CASE WHEN edit = 'K' THEN r.role WHEN (nth - system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                                       || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY place) AS text
+          FROM numbered n LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.rn = n.rn
+          WHERE edit <> 'D' GROUP BY n.conv_id)
+SELECT b.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, cost::BIGINT AS cost, audit,
+       sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM best b LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_iblt_fingerprints": op2_iblt_fingerprints,
@@ -171,4 +240,5 @@ ORACLE = {
     "op1_exact_dedup": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
