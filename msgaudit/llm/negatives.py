@@ -103,8 +103,9 @@ def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
             data = data[ok]
             step = max(1, min(size, BLOCK_BYTES // max(8, 8 * data.shape[1])))
             for lo in range(0, len(data), step):
-                if parts and (held + min(step, len(data) - lo) > size
-                              or 8 * (held + step) * max(data.shape[1], *(p[3].shape[1] for p in parts)) > BLOCK_BYTES):
+                more = held + min(step, len(data) - lo)
+                width = max([data.shape[1], *(p[3].shape[1] for p in parts)])
+                if parts and (more > size or 8 * more * width > BLOCK_BYTES):
                     yield flush()
                 parts.append((*(c[lo:lo + step] for c in cols), data[lo:lo + step]))
                 held += len(parts[-1][3])
