@@ -44,7 +44,7 @@ from .exact_dedup import normalise
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_400_000
 
 # Python splits at these four, the tokenizer doesn't count them as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -73,39 +73,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words that leave unless they come again
 
-    def _learn(self, fresh: set[str]) -> None:
-        known, whole, cut = self.known, set(), []
-        for w in fresh:
+    def _ids(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes the ids of all ``words`` known; half of the cache goes when it is full, words in use stay."""
+        fresh = words.difference(self.known)
+        if len(self.known) + 2 * len(fresh) > CACHE_WORDS // 2:
+            self.known, self.older = {w: self.known[w] for w in words.intersection(self.known)}, self.known
+        again = fresh.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        whole, cut = set(), []
+        for w in fresh.difference(again):
             stem = w.rstrip(_STOPS)
-            if stem and stem != w and stem[-1].isalnum():
+            # the stem must end in a letter or digit in lower case too (a dotted capital I then ends in a mark)
+            if stem and stem != w and stem[-1].lower()[-1].isalnum():
                 cut.append((w, stem, w[len(stem):]))
-                whole.add(stem)
-                whole.add(w[len(stem):])
+                whole.update((stem, w[len(stem):]))
             else:
                 whole.add(w)
-        words = list(whole.difference(known))
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
+        whole.difference_update(self.known)
+        self._ids([w for w in whole if w not in self.older])
+        self.known.update((w, self.older[w]) for w in whole if w in self.older)
         for w, stem, stops in cut:
-            known[w] = known[stem] + known[stops]
+            self.known[w] = self.known[stem] + self.known[stops]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list = []
+        for text in texts:
+            if any(s in text for s in _SEPARATORS):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            # lower-casing A-Z first makes words recur more; it commutes with composing where nothing is left to compose
+            low = text.lower() if text.isascii() else normalise(text).decode("utf-8", "surrogatepass")
+            if low.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)):
+                text = low
+            out.append(text.split())
+        self._learn(set().union(*(w for w in out if isinstance(w, list))))
+        return [w if isinstance(w, bytes) else b"".join(map(self.known.__getitem__, w)) for w in out]
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in _SEPARATORS):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        # lower-casing A-Z first makes words recur more; it commutes with composing where nothing is left to compose
-        low = text.lower() if text.isascii() else normalise(text).decode("utf-8", "surrogatepass")
-        if low.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)):
-            text = low
-        words = text.split()
-        fresh = set(words).difference(self.known)
-        if fresh:
-            if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
-                self.known.clear()
-                fresh = set(words)
-            self._learn(fresh)
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -119,8 +131,9 @@ def _pieces(path: str, capacity: int, end_id: int):
         _encoders[path] = encoder
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            texts = [text or "" for text in b.column(1).to_pylist()]
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_all(texts)):
+                ids += end
                 for k in range(0, len(ids), capacity * 4):
                     part = ids[k:k + capacity * 4]
                     out.append((doc, k // (capacity * 4), k // 4, len(part) // 4, zlib.crc32(part)))

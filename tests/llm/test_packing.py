@@ -69,6 +69,18 @@ def test_words_give_the_ids_of_the_text(tokenizer):
              "<|endoftext|> a<|startoftext|>b.", "̀abc ̀", "日本語。テスト！ 한국어", "x٣٤. ½! Ⅷ?", "DON'T we'LL.", "", " \n\t "]
     rnd = random.Random(1)
     alphabet = "aB1 .,!?'é́ß\n-日% "
-    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30))) for _ in range(20_000)]
+    texts += ["i̇.", "İ.", "xİ.. İ", "İ̇.", "ŉ. ǰ. ΐ."]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_leave_a_full_cache_and_come_back(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    encoder, rnd = packing.WordEncoder(packing.tokenizer_path()), random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(f"word{rnd.choice('abcdefghijklm')}{rnd.randrange(9)}{rnd.choice(['', '.', '?!'])}" for _ in range(8))
+                 for _ in range(3)]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode_all(texts)] == want
+        assert len(encoder.known) <= 40 + 2 * 24
