@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(a, b, "email") for a, b in _emails(text)]
     if _DIGIT.search(text):
         out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text)
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+                if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m.group().split(".")))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -202,36 +202,53 @@ class Tagger:
             g["chars"] += dtable @ p[f"w{d}"].T
         return loss, g
 
+    def _stacked(self):
+        """Both directions as one recurrence: tables [gate, unit, class] of each and the joint matrix.
+
+        Rows come gate by gate (i, f, o, g), the forward units first in each; the
+        first three gates are halved, as sigmoid(x) is (tanh(x / 2) + 1) / 2.
+        """
+        p, n = self.p, STATE
+        scale = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])
+        joint, tables = np.zeros((4, 2, n, 2, n), np.float32), []
+        for k, d in enumerate("fb"):
+            tables.append(np.ascontiguousarray(((p["chars"] @ p[f"w{d}"] + p[f"b{d}"]) * scale).T))
+            joint[:, k, :, k] = (p[f"u{d}"] * scale).T.reshape(4, n, n)
+        return tables, joint.reshape(8 * n, 2 * n)
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Scores ``e[t, tag, b]`` of windows ``x[t, b]``; feature-major, without gradients."""
+        """Scores ``e[t, tag, b]`` of windows ``x[t, b]``; feature-major, without gradients.
+
+        Step t reads character t for the forward and steps - 1 - t for the backward direction.
+        """
         p, n, half = self.p, STATE, np.float32(0.5)
         steps, batch = x.shape
+        at = x.astype(np.intp)
+        (ahead, back), joint = self._stacked()
         out = np.empty((steps, TAGS, batch), np.float32)
-        rec, read = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
-        for k, d in enumerate("fb"):
-            scale = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])
-            table = np.ascontiguousarray((p["chars"] @ p[f"w{d}"] + p[f"b{d}"]) * scale)
-            ut = np.ascontiguousarray((p[f"u{d}"] * scale).T)
-            w = np.ascontiguousarray(p["out"][k * n:(k + 1) * n].T)
-            h, c = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32)
-            gates, g = rec[:3 * n], rec[3 * n:]
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.matmul(ut, h, out=rec)
-                read[:] = table[x[t]].T
-                rec += read
-                np.tanh(rec, out=rec)
-                gates *= half
-                gates += half
-                c *= gates[n:2 * n]
-                g *= gates[:n]
-                c += g
-                np.tanh(c, out=h)
-                h *= gates[2 * n:]
-                if d == "f":
-                    np.matmul(w, h, out=out[t])
-                else:
-                    out[t] += w @ h
-        out += p["outb"][:, None]
+        out[:] = p["outb"][:, None]
+        rec, one, read = (np.empty((k * n, batch), np.float32) for k in (8, 4, 8))
+        both, four = read.reshape(4, 2, n, batch), one.reshape(4, n, batch)
+        h, c = np.zeros((2 * n, batch), np.float32), np.zeros((2 * n, batch), np.float32)
+        gates, g = rec[:6 * n], rec[6 * n:]
+        w = [np.ascontiguousarray(p["out"][k * n:(k + 1) * n].T) for k in (0, 1)]
+        for t in range(steps):
+            np.matmul(joint, h, out=rec)
+            np.take(ahead, at[t], axis=1, out=one, mode="clip")
+            both[:, 0] = four
+            np.take(back, at[steps - 1 - t], axis=1, out=one, mode="clip")
+            both[:, 1] = four
+            rec += read
+            np.tanh(rec, out=rec)
+            gates *= half
+            gates += half
+            c *= gates[2 * n:4 * n]
+            g *= gates[:2 * n]
+            c += g
+            np.tanh(c, out=h)
+            h *= gates[4 * n:]
+            out[t] += w[0] @ h[:n]
+            out[steps - 1 - t] += w[1] @ h[n:]
         return out
 
     def decode(self, x: np.ndarray) -> np.ndarray:

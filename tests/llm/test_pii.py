@@ -35,6 +35,10 @@ def test_base_examples():
     text = "é mail kim.lee+x@mail1.example.com, 4125346984640168 and +1 (453) 555-6570 from 71.224.97.88 not 300.1.1.1"
     assert pii.base_spans(text) == by_contract(text)
     assert [k for *_, k in pii.base_spans(text)] == ["email", "card", "phone", "ip"]
+    long_part = "0" * 5000 + "1"  # more digits than Python turns into a number
+    for text in (f"{long_part}.2.3.4", f"1.{long_part}.3.4", f"1.2.3.{long_part}", "1" * 5000 + ".2.3.4", f"0.0.{'0' * 6000}.0"):
+        found = [s for s in pii.base_spans(text) if s[2] == "ip"]
+        assert found == ([] if text.startswith("11") else [(0, len(text), "ip")])
     assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a@" * 20_000 + "b.c")[-1][2] == "email"
 
 
@@ -57,6 +61,18 @@ def test_gradients():
             assert abs((up - down) / 2e-4 - g[i]) < 2e-3 * max(0.05, abs(g[i]))
 
 
+def test_emissions_equal_the_training_pass():
+    """Stacked directions against one direction after the other."""
+    rng = np.random.default_rng(2)
+    net = pii.Tagger(3)
+    x, parts = rng.integers(0, pii.CLASSES, (23, 7)), []
+    for d, way in (("f", slice(None)), ("b", slice(None, None, -1))):
+        table = net.p["chars"] @ net.p[f"w{d}"] + net.p[f"b{d}"]
+        parts.append(pii.lstm(table[x[way]], net.p[f"u{d}"])[0][way])
+    want = np.concatenate(parts, 2) @ net.p["out"] + net.p["outb"]
+    assert np.allclose(net.emissions(x.astype(np.uint8)), want.transpose(0, 2, 1), atol=1e-5)
+
+
 def test_viterbi_finds_the_best_path_and_the_bound_is_safe():
     rng = np.random.default_rng(1)
     trans = rng.standard_normal((5, 5)).astype(np.float32)
