@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,51 +85,100 @@ def extract_table(t: EvidenceTable) -> DataFrame:
     return proj.withColumns({"source_database": F.lit(t.source_database), "source_table": F.lit(t.source_table)})
 
 
+# The type of a merged column: the least that holds all of its tables' values.
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FRACTIONS = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _height(t: T.DataType) -> int:
+    """Place in the chain null < boolean < int < double < string; 5 for anything else."""
+    kinds = ((T.NullType,), (T.BooleanType,), _INTEGERS, _FRACTIONS, (T.StringType, T.CharType, T.VarcharType))
+    return next((k for k, types in enumerate(kinds) if isinstance(t, types)), 5)
+
+
+def join_types(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The lattice's join: equal types stay, numbers widen, whatever has nothing in common becomes text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    top = max(_height(a), _height(b))
+    return {1: T.BooleanType(), 2: T.LongType(), 3: T.DoubleType()}.get(top, T.StringType())
+
+
+def merged_types(dfs: list[DataFrame]) -> dict[str, T.DataType]:
+    """Name -> type of every column of the union, in order of first appearance."""
+    out: dict[str, T.DataType] = {}
+    for d in dfs:
+        for f in d.schema.fields:
+            out[f.name] = join_types(out[f.name], f.dataType) if f.name in out else f.dataType
+    return out
+
+
+def as_type(col: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value in the merged type; as text, truth values read True / False and nested values are JSON."""
+    if have == want:
+        return col
+    if isinstance(want, T.StringType):
+        if isinstance(have, T.BooleanType):
+            return F.when(col, F.lit("True")).when(~col, F.lit("False"))
+        if isinstance(have, (T.ArrayType, T.MapType, T.StructType)):
+            return F.to_json(col)
+    return col.cast(want)
+
+
 def union_by_name(dfs: list[DataFrame]) -> DataFrame:
-    """Union by column name, missing columns as null, duplicates kept."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
+    """Union by column name, missing columns as null, duplicates kept, differing types merged first."""
+    want = merged_types(dfs)
+    out = None
+    for d in dfs:
+        d = d.select(*[as_type(F.col(f"`{f.name}`"), f.dataType, want[f.name]).alias(f.name) for f in d.schema.fields])
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 
 
 def merged_text_columns(extracted: list[DataFrame]) -> list[str]:
-    """Text columns of the merged relation in first-appearance order."""
-    merged: dict[str, bool] = {}
-    for d in extracted:
-        for f in d.schema.fields:
-            is_str = isinstance(f.dataType, T.StringType)
-            merged[f.name] = merged.get(f.name, False) or is_str
-    names = list(merged)
-    text = cols_matching(names, TEXT_KEYWORDS)
-    if not text:
-        text = [c for c in names if merged[c]]
-    return text
+    """Columns of the merged relation that may hold text, in first-appearance order.
+
+    A column of numbers or truth values in every table holds none; one that is
+    text in some table is text in all.
+    """
+    merged = merged_types(extracted)
+    strings = [c for c, t in merged.items() if isinstance(t, T.StringType)]
+    if cols_matching(list(merged), TEXT_KEYWORDS):
+        return cols_matching(strings, TEXT_KEYWORDS)
+    return strings
 
 
-def text_facts(extracted: list[DataFrame], names: list[str]) -> DataFrame:
-    """One row: whether each named column holds text over all tables.
+def text_columns(extracted: list[DataFrame], names: list[str]) -> list[str]:
+    """Those of ``names`` that hold text over all tables.
 
-    A column whose values all read back as numbers, or all as booleans, is not
-    text; NA literals are no values.  One aggregation per table, pre-aggregated
-    in its tasks.
+    A column whose values all read back as numbers, or all as truth values, is
+    not text; NA literals are no values.  One job: every table's values become
+    (column, is number, is truth value) rows, pre-aggregated in its tasks, and
+    one row per column name comes back.
     """
     na = [F.lit(v) for v in NA_LITERALS]
-    merged = None
+    seen = None
     for d in extracted:
         types = {f.name: f.dataType for f in d.schema.fields}
         facts = []
         for i, c in enumerate(names):
-            if c in types and isinstance(types[c], T.StringType):
-                v = F.when(~F.col(f"`{c}`").isin(*na), F.col(f"`{c}`"))
-                facts += [F.min(v.rlike(NUMBER_TEXT)).alias(f"n{i}"), F.min(v.isin(*BOOLEAN_TEXT)).alias(f"b{i}")]
+            if c not in types or isinstance(types[c], T.NullType):
+                continue
+            v, t = F.col(f"`{c}`"), types[c]
+            if isinstance(t, T.StringType):
+                number, truth, held = v.rlike(NUMBER_TEXT), v.isin(*BOOLEAN_TEXT), v.isNotNull() & ~v.isin(*na)
             else:
-                facts += [F.lit(None).cast("boolean").alias(f"n{i}"), F.lit(None).cast("boolean").alias(f"b{i}")]
-        row = d.agg(F.count(F.lit(1)).alias("_rows"), *facts)
-        merged = row if merged is None else merged.unionByName(row)
-    every = merged.agg(*[F.min(f"{k}{i}").alias(f"{k}{i}") for i in range(len(names)) for k in "nb"])
-    return every.select(*[(~(F.coalesce(F.col(f"n{i}"), F.lit(False)) | F.coalesce(F.col(f"b{i}"), F.lit(False)))).alias(f"t{i}")
-                          for i in range(len(names))])
+                number, truth, held = F.lit(_height(t) in (2, 3)), F.lit(_height(t) == 1), v.isNotNull()
+            facts.append(F.struct(F.lit(i).alias("i"), F.when(held, number).alias("n"), F.when(held, truth).alias("b")))
+        if facts:
+            rows = d.select(F.explode(F.array(*facts)).alias("f")).select("f.*")
+            seen = rows if seen is None else seen.unionByName(rows)
+    if seen is None:
+        return []
+    facts = {r["i"]: r["n"] or r["b"] for r in seen.groupBy("i").agg(F.min("n").alias("n"), F.min("b").alias("b")).collect()}
+    return [c for i, c in enumerate(names) if not facts.get(i)]
 
 
 def flatten(merged: DataFrame) -> DataFrame:
@@ -140,20 +189,19 @@ def flatten(merged: DataFrame) -> DataFrame:
 def flatten_tables(extracted: list[DataFrame], keep: list[str] | None = None) -> DataFrame:
     """M1 over U1 without building the wide union.
 
-    Each extracted table contributes its text columns in the *merged* order;
-    non-string values never count (the reference only joins ``str`` values),
-    nor do string columns whose values are all numbers or all booleans.
-    Rows with no non-blank piece are dropped (F2).  ``keep`` passes extra
-    provenance columns through when every table has them.
+    Each extracted table contributes its text columns in the *merged* order.  A
+    column is text if the merged type is and not all values, over all tables,
+    are numbers or truth values; its values from tables that hold numbers there
+    are then text as well.  Rows with no non-blank piece are dropped (F2).
+    ``keep`` passes extra provenance columns through when every table has them.
+    Every table is planned twice: once for the facts about its columns, once here.
     """
-    order = merged_text_columns(extracted)
+    order = text_columns(extracted, merged_text_columns(extracted))
     keep = list(keep or [])
-    facts = text_facts(extracted, order) if order and extracted else None
-    is_text = {c: facts.select(f"t{i}").scalar() for i, c in enumerate(order)}
     parts = []
     for d in extracted:
         types = {f.name: f.dataType for f in d.schema.fields}
-        mine = [F.when(is_text[c], F.col(f"`{c}`")) for c in order if c in types and isinstance(types[c], T.StringType)]
+        mine = [as_type(F.col(f"`{c}`"), types[c], T.StringType()) for c in order if c in types]
         if not mine:
             continue  # every row of this table would be dropped by F2: not read at all
         combined = combine_text(mine)

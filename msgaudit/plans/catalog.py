@@ -350,6 +350,31 @@ def q_union_by_name(spark, sf):
     return C.union_by_name([read(spark, sf, n) for n in ("documents", "conversations", "benchmark")])
 
 
+def _mixed_tables(spark, sf):
+    """The same columns with other types: text, numbers and truth values."""
+    d, c, l = (read(spark, sf, n) for n in ("documents", "conversations", "labels"))
+    return [d.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("n_chars").alias("size"),
+                     F.lit(None).alias("flag")),
+            c.select(F.col("conv_id").alias("id"), F.col("turn").alias("body"), (F.col("turn") / F.lit(2.0)).alias("size"),
+                     (F.col("turn") % 2 == 0).alias("flag")),
+            l.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("body"), F.col("toxic").alias("size"),
+                     F.col("quality").alias("flag"))]
+
+
+@query("union_mixed_types")
+def q_union_mixed_types(spark, sf):
+    """U1 where a name has another type in every table."""
+    return C.union_by_name(_mixed_tables(spark, sf))
+
+
+@query("flatten_mixed_types")
+def q_flatten_mixed_types(spark, sf):
+    """M1 over tables of which one holds text, others numbers and truth values under the same name."""
+    names = ["documents", "conversations", "labels"]
+    return C.flatten_tables([C.extract_table(C.EvidenceTable(t.select("body", "size"), f"{n}.parquet", n))
+                             for n, t in zip(names, _mixed_tables(spark, sf))])
+
+
 @query("extract_flatten")
 def q_extract_flatten(spark, sf):
     return C.flatten_tables([C.extract_table(t) for t in _evidence_tables(spark, sf)])

@@ -502,6 +502,25 @@ def _():
             "UNION ALL BY NAME SELECT * FROM benchmark")
 
 
+MIXED_PARTS = [("documents", "doc_id", "text", "CAST(n_chars AS DOUBLE)", "CAST(NULL AS BIGINT)"),
+               ("conversations", "conv_id", "CAST(turn AS VARCHAR)", "turn / 2.0::DOUBLE", "CAST(turn % 2 = 0 AS BIGINT)"),
+               ("labels", "doc_id", "CASE WHEN toxic = 1 THEN 'True' WHEN toxic <> 1 THEN 'False' END", "CAST(toxic AS DOUBLE)",
+                "CAST(quality AS BIGINT)")]
+
+
+@oracle("union_mixed_types")
+def _():
+    return " UNION ALL ".join(f"SELECT {i} AS id, {body} AS body, {size} AS size, {flag} AS flag FROM {src}"
+                              for src, i, body, size, flag in MIXED_PARTS)
+
+
+@oracle("flatten_mixed_types")
+def _():
+    parts = [f"SELECT {combine([body])} AS text, '-' AS date_time, '{src}.parquet' AS source_database, "
+             f"'{src}' AS source_table FROM {src}" for src, _, body, _, _ in MIXED_PARTS]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE text <> ''"
+
+
 @oracle("extract_flatten")
 def _():
     def part(tbl, src, pieces, dt):
