@@ -6,17 +6,17 @@ neither blank nor a placeholder and parses wins (T2/T5).  Only the calendar
 date is ever reported, so parsing is done at day precision with integer
 arithmetic.
 
-Free-text formats understood (pandas/dateutil results for these shapes):
-
-* ``YYYY-MM-DD`` or ``YYYY/MM/DD`` with optional ``[T ]HH:MM[:SS[.f]]`` and
-  offset (the local date is kept, as pandas does);
-* ``A/B/YYYY``, ``A-B-YYYY``, ``A.B.YYYY`` (month first unless A > 12), with an
-  optional time (separators are not required to agree);
-* ``YYYYMMDD`` and a bare ``YYYY`` (January 1st);
-* ``Mon[th] D[,] YYYY`` and ``D Mon[th] YYYY``.
-
-Other shapes give no date (documented gap).  Years outside pandas' range
-1677..2262 give no date.
+Free text is read by token roles.  A clock with its zone, a weekday, ordinal
+endings and the words "of" and "at" are cut off; what remains is described by its
+shape (``n`` for a number of one or two digits, 9999 for one of four, ``M`` for a
+month's name, separators as blanks), and ``ROLES`` says for each shape which of
+its numbers is the year, the month and the day.  So a new format is a new line of
+the table.  The results are those of pandas/dateutil for these shapes: month
+first unless that is impossible, the local date of a value with an offset, a year
+of two digits in the hundred years around the present one.
+
+A shape that the table lacks gives no date, nor does a bare time of day (which
+pandas dates to today).  Years outside pandas' range 1677..2262 give no date.
 """
 
 from __future__ import annotations
@@ -66,66 +66,100 @@ def epoch_to_date(x: Column) -> Column:
              .when((x >= F.lit(1e9)) & (x <= F.lit(S_MAX)), _days_to_date(F.floor(x / F.lit(S_PER_DAY)))))
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    y, m, d = y.cast("int"), m.cast("int"), d.cast("int")
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    ok = (y >= 1677) & (y <= 2262)
-    return F.when(ok, F.try_to_date(text, "yyyy-MM-dd"))
-
-
-def _month_no(name: Column) -> Column:
-    n = F.lower(name)
-    expr = None
-    for i, m in enumerate(MONTHS, start=1):
-        expr = F.when(n == m, F.lit(i)) if expr is None else expr.when(n == m, F.lit(i))
-    return expr
-
-
-# All shapes in one anchored alternation.  A name must be a whole month or
-# weekday name, times must be times of day.
-_MONS = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-_WHOLE = (r"(?=(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
-          r"|nov(?:ember)?|dec(?:ember)?)(?![A-Za-z]))")
-_NAME = _WHOLE + "(" + _MONS + r")(?i:[a-z]{0,6})\.?"
-_WEEKDAY = r"(?:(?i:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),? )?"
-_CLOCK = r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?(?: ?(?i:[ap]m))?"
-_ZONE = r"(?: ?(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}))?"
-_AT = r"(?:[T ]" + _CLOCK + _ZONE + r")?"
-# Groups: y1 m2 d3 | A4 B5 y6 | compact y7 m8 d9 | year y10 | Mon11 d12 y13 | d14 Mon15 y16 | ctime Mon17 d18 y19 | y20 m21.
-DATE_SHAPES = (r"^(?:([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _AT
-               + r"|([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _AT
-               + r"|([0-9]{4})([0-9]{2})([0-9]{2})(?:T(?:[01][0-9]|2[0-3])[0-5][0-9](?:[0-5][0-9])?" + _ZONE + r")?"
-               + r"|([0-9]{4})"
-               + r"|" + _WEEKDAY + _NAME + r"[ -]([0-9]{1,2})(?:,? |-)([0-9]{4})" + _AT
-               + r"|" + _WEEKDAY + r"([0-9]{1,2})[ -]" + _NAME + r"(?:,? |-)([0-9]{4})" + _AT
-               + r"|" + _WEEKDAY + _NAME + r" {1,2}([0-9]{1,2}) " + _CLOCK + r" ([0-9]{4})"
-               + r"|([0-9]{4})[-/]([0-9]{1,2}))\z")
-SEP = "\u0001"
-# Canonical form: year | month | day | month name | A | B (empty when absent).
-DATE_CANON = ("$1$6$7$10$13$16$19$20" + SEP + "$2$8$21" + SEP + "$3$9$12$14$18" + SEP + "$11$15$17" + SEP + "$4" + SEP + "$5")
-
-
-def _nz(c: Column) -> Column:
-    return F.when(c != "", c)
+# --- tokens: each pattern cuts or names one kind -------------------------------------
+
+_TIME = r"(?:[01]?[0-9]|2[0-3])(?::[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?(?: ?(?i:[ap]m))?| ?(?i:[ap]m))"
+_PACKED_TIME = r"(?:[01][0-9]|2[0-3])(?:[0-5][0-9](?:[0-5][0-9](?:\.[0-9]{1,9})?)?)?"
+_ZONE = (r"(?: ?(?!(?i:" + "|".join(MONTHS) + r"))(?:Z|[A-Z]{3,5})(?:[+-][0-9]{1,2})?| ?[+-][0-9]{1,2}(?::?[0-9]{2})?)?")
+#: A clock: a time of day, digits behind the T of a date, or behind a whole date and a blank; then its zone.
+CLOCK = (r"(?:(?<![0-9:.])" + _TIME + r"|(?<=[0-9]T)" + _PACKED_TIME + r"|(?<=^[0-9]{8} )" + _PACKED_TIME
+         + r"|(?<=^[0-9]{4}-[0-9]{2}-[0-9]{2} )(?:[01][0-9]|2[0-3]))" + _ZONE + r"(?![0-9A-Za-z:])")
+#: What says nothing about the date: weekday, the clock's mark, ordinal endings, "of".
+_NOISE = (r"^(?i:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?),? "
+          r"|^@,? |(?:T|,? (?:at )?)@\z| @(?= [0-9]{4}\z)|(?<=[0-9])(?i:st|nd|rd|th)(?![A-Za-z])| of(?= )")
+_MONTH = (r"(?i)(?<![a-z])(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+          r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z])")
+_SEPARATORS = r"[-/ ]+|[,.] +"
+
+#: Shape -> roles of its numbers: y year, m month, d day; a and b month and day in the order that fits; z a year of
+#: two digits; abz the three in the order that fits; p the digits of a whole date, q three pairs of digits.
+ROLES = {
+    "9999": "y", "99999999": "p", "999999999999": "p", "99999999999999": "p", "999999": "q",
+    "9999 n n": "ymd", "9999.n.n": "ymd", "n n 9999": "aby", "n.n.9999": "aby", "n n n": "abz", "n.n.n": "abz",
+    "9999 n": "ym", "9999.n": "ym", "n 9999": "my",
+    "M n 9999": "dy", "M.n.9999": "dy", "n M 9999": "dy", "n.M.9999": "dy", "9999 M n": "yd", "9999.M.n": "yd",
+    "M 9999": "y", "M.9999": "y", "9999 M": "y", "9999.M": "y", "M n n": "dz", "n M n": "dz",
+}
+
+
+def date_bare(stripped: Column) -> Column:
+    """The value with an at sign for its clock."""
+    return F.when(stripped.rlike("[: T]"), F.regexp_replace(stripped, CLOCK, "@")).otherwise(stripped)
+
+
+def date_core(bare: Column) -> Column:
+    """The value without clock, weekday, ordinal endings and filler words."""
+    return F.when(bare.rlike("[@A-Za-z]"), F.regexp_replace(bare, _NOISE, "")).otherwise(bare)
+
+
+def date_tokens(core: Column) -> Column:
+    """struct(roles, n: its numbers, month: number of the month's name); null roles for no known shape."""
+    lettered = core.rlike("[A-Za-z]")
+    shape = F.regexp_replace(F.when(lettered, F.regexp_replace(core, _MONTH, "M")).otherwise(core), _SEPARATORS, " ")
+    shape = F.regexp_replace(F.translate(shape, "012345678", "9" * 9), "(?<!9)99?(?!9)", "n")
+    table = F.create_map(*[F.lit(v) for pair in ROLES.items() for v in pair])
+    name = F.lower(F.substring(F.regexp_extract(core, _MONTH, 1), 1, 3))
+    month = F.when(lettered, F.nullif(((F.instr(F.lit("".join(MONTHS)), F.nullif(name, F.lit(""))) + 2) / 3).cast("int"), F.lit(0)))
+    return F.struct(F.try_element_at(table, shape).alias("roles"), F.regexp_extract_all(core, F.lit("[0-9]+"), F.lit(0)).alias("n"),
+                    month.alias("month"))
+
+
+def _full_year(z: Column) -> Column:
+    """The year of two digits that lies less than 50 years ahead of this one, or at most 50 behind."""
+    low = F.year(F.current_date()) - 50
+    return low + F.pmod(z - low, F.lit(100))
+
+
+def date_numbers(t: Column) -> Column:
+    """struct(three, packed, y, m, d, a, b, z): the numbers by role, those of packed digits cut apart; null for no shape."""
+    roles, n = t["roles"], t["n"]
+    whole = F.try_element_at(n, F.lit(1))
+    pairs, packed = roles == "q", roles == "p"
+    cut = lambda start, size: F.substring(whole, start, size).try_cast("int")
+
+    def number(role: str, start: int, when: Column) -> Column:
+        at = F.instr(roles, role)
+        return F.when(when, cut(start, 4 if role == "y" else 2)).when(at > 0, F.try_element_at(n, at).try_cast("int"))
+
+    clock = F.when(packed & (F.length(whole) > 8), F.rpad(F.substring(whole, 9, 6), 6, "0"))
+    clock_ok = F.coalesce(clock.rlike("^(?:[01][0-9]|2[0-3])[0-5][0-9][0-5][0-9]"), F.lit(True))
+    numbers = F.struct((pairs | (roles == "abz")).alias("three"), number("y", 1, packed).alias("y"),
+                       number("m", 5, packed).alias("m"), number("d", 7, packed).alias("d"), number("a", 1, pairs).alias("a"),
+                       number("b", 3, pairs).alias("b"), number("z", 5, pairs).alias("z"), t["month"].alias("month"))
+    return F.when(roles.isNotNull() & clock_ok, numbers)
+
+
+def numbers_date(x: Column) -> Column:
+    """The date that the numbers make, or null."""
+    year_first, day_first, ordered = x["three"] & (x["a"] > 31), x["a"] > 12, x["a"].isNotNull()
+    short = F.when(year_first, x["a"]).otherwise(x["z"])
+    year = F.coalesce(_full_year(short), x["y"])
+    month = F.when(ordered, F.when(day_first, x["b"]).otherwise(x["a"])).otherwise(F.coalesce(x["m"], x["month"], F.lit(1)))
+    day = (F.when(year_first, x["z"]).when(ordered, F.when(day_first, x["a"]).otherwise(x["b"]))
+            .otherwise(F.coalesce(x["d"], F.lit(1))))
+    date = F.to_date(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)))
+    return F.when((date >= F.lit("1677-01-01").cast("date")) & (date <= F.lit("2262-12-31").cast("date")), date)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside conditional branches."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def text_to_date(col) -> Column:
-    """T4: free-text date (see module docstring) -> DateType or null.
-
-    One ``regexp_replace`` rewrites any understood shape into a canonical
-    ``y|m|d|mon|a|b`` string (unmatched groups are empty), so each value costs
-    one anchored regex pass whatever its shape.
-    """
-    s = py_strip(_c(col))
-    canon = F.regexp_replace(s, DATE_SHAPES, DATE_CANON)
-    parts = F.split(canon, SEP)
-    y, m, d, mon, a, b = (parts.getItem(i) for i in range(6))
-    ai, bi = a.try_cast("int"), b.try_cast("int")
-    month_first = ai <= 12
-    month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
-    day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
-    matched = canon != s
-    return F.when(matched, _ymd(y, month, day))
+    """T4: free-text date (see module docstring) -> DateType or null."""
+    return _let(py_strip(_c(col)), lambda s: _let(date_bare(s), lambda bare: _let(date_core(bare), lambda core: _let(
+        date_tokens(core), lambda t: _let(date_numbers(t), numbers_date)))))
 
 
 def value_to_date(col, dtype: T.DataType | None = None) -> Column:
@@ -181,31 +215,15 @@ def format_report_date(col) -> Column:
 # --- DataFrame-level forms (each regex runs once per value) -----------------------------
 #
 # Spark does not share a subexpression that sits inside a conditional branch
-# (``when``/``coalesce``), so a Column-level parser re-runs its regex for each
-# part it reads.  These helpers first project the stripped value and its
-# canonical form as columns, then read the parts in the next projection;
-# Spark does not inline an expensive column that has several consumers.
-
-def _parts_date(canon: Column, stripped: Column) -> Column:
-    """Date from a canonical ``y|m|d|mon|a|b`` string (Column form; re-reads the parts)."""
-    parts = F.split(canon, SEP)
-    y, m, d, mon, a, b = (F.try_element_at(parts, F.lit(i + 1)) for i in range(6))
-    return _date_from_parts(canon, stripped, y.try_cast("int"), m, d, mon, a.try_cast("int"), b.try_cast("int"))
-
-
-def _date_from_parts(canon, stripped, yi, m, d, mon, ai, bi) -> Column:
-    month_first = ai <= 12
-    month = F.coalesce(_nz(m), _month_no(_nz(mon)), F.when(month_first, ai).otherwise(bi), F.lit(1))
-    day = F.coalesce(_nz(d), F.when(month_first, bi).otherwise(ai), F.lit(1))
-    ok = (canon != stripped) & (yi >= 1677) & (yi <= 2262)
-    return F.when(ok, F.to_date(F.try_make_timestamp(yi, month, day, F.lit(0), F.lit(0), F.lit(0))))
-
+# (``when``/``coalesce``), so these helpers project the stripped value, its core
+# and its tokens as columns, one projection after the other: each step then runs
+# once per value.
 
 def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None):
     """Add ``__dt{k}`` (parsed date) for each ``k -> stripped-value expression``.
 
     Every expensive step is its own projected column, so each runs once per
-    value: strip -> number -> epoch date -> canonical form -> parts -> date.
+    value: strip -> number -> epoch date -> bare -> core -> tokens -> numbers -> date.
     ``numeric`` maps ``k`` to a number expression to try as an epoch first.
     Sources are taken in order and a later one is only parsed for rows where
     every earlier one gave no date (``present`` gives each source's usability
@@ -234,15 +252,11 @@ def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None)
             gate = usable & F.col(f"__e{k}").isNull()
         else:
             gate = usable
-        add({f"__c{k}": F.when(gate, F.regexp_replace(st, DATE_SHAPES, DATE_CANON))})
-        add({f"__p{k}": F.split(F.col(f"__c{k}"), SEP)})
-        p = F.col(f"__p{k}")
-        add({f"__y{k}": F.try_element_at(p, F.lit(1)).try_cast("int"), f"__m{k}": F.try_element_at(p, F.lit(2)),
-             f"__d{k}": F.try_element_at(p, F.lit(3)), f"__o{k}": F.try_element_at(p, F.lit(4)),
-             f"__a{k}": F.try_element_at(p, F.lit(5)).try_cast("int"),
-             f"__b{k}": F.try_element_at(p, F.lit(6)).try_cast("int")})
-        text_date = _date_from_parts(F.col(f"__c{k}"), st, F.col(f"__y{k}"), F.col(f"__m{k}"), F.col(f"__d{k}"),
-                                     F.col(f"__o{k}"), F.col(f"__a{k}"), F.col(f"__b{k}"))
+        add({f"__b{k}": F.when(gate, date_bare(st))})
+        add({f"__c{k}": date_core(F.col(f"__b{k}"))})
+        add({f"__t{k}": date_tokens(F.col(f"__c{k}"))})
+        add({f"__p{k}": date_numbers(F.col(f"__t{k}"))})
+        text_date = numbers_date(F.col(f"__p{k}"))
         date = F.coalesce(F.col(f"__e{k}"), text_date) if num is not None else text_date
         add({f"__dt{k}": F.when(usable, date)})
         acc = f"__acc{k}"

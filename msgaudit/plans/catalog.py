@@ -264,10 +264,13 @@ def q_first_datetime(spark, sf):
     return T.with_nice_date(d, "date_time", ["sent", "received"]).select("event_id", "sent", "date_time")
 
 
-#: Renderings of a time stamp that the date parser understands.
+#: Renderings of a time stamp that the date parser understands; of a month only; and two that are no dates.
 DATE_RENDERINGS = ["dd-MMM-yyyy", "EEE, dd MMM yyyy HH:mm:ss '+0000'", "yyyy.MM.dd", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd hh:mm a",
                    "MMMM d, yyyy", "EEE MMM d HH:mm:ss yyyy", "d MMMM yyyy HH:mm", "yyyy-MM-dd HH:mm:ss 'UTC'", "MMM d, yyyy h:mm:ss a",
-                   "yyyy-MM-dd 99:99", "MMM'xxxx' d, yyyy"]
+                   "yyyyMMdd HHmmss", "yyyyMMddHHmmss", "MM-dd-yy", "MM/dd/yy", "yyyy MMM dd", "yyyy-MMM-dd", "HH:mm MM/dd/yyyy",
+                   "yyyy-MM-dd'T'HH", "yyyy-MM-dd HH", "d'th' MMMM yyyy", "MMMM d'th', yyyy", "dd-MMM-yy",
+                   "yyyy-MM-dd HH:mm:ss 'EST'", "yyyy-MM-dd HH:mm:ss'+5'",
+                   "MMM yyyy", "MMMM yyyy", "yyyy.MM", "MM/yyyy", "yyyy-MM-dd 99:99", "MMM'xxxx' d, yyyy"]
 
 
 @query("date_shapes")

@@ -686,8 +686,9 @@ def _():
 
 @oracle("date_shapes")
 def _():
-    # the last two renderings are no dates
-    return "SELECT event_id, CASE WHEN event_id % 12 >= 10 THEN '-' ELSE strftime(ts, '%Y-%m-%d') END AS date_time FROM events"
+    # of 30 renderings the last two are no dates, the four before them name a month only
+    return ("SELECT event_id, CASE WHEN event_id % 30 >= 28 THEN '-' WHEN event_id % 30 >= 24 THEN strftime(ts, '%Y-%m-01') "
+            "ELSE strftime(ts, '%Y-%m-%d') END AS date_time FROM events")
 
 
 def _flat(cols: list[str]) -> str:
