@@ -76,6 +76,10 @@ def map_values(col, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
-def falsy_to_empty(col) -> Column:
-    """``str(x or "")`` for text inputs."""
-    return F.coalesce(_c(col).cast("string"), F.lit(""))
+def falsy_to_empty(col, dtype: T.DataType | None = None) -> Column:
+    """``str(x or "")``: null, no text, zero and false give no text; true gives ``True``."""
+    c = _c(col)
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, F.lit("True")).otherwise(F.lit(""))
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(c == 0, F.lit("")).otherwise(text) if isinstance(dtype, T.NumericType) else text

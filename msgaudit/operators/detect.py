@@ -7,8 +7,10 @@ sees the raw combined text, the classifier the ``model_clean`` text.
 Scorers are pluggable: a scorer takes a DataFrame holding ``clean_text`` and
 returns it with ``model_label`` (int) and ``model_confidence`` (double).  JVM
 scorers (Spark ML) are applied to every row inside one projection; a scorer
-that runs Python per batch is applied to the non-hit rows only (filter, score,
-union), since a Python UDF inside ``when`` would still see every row.
+that runs Python per batch, or is dear for another reason, sees the non-hit rows
+only: the rows with their flag are written once to the shared folder, split by
+the flag, and read back as two parts.  A Python UDF inside ``when`` would see
+every row, and two filters over one input would run the lexicon twice.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import CONFIDENCE_ON_HIT, keyword_hit
 from ..functions.text import model_clean
+from ..session import scratch_path
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -47,17 +50,34 @@ def label_table_scorer(labels: DataFrame, key: str, label_col: str = "toxic") ->
     return score
 
 
+def _split_once(base: DataFrame) -> DataFrame:
+    """The flagged rows, written by flag and read back: each filter on the flag reads its own folder."""
+    path = scratch_path(base.sparkSession, "labelling")
+    base.write.partitionBy("keyword_hit").parquet(path)
+    return base.sparkSession.read.schema(base.schema).parquet(path).select(*base.columns)
+
+
+def label_column_scorer(label_col: str) -> Scorer:
+    """The stand-in classifier where the class (or null) already is a column; the column is dropped."""
+    def score(df: DataFrame) -> DataFrame:
+        known = F.col(label_col).isNotNull()
+        return (df.withColumn("model_label", F.coalesce(F.col(label_col).cast("int"), F.lit(0)))
+                  .withColumn("model_confidence", F.when(known, F.lit(1.0)).otherwise(F.lit(0.5))).drop(label_col))
+
+    return score
+
+
 def hybrid_label(df: DataFrame, scorer: Scorer, text_col: str = "text", python_scorer: bool = False,
                  lexicon_variant: str = "reference") -> DataFrame:
     """M2: lexicon hit -> (1, 0.99), else classifier argmax / max probability."""
     base = df.withColumn("keyword_hit", keyword_hit(F.col(text_col), lexicon_variant))
     base = base.withColumn("clean_text", model_clean(F.col(text_col)))
     if python_scorer:
-        hits = (base.filter(F.col("keyword_hit"))
-                    .withColumn("model_label", F.lit(None).cast("int"))
-                    .withColumn("model_confidence", F.lit(None).cast("double")))
-        rest = scorer(base.filter(~F.col("keyword_hit")))
-        scored = hits.unionByName(rest)
+        saved = _split_once(base)
+        hits = (saved.filter(F.col("keyword_hit"))
+                     .withColumn("model_label", F.lit(None).cast("int"))
+                     .withColumn("model_confidence", F.lit(None).cast("double")))
+        scored = hits.unionByName(scorer(saved.filter(~F.col("keyword_hit"))))
     else:
         scored = scorer(base)
     return (scored.withColumn("predicted_label",

@@ -121,6 +121,34 @@ def number_rows_bucketed(df: DataFrame, group_cols: list[str], order: list, lead
     return out.drop("_b", "_rn", "_offset")
 
 
+#: Rows of a file that are numbered together in source order: 2 ** SPAN_BITS.
+SPAN_BITS = 16
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """A file scan with its source order: ``path`` and ``row_id`` (the row's place in its file)."""
+    return df.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_id"))
+
+
+def number_in_source_order(df: DataFrame, group_cols: list[str], files: list[str], row_col: str = "row_id",
+                           rank_col: str = "rank") -> DataFrame:
+    """K4: 1..n per group in the order of ``files`` (path, table, ...) and of the row's place in them.
+
+    A span is a run of at most 2 ** SPAN_BITS places of one file.  Rows are
+    numbered inside their (group, span), so no window holds more however large
+    a group is; the spans' offsets are sums over the earlier spans' counts, one
+    row to a group and span.
+    """
+    spans = df.withColumn("_span", F.shiftright(F.col(row_col).cast("long"), SPAN_BITS))
+    keys = [*group_cols, *files, "_span"]
+    counts = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    earlier = Window.partitionBy(*group_cols).orderBy(*files, "_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))).drop("_cnt")
+    local = spans.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(row_col)))
+    return (_join_spans(local, offsets, keys).withColumn(rank_col, (F.col("_rn") + F.col("_offset")).cast("long"))
+            .drop("_span", "_rn", "_offset"))
+
+
 def number_rows_ranged(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
                        num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """K4: 1..n per group in ``order`` without a single-task window.

@@ -9,17 +9,18 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import text as X
 from ..functions.lexicon import keyword_hit
 from ..operators import rank as K
 from ..operators import stats as A
 from ..functions import timestamps as T
-from ..functions.coerce import fill_defaults, to_numeric, truncate_int
+from ..functions.coerce import falsy_to_empty, fill_defaults, to_numeric, truncate_int
 from ..operators import columns as C
 from ..operators import dataset as M
-from ..operators.detect import detection_counts
-from ..session import spread
+from ..operators.detect import detection_counts, hybrid_label, label_table_scorer
+from ..session import spread, table_path
 from .tables import (event_log, labelled_sources, noisy_conversations, platforms, read,
                      scored_messages)
 
@@ -65,6 +66,19 @@ def q_summary_table(spark, sf):
                                            "hate_pct_cell", "safe_pct_cell")
 
 
+#: A report's fixed platforms for ``summary_fixed``; the last has no messages.
+FIXED_PLATFORMS = ["src0", "src1", "src2", "Messenger"]
+
+
+@query("summary_fixed")
+def q_summary_fixed(spark, sf):
+    """R2 over a fixed list of platforms: one without messages is a row of zeros, others are left out."""
+    from .report import report_platforms, summary_table
+
+    return summary_table(scored_messages(spark, sf), report_platforms(spark, FIXED_PLATFORMS)).select(
+        "platform", "total", "hate_cell", "safe_cell", "hate_pct_cell", "safe_pct_cell")
+
+
 @query("chart_series")
 def q_chart_series(spark, sf):
     return A.chart_series(A.overall_rollup(scored_messages(spark, sf), "platform"), "platform")
@@ -101,14 +115,17 @@ def q_longest_texts(spark, sf):
 
 @query("all_texts")
 def q_all_texts(spark, sf):
-    s = scored_messages(spark, sf).select("doc_id", "platform", "predicted_label", "text")
-    numbered = X.with_report_clean_twice(K.number_rows(s, ["platform"], [F.asc("doc_id")], "rank",
-                                                       bucket_key="doc_id"),
-                                         "text", "listing_text")
-    return numbered.select(
-        "platform", "rank", "doc_id",
-        F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"),
-        "listing_text")
+    """Every message of the file scan, numbered in source order; labels join once."""
+    from .evidence import EPOCH_MS_BASE, MS_PER_DOC
+    from .report import all_texts_listing
+
+    placed = K.with_position(spark.read.parquet(table_path(sf, "documents")))
+    docs = spread(placed.select(
+        "doc_id", F.col("source").alias("platform"), "text", "path", "row_id",
+        (F.lit(EPOCH_MS_BASE) + F.col("doc_id") * MS_PER_DOC).cast("string").alias("created_at"),
+        F.concat("source", F.lit("_data/a-b.db")).alias("source_database"), F.lit("messages_1").alias("source_table")))
+    scored = hybrid_label(docs, label_table_scorer(read(spark, sf, "labels"), "doc_id"))
+    return all_texts_listing(scored, keep=["doc_id"])
 
 
 @query("flagged_listing")
@@ -422,7 +439,16 @@ def q_label_merge(spark, sf):
 
 @query("class_balance")
 def q_class_balance(spark, sf):
-    return A.class_balance(_merged(spark, sf), "label")
+    """Counts by label with their place in the order, most frequent first."""
+    counts = A.class_balance(_merged(spark, sf), "label")
+    w = Window.orderBy(F.desc("count"), F.asc("label"))  # over one row per label
+    return counts.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+@query("split_exact")
+def q_split_exact(spark, sf):
+    """M4 with exactly ceil(0.2 n) validation rows."""
+    return M.assign_exact_fold(_merged(spark, sf).select("doc_id", "text", "label"), "text", "doc_id").select("doc_id", "label", "fold")
 
 
 @query("split")
@@ -565,6 +591,61 @@ def q_csv_roundtrip(spark, sf):
     return load_predictions(spark, path)
 
 
+@query("platform_sink")
+def q_platform_sink(spark, sf):
+    """Predictions written by platform twice (the second run replaces what the first wrote), then read for two platforms."""
+    from ..session import scratch_path
+    from ..sources.sink import read_by_platform, write_by_platform
+
+    pred = scored_messages(spark, sf).select("doc_id", "platform", "predicted_label", "confidence")
+    path = scratch_path(spark, "predictions")
+    write_by_platform(pred.withColumn("confidence", F.lit(-1.0)), path)
+    write_by_platform(pred, path)
+    return read_by_platform(spark, path, pred.schema, FIXED_PLATFORMS[2:])
+
+
+@query("missing_source")
+def q_missing_source(spark, sf):
+    """S3: a source that does not exist counts no rows beside one that does."""
+    from ..sources.csv import read_csv
+    from .report import PREDICTION_SCHEMA
+
+    absent = read_csv(spark, f"{sf}/no-such-predictions.csv", PREDICTION_SCHEMA)
+    rows = absent.select(F.lit("absent").alias("source")).unionByName(read(spark, sf, "documents").select(F.lit("documents").alias("source")))
+    names = spark.createDataFrame([("absent",), ("documents",)], "source string")
+    return names.join(rows.groupBy("source").count(), "source", "left").select(
+        "source", F.coalesce("count", F.lit(0)).alias("total"))
+
+
+@query("falsy_to_empty")
+def q_falsy_to_empty(spark, sf):
+    """D7 over text, numbers and truth values."""
+    c = read(spark, sf, "conversations")
+    blank = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.col("role"))
+    return c.select("conv_id", "turn", falsy_to_empty(blank).alias("role_cell"), falsy_to_empty("turn", c.schema["turn"].dataType).alias("turn_cell"),
+                    falsy_to_empty(F.col("turn") > 1, BooleanType()).alias("later_cell"))
+
+
+@query("report_dates")
+def q_report_dates(spark, sf):
+    """``DD/MM/YYYY`` or ``-`` of a date, and of text the date or else the text itself."""
+    o = read(spark, sf, "orders")
+    k = F.pmod(F.col("o_orderkey"), F.lit(3))
+    day = F.when(k != 0, F.col("o_orderdate").cast("date"))
+    text = F.when(k == 0, F.lit("soon")).when(k == 1, F.date_format("o_orderdate", "dd MMM yyyy")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return o.select("o_orderkey", T.format_report_date(day).alias("date_cell"), T.nice_datetime(text).alias("text_cell"))
+
+
+@query("hash_appendix")
+def q_hash_appendix(spark, sf):
+    """R7 over the inventory of the table files themselves: every file's name and SHA-256."""
+    from ..sources.files import hash_inventory, scan_files
+    from .report import hash_appendix
+
+    return hash_appendix(hash_inventory(scan_files(spark, sf, "*.parquet")).select("database_file", "sha256_hash"))
+
+
 # --- training and scoring -------------------------------------------------------------------
 
 @query("train_score")

@@ -196,11 +196,10 @@ def _():
     return ROLLUP + finish_stats("c")
 
 
-@oracle("summary_table")
-def _():
+def _summary(dimension: str) -> str:
     t = tenths("hate", "total")
     st = f"(CASE WHEN total > 0 THEN 1000 - {t} ELSE 0 END)"
-    return (f"WITH {SCORED}, dim AS (SELECT DISTINCT source AS platform FROM documents), "
+    return (f"WITH {SCORED}, dim AS ({dimension}), "
             f"c AS (SELECT platform, count(*) AS total, count(*) FILTER (WHERE predicted_label = 1) AS hate "
             f"FROM pred GROUP BY platform), "
             f"j AS (SELECT dim.platform, coalesce(c.total, 0) AS total, coalesce(c.hate, 0) AS hate "
@@ -211,6 +210,16 @@ def _():
             f"{tenths_str(t)} || '%' AS hate_pct_cell, {tenths_str(st)} || '%' AS safe_pct_cell FROM j")
 
 
+@oracle("summary_table")
+def _():
+    return _summary("SELECT DISTINCT source AS platform FROM documents")
+
+
+@oracle("summary_fixed")
+def _():
+    return _summary("SELECT * FROM (VALUES ('src0'), ('src1'), ('src2'), ('Messenger')) v(platform)")
+
+
 @oracle("chart_series")
 def _():
     return (ROLLUP + ", s AS (" + finish_stats("c") + ") "
@@ -247,9 +256,15 @@ def _():
 
 @oracle("all_texts")
 def _():
-    return (f"WITH {SCORED} SELECT platform, row_number() OVER (PARTITION BY platform ORDER BY doc_id) AS rank, "
+    # DuckDB reads a file's rows in their order, so a running number is the place in the file
+    soft = lambda e: rr(e, r"([\\/_-])", "\\1\u200b")
+    day = "DATE '1970-01-01' + CAST(floor((1700000000000 + doc_id * 60000) / 86400000.0) AS INTEGER)"
+    return (f"WITH pos AS (SELECT doc_id AS pos_id, row_number() OVER () AS pos FROM documents), {SCORED} "
+            f"SELECT platform, row_number() OVER (PARTITION BY platform ORDER BY pos) AS rank, "
             f"doc_id, CASE WHEN predicted_label = 1 THEN 'Hate' ELSE 'Safe' END AS verdict, "
-            f"{report_clean(report_clean('text'))} AS listing_text FROM pred")
+            f"{report_clean(report_clean('text'))} AS listing_text, strftime({day}, '%d/%m/%Y') AS date, "
+            f"{soft('(platform || ' + lit('_data/a-b.db') + ')')} AS source_database, {soft(lit('messages_1'))} AS source_table "
+            f"FROM pred JOIN pos ON doc_id = pos_id")
 
 
 # --- scalar text operators ------------------------------------------------------------
@@ -566,7 +581,15 @@ def _():
 
 @oracle("class_balance")
 def _():
-    return f"WITH {MERGED} SELECT label, count(*) AS count FROM clean GROUP BY label"
+    return (f"WITH {MERGED} SELECT label, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, label) AS place "
+            f"FROM clean GROUP BY label")
+
+
+@oracle("split_exact")
+def _():
+    return (f"WITH {MERGED}, h AS (SELECT doc_id, label, substr(md5('42:' || text), 1, 15) AS h FROM clean), "
+            f"r AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS rn, count(*) OVER () AS n FROM h) "
+            f"SELECT doc_id, label, CASE WHEN rn <= (n * 20 + 99) // 100 THEN 'validation' ELSE 'train' END AS fold FROM r")
 
 
 @oracle("split")
@@ -710,3 +733,26 @@ def _():
 def _():
     return ("SELECT 'device' AS column_name, lang AS value FROM documents WHERE trim(lang) <> '' "
             "GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1")
+
+
+@oracle("platform_sink")
+def _():
+    return f"WITH {SCORED} SELECT doc_id, platform, predicted_label, confidence FROM pred WHERE platform IN ('src2', 'Messenger')"
+
+
+@oracle("missing_source")
+def _():
+    return "SELECT 'documents' AS source, count(*) AS total FROM documents UNION ALL SELECT 'absent', 0"
+
+
+@oracle("falsy_to_empty")
+def _():
+    return ("SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN coalesce(role, '') ELSE '' END AS role_cell, "
+            "CASE WHEN turn IS NULL OR turn = 0 THEN '' ELSE CAST(turn AS VARCHAR) END AS turn_cell, "
+            "CASE WHEN turn > 1 THEN 'True' ELSE '' END AS later_cell FROM conversations")
+
+
+@oracle("report_dates")
+def _():
+    return ("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date_cell, "
+            "CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS text_cell FROM orders")

@@ -58,15 +58,18 @@ def source_order(pred: DataFrame) -> list[str]:
     return [c for c in ("path", "table_pos", "row_id") if c in pred.columns]
 
 
-def all_texts_listing(pred: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Every message, numbered per platform in source order (table by table)."""
-    order = order or source_order(pred)
-    dated = with_message_date(pred, "date")
-    numbered = K.number_rows(dated, ["platform"], [F.asc(c) for c in order], "rank", bucket_key=order[0])
+def all_texts_listing(pred: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every message, numbered per platform in source order (file by file, table by table).
+
+    ``pred`` holds ``path``, ``row_id`` and, where a file has several tables,
+    ``table_pos``; ``keep`` names further columns to pass through.
+    """
+    files = [c for c in ("path", "table_pos") if c in pred.columns]
+    numbered = K.number_in_source_order(with_message_date(pred, "date"), ["platform"], files)
+    numbered = X.with_report_clean_twice(numbered, "text", "listing_text")
     return numbered.select(
-        "platform", "rank",
-        F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"),
-        X.report_clean(F.col("text")).alias("text"), "date",
+        "platform", "rank", *(keep or []),
+        F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"), "listing_text", "date",
         X.soft_wrap("source_database").alias("source_database"), X.soft_wrap("source_table").alias("source_table"))
 
 
@@ -99,9 +102,9 @@ def console_summary(pred: DataFrame) -> DataFrame:
     return A.hate_counts(pred, ["platform"]).withColumn("safe", F.col("total") - F.col("hate"))
 
 
-def report_platforms(spark: SparkSession) -> DataFrame:
-    """The fixed three-platform dimension of the summary table (R2)."""
-    return spark.createDataFrame([(p,) for p in REPORT_PLATFORMS], "platform string")
+def report_platforms(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """The fixed dimension of the summary table (R2): its platforms, whether they have messages or not."""
+    return spark.createDataFrame([(p,) for p in names or REPORT_PLATFORMS], "platform string")
 
 
 def infer_handles(messages: DataFrame, group_cols: list[str] | None = None,
