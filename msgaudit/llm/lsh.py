@@ -1,7 +1,7 @@
 """Links between items whose sketches collide, without all pairs of a bucket.
 
-An item has one key per band; items with the same key of a band share a bucket.
-What is linked forms components.  Any two items that share a bucket and are
+An item has keys (one to a band, into which its number is mixed); items with a
+key in common share a bucket.  What is linked forms components.  Any two items that share a bucket and are
 like each other end up in one component, whatever the size of the bucket:
 
 * In a bucket of at most ``small`` + 1 items every pair is verified.
@@ -12,8 +12,10 @@ like each other end up in one component, whatever the size of the bucket:
   items that are like share ``least`` of the larger multiset.  So, with all
   tokens in one order, they share one among their first n - least * n + 1; the
   order is by frequency, so that what many texts have in common comes last.
-  Pairs with such a token, a bucket in common and different components are
-  verified.
+  All that two items share stands behind the first token that they share, so a
+  pair whose places of the token leave too little behind them is none.  Tokens
+  that only one component holds are left out before they are joined.  Pairs with
+  such a token, a bucket in common and different components are verified.
 
 So a bucket of near copies of one text costs a pair an item, a bucket of items
 around one frequent passage costs the pairs with a rare token in common, and
@@ -38,9 +40,8 @@ CELLS = 1 << 18
 
 
 def buckets(items: DataFrame) -> DataFrame:
-    """(id, keys) -> (key, id, band) of the buckets that two items or more share."""
-    rows = items.select("id", F.posexplode("keys").alias("band", "k")).select(
-        F.xxhash64("band", "k").alias("key"), "id", "band")
+    """(id, keys) -> (key, id) of the buckets that two items or more share."""
+    rows = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     return rows.join(shared, "key")
 
@@ -89,6 +90,7 @@ def _rarest(counts, least: float):
                 tokens = tokens[np.lexsort((tokens, counts.value[_cell(tokens)]))[:first]].view(np.int64)
                 row = batch.slice(i, 1).select(["id", "root", "out"]).to_pydict()
                 yield pa.RecordBatch.from_pydict({
+                    "place": pa.array(np.arange(len(tokens))),
                     "id": pa.array(row["id"] * len(tokens), pa.int64()), "root": pa.array(row["root"] * len(tokens), pa.int64()),
                     "out": pa.array(row["out"] * len(tokens), pa.bool_()),
                     "size": pa.array(np.full(len(tokens), len(data) // 4, np.int64)), "token": pa.array(tokens)})
@@ -97,22 +99,26 @@ def _rarest(counts, least: float):
 
 def rare_pairs(items: DataFrame, left: DataFrame, payload: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(a, b) of all items of ``left`` (id, root, out) that may be like each other: of different
-    components, at least one of them ``out``, with a band's key and one of the rarest tokens in common."""
+    components, at least one of them ``out``, with a key and one of the rarest tokens in common."""
     people = scratch.keep(left.join(payload, "id").join(items, "id"), "people")
     cells = people.select("data").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     shared = people.sparkSession.sparkContext.broadcast(counts)
     rare = scratch.keep(people.select("id", "root", "out", "data").mapInArrow(
-        _rarest(shared, least), "id long, root long, out boolean, size long, token long"), "rare")
-    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "out", "size")])
+        _rarest(shared, least), "place long, id long, root long, out boolean, size long, token long"), "rare")
+    apart = (rare.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("out").alias("any"))
+                 .filter("low <> high AND any").select("token"))
+    rare = scratch.keep(rare.join(apart, "token"), "met")
+    # what stands at the token and behind it, in either item, bounds what they can share
+    behind = lambda c: F.col(f"size_{c}") - F.col(f"place_{c}")
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size")])
     met = side(rare.filter("out"), "a").join(side(rare, "b"), "token").filter(
         (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b")))
-        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6))
+        & (F.least("size_a", "size_b", behind("a"), behind("b")) >= F.greatest("size_a", "size_b") * least - 1e-6))
     met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     keys = lambda c: people.select(F.col("id").alias(c), F.col("keys").alias(f"keys_{c}"))
-    return (met.join(keys("a"), "a").join(keys("b"), "b")
-               .filter(F.exists(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same)).select("a", "b"))
+    return met.join(keys("a"), "a").join(keys("b"), "b").filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
 
 
 def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float],
@@ -143,7 +149,7 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     scratch.drop("sized")
     if left.limit(1).count():
         more = verified(rare_pairs(items, left, payload, least, scratch), "rest")
-        scratch.drop("people", "rare")
+        scratch.drop("people", "rare", "met")
         if more.limit(1).count():
             found = found.union(more)  # of different components, so no link is there twice
             edges = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))

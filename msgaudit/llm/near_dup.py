@@ -1,13 +1,23 @@
 """Near-dedup by Order MinHash, verified by banded alignment.
 
-Words are runs of anything but ASCII blanks, A-Z lower-cased.  Every k-mer of
-``SKETCH_K`` = 2 words is labelled with its occurrence (first, second, ... of
-equal k-mers); each of ``BANDS`` hash functions samples the 2 smallest labelled
-k-mers, which, in the order in which they stand in the text, are the key of one
-band.  The bands are tuned to the alignment's threshold (see :func:`tune`):
-texts at likeness 0.8 agree in some band with a chance of 0.999, however the
-edits lie; texts of fewer than ``SURE_WORDS`` = 20 words with 0.99 or more.
-Texts of the same words in another order agree in fewer.
+Words are runs of anything but ASCII blanks, A-Z lower-cased.  Every k-mer of a
+text's words is labelled with its occurrence (first, second, ... of equal
+k-mers); each band's hash function samples the 2 smallest labelled k-mers,
+which, in the order in which they stand in the text, are the key of the band.
+
+* Texts of ``LONG_WORDS`` = 64 words or more have k-mers of three words and
+  ``LONG_BANDS`` bands, so a frequent pair of words alone makes no collision.
+  Pairs at likeness 0.8 share a key with a chance of 0.95 in the worst case
+  (every edit spoils three k-mers), 0.99 with edits at random.
+* Shorter ones have k-mers of two words and as many bands as give 0.999 in the
+  worst case from ``SURE_WORDS`` = 20 words on (see :func:`tune`).  Texts from
+  0.8 * 64 words on have both kinds of keys, so lengths on both sides of the
+  border meet.
+* Texts of at most ``FEW_WORDS`` = 14 words have a key for every way to leave
+  out as many words as the alignment may change (two at most).  Any two of them
+  that are like share what is left, so none is missed.
+
+Texts of the same words in another order agree in fewer bands.
 
 Texts that collide are verified by alignment: the edit distance of the two word
 sequences in a band around the diagonal, widened step by step up to the largest
@@ -16,7 +26,7 @@ text.  Linked texts form classes (components); texts of equal word sequences
 are one item from the start, so copies cost one row each.
 
 Null and empty texts have no words and form one class.  Texts of fewer than
-K + 1 words are only like their own copies, as one k-mer decides them.  Null
+five words are like longer ones of five and their own copies.  Null
 ids are larger than all others; the row with the smallest id of a class stays.
 Repeated rows are copies.  An empty table gives an empty result.
 """
@@ -25,6 +35,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,33 +47,35 @@ from . import lsh
 from .common import Scratch, bound_batches, deal_out, hash_bitmap, in_bitmap, row_keys
 from .exact_dedup import normalise
 
-K = 5
-#: Words of a k-mer of the sketches: an edit spoils at most so many k-mers.
-SKETCH_K = 2
+#: Words of a k-mer of the sketches, of shorter texts and of longer ones: an edit spoils at most so many k-mers.
+SHORT_K, LONG_K = 2, 3
+#: Texts of so many words have the longer k-mers; texts of at most so many are compared with words left out.
+LONG_WORDS, FEW_WORDS = 64, 14
 LEAST = 0.8
-#: Chance with which two texts at LEAST, the longer of SURE_WORDS words or more, share a band's key.
-RECALL, SURE_WORDS = 0.999, 20
+#: Chances with which two texts at LEAST share a key: from SURE_WORDS and from LONG_WORDS words on.
+RECALL, SURE_WORDS, LONG_RECALL = 0.999, 20, 0.95
 SEED = 7
 
 
-def agreement(n: int, least: float = LEAST) -> float:
+def agreement(n: int, k: int, least: float = LEAST) -> float:
     """The least chance that texts at ``least``, the longer of n words, agree in one band.
 
-    Every edit is a changed word and spoils SKETCH_K k-mers of either text,
-    the worst case; both picked k-mers must be among those in common.
+    Every edit is a changed word and spoils k k-mers of either text, the worst
+    case; both picked k-mers must be among those in common.
     """
-    size = n - SKETCH_K + 1
-    common = max(size - SKETCH_K * int((1 - least) * n + 1e-9), 0)
+    size = n - k + 1
+    common = max(size - k * int((1 - least) * n + 1e-9), 0)
     union = 2 * size - common
     return common * (common - 1) / (union * (union - 1))
 
 
-def tune(n: int = SURE_WORDS, recall: float = RECALL) -> int:
-    """Bands with which texts of n words at LEAST share a key with the chance ``recall``."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - agreement(n))))
+def tune(sizes, k: int, recall: float) -> int:
+    """Bands with which texts of any of these sizes at LEAST share a key with the chance ``recall``."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - min(agreement(n, k) for n in sizes))))
 
 
-BANDS = tune()
+SHORT_BANDS = tune([SURE_WORDS], SHORT_K, RECALL)
+LONG_BANDS = tune(range(LONG_WORDS, 4000), LONG_K, LONG_RECALL)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +131,7 @@ def labelled_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     return _mix(code + label * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(owner, np.arange(len(starts)))
 
 
-def order_minhash(kmers: np.ndarray, starts: np.ndarray, bands: int = BANDS, seed: int = SEED) -> np.ndarray:
+def order_minhash(kmers: np.ndarray, starts: np.ndarray, bands: int, seed: int = SEED) -> np.ndarray:
     """One key per text and band; texts with fewer than two k-mers must be left out."""
     seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(1000003) + np.uint64(seed))
     low = np.arange(len(kmers), dtype=np.uint64)  # a batch holds far fewer than 2**32 k-mers
@@ -130,7 +143,7 @@ def order_minhash(kmers: np.ndarray, starts: np.ndarray, bands: int = BANDS, see
         ranked[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
         second = (np.minimum.reduceat(ranked, starts) & ~high).astype(np.int64)
         left, right = np.minimum(first, second), np.maximum(first, second)  # their order in the text
-        keys[:, b] = _mix(kmers[left] * np.uint64(3) + _mix(kmers[right]))
+        keys[:, b] = _mix(kmers[left] * np.uint64(3) + _mix(kmers[right]) + s)  # the band is part of its key
     return keys.view(np.int64)
 
 
@@ -215,19 +228,41 @@ def _texts(batch, hasher):
     return texts, digests
 
 
+def edits(n: int, least: float = LEAST) -> int:
+    """Edits that a likeness of ``least`` allows where the longer text has n words."""
+    return int((1 - least) * n + 1e-9)
+
+
+def left_out_keys(words: np.ndarray) -> list[int]:
+    """Keys of a short text: all that remains when up to ``edits`` words are left out."""
+    n, out = len(words), set()
+    for gone in range(edits(n) + 1):
+        for at in combinations(range(n), gone):
+            out.add(xxhash.xxh3_64_intdigest(np.delete(words, at).tobytes(), SEED) - (1 << 63))
+    return sorted(out)
+
+
+def sketch_keys(words: list[np.ndarray]) -> list[list[int]]:
+    """The keys of each of the word sequences."""
+    keys: list[list[int]] = [left_out_keys(w) if 0 < len(w) <= FEW_WORDS else [] for w in words]
+    shared = LEAST * FEW_WORDS  # shorter ones are like none of more than FEW_WORDS words
+    for k, bands, low, high in ((SHORT_K, SHORT_BANDS, shared, LONG_WORDS), (LONG_K, LONG_BANDS, LEAST * LONG_WORDS, np.inf)):
+        which = [i for i, w in enumerate(words) if low <= len(w) < high]
+        if which:
+            starts = np.cumsum([0] + [len(words[i]) for i in which])[:-1]
+            found = order_minhash(*labelled_kmers(np.concatenate([words[i] for i in which]), starts, k), bands, SEED + k)
+            for i, row in zip(which, found.tolist()):
+                keys[i] = keys[i] + row
+    return keys
+
+
 def _sketch(batches):
     hasher = WordHasher()
     for batch in batches:
         texts, digests = _texts(batch, hasher)
-        keys: list = [[]] * len(texts)
-        long = [i for i, t in enumerate(texts) if len(t) > K]
-        if long:
-            words = [hasher(texts[i]) for i in long]
-            starts = np.cumsum([0] + [len(w) for w in words])[:-1]
-            for i, row in zip(long, order_minhash(*labelled_kmers(np.concatenate(words), starts, SKETCH_K)).tolist()):
-                keys[i] = row
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "_k1": batch.column("_k1"), "_k2": batch.column("_k2"),
-                                          "digest": pa.array(digests), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                                          "digest": pa.array(digests),
+                                          "keys": pa.array(sketch_keys([hasher(t) for t in texts]), pa.list_(pa.int64()))})
 
 
 def _payload(wanted):

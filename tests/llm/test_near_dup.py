@@ -35,16 +35,21 @@ def test_order_minhash_keeps_the_order():
     text = rnd.integers(0, 2 ** 32, 300).astype(np.uint32)
     swapped = np.r_[text[150:], text[:150]]
     both, starts = np.concatenate([text, swapped]), np.array([0, 300])
-    keys = near_dup.order_minhash(*near_dup.labelled_kmers(both, starts, 5))
+    keys = near_dup.order_minhash(*near_dup.labelled_kmers(both, starts, 5), 40)
     assert 0.2 < (keys[0] == keys[1]).mean() < 0.8  # the same k-mers, but half of the pairs change sides
 
 
+def chance(n, k, bands):
+    return 1 - (1 - near_dup.agreement(n, k)) ** bands
+
+
 def test_bands_reach_the_recall():
     """Texts with 10, 15 and 20 % of their words changed collide, all likenesses that are verified."""
     rnd = np.random.default_rng(3)
-    assert all(1 - (1 - near_dup.agreement(n)) ** near_dup.BANDS >= 0.999 for n in range(near_dup.SURE_WORDS, 2000))
-    assert all(1 - (1 - near_dup.agreement(n)) ** near_dup.BANDS >= 0.99 for n in range(near_dup.K + 1, 2000))
-    for n, pairs in ((60, 1000), (300, 300)):
+    assert all(chance(n, 2, near_dup.SHORT_BANDS) >= 0.999 for n in range(near_dup.SURE_WORDS, near_dup.LONG_WORDS))
+    assert all(chance(n, 2, near_dup.SHORT_BANDS) >= 0.99 for n in range(near_dup.FEW_WORDS + 1, near_dup.LONG_WORDS))
+    assert all(chance(n, 3, near_dup.LONG_BANDS) >= 0.95 for n in range(near_dup.LONG_WORDS, 4000))
+    for n, pairs in ((18, 1000), (60, 1000), (70, 1000), (300, 300)):
         for share in (0.10, 0.15, 0.20):
             texts = []
             for k in range(pairs):
@@ -53,17 +58,54 @@ def test_bands_reach_the_recall():
                 other[rnd.choice(n, int(n * share), replace=False)] += np.uint32(2 ** 31)
                 assert near_dup.likeness(text.tobytes(), other.tobytes()) >= 0.8
                 texts.append((text, other))
-            met = sum(bool(set(a) & set(b)) for a, b in zip(*(
-                [dict(enumerate(r)).items() for r in _sketches([t[side] for t in texts])] for side in (0, 1))))
-            assert met >= 0.995 * pairs, (n, share, met)
+            met = sum(bool(set(a) & set(b)) for a, b in zip(*(near_dup.sketch_keys([t[side] for t in texts]) for side in (0, 1))))
+            assert met >= 0.985 * pairs, (n, share, met)
+
+
+def test_lengths_on_both_sides_of_a_border_share_keys():
+    """Words inserted, so that the two texts lie on different sides of FEW_WORDS and LONG_WORDS."""
+    rnd = np.random.default_rng(4)
+    for n, more in ((13, 3), (14, 2), (58, 12), (62, 4), (52, 13)):
+        met = 0
+        for _ in range(400):
+            long = rnd.integers(0, 2 ** 32, n + more).astype(np.uint32)
+            short = np.delete(long, rnd.choice(n + more, more, replace=False))
+            assert near_dup.likeness(short.tobytes(), long.tobytes()) >= 0.8
+            a, b = near_dup.sketch_keys([short, long])
+            met += bool(set(a) & set(b))
+        assert met >= 0.97 * 400, (n, more, met)
 
 
-def _sketches(texts):
-    """The bands' keys, as the operator makes them of texts of these words."""
-    import pyarrow as pa
-    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "_k1": [0] * len(texts), "_k2": [0] * len(texts),
-                                        "text": [" ".join(map(str, t)) for t in texts]})
-    return next(near_dup._sketch([batch])).column("keys").to_pylist()
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14))
+def test_few_words_always_share_a_key(a, b):
+    a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    if len(a) and len(b) and brute(a.tolist(), b.tolist()) <= most:
+        x, y = near_dup.sketch_keys([a, b])
+        assert set(x) & set(y)
+
+
+def test_short_texts_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(0, "one two three four five"), (1, "one two nine four five"), (2, "one two three four"), (3, "one two three"), (4, "one")]
+    for k in range(60):
+        w = words(rnd, rnd.randrange(1, 15), 9).split()
+        for c in range(3):
+            v = list(w)
+            for _ in range(rnd.randrange(3)):
+                at = rnd.randrange(len(v) + 1)
+                v[at:at + rnd.randrange(2)] = rnd.choice([[], [f"n{rnd.randrange(4)}"]])
+            rows.append((10 + 3 * k + c, " ".join(v)))
+    seqs = {i: t.split() for i, t in rows}
+    root = {i: i for i in seqs}
+    for a in seqs:
+        for b in seqs:
+            if a < b and root[a] != root[b] and brute(seqs[a], seqs[b]) <= int(0.2 * max(len(seqs[a]), len(seqs[b])) + 1e-9):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    out = {r["id"]: r["class_id"] for r in near_dup.near_dedup(small(spark, rows)).collect()}
+    assert out == root and root[0] == root[1] == root[2] == 0 and root[3] != 0
 
 
 def test_classes_against_brute_force(spark):
@@ -89,8 +131,7 @@ def test_classes_against_brute_force(spark):
         for b in ids[n + 1:]:
             x, y = packed[a], packed[b]
             long = max(len(x), len(y))
-            if np.array_equal(x, y) or (min(len(x), len(y)) > near_dup.K and near_dup.likeness(x.tobytes(), y.tobytes()) >= 0.8
-                                        and long):
+            if np.array_equal(x, y) or (long and near_dup.likeness(x.tobytes(), y.tobytes()) >= 0.8):
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
     out = {r["id"]: r for r in near_dup.near_dedup(small(spark, docs)).collect()}
