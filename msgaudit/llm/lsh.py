@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
-SMALL = 16
+SMALL = 4
 #: Tokens are ordered by counts in so many cells (a power of two); any order gives the same links.
 CELLS = 1 << 18
 

@@ -21,9 +21,10 @@ paragraphs found in at least two documents is a repeat: its first occurrence
 Scans are read twice: first only hashes are counted, and a bitmap of fixed size
 of those that occur in two places lets the second scan send nothing but the
 paragraphs that may repeat.  Words are runs of anything but ASCII blanks, A-Z
-lower-cased.  Null and empty texts have no paragraphs; a null id is one id,
-smaller than all others.  Rows with the same id are one document.  An empty
-table gives an empty result.
+lower-cased.  Null and empty texts have no paragraphs.  A document is a row's id
+and text together, so rows that share an id, or have none, are documents of
+their own (null ids come first); rows equal in both are one.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lsh
-from .common import Scratch, bound_batches, hash_bitmap, in_bitmap
+from .common import Scratch, bound_batches, hash_bitmap, in_bitmap, row_keys
 from .exact_dedup import normalise
 from .near_dup import WordHasher, _mix, kmers
 
@@ -46,7 +47,6 @@ LEAST = 0.8
 RECALL = 0.999
 LINE_WORDS, SPAN_WORDS, WINDOW = 25, 30, 17
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-NULL_ID = -(1 << 63)
 
 
 def tune(least: float = LEAST, recall: float = RECALL, most: int = 12) -> tuple[int, int]:
@@ -128,22 +128,18 @@ class Cutter:
         return np.unique(self.shingles[self.cuts[line]:end].astype(np.uint32)).tobytes()
 
 
-def _ids(batch) -> np.ndarray:
-    return batch.column("id").fill_null(NULL_ID).to_numpy()
-
-
 def _hashes(batches):
     """First scan: digests of spans and lines with their document, band keys with their line."""
     cut = Cutter()
     for batch in batches:
         cut(batch.column("text").to_pylist())
-        ids = _ids(batch)
+        ids = batch.column("row").to_numpy()
         keys = np.concatenate([cut.span_digest, cut.digests, cut.keys.ravel()])
         vals = np.concatenate([ids[cut.span_doc], ids[cut.line_doc], np.repeat(cut.digests, cut.bands)])
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "val": pa.array(vals)})
 
 
-_FOUND = "kind string, key long, id long, start long, end long, keys array<long>, data binary"
+_FOUND = "kind string, key long, row long, id long, start long, end long, keys array<long>, data binary"
 
 
 def _found(repeated):
@@ -151,7 +147,7 @@ def _found(repeated):
     def run(batches):
         cut, sent = Cutter(), set()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), _ids(batch)
+            texts, ids, row_of = (batch.column(c).to_pylist() for c in ("text", "id", "row"))
             cut(texts)
             spans = np.flatnonzero(in_bitmap(repeated.value, cut.span_digest))
             like = in_bitmap(repeated.value, cut.keys.ravel()).reshape(cut.keys.shape).any(axis=1)
@@ -163,7 +159,7 @@ def _found(repeated):
                 if doc not in places:
                     places[doc] = [m.span() for m in _WORD.finditer(texts[doc])]
                 at -= int(cut.doc_starts[doc])
-                rows.append((kind, key, int(ids[doc]), places[doc][at][0], places[doc][at + n - 1][1], None, None))
+                rows.append((kind, key, row_of[doc], ids[doc], places[doc][at][0], places[doc][at + n - 1][1], None, None))
 
             for i in spans:
                 add("span", int(cut.span_digest[i]), int(cut.span_doc[i]), int(cut.span_at[i]), SPAN_WORDS)
@@ -172,11 +168,11 @@ def _found(repeated):
                 add("line", digest, int(cut.line_doc[i]), int(cut.line_at[i]), int(cut.line_n[i]))
                 if like[i] and digest not in sent:  # a line that only recurs as it is has none to be compared with
                     sent.add(digest)
-                    rows.append(("item", digest, None, None, None, cut.keys[i].tolist(), cut.shingle_set(i)))
-            cols = list(zip(*rows)) if rows else [[]] * 7
+                    rows.append(("item", digest, None, None, None, None, cut.keys[i].tolist(), cut.shingle_set(i)))
+            cols = list(zip(*rows)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()))],
-                names=["kind", "key", "id", "start", "end", "keys", "data"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()))],
+                names=["kind", "key", "row", "id", "start", "end", "keys", "data"])
     return run
 
 
@@ -188,16 +184,18 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated paragraph: id, kind, class, start, end, first_id, removed.
+    """One row per repeated paragraph: id, row, kind, class, start, end, first_id, removed.
 
     ``start`` and ``end`` count code points, ``first_id`` is the document whose
-    occurrence stays.
+    occurrence stays, ``row`` stands for the row (its id and text).
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "substring")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    seen = (rows.mapInArrow(_hashes, "key long, val long").groupBy("key")
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(doc_id.alias("id"), text.alias("text"), row_keys(doc_id, text)[0].alias("row"))
+    # dealt by key before they are counted: hardly a key recurs within a task
+    seen = (rows.select("row", "text").mapInArrow(_hashes, "key long, val long").repartition("key").groupBy("key")
                 .agg(F.min("val").alias("low"), F.max("val").alias("high")).filter("low <> high"))
     repeated = spark.sparkContext.broadcast(hash_bitmap(seen, "key"))
     found = scratch.keep(rows.mapInArrow(_found(repeated), _FOUND), "found")
@@ -207,26 +205,35 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = items.select("id", "keys")
     members = scratch.keep(lsh.buckets(keyed), "members")
     _, roots = lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch)
+    scratch.drop("members", "items")
+    places = ["row", "id", "start", "end"]
     lines = (found.filter("kind = 'line'").join(roots.withColumnRenamed("id", "key"), "key", "left")
-                  .select("kind", F.coalesce("root", "key").alias("class"), "id", "start", "end"))
-    spans = found.filter("kind = 'span'").select("kind", F.col("key").alias("class"), "id", "start", "end")
+                  .select("kind", F.coalesce("root", "key").alias("class"), *places))
+    spans = found.filter("kind = 'span'").select("kind", F.col("key").alias("class"), *places)
     every = scratch.keep(lines.unionByName(spans), "every")
-    classes = (every.groupBy("kind", "class")
-                    .agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
-                    .filter(F.col("first.id") != F.col("last")).drop("last"))
-    null_id = lambda c: F.when(c != NULL_ID, c)
+    scratch.drop("found")
+    order = F.struct(F.col("id").isNotNull().alias("named"), "id", "row", "start")
+    # written, so that the join below is one of two shuffles and a hot class can be split
+    classes = scratch.keep(every.groupBy("kind", "class")
+                                .agg(F.min(order).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+                                .filter("low <> high").drop("low", "high"), "classes")
     return (every.join(classes, ["kind", "class"])
-                 .select(null_id(F.col("id")).alias("id"), "kind", "class", "start", "end",
-                         null_id(F.col("first.id")).alias("first_id"),
-                         (F.struct("id", "start") != F.col("first")).alias("removed")))
+                 .select("id", "row", "kind", "class", "start", "end", F.col("first.id").alias("first_id"),
+                         (~order.eqNullSafe(F.col("first"))).alias("removed")))
 
 
 def merged_spans(found: DataFrame) -> DataFrame:
-    """(id, start, end, removed, first_id) with overlapping paragraphs of a document joined."""
-    before = Window.partitionBy("id", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("id", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    """(id, start, end, removed, first_id, repeats) with overlapping paragraphs of a document joined.
+
+    ``repeats`` lists the joined paragraphs' (kind, class, first_id), so no link
+    to a first occurrence is lost; ``first_id`` is the least of them.
+    """
+    before = Window.partitionBy("row", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     fresh = (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
     return (found.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(upto))
-                 .groupBy("id", "removed", "_run")
-                 .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"))
-                 .select("id", "start", "end", "removed", "first_id"))
+                 .groupBy("row", "removed", "_run")
+                 .agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"),
+                      F.min("first_id").alias("first_id"),
+                      F.array_sort(F.collect_set(F.struct("kind", "class", "first_id"))).alias("repeats"))
+                 .select("id", "start", "end", "removed", "first_id", "repeats"))

@@ -64,6 +64,30 @@ def test_equal_lines_are_found_in_different_texts(spark):
     assert {r["id"] for r in out if r["removed"]} == {i for i, _ in rows if i % 100 == 1}
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_documents(spark):
+    rnd = random.Random(11)
+    passage = words(rnd, 60, 99999)
+    text = lambda: f"{words(rnd, 20, 99999)} {passage} {words(rnd, 20, 99999)}"
+    for ids in ((None, None), (5, 5), (None, 3), (1, 2)):
+        rows = [(i, text()) for i in ids]
+        out = substring.merged_spans(substring.repeats(small(spark, rows))).collect()
+        assert sorted((r["id"] is None, r["id"] or 0) for r in out) == sorted((i is None, i or 0) for i in ids)
+        assert sorted(r["removed"] for r in out) == [False, True]
+    twice = [(7, text())] * 2  # equal in id and text: one document
+    assert substring.repeats(small(spark, twice)).count() == 0
+
+
+def test_merged_spans_keep_every_class(spark):
+    """Two passages with different first occurrences, side by side in a third document."""
+    rnd = random.Random(12)
+    a, b = words(rnd, 60, 99999), words(rnd, 60, 99999)
+    rows = [(1, a + " " + words(rnd, 30, 99999)), (2, words(rnd, 30, 99999) + " " + b), (3, a + " " + b)]
+    found = substring.repeats(small(spark, rows)).collect()
+    merged = [r for r in substring.merged_spans(substring.repeats(small(spark, rows))).collect() if r["id"] == 3]
+    assert {x["first_id"] for r in merged for x in r["repeats"]} == {1, 2}
+    assert {(x["kind"], x["class"]) for r in merged for x in r["repeats"]} == {(r["kind"], r["class"]) for r in found if r["id"] == 3}
+
+
 def test_awkward_rows(spark):
     df = frame(spark)
     out = substring.merged_spans(substring.repeats(df)).collect()
