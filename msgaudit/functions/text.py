@@ -221,15 +221,30 @@ def _get_bytes_udf(passthrough: bool = False):
     if passthrough not in _bytes_udfs:
         def decode_bytes_literal(s: pd.Series) -> pd.Series:
             import ast
+            import codecs
             import re
 
             lit_re = re.compile(r"b(?:['\"]|['\"].*['\"])", re.S)
 
+            def plain(v):
+                """The bytes of a literal whose body holds no quote of its own kind, nor what a literal may not hold."""
+                quote, body = v[1], v[2:-1]
+                if (len(v) < 3 or v[-1] != quote or quote in body or not body.isascii() or "\n" in body or "\r" in body
+                        or "\0" in body or (len(body) - len(body.rstrip("\\"))) % 2):
+                    return None
+                try:
+                    return codecs.escape_decode(body.encode("ascii"))[0]  # what the literal itself is read with
+                except ValueError:
+                    return None
+
             def one(v):
                 if v is None:
                     return None
                 if passthrough and not lit_re.fullmatch(v):
                     return v
+                found = plain(v)
+                if found is not None:
+                    return found.decode("utf-8", "ignore")
                 try:
                     obj = ast.literal_eval(v)
                 except Exception:
@@ -247,7 +262,9 @@ def _get_bytes_udf(passthrough: bool = False):
 def bytes_literal_to_text(col, gated: bool = True) -> Column:
     """``b'...'`` text (a SQLite BLOB printed by Python) back to UTF-8.
 
-    Parsed with ``ast.literal_eval`` (never ``eval``) in an Arrow UDF.  For a
+    Read in an Arrow UDF: the escapes of an ordinary literal by the codec that
+    Python itself uses for them, anything else by ``ast.literal_eval`` (never
+    ``eval``).  For a
     plain column (``gated``) only rows that look like a literal are sent (the
     others reach the worker as nulls); for a computed input (``gated=False``)
     the value is sent once and returned unchanged unless it is a literal, so

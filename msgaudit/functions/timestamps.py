@@ -156,10 +156,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stripped_to_date(s: Column) -> Column:
+    """The date of a stripped value; each step runs once."""
+    return _let(date_bare(s), lambda bare: _let(date_core(bare), lambda core: _let(
+        date_tokens(core), lambda t: _let(date_numbers(t), numbers_date))))
+
+
 def text_to_date(col) -> Column:
     """T4: free-text date (see module docstring) -> DateType or null."""
-    return _let(py_strip(_c(col)), lambda s: _let(date_bare(s), lambda bare: _let(date_core(bare), lambda core: _let(
-        date_tokens(core), lambda t: _let(date_numbers(t), numbers_date)))))
+    return _let(py_strip(_c(col)), stripped_to_date)
 
 
 def value_to_date(col, dtype: T.DataType | None = None) -> Column:
@@ -214,16 +219,13 @@ def format_report_date(col) -> Column:
 
 # --- DataFrame-level forms (each regex runs once per value) -----------------------------
 #
-# Spark does not share a subexpression that sits inside a conditional branch
-# (``when``/``coalesce``), so these helpers project the stripped value, its core
-# and its tokens as columns, one projection after the other: each step then runs
-# once per value.
+# A value is stripped, read as a number and as an epoch in projections of their
+# own, so each runs once; the text is only read where that gave no date.
 
 def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None):
     """Add ``__dt{k}`` (parsed date) for each ``k -> stripped-value expression``.
 
-    Every expensive step is its own projected column, so each runs once per
-    value: strip -> number -> epoch date -> bare -> core -> tokens -> numbers -> date.
+    Strip, number and epoch date are projected columns, so each runs once per value.
     ``numeric`` maps ``k`` to a number expression to try as an epoch first.
     Sources are taken in order and a later one is only parsed for rows where
     every earlier one gave no date (``present`` gives each source's usability
@@ -252,11 +254,7 @@ def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None)
             gate = usable & F.col(f"__e{k}").isNull()
         else:
             gate = usable
-        add({f"__b{k}": F.when(gate, date_bare(st))})
-        add({f"__c{k}": date_core(F.col(f"__b{k}"))})
-        add({f"__t{k}": date_tokens(F.col(f"__c{k}"))})
-        add({f"__p{k}": date_numbers(F.col(f"__t{k}"))})
-        text_date = numbers_date(F.col(f"__p{k}"))
+        text_date = F.when(gate, stripped_to_date(st))
         date = F.coalesce(F.col(f"__e{k}"), text_date) if num is not None else text_date
         add({f"__dt{k}": F.when(usable, date)})
         acc = f"__acc{k}"

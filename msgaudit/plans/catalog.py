@@ -662,3 +662,37 @@ def q_train_score(spark, sf):
     scorer = ML.model_scorer(ML.load(path))
     pred = hybrid_label(messages(spark, sf), scorer)
     return pred.select("doc_id", "platform", "keyword_hit", "predicted_label", "confidence")
+
+
+def _exact_folds(spark, sf):
+    folded = M.assign_exact_fold(_merged(spark, sf).select("doc_id", "text", "label"), "text", "doc_id")
+    return folded.filter(F.col("fold") == "train"), folded.filter(F.col("fold") == "validation")
+
+
+@query("network_score")
+def q_network_score(spark, sf):
+    """M7 and M8: a network trained in epochs, the best of them as scorer of the messages without a hit."""
+    from ..operators.network import network_scorer, train_epochs
+    from .tables import messages
+
+    trained = train_epochs(*_exact_folds(spark, sf))
+    pred = hybrid_label(messages(spark, sf), network_scorer(spark, trained.net.to_bytes()), python_scorer=True)
+    return pred.select("doc_id", "platform", "keyword_hit", "predicted_label", "confidence")
+
+
+RELATIONAL_STEPS = 3
+
+
+@query("score_relational")
+def q_score_relational(spark, sf):
+    """M5, M6, M8, M9: the linear model fitted, written and applied as tables."""
+    from ..operators import relational as R
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "linear-model")
+    R.save(R.fit(_exact_folds(spark, sf)[0], steps=RELATIONAL_STEPS), path)
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    out = R.margins(R.load(spark, path), docs, "doc_id")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+    return out.select("doc_id", F.round("margin", 6).alias("margin"), (F.col("margin") > 0).cast("int").alias("model_label"),
+                      F.round(F.greatest(p, 1.0 - p), 6).alias("model_confidence"))

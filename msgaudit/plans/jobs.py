@@ -22,6 +22,7 @@ from ..operators import train as ML
 from ..operators.detect import PREDICTION_COLUMNS, Scorer, detection_counts, hybrid_label
 from ..sources.archive import list_archives, member_hashes, members_as_files, tar_members
 from ..sources.csv import write_csv
+from ..sources.sink import read_by_platform, write_by_platform
 from ..sources.files import basename, hash_inventory, platform_of, scan_files
 from ..sources.sqlite import flatten_scan, scan_databases
 from . import report as R
@@ -59,8 +60,8 @@ def extract_and_detect(spark: SparkSession, root: str, scorer: Scorer, out_dir:
     pred = hybrid_label(flat, scorer, python_scorer=python_scorer)
     pred = pred.select(*PREDICTION_COLUMNS, "platform", "path", "table_pos", "row_id")
     if out_dir:
-        pred.write.mode("overwrite").partitionBy("platform").parquet(out_dir)
-        pred = spark.read.parquet(out_dir)
+        write_by_platform(pred, out_dir)
+        pred = read_by_platform(spark, out_dir, pred.schema)
     if csv_dir:
         write_csv(pred.select(*PREDICTION_COLUMNS), csv_dir)
     return DetectionResult(pred, hashes, detection_counts(pred, ["platform"]))
@@ -95,7 +96,7 @@ def build_and_train(verdict_sources: list[DataFrame], numeric_sources: list[Data
     """M10 (+A1/A2 available on ``merged``), M4 split, M5-M7 fit, M9 save."""
     parts = [M.from_verdicts(s) for s in verdict_sources] + [M.from_numeric_labels(s) for s in numeric_sources]
     merged = M.merge_labelled(parts)
-    data = ML.prepare(M.assign_fold(merged, "text"))
+    data = ML.prepare(M.assign_exact_fold(merged, "text", "label"))
     fitted = ML.fit_select(data.filter(F.col("fold") == "train"), data.filter(F.col("fold") == "validation"))
     if model_path:
         ML.save(fitted.model, model_path)

@@ -756,3 +756,36 @@ def _():
 def _():
     return ("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date_cell, "
             "CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS text_cell FROM orders")
+
+
+@oracle("score_relational")
+def _():
+    def words(name, src):
+        return (f"{name} AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, "
+                f"unnest(string_split({model_clean('text')}, ' ')) AS term FROM {src}) WHERE term <> '' GROUP BY doc_id, term)")
+
+    steps = []
+    for k in range(1, 4):
+        j = k - 1
+        steps += [
+            f"r{k} AS MATERIALIZED (SELECT tr.doc_id, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(coalesce(z, 0) + b))) - label AS r FROM tr "
+            f"CROSS JOIN b{j} LEFT JOIN (SELECT doc_id, sum(x * w) AS z FROM x JOIN w{j} USING (term) GROUP BY doc_id) m "
+            f"ON tr.doc_id = m.doc_id)",
+            f"w{k} AS MATERIALIZED (SELECT w{j}.term, w - 8.0::DOUBLE * (coalesce(g / n, 0) + 0.0001::DOUBLE * w) AS w FROM w{j} "
+            f"CROSS JOIN n LEFT JOIN (SELECT term, sum(x * r) AS g FROM x JOIN r{k} USING (doc_id) GROUP BY term) g ON w{j}.term = g.term)",
+            f"b{k} AS MATERIALIZED (SELECT min(b) - 8.0::DOUBLE * avg(r) AS b FROM r{k} CROSS JOIN b{j})"]
+    return (f"WITH {MERGED}, placed AS (SELECT doc_id, text, label, row_number() OVER (ORDER BY substr(md5('42:' || text), 1, 15), doc_id) "
+            f"AS rn, count(*) OVER () AS total FROM clean), "
+            f"tr AS MATERIALIZED (SELECT doc_id, text, label FROM placed WHERE rn > (total * 20 + 99) // 100), "
+            f"n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM tr), {words('tk', 'tr')}, "
+            f"idf AS MATERIALIZED (SELECT term, ln((min(n) + 1) / (count(*) + 1)) AS idf FROM tk CROSS JOIN n GROUP BY term), "
+            f"raw AS (SELECT doc_id, term, tf * idf AS x FROM tk JOIN idf USING (term)), "
+            f"x AS MATERIALIZED (SELECT doc_id, term, coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 0) AS x FROM raw), "
+            f"w0 AS (SELECT term, 0.0::DOUBLE AS w FROM idf), b0 AS (SELECT 0.0::DOUBLE AS b), " + ", ".join(steps) + ", "
+            + words("dk", "documents") + ", "
+            "sums AS (SELECT doc_id, sum(tf * idf * w) AS s, sqrt(sum(tf * idf * tf * idf)) AS l FROM dk JOIN idf USING (term) "
+            "JOIN w3 USING (term) GROUP BY doc_id), "
+            "m AS (SELECT d.doc_id, coalesce(s / nullif(l, 0), 0) + b AS margin FROM documents d CROSS JOIN b3 LEFT JOIN sums USING (doc_id)), "
+            "p AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-margin)) AS p FROM m) "
+            "SELECT doc_id, round(margin, 6) AS margin, CAST(margin > 0 AS INTEGER) AS model_label, "
+            "round(greatest(p, 1 - p), 6) AS model_confidence FROM p")
