@@ -14,13 +14,14 @@ from .helpers import SF, documents, small, words
 
 def test_every_operator_has_a_query():
     names = E.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, SF)
         rel = con.sql(sql)
@@ -32,15 +33,28 @@ def test_oracles(spark):
         assert a == b, name
 
 
+CONTRACT = {
+    "op1": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op2": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op3": "doc_id bigint, class_id bigint",
+    "op4": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op5": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op6": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op7": "doc_id bigint, start bigint, end bigint, removed boolean, first_doc_id bigint",
+    "op8": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op9": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op12": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op13": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, "
+            "repaired_sha256 string"}
+
+
 def test_query_columns(spark):
-    want = {"op1": "doc_id keep_id group_size kept text_sha256", "op2": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
-            "op3": "doc_id class_id", "op4": "doc_id size source_size target taken",
-            "op5": "doc_id piece start length ids_crc32 sequence_id offset", "op7": "doc_id start end removed",
-            "op8": "doc_id held_out n_tokens n_known train_tokens base_score score",
-            "op10": "doc_id size text_crc32 law shard slot grown_shard"}
     for name, query in queries.QUERIES.items():
-        if (op := name.split("_")[0]) in want:
-            assert set(want[op].split()) <= set(query(spark, SF).columns), name
+        got = dict(query(spark, SF).dtypes)
+        want = dict(c.split() for c in CONTRACT[name.split("_")[0]].split(", "))
+        assert {c: got.get(c) for c in want} == want, name
 
 
 def test_stages_against_plain_python(spark):
