@@ -115,16 +115,17 @@ def q_longest_texts(spark, sf):
 
 @query("all_texts")
 def q_all_texts(spark, sf):
-    """Every message of the file scan, numbered in source order; labels join once."""
+    """Every message of the file scan, numbered in source order before its label is joined."""
     from .evidence import EPOCH_MS_BASE, MS_PER_DOC
     from .report import all_texts_listing
 
     placed = K.with_position(spark.read.parquet(table_path(sf, "documents")))
-    docs = spread(placed.select(
+    docs = placed.select(
         "doc_id", F.col("source").alias("platform"), "text", "path", "row_id",
         (F.lit(EPOCH_MS_BASE) + F.col("doc_id") * MS_PER_DOC).cast("string").alias("created_at"),
-        F.concat("source", F.lit("_data/a-b.db")).alias("source_database"), F.lit("messages_1").alias("source_table")))
-    scored = hybrid_label(docs, label_table_scorer(read(spark, sf, "labels"), "doc_id"))
+        F.concat("source", F.lit("_data/a-b.db")).alias("source_database"), F.lit("messages_1").alias("source_table"))
+    numbered = K.number_in_source_order(docs, ["platform"], ["path"])
+    scored = hybrid_label(numbered, label_table_scorer(read(spark, sf, "labels"), "doc_id"))
     return all_texts_listing(scored, keep=["doc_id"])
 
 
@@ -494,6 +495,19 @@ def q_infer_handle(spark, sf):
     return _handles(spark, sf)
 
 
+@query("handle_from_path")
+def q_handle_from_path(spark, sf):
+    """A7 with its fallback: the account's name from the database's path (X14) where no candidate column has a value."""
+    from .report import infer_handles
+
+    d = read(spark, sf, "documents")
+    named = (F.col("lang") == "de") & (F.col("source") < "src2")
+    frame = d.select(F.col("source").alias("platform"), F.when(named, F.lit("@de")).otherwise(F.lit(" ")).alias("username"),
+                     F.concat(F.lit("/evidence/"), "source", F.lit("_"), "lang", F.lit(".db")).alias("source_database"),
+                     F.col("doc_id").alias("row_id"))
+    return infer_handles(frame).select("platform", "handle")
+
+
 @query("infer_device")
 def q_infer_device(spark, sf):
     from .report import infer_device

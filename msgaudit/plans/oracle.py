@@ -789,3 +789,10 @@ def _():
             "p AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-margin)) AS p FROM m) "
             "SELECT doc_id, round(margin, 6) AS margin, CAST(margin > 0 AS INTEGER) AS model_label, "
             "round(greatest(p, 1 - p), 6) AS model_confidence FROM p")
+
+
+@oracle("handle_from_path")
+def _():
+    return ("SELECT source AS platform, CASE WHEN count(*) FILTER (WHERE lang = 'de' AND source < 'src2') > 0 THEN 'de' "
+            "ELSE arg_min(source || '_' || lang, doc_id) FILTER (WHERE lang IS NOT NULL) END AS handle "
+            "FROM documents GROUP BY source HAVING handle IS NOT NULL")

@@ -62,11 +62,12 @@ def all_texts_listing(pred: DataFrame, keep: list[str] | None = None) -> DataFra
     """Every message, numbered per platform in source order (file by file, table by table).
 
     ``pred`` holds ``path``, ``row_id`` and, where a file has several tables,
-    ``table_pos``; ``keep`` names further columns to pass through.
+    ``table_pos``, or its ``rank`` already (messages numbered before they were
+    labelled); ``keep`` names further columns to pass through.
     """
-    files = [c for c in ("path", "table_pos") if c in pred.columns]
-    numbered = K.number_in_source_order(with_message_date(pred, "date"), ["platform"], files)
-    numbered = X.with_report_clean_twice(numbered, "text", "listing_text")
+    if "rank" not in pred.columns:
+        pred = K.number_in_source_order(pred, ["platform"], [c for c in ("path", "table_pos") if c in pred.columns])
+    numbered = X.with_report_clean_twice(with_message_date(pred, "date"), "text", "listing_text")
     return numbered.select(
         "platform", "rank", *(keep or []),
         F.when(F.col("predicted_label") == 1, F.lit("Hate")).otherwise(F.lit("Safe")).alias("verdict"), "listing_text", "date",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import hybrid_label, label_table_scorer
-from ..session import spread, table_path
+from ..session import scratch_path, spread, table_path
 
 
 # Tables whose rows carry long text: regex work on them is CPU-bound, so a
@@ -80,15 +80,18 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     unusable values, all others (and no language) numeric labels written as decimals.
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    lab = read(spark, sf_dir, "labels")
-    j = docs.join(lab, "doc_id", "inner")
+    english, european = F.col("lang") == "en", F.col("lang").isin("fr", "de")
+    shape = F.when(english, F.lit("verdict")).when(european, F.lit("number")).otherwise(F.lit("decimal"))
+    # joined and written once: each source reads its own folder
+    path = scratch_path(spark, "labelled")
+    docs.join(read(spark, sf_dir, "labels"), "doc_id").withColumn("shape", shape).write.partitionBy("shape").parquet(path)
+    joined = spark.read.schema("doc_id long, text string, quality int, toxic int, shape string").parquet(path)
     verdict = (F.when(F.col("toxic") == 1, F.lit("Offensive"))
                 .when(F.col("quality") == 1, F.lit("Not offensive")).otherwise(F.lit("Unsure")))
-    s1 = j.filter(F.col("lang") == "en").select("doc_id", F.col("text").alias("Sentence"),
-                                                 verdict.alias("Hate_speech"))
-    s2 = j.filter(F.col("lang").isin("fr", "de")).select(
+    s1 = joined.filter("shape = 'verdict'").select("doc_id", F.col("text").alias("Sentence"), verdict.alias("Hate_speech"))
+    s2 = joined.filter("shape = 'number'").select(
         "doc_id", F.col("text").alias("comment"),
         F.when(F.col("quality") == 0, F.lit("n/a")).otherwise(F.col("toxic").cast("string")).alias("label"))
-    s3 = j.filter(~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False))).select(
+    s3 = joined.filter("shape = 'decimal'").select(
         "doc_id", F.col("text").alias("comment"), F.concat(F.col("toxic").cast("string"), F.lit(".0")).alias("label"))
     return [s1, s2, s3]

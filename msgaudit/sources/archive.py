@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import DB_GLOB
-from .streams import open_bytes, with_content
+from .streams import ROW_BYTES, open_bytes, sha256_of, with_content
 
 _COLUMNS = "archive string, member string, length long, {what}error string"
 #: Bytes of members that a task holds before it passes them on.
@@ -25,8 +25,11 @@ def list_archives(spark: SparkSession, root: str, glob: str = "*.tar") -> DataFr
     return with_content(files)
 
 
-def _read_members(take, field: str | None):
-    """One row per database member; ``take`` turns its stream into the extra field."""
+def _read_members(take, field: str | None, row_bytes: int = ROW_BYTES):
+    """One row per database member; ``take`` turns its stream into the extra field.
+
+    A member whose content does not fit a row is an error row.
+    """
     names = ["archive", "member", "length", *([field] if field else []), "error"]
 
     def wanted(entry) -> bool:
@@ -42,6 +45,9 @@ def _read_members(take, field: str | None):
             with open_bytes(path, content) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
                 for entry in filter(wanted, tar):
                     value = []
+                    if field == "content" and entry.size > row_bytes:
+                        yield [path, entry.name, entry.size, None, f"member: {entry.size} bytes do not fit a row"]
+                        continue
                     if field:
                         try:
                             value = [take(tar.extractfile(entry))]
@@ -69,24 +75,15 @@ def _read_members(take, field: str | None):
     return read
 
 
-def _sha256(stream) -> str:
-    import hashlib
-
-    digest = hashlib.sha256()
-    while block := stream.read(1 << 20):
-        digest.update(block)
-    return digest.hexdigest()
-
-
-def tar_members(archives: DataFrame, with_content: bool = True) -> DataFrame:
+def tar_members(archives: DataFrame, with_content: bool = True, row_bytes: int = ROW_BYTES) -> DataFrame:
     """S5 ``extract_databases_from_tar``: regular members whose name ends in .db (any case), and error rows."""
-    reader = _read_members(lambda stream: stream.read(), "content") if with_content else _read_members(None, None)
+    reader = _read_members(lambda stream: stream.read(), "content", row_bytes) if with_content else _read_members(None, None)
     return archives.select("path", "content").mapInPandas(reader, _COLUMNS.format(what="content binary, " * with_content))
 
 
 def member_hashes(archives: DataFrame) -> DataFrame:
     """A9 inside archives: (archive, member, length, sha256_hash, error), digested while the member streams by."""
-    return archives.select("path", "content").mapInPandas(_read_members(_sha256, "sha256_hash"),
+    return archives.select("path", "content").mapInPandas(_read_members(sha256_of, "sha256_hash"),
                                                           _COLUMNS.format(what="sha256_hash string, "))
 
 

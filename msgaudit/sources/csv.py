@@ -22,7 +22,9 @@ from ..functions.coerce import na_literals_to_null
 READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
                 "mode": "PERMISSIVE"}
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
-                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+                 # a file with quoted line ends is read by one task, so files are kept small enough for one
+                 "maxRecordsPerFile": "500000"}
 
 
 def _empty(spark: SparkSession, schema) -> DataFrame:
@@ -58,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header + quoted text, nothing trimmed; one file per partition."""
+    """Header + quoted text, nothing trimmed; files of bounded rows, so that reading them back spreads."""
     df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .streams import ROW_BYTES, open_bytes
+from .streams import ROW_BYTES, open_bytes, sha256_of
 
 # Fixed values (must equal the reference): the app packages whose data is
 # examined, and the platform each stands for.
@@ -63,16 +63,11 @@ def hash_inventory(files: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
 def stream_hashes(files: DataFrame) -> DataFrame:
     """A10 for files of any size: (path, length, sha256_hash), read from their store on the executors."""
     def digests(batches):
-        import hashlib
-
         for pdf in batches:
             found = []
             for path in pdf["path"]:
-                digest = hashlib.sha256()
                 with open_bytes(path, None) as stream:
-                    while block := stream.read(1 << 20):
-                        digest.update(block)
-                found.append(digest.hexdigest())
+                    found.append(sha256_of(stream))
             yield pdf.assign(sha256_hash=found)
 
     return files.select("path", "length").mapInPandas(digests, "path string, length long, sha256_hash string")

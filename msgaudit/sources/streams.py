@@ -35,6 +35,16 @@ def open_bytes(path: str, content):
     return store.open_input_stream(inner)
 
 
+def sha256_of(stream) -> str:
+    """SHA-256 of a stream, read block by block."""
+    import hashlib
+
+    digest = hashlib.sha256()
+    while block := stream.read(1 << 20):
+        digest.update(block)
+    return digest.hexdigest()
+
+
 def put_bytes(uri: str, data: bytes) -> None:
     """Write a file under its final name only when it is whole, so a task may run twice."""
     import uuid

@@ -123,6 +123,25 @@ def test_large_files_are_streamed_into_inventory(spark, tmp_path):
     assert set(inv) == {"a.db", "b.db", "broken.db"}
 
 
+def test_what_does_not_fit_a_row_is_an_error_row(spark, tmp_path):
+    root = build(tmp_path)
+    root = str(tmp_path / "ev")
+    files = scan_files(spark, root)
+    sizes = {r["path"]: r["length"] for r in files.select("path", "length").collect()}
+    limit = sorted(sizes.values())[0]
+    scan = scan_databases(files, row_bytes=limit)
+    errors = {r["path"]: r["error"] for r in scan_errors(scan).collect()}
+    assert {p for p, n in sizes.items() if n > limit} <= set(errors)
+    assert all("too large" in errors[p] for p, n in sizes.items() if n > limit)
+    tar = tmp_path / "x.tar"
+    with tarfile.open(tar, "w") as out:
+        for name, size in (("a.db", 10), ("b.db", 5000)):
+            (tmp_path / name).write_bytes(b"z" * size)
+            out.add(tmp_path / name, name)
+    got = {r["member"]: (r["content"], r["error"]) for r in tar_members(list_archives(spark, str(tar)), row_bytes=100).collect()}
+    assert got["a.db"] == (b"z" * 10, None) and got["b.db"][0] is None and "5000 bytes" in got["b.db"][1]
+
+
 def test_archives_lose_nothing_silently(spark, tmp_path):
     import hashlib
     import io
