@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from msgaudit.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"binary_hash", "train_score"}
+ROWS_ONLY = {"binary_hash", "train_score", "hash_appendix", "network_score"}
 
 
 def norm(v):
@@ -78,3 +78,17 @@ def test_ordered_relations_keep_their_order(spark):
     assert listing == sorted(listing) and len(listing) > 1
     ranks = [r["rank"] for r in q["flagged_topn"](spark, SF).collect()]
     assert ranks and ranks == list(range(1, len(ranks) + 1))
+
+
+def test_hash_appendix_covers_the_table_files(spark):
+    import hashlib
+
+    want = {(f, hashlib.sha256(open(os.path.join(SF, f), "rb").read()).hexdigest()) for f in os.listdir(SF) if f.endswith(".parquet")}
+    got = {(r["database"].replace("​", ""), r["hash"].replace("​", "")) for r in E.queries()["hash_appendix"](spark, SF).collect()}
+    assert got == want
+
+
+def test_a_model_as_a_table_agrees_with_duckdb(spark, duck):
+    ours = {r["doc_id"]: (r["margin"], r["model_label"], r["model_confidence"]) for r in E.queries()["score_relational"](spark, SF).collect()}
+    theirs = {r[0]: r[1:] for r in duck.sql(E.oracle_sql()["score_relational"]).select("doc_id", "margin", "model_label", "model_confidence").fetchall()}
+    assert ours == theirs and len({v[0] for v in ours.values()}) > 20
