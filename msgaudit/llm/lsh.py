@@ -13,8 +13,7 @@ like each other end up in one component, whatever the size of the bucket:
   tokens in one order, they share one among their first n - least * n + 1; the
   order is by frequency, so that what many texts have in common comes last.
   All that two items share stands behind the first token that they share, so a
-  pair whose places of the token leave too little behind them is none.  Tokens
-  that only one component holds are left out before they are joined.  Pairs with
+  pair whose places of the token leave too little behind them is none.  Pairs with
   such a token, a bucket in common and different components are verified.
 
 So a bucket of near copies of one text costs a pair an item, a bucket of items
@@ -107,9 +106,6 @@ def rare_pairs(items: DataFrame, left: DataFrame, payload: DataFrame, least: flo
     shared = people.sparkSession.sparkContext.broadcast(counts)
     rare = scratch.keep(people.select("id", "root", "out", "data").mapInArrow(
         _rarest(shared, least), "place long, id long, root long, out boolean, size long, token long"), "rare")
-    apart = (rare.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("out").alias("any"))
-                 .filter("low <> high AND any").select("token"))
-    rare = scratch.keep(rare.join(apart, "token"), "met")
     # what stands at the token and behind it, in either item, bounds what they can share
     behind = lambda c: F.col(f"size_{c}") - F.col(f"place_{c}")
     side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size")])
@@ -149,7 +145,7 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     scratch.drop("sized")
     if left.limit(1).count():
         more = verified(rare_pairs(items, left, payload, least, scratch), "rest")
-        scratch.drop("people", "rare", "met")
+        scratch.drop("people", "rare")
         if more.limit(1).count():
             found = found.union(more)  # of different components, so no link is there twice
             edges = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
