@@ -222,6 +222,20 @@ def format_report_date(col) -> Column:
 # A value is stripped, read as a number and as an epoch in projections of their
 # own, so each runs once; the text is only read where that gave no date.
 
+#: Column that the prepared date expression reads.
+DATE_INPUT = "__date_in"
+_prepared: dict[str, Column] = {}
+
+
+def _date_of_input(spark) -> Column:
+    """``stripped_to_date`` over DATE_INPUT, built once per application: it has hundreds of parts."""
+    key = spark.sparkContext.applicationId
+    if key not in _prepared:
+        _prepared.clear()
+        _prepared[key] = stripped_to_date(F.col(DATE_INPUT))
+    return _prepared[key]
+
+
 def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None):
     """Add ``__dt{k}`` (parsed date) for each ``k -> stripped-value expression``.
 
@@ -254,7 +268,8 @@ def _staged_dates(df, sources: dict, numeric: dict, present: dict | None = None)
             gate = usable & F.col(f"__e{k}").isNull()
         else:
             gate = usable
-        text_date = F.when(gate, stripped_to_date(st))
+        add({DATE_INPUT: F.when(gate, st)})
+        text_date = F.when(F.col(DATE_INPUT).isNotNull(), _date_of_input(df.sparkSession))
         date = F.coalesce(F.col(f"__e{k}"), text_date) if num is not None else text_date
         add({f"__dt{k}": F.when(usable, date)})
         acc = f"__acc{k}"

@@ -354,8 +354,9 @@ def q_fill_defaults(spark, sf):
 # --- columns, union, flattening ------------------------------------------------------------
 
 def _evidence_tables(spark, sf):
+    # read as they lie: flattening does too little to a text for dealing the rows out to pay
     names = ["documents", "conversations", "benchmark", "pages", "orders"]
-    out = [C.EvidenceTable(read(spark, sf, n), f"{n}.parquet", n) for n in names]
+    out = [C.EvidenceTable(spark.read.parquet(table_path(sf, n)), f"{n}.parquet", n) for n in names]
     out.append(C.EvidenceTable(event_log(spark, sf), "events.parquet", "event_log"))
     return out
 
