@@ -13,8 +13,11 @@ like each other end up in one component, whatever the size of the bucket:
   tokens in one order, they share one among their first n - least * n + 1; the
   order is by frequency, so that what many texts have in common comes last.
   All that two items share stands behind the first token that they share, so a
-  pair whose places of the token leave too little behind them is none.  Pairs with
-  such a token, a bucket in common and different components are verified.
+  pair whose places of the token leave too little behind them is none.  Nor is one
+  whose parities differ in more bits than the tokens that only one of two items
+  that are like may hold: each item has ``PARITY`` bits, and each of its tokens
+  turns one of them.  Pairs with such a token, a bucket in common and different
+  components are verified.
 
 So a bucket of near copies of one text costs a pair an item, a bucket of items
 around one frequent passage costs the pairs with a rare token in common, and
@@ -24,11 +27,12 @@ nothing is capped or left to chance.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -36,6 +40,10 @@ from .common import Scratch, components
 SMALL = 4
 #: Tokens are ordered by counts in so many cells (a power of two); any order gives the same links.
 CELLS = 1 << 18
+#: Bits of an item's parity (whole longs); two items differ in no more of them than in tokens.
+PARITY = 256
+#: Bits in which an item's buckets are marked where items meet by their tokens; the keys decide later.
+KEY_BITS = 128
 
 
 def buckets(items: DataFrame) -> DataFrame:
@@ -46,13 +54,18 @@ def buckets(items: DataFrame) -> DataFrame:
 
 
 def verify_pairs(pairs: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float]) -> DataFrame:
-    """(a, b) -> (a, b, like), the payloads of both sides compared in the task."""
+    """(a, b) -> (a, b, like), the payloads of both sides compared in the task; if they
+    come with ``keys``, only of pairs with a key in common."""
+    keyed = "keys" in payload.columns
+
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"],
                                 "like": [likeness(x, y) for x, y in zip(pdf["x"], pdf["y"])]})
-    both = (pairs.join(payload.select(F.col("id").alias("a"), F.col("data").alias("x")), "a")
-                 .join(payload.select(F.col("id").alias("b"), F.col("data").alias("y")), "b"))
+    side = lambda c, x: payload.select(F.col("id").alias(c), F.col("data").alias(x), *[F.col("keys").alias(f"keys_{c}")] * keyed)
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    if keyed:
+        both = both.filter(F.arrays_overlap("keys_a", "keys_b"))
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, like double")
 
 
@@ -70,6 +83,22 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Longs in which every token has turned one bit: the bits in which two differ bound the tokens not shared."""
+    at = ((tokens >> np.uint64(40)) & np.uint64(PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+def key_bits(keys) -> np.ndarray:
+    """Longs with a bit for every key, so items with a key in common have a bit in common."""
+    bits = np.zeros(KEY_BITS, np.uint8)
+    bits[(np.array(keys, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(KEY_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+_PARITIES, _KEY_BITS = [f"p{j}" for j in range(PARITY // 64)], [f"k{j}" for j in range(KEY_BITS // 64)]
+
+
 def _count(batches):
     seen = np.zeros(CELLS, np.int64)
     for batch in batches:
@@ -85,46 +114,65 @@ def _rarest(counts, least: float):
         for batch in batches:
             for i, data in enumerate(batch.column("data").to_pylist()):
                 tokens = labelled(data)
-                first = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1
+                first, bits = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1, parity(tokens)
                 tokens = tokens[np.lexsort((tokens, counts.value[_cell(tokens)]))[:first]].view(np.int64)
-                row = batch.slice(i, 1).select(["id", "root", "out"]).to_pydict()
+                row = batch.slice(i, 1).select(["id", "root", "out", "keys"]).to_pydict()
                 yield pa.RecordBatch.from_pydict({
                     "place": pa.array(np.arange(len(tokens))),
                     "id": pa.array(row["id"] * len(tokens), pa.int64()), "root": pa.array(row["root"] * len(tokens), pa.int64()),
                     "out": pa.array(row["out"] * len(tokens), pa.bool_()),
-                    "size": pa.array(np.full(len(tokens), len(data) // 4, np.int64)), "token": pa.array(tokens)})
+                    "size": pa.array(np.full(len(tokens), len(data) // 4, np.int64)), "token": pa.array(tokens),
+                    **{p: pa.array(np.full(len(tokens), b)) for p, b in zip(_PARITIES + _KEY_BITS, [*bits, *key_bits(row["keys"][0])])}})
     return run
 
 
-def rare_pairs(items: DataFrame, left: DataFrame, payload: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of all items of ``left`` (id, root, out) that may be like each other: of different
-    components, at least one of them ``out``, with a key and one of the rarest tokens in common."""
-    people = scratch.keep(left.join(payload, "id").join(items, "id"), "people")
+def shared_of_larger(least: float) -> Callable[[Column, Column], Column]:
+    """Items that are like share ``least`` of the larger one."""
+    return lambda a, b: F.greatest(a, b) * least
+
+
+def shared_of_union(least: float) -> Callable[[Column, Column], Column]:
+    """Items that are like share ``least`` of all that stands in either (Jaccard likeness)."""
+    return lambda a, b: (a + b) * (least / (1 + least))
+
+
+def rare_pairs(left: DataFrame, payload: DataFrame, least: float, scratch: Scratch,
+               shared: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(a, b) of all items of ``left`` (id, root, out, keys) that may be like each other: of different
+    components, at least one of them ``out``, with one of the rarest tokens in common and, so far as
+    ``KEY_BITS`` bits tell, a key; and the written table ``people`` with their keys and data.
+    ``shared`` gives, from the sizes, what two that are like share at least."""
+    people = scratch.keep(left.join(payload, "id"), "people")
     cells = people.select("data").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    shared = people.sparkSession.sparkContext.broadcast(counts)
-    rare = scratch.keep(people.select("id", "root", "out", "data").mapInArrow(
-        _rarest(shared, least), "place long, id long, root long, out boolean, size long, token long"), "rare")
-    # what stands at the token and behind it, in either item, bounds what they can share
+    order = people.sparkSession.sparkContext.broadcast(counts)
+    rare = scratch.keep(people.select("id", "root", "out", "keys", "data").mapInArrow(
+        _rarest(order, least), "place long, id long, root long, out boolean, size long, token long, "
+        + ", ".join(f"{p} long" for p in _PARITIES + _KEY_BITS)), "rare")
+    # what stands at the token and behind it, in either item, bounds what they can share, and so do the parities
     behind = lambda c: F.col(f"size_{c}") - F.col(f"place_{c}")
-    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size")])
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size", *_PARITIES, *_KEY_BITS)])
+    enough = (shared or shared_of_larger(least))(F.col("size_a"), F.col("size_b")) - 1e-6
+    differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES)
+    bucket = reduce(Column.__or__, [F.col(f"{k}_a").bitwiseAND(F.col(f"{k}_b")) != 0 for k in _KEY_BITS])
     met = side(rare.filter("out"), "a").join(side(rare, "b"), "token").filter(
-        (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b")))
-        & (F.least("size_a", "size_b", behind("a"), behind("b")) >= F.greatest("size_a", "size_b") * least - 1e-6))
-    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    keys = lambda c: people.select(F.col("id").alias(c), F.col("keys").alias(f"keys_{c}"))
-    return met.join(keys("a"), "a").join(keys("b"), "b").filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
+        (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b"))) & bucket
+        & (F.least("size_a", "size_b", behind("a"), behind("b")) >= enough)
+        & (differ <= F.col("size_a") + F.col("size_b") - 2 * enough))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), people.select("id", "keys", "data")
 
 
 def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float],
-          least: float, scratch: Scratch, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+          least: float, scratch: Scratch, small: int = SMALL,
+          shared: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, like) of at least ``least``, and (id, root) of the components.
 
     ``items`` are (id, keys), ``members`` their :func:`buckets`, ``payload``
-    (id, data) what ``likeness`` compares; all three are written tables.
+    (id, data) what ``likeness`` compares; the last two are written tables.
+    ``shared`` as in :func:`rare_pairs`.
     """
-    def verified(pairs, name):
+    def verified(pairs, payload, name):
         kept = scratch.keep(pairs, f"pairs-{name}")
         out = scratch.keep(verify_pairs(kept, payload, likeness).filter(F.col("like") >= least), f"links-{name}")
         scratch.drop(f"pairs-{name}")
@@ -135,16 +183,18 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     few, many = sized.filter(F.col("n") <= small + 1), sized.filter(F.col("n") > small + 1)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b")
     star = many.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    found = verified(every.select("a", "b").union(star).distinct(), "first")
+    found = verified(every.select("a", "b").union(star).distinct(), payload, "first")
     roots = scratch.keep(components(found, scratch, "components"), "roots-first")
 
     rest = many.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     main = (rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
                 .agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1"))
-    left = scratch.keep(rest.join(main, "key").groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("out")), "left")
+    # with the keys of these buckets alone: the pairs of the smaller ones are verified
+    left = scratch.keep(rest.join(main, "key").groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("out"),
+                                                                         F.collect_list("key").alias("keys")), "left")
     scratch.drop("sized")
     if left.limit(1).count():
-        more = verified(rare_pairs(items, left, payload, least, scratch), "rest")
+        more = verified(*rare_pairs(left, payload, least, scratch, shared), "rest")
         scratch.drop("people", "rare")
         if more.limit(1).count():
             found = found.union(more)  # of different components, so no link is there twice

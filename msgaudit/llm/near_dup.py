@@ -79,9 +79,12 @@ LONG_BANDS = tune(range(LONG_WORDS, 4000), LONG_K, LONG_RECALL)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class WordHasher:
@@ -96,10 +99,9 @@ class WordHasher:
         if len(self.known) > self.LIMIT:
             self.known.clear()
         known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
-        return np.array([known[w] for w in words], np.uint32)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
+        return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
 
 
 def kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,20 +133,42 @@ def labelled_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     return _mix(code + label * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(owner, np.arange(len(starts)))
 
 
+#: K-mers that are ranked at once: the arrays of a band then stay in the processor's cache.
+AT_ONCE = 1 << 15
+
+
 def order_minhash(kmers: np.ndarray, starts: np.ndarray, bands: int, seed: int = SEED) -> np.ndarray:
     """One key per text and band; texts with fewer than two k-mers must be left out."""
     seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(1000003) + np.uint64(seed))
-    low = np.arange(len(kmers), dtype=np.uint64)  # a batch holds far fewer than 2**32 k-mers
     keys = np.empty((len(starts), bands), np.uint64)
+    t = 0
+    while t < len(starts):
+        end = max(t + 1, int(np.searchsorted(starts, starts[t] + AT_ONCE)))
+        some = kmers[starts[t]:starts[end] if end < len(starts) else len(kmers)]
+        _rank(some, starts[t:end] - starts[t], seeds, keys[t:end])
+        t = end
+    return keys.view(np.int64)
+
+
+def _rank(kmers: np.ndarray, starts: np.ndarray, seeds: np.ndarray, keys: np.ndarray) -> None:
+    """Fills in the keys of the texts: their two smallest k-mers in each band, in the text's order."""
+    low = np.arange(len(kmers), dtype=np.uint64)  # a batch holds far fewer than 2**32 k-mers
     high = np.uint64(0xFFFFFFFF00000000)
+    ranked, spare = np.empty_like(kmers), np.empty_like(kmers)
     for b, s in enumerate(seeds):
-        ranked = (_mix(kmers ^ s) & high) | low
+        np.bitwise_xor(kmers, s, out=ranked)  # ranked = _mix(kmers ^ s) in place
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+            np.right_shift(ranked, np.uint64(shift), out=spare)
+            np.bitwise_xor(ranked, spare, out=ranked)
+            if factor:
+                np.multiply(ranked, np.uint64(factor), out=ranked)
+        np.bitwise_and(ranked, high, out=ranked)
+        np.bitwise_or(ranked, low, out=ranked)
         first = (np.minimum.reduceat(ranked, starts) & ~high).astype(np.int64)
         ranked[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
         second = (np.minimum.reduceat(ranked, starts) & ~high).astype(np.int64)
         left, right = np.minimum(first, second), np.maximum(first, second)  # their order in the text
         keys[:, b] = _mix(kmers[left] * np.uint64(3) + _mix(kmers[right]) + s)  # the band is part of its key
-    return keys.view(np.int64)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -165,6 +189,9 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return most + 1
     if not x or not y:
         return max(len(x), len(y))
+    cells = np.minimum(np.bincount(a[:len(x)] & 4095, minlength=4096), np.bincount(b[:len(y)] & 4095, minlength=4096))
+    if max(len(x), len(y)) - int(cells.sum()) > most:  # words that share a cell count as equal, so this is no exact bound yet
+        return most + 1
     common = sum((Counter(x) & Counter(y)).values())
     if max(len(x), len(y)) - common > most:
         return most + 1

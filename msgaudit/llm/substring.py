@@ -204,7 +204,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                               .agg(F.first("keys").alias("keys"), F.first("data").alias("data")), "items")
     keyed = items.select("id", "keys")
     members = scratch.keep(lsh.buckets(keyed), "members")
-    _, roots = lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch)
+    _, roots = lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch,
+                          shared=lsh.shared_of_union(LEAST))
     scratch.drop("members", "items")
     places = ["row", "id", "start", "end"]
     lines = (found.filter("kind = 'line'").join(roots.withColumnRenamed("id", "key"), "key", "left")

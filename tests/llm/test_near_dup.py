@@ -206,3 +206,31 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns
     assert kept.filter("doc_id = 10").count() == 1
     assert near_dup.near_dedup(frame(spark, [])).count() == 0 and near_dup.keep_one(frame(spark, [])).count() == 0
+
+
+def test_parities_and_key_bits_lose_nothing():
+    rnd = random.Random(3)
+    for _ in range(200):
+        a, b = ({rnd.getrandbits(64) for _ in range(rnd.randrange(300))} for _ in range(2))
+        b |= set(rnd.sample(sorted(a), rnd.randrange(len(a) + 1)))
+        pa_, pb = (lsh.parity(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert sum(int(x).bit_count() for x in (pa_ ^ pb).view(np.uint64)) <= len(a ^ b)
+        keys = [rnd.getrandbits(63) for _ in range(30)]
+        assert (lsh.key_bits(keys) & lsh.key_bits(keys[7:8])).any()
+
+
+def test_items_around_one_passage_make_few_pairs(spark):
+    """A bucket of items that share a passage and many frequent tokens, but are not like each other."""
+    rnd = random.Random(11)
+    passage, n = set(range(5000, 5060)), 150
+    sets = [passage | set(rnd.sample(range(200), 40)) for _ in range(n)]
+    sets[-1] = set(sorted(sets[0])[1:]) | {9000}
+    data = [(i, np.array(sorted(s), np.uint32).tobytes()) for i, s in enumerate(sets)]
+    scratch = Scratch(spark, "test-pairs")
+    payload = scratch.keep(spark.createDataFrame(data, "id long, data binary"), "payload")
+    left = spark.createDataFrame([(i, i, True, [1]) for i in range(n)], "id long, root long, out boolean, keys array<long>")
+    pairs, people = lsh.rare_pairs(left, payload, 0.8, scratch, lsh.shared_of_union(0.8))
+    met = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert (0, n - 1) in met and len(met) < n * (n - 1) // 2 // 20
+    like = lsh.verify_pairs(pairs, people, substring.jaccard).filter("like >= 0.8").collect()
+    assert [(r["a"], r["b"]) for r in like] == [(0, n - 1)]
