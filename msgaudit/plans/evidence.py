@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.streams import open_bytes, put_bytes
+from ..sources.streams import open_bytes, put_bytes, put_stream
 from .tables import read
 
 ROWS_PER_DB = 2000      # messages per database file
 DBS_PER_TAR = 16        # database files per archive
+STREAM_BYTES = 4 << 20  # archives beyond this are streamed from the folder they were written to
 NO_PLATFORM = "unknown"  # platform of the documents whose source is null
 EPOCH_MS_BASE = 1_700_000_000_000
 MS_PER_DOC = 60_000
@@ -74,18 +75,18 @@ def build_databases(spark: SparkSession, sf_dir: str, rows_per_db: int = ROWS_PE
     return root, spark.read.parquet(done)
 
 
-def _tar_of(entries) -> bytes:
-    """A tar archive of (name, bytes) entries."""
-    import io
-    import tarfile
+def _tar_of(entries):
+    """Writes a tar archive of (name, bytes) entries into a file object, entry by entry."""
+    def write(out):
+        import io
+        import tarfile
 
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, data in entries:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
+        with tarfile.open(fileobj=out, mode="w|") as tar:
+            for name, data in entries:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    return write
 
 
 def _tar_writer(root: str):
@@ -99,7 +100,7 @@ def _tar_writer(root: str):
             for p in sorted(pdf["path"]):
                 with open_bytes(p, None) as stream:
                     yield f"data/data/{platform}/databases/{p.rsplit('/', 1)[-1]}", stream.read()
-        put_bytes(path, _tar_of(entries()))
+        put_stream(path, _tar_of(entries()))
         return pd.DataFrame({"path": [path], "files": [len(pdf)]})
 
     return write
@@ -124,7 +125,7 @@ def build_text_archives(spark: SparkSession, sf_dir: str, per_tar: int = ROWS_PE
         import pandas as pd
 
         path = f"{root}/texts_{int(pdf['part'].iloc[0])}.tar"
-        put_bytes(path, _tar_of((f"d/doc_{i}.db", (t or "").encode()) for i, t in zip(pdf["doc_id"], pdf["text"])))
+        put_stream(path, _tar_of((f"d/doc_{i}.db", (t or "").encode()) for i, t in zip(pdf["doc_id"], pdf["text"])))
         return pd.DataFrame({"path": [path]})
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

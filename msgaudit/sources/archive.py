@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import DB_GLOB
-from .streams import ROW_BYTES, open_bytes, sha256_of, with_content
+from .streams import ROW_BYTES, bound_content, open_bytes, sha256_of, with_content
 
 _COLUMNS = "archive string, member string, length long, {what}error string"
 #: Bytes of members that a task holds before it passes them on.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
-def list_archives(spark: SparkSession, root: str, glob: str = "*.tar") -> DataFrame:
+def list_archives(spark: SparkSession, root: str, glob: str = "*.tar", row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Archives as (path, length, content); those beyond ``row_bytes`` without content, to be streamed from a store
+    that Python opens as well."""
+    bound_content(spark)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root))
-    return with_content(files)
+    return with_content(files, row_bytes)
 
 
 def _read_members(take, field: str | None, row_bytes: int = ROW_BYTES):

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 ROW_BYTES = (1 << 31) - (1 << 20)
 
 
+#: Bytes of one Arrow batch of rows that carry files: a task's Python holds few of them at once.
+ARROW_BYTES = 8 << 20
+
+
+def bound_content(spark) -> None:
+    """Arrow batches of bounded bytes, since rows hold whole files."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def with_content(listing: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     """``binaryFile`` rows as (path, length, content), content null where it has to be streamed."""
     small = listing.filter(F.col("length") <= row_bytes).select("path", "length", "content")
@@ -47,6 +56,11 @@ def sha256_of(stream) -> str:
 
 def put_bytes(uri: str, data: bytes) -> None:
     """Write a file under its final name only when it is whole, so a task may run twice."""
+    put_stream(uri, lambda out: out.write(data))
+
+
+def put_stream(uri: str, write) -> None:
+    """As :func:`put_bytes`, of what ``write`` writes into the file object, piece by piece."""
     import uuid
 
     from pyarrow import fs
@@ -57,5 +71,5 @@ def put_bytes(uri: str, data: bytes) -> None:
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
-        out.write(data)
+        write(out)
     store.move(part, path)
