@@ -26,6 +26,7 @@ are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -57,6 +58,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 _STOPS = ".,;:!?"
+#: Words that are encoded as one text.
+AT_ONCE = 64
+
+
+def _leaves_letters(state: dict) -> bool:
+    """Whether a tokenizer passes lower-case ASCII letters to its model in one part and as they are."""
+    of = lambda part, name: [(s["type"], (s.get("pattern") or {}).get("Regex", "")) for s in (state.get(part) or {}).get(name, [])]
+    normal, split = of("normalizer", "normalizers"), of("pre_tokenizer", "pretokenizers")
+    return (normal == [("NFC", ""), ("Replace", r"\s+"), ("Lowercase", "")] and [t for t, _ in split] == ["Split", "ByteLevel"]
+            and split[0][1] == _SPLIT and not state["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"])
+
+
+#: A split that takes a run of letters as one part; the marks of elisions need an apostrophe.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -70,14 +85,33 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        blank = AddedToken(" ", normalized=False, special=True)  # parts words before anything else looks at them
+        self.words = Tokenizer.from_file(path)
+        self.words.add_special_tokens([blank])
+        self.plain = None  # the bare model, where lower-case ASCII letters reach it as they are
+        if _leaves_letters(json.loads(self.tokenizer.to_str())):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.add_special_tokens([blank])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words that leave unless they come again
 
     def _ids(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
+        if self.plain is not None:
+            plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+            self._ids_of(self.plain, plain)
+            words = [w for w in words if w not in self.known]
+        self._ids_of(self.words, words)
+
+    def _ids_of(self, tokenizer, words: list[str]) -> None:
+        """Words go to the tokenizer many at a time, parted by blanks, whose ids part theirs again."""
+        blank, lines = tokenizer.token_to_id(" "), [words[k:k + AT_ONCE] for k in range(0, len(words), AT_ONCE)]
+        for line, e in zip(lines, tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts, raw = (np.flatnonzero(ids == blank) * 4).tolist(), ids.tobytes()
+            for w, lo, hi in zip(line, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)]):
+                self.known[w] = raw[lo:hi]
 
     def _learn(self, words: set[str]) -> None:
         """Makes the ids of all ``words`` known; half of the cache goes when it is full, words in use stay."""
