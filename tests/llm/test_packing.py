@@ -84,3 +84,17 @@ def test_words_leave_a_full_cache_and_come_back(tokenizer, monkeypatch):
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode_all(texts)] == want
         assert len(encoder.known) <= 40 + 2 * 24
+
+
+def test_words_share_one_text_and_keep_their_ids(tokenizer):
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    assert encoder.plain is not None
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 14))) for _ in range(300)}
+                   | {"don't", "x1y2", "straße", "naïve", "<|endoftext|>", "a.b", "...", "İx", "\U0001f600", "it's", "éa"})
+    encoder._ids(words)
+    for w in words:
+        assert encoder.known[w] == np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+    other = Tokenizer.from_file(packing.tokenizer_path())
+    assert not packing._leaves_letters({"normalizer": None, "pre_tokenizer": None})
+    assert other.get_vocab_size() == tokenizer.get_vocab_size()

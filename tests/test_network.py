@@ -174,3 +174,49 @@ def test_table_scorer_learns(spark):
     pred = hybrid_label(held.select("doc_id", "text"), R.table_scorer(model, "doc_id")).join(held.select("doc_id", "label"), "doc_id")
     assert pred.filter("predicted_label = label").count() / held.count() > 0.9
     assert pred.filter("confidence < 0.5 OR confidence > 1").count() == 0
+
+
+def test_relational_fit_with_few_frequent_terms(spark, monkeypatch):
+    """Most terms meet the rows by a shuffle; repeated keys are one text with several labels, null keys none."""
+    rows = [(1, "vile foul the", 1), (1, "the the", 0), (2, "green the calm", 0), (3, "foul ugly the", 1), (4, "", 0),
+            (None, "vile green odd", 1), (None, "odd", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    whole = {r["term"]: (r["idf"], r["weight"]) for r in R.fit(df, steps=3).collect()}
+    monkeypatch.setattr(R, "OFTEN", 2)
+    few = R.fit(df, steps=3)
+    terms = few.filter("term <> ''")
+    assert 0 < terms.filter(F.col("idf") < R.often_below(terms)).count() <= 2 < terms.count()
+    got = {r["term"]: (r["idf"], r["weight"]) for r in few.collect()}
+    assert got.keys() == whole.keys() and all(got[t] == pytest.approx(whole[t]) for t in got)
+    assert got["odd"][0] == pytest.approx(math.log(8 / 2))  # the rows without a key are one text
+    margins = [(r["doc_id"], r["margin"]) for r in R.margins(few, df, "doc_id").collect()]
+    assert len(margins) == 7 and {m for k, m in margins if k in (4, None)} == {pytest.approx(got[""][1])}
+
+
+def test_relational_shuffles_no_single_terms_for_the_gradient(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "k long, term string, tf long")
+    idf = spark.createDataFrame([(0, "a", 0.5), (3, "b", 2.0)], "tid long, term string, idf double")
+    out = {r["k"]: dict(zip(r["tids"], r["xs"])) for r in R.features(counts, idf, "k", F.col("idf") < 1).collect()}
+    assert out == {1: {0: pytest.approx(1 / math.sqrt(5)), 3: pytest.approx(2 / math.sqrt(5))}, 2: {0: 1.0}}
+
+
+def test_rows_are_added_number_by_number():
+    rng = np.random.default_rng(1)
+    for ufunc in (np.add, np.subtract):
+        rows, which = rng.normal(size=(7, 5)).astype(np.float32), rng.integers(0, 7, 200)
+        values, want = rng.normal(size=(200, 5)).astype(np.float32), None
+        want = rows.copy()
+        ufunc.at(want, which, values)
+        N._at(ufunc, rows, which, values)
+        assert rows.tobytes() == want.tobytes()
+    N._at(np.add, rows, np.empty(0, np.int64), np.empty((0, 5), np.float32))
+
+
+def test_messages_are_dealt_out_before_scoring(spark):
+    import __spark_entry__ as E
+    from msgaudit.plans.tables import dealt, messages
+
+    plan = E.queries()["bytes_literal"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    rows = messages(spark, SF_SMALL)
+    assert sorted(dealt(rows, "doc_id", "text").collect()) == sorted(rows.collect())

@@ -179,3 +179,25 @@ def test_a_bad_table_is_an_error_row_and_bad_bytes_keep_their_rows(spark, tmp_pa
     assert [r.source_table for r in scan_errors(scan).collect()] == ["broken"]
     assert scan.filter("kind = 'row'").groupBy("source_table").count().collect()[0]["count"] == 3001
     assert flatten_scan(scan).filter(F.col("text").endswith("A")).count() == 1
+
+
+def test_archives_are_streamed_and_batches_bounded(spark, tmp_path):
+    from msgaudit.plans.evidence import _tar_of
+    from msgaudit.sources.sqlite import _scanner
+    from msgaudit.sources.streams import ARROW_BYTES, put_stream
+
+    entries = [(f"d/{i}.db", bytes([i]) * 3000) for i in range(5)]
+    put_stream(f"file://{tmp_path}/t/a.tar", _tar_of(iter(entries)))
+    assert [m.name for m in tarfile.open(tmp_path / "t" / "a.tar")] == [n for n, _ in entries]
+    whole, streamed = (list_archives(spark, f"file://{tmp_path}/t", row_bytes=n) for n in (1 << 30, 1000))
+    assert streamed.filter("content IS NULL").count() == 1 == whole.filter("content IS NOT NULL").count()
+    assert sorted(tar_members(streamed).collect()) == sorted(tar_members(whole).collect())
+    assert database_listing(streamed).count() == 5 and member_hashes(streamed).filter("error IS NULL").count() == 5
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(ARROW_BYTES)
+
+    import pandas as pd
+
+    make_db(str(tmp_path / "long.db"), [("CREATE TABLE messages (text TEXT)", [("x" * (3 << 20),)] * 6)])
+    given = pd.DataFrame({"path": ["long.db"], "content": [(tmp_path / "long.db").read_bytes()]})
+    sizes = [len(out) for out in _scanner([])(iter([given]))]
+    assert sum(sizes) == 7 and max(sizes) <= 3  # rows and the catalog, 3 MB a row
