@@ -17,7 +17,8 @@ like each other end up in one component, whatever the size of the bucket:
   whose parities differ in more bits than the tokens that only one of two items
   that are like may hold: each item has ``PARITY`` bits, and each of its tokens
   turns one of them.  Pairs with such a token, a bucket in common and different
-  components are verified.
+  components are verified.  A pair meets at the first token that it shares: where
+  both have one in common among the ``BEFORE`` ones before, it has met there.
 
 So a bucket of near copies of one text costs a pair an item, a bucket of items
 around one frequent passage costs the pairs with a rare token in common, and
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, hash_bitmap, in_bitmap
 
 SMALL = 4
 #: Tokens are ordered by counts in so many cells (a power of two); any order gives the same links.
@@ -44,6 +45,8 @@ CELLS = 1 << 18
 PARITY = 256
 #: Bits in which an item's buckets are marked where items meet by their tokens; the keys decide later.
 KEY_BITS = 128
+#: Tokens before a token that come with it, so a pair that shares several is mostly made once; any number gives the same pairs.
+BEFORE = 16
 
 
 def buckets(items: DataFrame) -> DataFrame:
@@ -97,6 +100,7 @@ def key_bits(keys) -> np.ndarray:
 
 
 _PARITIES, _KEY_BITS = [f"p{j}" for j in range(PARITY // 64)], [f"k{j}" for j in range(KEY_BITS // 64)]
+_BITS = _PARITIES + _KEY_BITS
 
 
 def _count(batches):
@@ -108,21 +112,47 @@ def _count(batches):
     yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(seen[cells])})
 
 
-def _rarest(counts, least: float):
-    """The first tokens of every item, one of which all that are like it share."""
+def _first(data: bytes, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of an item, one of which all that are like it share, in their order; and all its tokens."""
+    tokens = labelled(data)
+    first = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1
+    return tokens[np.lexsort((tokens, counts[_cell(tokens)]))[:first]].view(np.int64), tokens
+
+
+def _first_tokens(counts, least: float):
+    """(token, out) of the first tokens of every item."""
+    def run(batches):
+        for batch in batches:
+            found = [_first(data, counts.value, least)[0] for data in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "token": pa.array(np.concatenate([*found, np.empty(0, np.int64)])),
+                "out": pa.array(np.repeat(batch.column("out").to_numpy(zero_copy_only=False), [len(f) for f in found]))})
+    return run
+
+
+def _rarest(counts, least: float, shared):
+    """The first tokens of every item that the bitmap says another has, each with up to ``BEFORE`` such before it."""
     def run(batches):
         for batch in batches:
-            for i, data in enumerate(batch.column("data").to_pylist()):
-                tokens = labelled(data)
-                first, bits = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1, parity(tokens)
-                tokens = tokens[np.lexsort((tokens, counts.value[_cell(tokens)]))[:first]].view(np.int64)
-                row = batch.slice(i, 1).select(["id", "root", "out", "keys"]).to_pydict()
-                yield pa.RecordBatch.from_pydict({
-                    "place": pa.array(np.arange(len(tokens))),
-                    "id": pa.array(row["id"] * len(tokens), pa.int64()), "root": pa.array(row["root"] * len(tokens), pa.int64()),
-                    "out": pa.array(row["out"] * len(tokens), pa.bool_()),
-                    "size": pa.array(np.full(len(tokens), len(data) // 4, np.int64)), "token": pa.array(tokens),
-                    **{p: pa.array(np.full(len(tokens), b)) for p, b in zip(_PARITIES + _KEY_BITS, [*bits, *key_bits(row["keys"][0])])}})
+            found, places, before, bits = [], [], [], []
+            for data, keys in zip(batch.column("data").to_pylist(), batch.column("keys").to_pylist()):
+                first, tokens = _first(data, counts.value, least)
+                place = np.flatnonzero(in_bitmap(shared.value, first))
+                found.append(first[place])
+                places.append(place)
+                before += [found[-1][max(0, k - BEFORE):k] for k in range(len(place))]
+                bits.append(np.r_[parity(tokens), key_bits(keys)])
+            n = [len(f) for f in found]
+            bits = np.repeat(np.array(bits, np.int64).reshape(-1, len(_BITS)), n, axis=0)
+            each = lambda c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)
+            size = np.array([len(d) // 4 for d in batch.column("data").to_pylist()], np.int64)
+            none = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "place": pa.array(np.concatenate([*places, none])), "id": pa.array(each("id")), "root": pa.array(each("root")),
+                "out": pa.array(each("out")), "size": pa.array(np.repeat(size, n)), "token": pa.array(np.concatenate([*found, none])),
+                "before": pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in before]), pa.int32()),
+                                                   pa.array(np.concatenate([*before, none]))),
+                **{p: pa.array(bits[:, j]) for j, p in enumerate(_BITS)}})
     return run
 
 
@@ -147,19 +177,24 @@ def rare_pairs(left: DataFrame, payload: DataFrame, least: float, scratch: Scrat
     counts = np.zeros(CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     order = people.sparkSession.sparkContext.broadcast(counts)
+    # most of the first tokens stand in one item alone
+    held = people.select("out", "data").mapInArrow(_first_tokens(order, least), "token long, out boolean").groupBy("token").agg(
+        F.count("*").alias("n"), F.max("out").alias("out"))
+    shared_tokens = people.sparkSession.sparkContext.broadcast(hash_bitmap(held.filter("n > 1 and out"), "token"))
     rare = scratch.keep(people.select("id", "root", "out", "keys", "data").mapInArrow(
-        _rarest(order, least), "place long, id long, root long, out boolean, size long, token long, "
-        + ", ".join(f"{p} long" for p in _PARITIES + _KEY_BITS)), "rare")
+        _rarest(order, least, shared_tokens), "place long, id long, root long, out boolean, size long, token long, before array<long>, "
+        + ", ".join(f"{p} long" for p in _BITS)), "rare")
     # what stands at the token and behind it, in either item, bounds what they can share, and so do the parities
     behind = lambda c: F.col(f"size_{c}") - F.col(f"place_{c}")
-    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size", *_PARITIES, *_KEY_BITS)])
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size", "before", *_BITS)])
     enough = (shared or shared_of_larger(least))(F.col("size_a"), F.col("size_b")) - 1e-6
     differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES)
     bucket = reduce(Column.__or__, [F.col(f"{k}_a").bitwiseAND(F.col(f"{k}_b")) != 0 for k in _KEY_BITS])
     met = side(rare.filter("out"), "a").join(side(rare, "b"), "token").filter(
         (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b"))) & bucket
         & (F.least("size_a", "size_b", behind("a"), behind("b")) >= enough)
-        & (differ <= F.col("size_a") + F.col("size_b") - 2 * enough))
+        & (differ <= F.col("size_a") + F.col("size_b") - 2 * enough)
+        & ~F.arrays_overlap("before_a", "before_b"))  # they have met at a token before
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), people.select("id", "keys", "data")
 
 

@@ -234,3 +234,24 @@ def test_items_around_one_passage_make_few_pairs(spark):
     assert (0, n - 1) in met and len(met) < n * (n - 1) // 2 // 20
     like = lsh.verify_pairs(pairs, people, substring.jaccard).filter("like >= 0.8").collect()
     assert [(r["a"], r["b"]) for r in like] == [(0, n - 1)]
+
+
+def test_a_pair_meets_once_by_its_tokens(spark):
+    """Items that share nearly all their rare tokens: the join by token makes each pair once, and none is lost."""
+    rnd = random.Random(13)
+    base = rnd.sample(range(100_000), 100)
+    sets = [set(base) - set(rnd.sample(base, 5)) | {200_000 + 10 * k + j for j in range(5)} for k in range(40)]
+    data = [(i, np.array(sorted(s), np.uint32).tobytes()) for i, s in enumerate(sets)]
+    scratch = Scratch(spark, "test-once")
+    payload = scratch.keep(spark.createDataFrame(data, "id long, data binary"), "payload")
+    left = spark.createDataFrame([(i, i, True, [1]) for i in range(40)], "id long, root long, out boolean, keys array<long>")
+    pairs, _ = lsh.rare_pairs(left, payload, 0.8, scratch)
+    met = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    rare = spark.read.parquet(scratch.path("rare"))
+    tokens = rare.groupBy("token").count().filter("count < 2").count()
+    assert tokens == 0 and rare.select("before").filter("size(before) > 0").count() > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "arrays_overlap" in plan
+    each = rare.alias("a").join(rare.alias("b"), "token").filter("a.id < b.id")
+    assert each.count() > 10 * len(met) and each.filter("not arrays_overlap(a.before, b.before)").count() <= 1.2 * len(met)
