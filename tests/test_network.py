@@ -200,6 +200,37 @@ def test_relational_shuffles_no_single_terms_for_the_gradient(spark):
     assert out == {1: {0: pytest.approx(1 / math.sqrt(5)), 3: pytest.approx(2 / math.sqrt(5))}, 2: {0: 1.0}}
 
 
+def test_words_are_counted_where_the_texts_lie(spark):
+    """One shuffle, that of the texts, and no aggregation of words; repeated keys are one text, also over several batches."""
+    rows = [(k % 7 if k % 7 else None, " ".join(["b a", "A  c", "", "a"][:k % 5])) for k in range(40)] + [(9, None), (10, "")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        counts = R.term_counts(df, "k")
+        got = sorted((r["k"] or 0, r["term"], r["tf"]) for r in counts.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for k, text in rows:
+        for w in (text or "").lower().split():
+            want[k or 0, w] = want.get((k or 0, w), 0) + 1
+    assert got == sorted((*kw, n) for kw, n in want.items())
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+
+
+def test_features_stay_where_they_lie(spark):
+    """A step's residuals are shuffled to the rows of the features, which lie by key."""
+    rows = spark.createDataFrame([(k, [k], [1.0]) for k in range(50)], "k long, tids array<long>, xs array<double>")
+    x, table = R._by_key(rows.repartition(8, "k"), "k", 8, "features")
+    residual = spark.createDataFrame([(k, float(k)) for k in range(50)], "k long, r double")
+    both = x.join(residual.hint("shuffle_hash"), "k")
+    assert sorted((r["k"], r["r"]) for r in both.collect()) == [(k, float(k)) for k in range(50)]
+    assert both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_rows_are_added_number_by_number():
     rng = np.random.default_rng(1)
     for ufunc in (np.add, np.subtract):
