@@ -3,6 +3,7 @@ membership bitmaps, distributed row numbers and connected components."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -34,11 +35,14 @@ class Scratch:
 
     ``keep`` writes a DataFrame and reads it back, which cuts its lineage and
     survives lost executors; ``drop`` deletes a table that no later step reads.
+    ``keep_by`` writes a table that lies bucketed by a key, so joins by that key
+    shuffle the other side alone.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{job}-{uuid.uuid4().hex[:12]}"
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,8 +51,16 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        table = self.tables[name] = re.sub(r"\W", "_", f"{self.root.rsplit('/', 1)[1]}_{name}")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(parts, key).option("path", self.path(name)).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:  # the catalog's entry; the files lie in the shared folder
+                self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

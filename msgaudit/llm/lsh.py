@@ -33,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +46,44 @@ CELLS = 1 << 18
 PARITY = 256
 #: Bits in which an item's buckets are marked where items meet by their tokens; the keys decide later.
 KEY_BITS = 128
-#: Tokens before a token that come with it, so a pair that shares several is mostly made once; any number gives the same pairs.
+#: Tokens before a token whose numbers come with it, so a pair that shares several is mostly made once; any number gives the same pairs.
 BEFORE = 16
 
 
-def buckets(items: DataFrame) -> DataFrame:
-    """(id, keys) -> (key, id) of the buckets that two items or more share."""
-    rows = items.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return rows.join(shared, "key")
+def _in_shared(shared):
+    """(key, id) of the items' keys in the bitmap, each once an item."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            some = in_bitmap(shared.value, keys)
+            keys, owner = keys[some], owner[some]
+            order = np.lexsort((keys, owner))
+            keys, owner = keys[order], owner[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])] if len(keys) else np.empty(0, bool)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new]), "id": batch.column("id").take(pa.array(owner[new]))})
+    return run
+
+
+def buckets(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(id, keys) -> (key, id) of the buckets that two items or more share.
+
+    Hardly a key is shared: they are counted first, and a bitmap of those that
+    are lets no other one be sent with its item.
+    """
+    scratch = scratch or Scratch(items.sparkSession, "buckets")
+    shared = scratch.keep(items.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key")
+                               .agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
+    bitmap = items.sparkSession.sparkContext.broadcast(hash_bitmap(shared, "key"))
+    return items.select("id", "keys").mapInArrow(_in_shared(bitmap), "key long, id long").join(shared, "key")
+
+
+def sized_alike(pairs: DataFrame, payload: DataFrame, shared: Callable[[Column, Column], Column]) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sizes allow that they share what two that are like do; the others move no payload."""
+    size = lambda c: payload.select(F.col("id").alias(c), (F.octet_length("data") / 4).alias(f"size_{c}"))
+    both = pairs.join(size("a"), "a").join(size("b"), "b")
+    return both.filter(F.least("size_a", "size_b") >= shared(F.col("size_a"), F.col("size_b")) - 1e-6).select("a", "b")
 
 
 def verify_pairs(pairs: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float]) -> DataFrame:
@@ -112,11 +142,22 @@ def _count(batches):
     yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(seen[cells])})
 
 
-def _first(data: bytes, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens of an item, one of which all that are like it share, in their order; and all its tokens."""
+def _first(data: bytes, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first tokens of an item, one of which all that are like it share, in their order; all its tokens; and where
+    the first ones stand among the sorted numbers."""
     tokens = labelled(data)
     first = len(tokens) - int(np.ceil(least * len(tokens) - 1e-6)) + 1
-    return tokens[np.lexsort((tokens, counts[_cell(tokens)]))[:first]].view(np.int64), tokens
+    at = np.lexsort((tokens, counts[_cell(tokens)]))[:first]
+    return tokens[at].view(np.int64), tokens, at
+
+
+def _before(data: bytes, at: np.ndarray) -> list[np.ndarray]:
+    """To each of an item's tokens, which stand ``at`` these places of its sorted numbers, up to ``BEFORE`` of those before it:
+    the numbers alone, of tokens that are a number's first occurrence, so the number tells the token."""
+    values = np.sort(np.frombuffer(data, np.uint32))
+    once = np.flatnonzero((at == 0) | (values[at] != values[at - 1]))
+    values, upto = values[at[once]].view(np.int32), np.searchsorted(once, np.arange(len(at)))
+    return [values[max(0, k - BEFORE):k] for k in upto]
 
 
 def _first_tokens(counts, least: float):
@@ -131,16 +172,16 @@ def _first_tokens(counts, least: float):
 
 
 def _rarest(counts, least: float, shared):
-    """The first tokens of every item that the bitmap says another has, each with up to ``BEFORE`` such before it."""
+    """The first tokens of every item that the bitmap says another has, each with numbers of up to ``BEFORE`` such before it."""
     def run(batches):
         for batch in batches:
             found, places, before, bits = [], [], [], []
             for data, keys in zip(batch.column("data").to_pylist(), batch.column("keys").to_pylist()):
-                first, tokens = _first(data, counts.value, least)
+                first, tokens, at = _first(data, counts.value, least)
                 place = np.flatnonzero(in_bitmap(shared.value, first))
                 found.append(first[place])
                 places.append(place)
-                before += [found[-1][max(0, k - BEFORE):k] for k in range(len(place))]
+                before += _before(data, at[place])
                 bits.append(np.r_[parity(tokens), key_bits(keys)])
             n = [len(f) for f in found]
             bits = np.repeat(np.array(bits, np.int64).reshape(-1, len(_BITS)), n, axis=0)
@@ -151,7 +192,7 @@ def _rarest(counts, least: float, shared):
                 "place": pa.array(np.concatenate([*places, none])), "id": pa.array(each("id")), "root": pa.array(each("root")),
                 "out": pa.array(each("out")), "size": pa.array(np.repeat(size, n)), "token": pa.array(np.concatenate([*found, none])),
                 "before": pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in before]), pa.int32()),
-                                                   pa.array(np.concatenate([*before, none]))),
+                                                   pa.array(np.concatenate([*before, np.empty(0, np.int32)]))),
                 **{p: pa.array(bits[:, j]) for j, p in enumerate(_BITS)}})
     return run
 
@@ -182,20 +223,27 @@ def rare_pairs(left: DataFrame, payload: DataFrame, least: float, scratch: Scrat
         F.count("*").alias("n"), F.max("out").alias("out"))
     shared_tokens = people.sparkSession.sparkContext.broadcast(hash_bitmap(held.filter("n > 1 and out"), "token"))
     rare = scratch.keep(people.select("id", "root", "out", "keys", "data").mapInArrow(
-        _rarest(order, least, shared_tokens), "place long, id long, root long, out boolean, size long, token long, before array<long>, "
+        _rarest(order, least, shared_tokens), "place long, id long, root long, out boolean, size long, token long, before array<int>, "
         + ", ".join(f"{p} long" for p in _BITS)), "rare")
     # what stands at the token and behind it, in either item, bounds what they can share, and so do the parities
     behind = lambda c: F.col(f"size_{c}") - F.col(f"place_{c}")
-    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "out", "size", "before", *_BITS)])
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "id", "root", "size", "before", *_BITS)])
     enough = (shared or shared_of_larger(least))(F.col("size_a"), F.col("size_b")) - 1e-6
     differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES)
     bucket = reduce(Column.__or__, [F.col(f"{k}_a").bitwiseAND(F.col(f"{k}_b")) != 0 for k in _KEY_BITS])
-    met = side(rare.filter("out"), "a").join(side(rare, "b"), "token").filter(
-        (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b"))) & bucket
-        & (F.least("size_a", "size_b", behind("a"), behind("b")) >= enough)
-        & (differ <= F.col("size_a") + F.col("size_b") - 2 * enough)
-        & ~F.arrays_overlap("before_a", "before_b"))  # they have met at a token before
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), people.select("id", "keys", "data")
+    out, rest = rare.filter("out"), rare.filter("not out")
+
+    def met(other: DataFrame, once: Column) -> DataFrame:
+        return side(out, "a").join(side(other, "b"), "token").filter(
+            (F.col("root_a") != F.col("root_b")) & once & bucket
+            & (F.least("size_a", "size_b", behind("a"), behind("b")) >= enough)
+            & (differ <= F.col("size_a") + F.col("size_b") - 2 * enough)
+            & ~F.arrays_overlap("before_a", "before_b")  # they have met at a token before
+        ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    # the items that are out on both sides and with the others: each is shuffled once
+    pairs = met(out, F.col("id_a") < F.col("id_b")).union(met(rest, F.col("id_a") != F.col("id_b"))).distinct()
+    return pairs, people.select("id", "keys", "data")
 
 
 def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float],
@@ -204,7 +252,8 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     """Verified links (a, b, like) of at least ``least``, and (id, root) of the components.
 
     ``items`` are (id, keys), ``members`` their :func:`buckets`, ``payload``
-    (id, data) what ``likeness`` compares; the last two are written tables.
+    (id, data) what ``likeness`` compares; the last two are written tables, the
+    payload best bucketed by id (:meth:`Scratch.keep_by`).
     ``shared`` as in :func:`rare_pairs`.
     """
     def verified(pairs, payload, name):
@@ -218,7 +267,9 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
     few, many = sized.filter(F.col("n") <= small + 1), sized.filter(F.col("n") > small + 1)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b")
     star = many.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    found = verified(every.select("a", "b").union(star).distinct(), payload, "first")
+    pairs = scratch.keep(every.select("a", "b").union(star).distinct(), "pairs-all")
+    found = verified(sized_alike(pairs, payload, shared or shared_of_larger(least)), payload, "first")
+    scratch.drop("pairs-all")
     roots = scratch.keep(components(found, scratch, "components"), "roots-first")
 
     rest = many.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

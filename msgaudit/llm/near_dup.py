@@ -327,10 +327,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     items = scratch.keep(sketches.groupBy("digest").agg(F.first("keys").alias("keys"), F.min(order).alias("low"),
                                                         F.count("*").alias("copies")), "items")
     keyed = items.select(F.col("digest").alias("id"), "keys")
-    members = scratch.keep(lsh.buckets(keyed), "members")
+    members = scratch.keep(lsh.buckets(keyed, scratch), "members")
+    scratch.drop("shared-keys")
     wanted = spark.sparkContext.broadcast(hash_bitmap(members.select("id").distinct(), "id"))
-    payload = scratch.keep(docs.select(text.alias("text")).mapInArrow(_payload(wanted), "id long, data binary")
-                               .groupBy("id").agg(F.first("data").alias("data")), "payload")
+    payload = scratch.keep_by(docs.select(text.alias("text")).mapInArrow(_payload(wanted), "id long, data binary")
+                                  .groupBy("id").agg(F.first("data").alias("data")), "payload", "id")
     found, roots = lsh.links(keyed, members, payload, likeness, LEAST, scratch)
     scratch.drop("payload", "members")
     ends = found.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))

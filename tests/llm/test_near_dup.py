@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -255,3 +256,83 @@ def test_a_pair_meets_once_by_its_tokens(spark):
     assert "arrays_overlap" in plan
     each = rare.alias("a").join(rare.alias("b"), "token").filter("a.id < b.id")
     assert each.count() > 10 * len(met) and each.filter("not arrays_overlap(a.before, b.before)").count() <= 1.2 * len(met)
+
+
+def test_only_shared_keys_are_sent_with_their_items(spark):
+    """A key that one item has, even twice, is no bucket, and does not leave the item's task; the buckets are whole."""
+    rnd = random.Random(5)
+    items = [(i, [rnd.randrange(-2000, 2000) for _ in range(rnd.randrange(6))]) for i in range(400)] + [(900, [77_777, 77_777]), (901, [])]
+    df = spark.createDataFrame(items, "id long, keys array<long>").repartition(3)
+    scratch = Scratch(spark, "test-buckets")
+    found = lsh.buckets(df, scratch)
+    by = {}
+    for i, keys in items:
+        for k in keys:
+            by.setdefault(k, set()).add(i)
+    expected = {(k, i) for k, ids in by.items() if len(ids) > 1 for i in ids}
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert spark.read.parquet(scratch.path("shared-keys")).count() == len({k for k, _ in expected})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # keys are taken apart and sifted before the shuffle
+
+
+def test_a_payload_bucketed_by_id_stays_where_it_is(spark):
+    scratch = Scratch(spark, "test-bucketed")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        payload = scratch.keep_by(spark.range(500).selectExpr("id", "cast(cast(id as string) as binary) data"), "payload", "id")
+        both = spark.range(1000).selectExpr("id * 2 as id", "id as other").join(payload, "id")
+        assert both.count() == 250
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    table = scratch.tables["payload"]
+    scratch.drop("payload")
+    assert not spark.catalog.tableExists(table)
+
+
+def test_pairs_of_unlike_sizes_move_no_payload(spark):
+    scratch = Scratch(spark, "test-sizes")
+    sizes = [0, 1, 4, 5, 20, 25, 26, 80, 100, 101, 1000]
+    payload = scratch.keep(spark.createDataFrame([(n, bytes(4 * n)) for n in sizes], "id long, data binary"), "payload")
+    pairs = [(a, b) for a in sizes for b in sizes if a < b]
+    kept = lsh.sized_alike(spark.createDataFrame(pairs, "a long, b long"), payload, lsh.shared_of_larger(0.8))
+    assert {tuple(r) for r in kept.collect()} == {(a, b) for a, b in pairs if a >= 0.8 * b - 1e-6}
+    union = lsh.sized_alike(spark.createDataFrame(pairs, "a long, b long"), payload, lsh.shared_of_union(0.8))
+    assert {tuple(r) for r in union.collect()} == {(a, b) for a, b in pairs if a >= 0.8 * b - 1e-6}
+
+
+def test_rare_rows_are_shuffled_once(spark):
+    """Items with repeated words, some of them out: every pair that is like is met, and each token's row moves once."""
+    rnd = random.Random(17)
+    texts = []
+    for k in range(12):
+        base = [rnd.randrange(60) for _ in range(60)]
+        for _ in range(5):
+            text = list(base)
+            for at in rnd.sample(range(60), 4):
+                text[at] = rnd.randrange(60)
+            texts.append(text)
+    data = [(i, np.array(t, np.uint32).tobytes()) for i, t in enumerate(texts)]
+    out = [i % 3 != 0 for i in range(len(texts))]
+    scratch = Scratch(spark, "test-rare")
+    payload = scratch.keep(spark.createDataFrame(data, "id long, data binary"), "payload")
+    left = spark.createDataFrame([(i, i, out[i], [1]) for i in range(len(texts))], "id long, root long, out boolean, keys array<long>")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, _ = lsh.rare_pairs(left, payload, 0.8, scratch)
+        rows = [frozenset((r["a"], r["b"])) for r in pairs.collect()]
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    share = lambda x, y: sum((Counter(x) & Counter(y)).values())
+    like = {frozenset((a, b)) for a in range(len(texts)) for b in range(a) if (out[a] or out[b]) and share(texts[a], texts[b]) >= 0.8 * 60}
+    assert len(rows) == len(set(rows)) and like and like <= set(rows)
+    assert not any(not out[a] and not out[b] for a, b in map(tuple, rows))
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    before = spark.read.parquet(scratch.path("rare")).schema["before"].dataType.simpleString()
+    assert before == "array<int>"  # numbers, half as wide as tokens
