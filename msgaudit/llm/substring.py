@@ -200,10 +200,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = spark.sparkContext.broadcast(hash_bitmap(seen, "key"))
     found = scratch.keep(rows.mapInArrow(_found(repeated), _FOUND), "found")
 
-    items = scratch.keep(found.filter("kind = 'item'").groupBy(F.col("key").alias("id"))
-                              .agg(F.first("keys").alias("keys"), F.first("data").alias("data")), "items")
+    items = scratch.keep_by(found.filter("kind = 'item'").groupBy(F.col("key").alias("id"))
+                                 .agg(F.first("keys").alias("keys"), F.first("data").alias("data")), "items", "id")
     keyed = items.select("id", "keys")
-    members = scratch.keep(lsh.buckets(keyed), "members")
+    members = scratch.keep(lsh.buckets(keyed, scratch), "members")
+    scratch.drop("shared-keys")
     _, roots = lsh.links(keyed, members, items.select("id", "data"), jaccard, LEAST, scratch,
                           shared=lsh.shared_of_union(LEAST))
     scratch.drop("members", "items")
