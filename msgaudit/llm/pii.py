@@ -13,7 +13,8 @@ border is one span.  A decoded span is added if it overlaps no base span and has
 the ``SHAPE`` of its kind.
 
 Windows whose emissions cannot beat the empty tagging by any path (a bound over
-all transitions) are decoded without the search, with the same result.
+all transitions) are decoded without the search, and windows that can have no part
+in an added span (see :func:`tag_texts`) are not decoded, with the same result.
 
 Null texts count as empty and have no spans.  Repeated rows give repeated rows.
 Without any labelled span the network adds nothing.
@@ -279,33 +280,47 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def tag_texts(tagger: Tagger, texts: list[str], block: int = 512) -> list[np.ndarray]:
-    """Tags of every character: overlapping windows, decoded and reconciled."""
-    out = [np.zeros(len(t), np.uint8) for t in texts]
+    """Tags of every character: overlapping windows, decoded and reconciled.
+
+    Windows that can have no part in a span with a ``SHAPE`` are left at "none":
+    every shape has a digit or an at sign, so windows that decide none of these
+    are decoded only where a tag other than "none" reaches their border.
+    """
     flat = np.concatenate([classes_of(t) for t in texts]) if texts else np.empty(0, np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], int)
+    ends = np.cumsum(lengths)
     doc, first = [], []
     for k, t in enumerate(texts):
         starts = np.arange(0, max(1, len(t) - (WINDOW - STRIDE)), STRIDE) if t else np.empty(0, np.int64)
         doc.append(np.full(len(starts), k))
         first.append(starts)
     doc, first = np.concatenate(doc or [[]]).astype(int), np.concatenate(first or [[]]).astype(int)
-    size = np.minimum(WINDOW, np.array([len(t) for t in texts], int)[doc] - first)
+    begin, size = ends[doc] - lengths[doc] + first, np.minimum(WINDOW, lengths[doc] - first)
     order, edge = np.argsort(size, kind="stable"), (WINDOW - STRIDE) // 2
+    low, high = np.where(first > 0, edge, 0), np.where(first + size < lengths[doc], size - edge, size)  # what a window decides
+    steps = np.empty_like(size)
     for lo in range(0, len(order), block):
-        at = order[lo:lo + block]
-        steps = int(size[at].max())
-        grid = np.arange(steps)[:, None]
-        begin = ends[doc[at]] - [len(texts[d]) for d in doc[at]] + first[at]
-        inside = grid < size[at]
-        # behind a text's end the window reads blanks
-        x = np.where(inside, flat[np.where(inside, begin + grid, 0)], 32)
-        tags = tagger.decode(x)
-        for j in np.flatnonzero(tags.any(0)):
-            k, a, n = doc[at[j]], first[at[j]], size[at[j]]
-            lo_edge = edge if a else 0
-            hi_edge = n - edge if a + n < len(texts[k]) else n
-            out[k][a + lo_edge:a + hi_edge] = tags[lo_edge:hi_edge, j]
-    return out
+        steps[order[lo:lo + block]] = size[order[lo:lo + block]].max()
+    hints = np.r_[0, np.cumsum((flat == ord("@")) | (flat >= ord("0")) & (flat <= ord("9")))]
+    out, seen = np.zeros(len(flat), np.uint8), np.zeros(len(doc), bool)
+    todo = np.flatnonzero(hints[begin + high] > hints[begin + low])
+    while len(todo):
+        seen[todo] = True
+        reached = []
+        for n in np.unique(steps[todo]):
+            alike = todo[steps[todo] == n]
+            for at in (alike[lo:lo + block] for lo in range(0, len(alike), block)):
+                grid = np.arange(n)[:, None]
+                inside = grid < size[at]
+                # behind a text's end the window reads blanks
+                x = np.where(inside, flat[np.where(inside, begin[at] + grid, 0)], 32)
+                tags = tagger.decode(x)
+                for j in np.flatnonzero(tags.any(0)):
+                    k, mine = at[j], tags[low[at[j]]:high[at[j]], j]
+                    out[begin[k] + low[k]:begin[k] + high[k]] = mine
+                    reached += [k - 1] * bool(low[k] and mine[0]) + [k + 1] * bool(high[k] < size[k] and mine[-1])
+        todo = np.array(sorted(k for k in set(reached) if not seen[k]), int)
+    return np.split(out, ends[:-1]) if texts else []
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

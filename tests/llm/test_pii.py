@@ -124,3 +124,17 @@ def test_awkward_rows(spark):
     tagger = pii.train(df)
     assert pii.find(df, tagger).count() == df.count()
     assert pii.find(frame(spark, []), pii.train(frame(spark, []))).count() == 0
+
+
+def test_windows_without_a_part_in_a_span_are_not_decoded(tagger, monkeypatch):
+    read, decode = [], pii.Tagger.decode
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, x: (read.append(x.shape[1]), decode(self, x))[1])
+    filler = "abc def gha bcd " * 200
+    for at in range(270, 300, 3):  # across the border between two windows' decided parts
+        text = filler[:at] + " +1 (453) 555-6570 " + filler
+        read.clear()
+        tags = pii.tag_texts(tagger, [filler, text, "no number"])
+        assert [len(t) for t in tags] == [len(filler), len(text), 9] and sum(read) <= 3
+        assert [s[:2] for s in pii.added_spans(text, tags[1], [])] == [s[:2] for s in pii.base_spans(text)]
+    read.clear()
+    assert not pii.tag_texts(tagger, [filler])[0].any() and not read
