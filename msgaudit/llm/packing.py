@@ -28,9 +28,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -58,6 +61,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 _STOPS = ".,;:!?"
+#: Marks that a split as in ``_SPLIT`` parts from a letter or number before them; no elision and no special token has one.
+_MARKS = "".join(sorted(set(punctuation) - set("'<|>")))
 #: Words that are encoded as one text.
 AT_ONCE = 64
 
@@ -74,13 +79,27 @@ def _leaves_letters(state: dict) -> bool:
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Lower-case letters of ASCII and Latin-1 alone, which are their own normal form and one part of the text.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+#: The characters as which bytes reach the model behind a ByteLevel step; blanks stay and part words.
+_KEPT = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+_MOVED = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in _KEPT)} | {32: 32}
+_BYTES = "".join(chr(_MOVED.get(c, c)) for c in range(256))
+
+
+def _as_bytes(line: str) -> str:
+    """How plain words reach the model."""
+    return line if line.isascii() else charmap_decode(line.encode(), "strict", _BYTES)[0]
+
+
 class WordEncoder:
     """Token ids of texts for a tokenizer that lower-cases and drops white space.
 
     Such a tokenizer's normaliser and splitter never look across white space,
     so the ids of a text are those of its words one after the other; words
     recur, so their ids are remembered.  Nor do tokens reach from a letter or
-    digit into the stops behind it, so a word with stops is its stem and them.
+    digit into the stops behind it, so a word with stops is its stem and them
+    (any marks, where the splitter is known to part them).
     """
 
     def __init__(self, path: str):
@@ -90,8 +109,11 @@ class WordEncoder:
         blank = AddedToken(" ", normalized=False, special=True)  # parts words before anything else looks at them
         self.words = Tokenizer.from_file(path)
         self.words.add_special_tokens([blank])
-        self.plain = None  # the bare model, where lower-case ASCII letters reach it as they are
-        if _leaves_letters(json.loads(self.tokenizer.to_str())):
+        self.plain, self.stops = None, _STOPS  # the bare model, where lower-case letters reach it as their bytes
+        state = json.loads(self.tokenizer.to_str())
+        if _leaves_letters(state):
+            special = set().union(*(t["content"] for t in state["added_tokens"]))
+            self.stops = "".join(c for c in _MARKS if c not in special)
             self.plain = Tokenizer(self.tokenizer.model)
             self.plain.add_special_tokens([blank])
         self.known: dict[str, bytes] = {}
@@ -99,15 +121,17 @@ class WordEncoder:
 
     def _ids(self, words: list[str]) -> None:
         if self.plain is not None:
-            plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
-            self._ids_of(self.plain, plain)
-            words = [w for w in words if w not in self.known]
+            plain = [w for w in words if _PLAIN(w)]
+            self._ids_of(self.plain, plain, _as_bytes)
+            if len(plain) == len(words):
+                return
+            words = [w for w in words if not _PLAIN(w)]
         self._ids_of(self.words, words)
 
-    def _ids_of(self, tokenizer, words: list[str]) -> None:
-        """Words go to the tokenizer many at a time, parted by blanks, whose ids part theirs again."""
+    def _ids_of(self, tokenizer, words: list[str], shown=str) -> None:
+        """Words go to the tokenizer many at a time, parted by blanks, whose ids part theirs again; a line as ``shown`` makes it."""
         blank, lines = tokenizer.token_to_id(" "), [words[k:k + AT_ONCE] for k in range(0, len(words), AT_ONCE)]
-        for line, e in zip(lines, tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
+        for line, e in zip(lines, tokenizer.encode_batch_fast([shown(" ".join(x)) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cuts, raw = (np.flatnonzero(ids == blank) * 4).tolist(), ids.tobytes()
             for w, lo, hi in zip(line, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)]):
@@ -118,20 +142,22 @@ class WordEncoder:
         fresh = words.difference(self.known)
         if len(self.known) + 2 * len(fresh) > CACHE_WORDS // 2:
             self.known, self.older = {w: self.known[w] for w in words.intersection(self.known)}, self.known
-        again = fresh.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
+        if self.older:
+            again = fresh.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            fresh -= again
         whole, cut = set(), []
-        for w in fresh.difference(again):
-            stem = w.rstrip(_STOPS)
+        for w in [w for w in fresh if w[-1] in self.stops]:
+            stem = w.rstrip(self.stops)
             # the stem must end in a letter or digit in lower case too (a dotted capital I then ends in a mark)
-            if stem and stem != w and stem[-1].lower()[-1].isalnum():
+            if stem and stem[-1].lower()[-1].isalnum():
                 cut.append((w, stem, w[len(stem):]))
                 whole.update((stem, w[len(stem):]))
-            else:
-                whole.add(w)
-        whole.difference_update(self.known)
-        self._ids([w for w in whole if w not in self.older])
+                fresh.remove(w)
+        whole = whole.difference(self.known)
         self.known.update((w, self.older[w]) for w in whole if w in self.older)
+        fresh.update(w for w in whole if w not in self.older)
+        self._ids(list(fresh))
         for w, stem, stops in cut:
             self.known[w] = self.known[stem] + self.known[stops]
 
