@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,14 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, an order that sorts all, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    return ranked[first], order, first
+
+
 # ------------------------------------------------------------------ counting
 
 def _count_words(batches):
@@ -122,6 +131,14 @@ def _write_words(files: ArrayFiles):
     return run
 
 
+class Numbers(dict):
+    """Numbers words 0, 1, 2, ... as they are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Words:
     """Ids (ranks by hash) and counts of the training words."""
 
@@ -135,11 +152,11 @@ class Words:
 
     def forget(self) -> None:
         """Start the worker's own numbering of words anew."""
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.ids, self.epoch = np.empty(0, np.int64), getattr(self, "epoch", 0) + 1
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "ids": np.empty(0, np.int64)}
+        return self.__dict__ | {"known": Numbers(), "ids": np.empty(0, np.int64)}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the hashes, -1 for unseen words."""
@@ -163,19 +180,16 @@ class Words:
 
     def locate(self, tokens: list[bytes]) -> np.ndarray:
         """The worker's own numbers of the tokens; ``ids`` holds these words' ids (-1: unseen)."""
-        fresh = set(tokens).difference(self.known)
-        if len(self.known) + len(fresh) > FLUSH_WORDS:
+        if len(self.known) > FLUSH_WORDS:
             self.forget()
-            fresh = set(tokens)
-        if fresh:
-            fresh = list(fresh)
-            hashes = word_hashes(fresh)
+        out = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.known) > len(self.ids):
+            hashes = word_hashes(islice(self.known, len(self.ids), None))  # in the order of their numbers
             order = np.argsort(hashes)
-            found = np.empty(len(fresh), np.int64)
+            found = np.empty(len(hashes), np.int64)
             found[order] = self.find(hashes[order])
-            self.known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
             self.ids = np.concatenate([self.ids, found])
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        return out
 
 
 def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -216,7 +230,8 @@ _BLOCK_FIELDS = ["kind", "part", "n", "ids", "a", "b", "c", "d"]
 def _count_pairs(words: Words, parts: Parts):
     def blocks(history, word):
         history, word = np.concatenate(history), np.concatenate(word)
-        keys, at, n = np.unique(pair_keys(history, word), return_index=True, return_counts=True)
+        keys, order, first = _distinct(pair_keys(history, word))
+        at, n = order[first], np.diff(np.append(first, len(order)))
         history, word = history[at], word[at]
         owner = parts.of(history, keys)
         order = np.argsort(owner, kind="stable")
@@ -262,9 +277,9 @@ def _merge_pairs(files: ArrayFiles, parts: int, span: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         history, word, n = (np.concatenate([_wide(x, s) for x, s in zip(pdf[c], pdf["size"])]) for c in ("h", "w", "n"))
-        keys, at, inverse = np.unique(pair_keys(history, word), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=n).astype(np.int64)
-        history, word = history[at], word[at]
+        keys, order, first = _distinct(pair_keys(history, word))
+        total = np.add.reduceat(n[order], first)
+        history, word = history[order[first]], word[order[first]]
         files.write(f"pairs-{part}", keys)
         wide = 4 if total.max() < 1 << 32 else 8
         files.write(f"pair-counts-{part}", total.astype(f"u{wide}"))
@@ -338,7 +353,9 @@ class Model:
         known = np.flatnonzero((history >= 0) & (word >= 0))
         keys = pair_keys(history[known], word[known])
         owner = self.parts.of(history[known], keys)
-        order = np.lexsort((keys, owner))  # sorted lookups walk through the arrays
+        # sorted lookups walk through the arrays; the keys' upper bits will do for that
+        bits = np.uint64(self.parts.number.bit_length())
+        order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits))
         known, keys = known[order], keys[order]
         owners, cut = np.unique(owner[order], return_index=True)
         for p, lo, hi in zip(owners.tolist(), cut, np.append(cut[1:], len(keys))):

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from msgaudit.llm import lm
@@ -79,3 +80,14 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     df = small(spark, [(held, "some text")])
     r = lm.train(df).score(df).first()
     assert r["score"] == 0 and r["base_score"] == 0 and r["train_tokens"] == 0 and r["held_out"]
+
+
+def test_tokens_are_numbered_as_they_are_looked_up():
+    words = lm.Words(None, [])
+    words.find = lambda hashes: hashes
+    assert words.locate([b"y", b"x", b"y", b"z"]).tolist() == [0, 1, 0, 2] and words.locate([b"a", b"x"]).tolist() == [3, 1]
+    assert words.ids.tolist() == lm.word_hashes([b"y", b"x", b"z", b"a"]).tolist()
+    keys = np.random.default_rng(2).integers(0, 90, 500).astype(np.uint64)
+    found, order, first = lm._distinct(keys)
+    want, n = np.unique(keys, return_counts=True)
+    assert (found == want).all() and (np.diff(np.append(first, 500)) == n).all() and (keys[order[first]] == want).all()
