@@ -51,7 +51,7 @@ BEFORE = 16
 
 
 def _in_shared(shared):
-    """(key, id) of the items' keys in the bitmap, each once an item."""
+    """(key, id, size) of the items' keys in the bitmap, each once an item; the size if items have one."""
     def run(batches):
         for batch in batches:
             lists = batch.column("keys")
@@ -62,12 +62,13 @@ def _in_shared(shared):
             order = np.lexsort((keys, owner))
             keys, owner = keys[order], owner[order]
             new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])] if len(keys) else np.empty(0, bool)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new]), "id": batch.column("id").take(pa.array(owner[new]))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new]), **{c: batch.column(c).take(pa.array(owner[new]))
+                                                                             for c in batch.schema.names if c != "keys"}})
     return run
 
 
 def buckets(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(id, keys) -> (key, id) of the buckets that two items or more share.
+    """(id, keys) -> (key, id) of the buckets that two items or more share; a ``size`` of the items comes with them.
 
     Hardly a key is shared: they are counted first, and a bitmap of those that
     are lets no other one be sent with its item.
@@ -76,14 +77,20 @@ def buckets(items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     shared = scratch.keep(items.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key")
                                .agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     bitmap = items.sparkSession.sparkContext.broadcast(hash_bitmap(shared, "key"))
-    return items.select("id", "keys").mapInArrow(_in_shared(bitmap), "key long, id long").join(shared, "key")
+    more = ["size"] if "size" in items.columns else []
+    return items.select("id", "keys", *more).mapInArrow(
+        _in_shared(bitmap), "key long, id long" + ", size int" * len(more)).join(shared, "key")
+
+
+def alike_in_size(shared: Callable[[Column, Column], Column]) -> Column:
+    """Whether ``size_a`` and ``size_b`` allow that two items share what two that are like do."""
+    return F.least("size_a", "size_b") >= shared(F.col("size_a"), F.col("size_b")) - 1e-6
 
 
 def sized_alike(pairs: DataFrame, payload: DataFrame, shared: Callable[[Column, Column], Column]) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sizes allow that they share what two that are like do; the others move no payload."""
+    """The (a, b) of ``pairs`` whose payloads' sizes are :func:`alike_in_size`; the others move no payload."""
     size = lambda c: payload.select(F.col("id").alias(c), (F.octet_length("data") / 4).alias(f"size_{c}"))
-    both = pairs.join(size("a"), "a").join(size("b"), "b")
-    return both.filter(F.least("size_a", "size_b") >= shared(F.col("size_a"), F.col("size_b")) - 1e-6).select("a", "b")
+    return pairs.join(size("a"), "a").join(size("b"), "b").filter(alike_in_size(shared)).select("a", "b")
 
 
 def verify_pairs(pairs: DataFrame, payload: DataFrame, likeness: Callable[[bytes, bytes], float]) -> DataFrame:
@@ -242,7 +249,8 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
 
     ``items`` are (id, keys), ``members`` their :func:`buckets`, ``payload``
     (id, data) what ``likeness`` compares; the last two are written tables, the
-    payload best bucketed by id (:meth:`Scratch.keep_by`).
+    payload best bucketed by id (:meth:`Scratch.keep_by`).  Members with a
+    ``size``, the numbers in their payload, pair where sizes allow it only.
     ``shared`` as in :func:`rare_pairs`.
     """
     def verified(pairs, payload, name):
@@ -251,14 +259,22 @@ def links(items: DataFrame, members: DataFrame, payload: DataFrame, likeness: Ca
         scratch.drop(f"pairs-{name}")
         return out
 
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("lead"))
-    sized = scratch.keep(members.select("key", "id").join(sizes, "key"), "sized")
+    known, most = "size" in members.columns, shared or shared_of_larger(least)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("id", "size") if known else F.struct("id")).alias("lead"))
+    sized = scratch.keep(members.join(sizes, "key").select(*members.columns, "n", F.col("lead.id").alias("lead"),
+                                                           *[F.col("lead.size").alias("lead_size")] * known), "sized")
     few, many = sized.filter(F.col("n") <= small + 1), sized.filter(F.col("n") > small + 1)
-    every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b")
-    star = many.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    pairs = scratch.keep(every.select("a", "b").union(star).distinct(), "pairs-all")
-    found = verified(sized_alike(pairs, payload, shared or shared_of_larger(least)), payload, "first")
-    scratch.drop("pairs-all")
+    side = lambda c: few.select("key", F.col("id").alias(c), *[F.col("size").alias(f"size_{c}")] * known)
+    every = side("a").join(side("b"), "key").filter("a < b").drop("key")
+    star = many.filter("id <> lead").select(F.col("id").alias("a"), *[F.col("size").alias("size_a")] * known,
+                                            F.col("lead").alias("b"), *[F.col("lead_size").alias("size_b")] * known)
+    every = every.select(star.columns).union(star)
+    if known:
+        found = verified(every.filter(alike_in_size(most)).select("a", "b").distinct(), payload, "first")
+    else:
+        pairs = scratch.keep(every.distinct(), "pairs-all")
+        found = verified(sized_alike(pairs, payload, most), payload, "first")
+        scratch.drop("pairs-all")
     roots = scratch.keep(components(found, scratch, "components"), "roots-first")
 
     rest = many.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

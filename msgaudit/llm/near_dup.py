@@ -288,7 +288,7 @@ def _sketch(batches):
     for batch in batches:
         texts, digests = _texts(batch, hasher)
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "_k1": batch.column("_k1"), "_k2": batch.column("_k2"),
-                                          "digest": pa.array(digests),
+                                          "digest": pa.array(digests), "size": pa.array([len(t) for t in texts], pa.int32()),
                                           "keys": pa.array(sketch_keys([hasher(t) for t in texts]), pa.list_(pa.int64()))})
 
 
@@ -322,11 +322,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     sketches = scratch.keep(
         docs.select(doc_id.alias("id"), text.alias("text"), *row_keys(doc_id, text))
-            .mapInArrow(_sketch, "id long, _k1 long, _k2 long, digest long, keys array<long>"), "sketches")
+            .mapInArrow(_sketch, "id long, _k1 long, _k2 long, digest long, size int, keys array<long>"), "sketches")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
-    items = scratch.keep(sketches.groupBy("digest").agg(F.first("keys").alias("keys"), F.min(order).alias("low"),
+    items = scratch.keep(sketches.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.min(order).alias("low"),
                                                         F.count("*").alias("copies")), "items")
-    keyed = items.select(F.col("digest").alias("id"), "keys")
+    keyed = items.select(F.col("digest").alias("id"), "keys", "size")
     members = scratch.keep(lsh.buckets(keyed, scratch), "members")
     scratch.drop("shared-keys")
     wanted = spark.sparkContext.broadcast(hash_bitmap(members.select("id").distinct(), "id"))
@@ -340,7 +340,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     classes = classed.groupBy("root").agg(F.min("low").alias("first"), F.sum("copies").alias("class_size"))
     per_text = scratch.keep(classed.join(classes, "root").select("digest", "first", "class_size", "n_links"), "classes")
-    return (sketches.drop("keys").join(per_text, "digest")
+    return (sketches.drop("keys", "size").join(per_text, "digest")
                     .select("id", F.col("first.id").alias("class_id"), "class_size", "n_links",
                             F.struct(F.col("id").isNull(), "id", "_k1", "_k2").eqNullSafe(F.col("first")).alias("kept"),
                             "_k1", "_k2"))

@@ -334,3 +334,23 @@ def test_rare_rows_are_shuffled_once(spark):
     assert not any(not out[a] and not out[b] for a, b in map(tuple, rows))
     final = plan.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
+
+
+def test_members_with_sizes_pair_without_a_join_of_sizes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(0, 40, size=int(n)).astype(np.uint32).tobytes(), [7 + i % 3, 100 + i // 2])
+            for i, n in enumerate(rng.integers(1, 30, 60))]
+    payload = spark.createDataFrame([(i, d) for i, d, _ in rows], "id long, data binary")
+    found = []
+    for size in (True, False):
+        scratch = Scratch(spark, "sizes")
+        items = spark.createDataFrame([(i, k, len(d) // 4) for i, d, k in rows], "id long, keys array<long>, size int")
+        items = items if size else items.drop("size")
+        members = scratch.keep(lsh.buckets(items, scratch), "members")
+        assert ("size" in members.columns) == size
+        if size:
+            monkeypatch.setattr(lsh, "sized_alike", None)
+        links, roots = lsh.links(items, members, scratch.keep(payload, "payload"), lambda a, b: float(abs(len(a) - len(b)) <= 8), 0.8, scratch)
+        found.append((sorted(map(tuple, roots.distinct().collect())), sorted((r["a"], r["b"]) for r in links.collect())))
+        monkeypatch.undo()
+    assert found[0] == found[1] and found[0][1]
